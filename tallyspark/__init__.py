@@ -1,0 +1 @@
+"""Analytics over event facts with Spark: relations, aggregates, windows, repairs, audits and report shapes."""
