@@ -47,8 +47,9 @@ def disagreement(parent: DataFrame, child: DataFrame, on: list[str], col: str, b
 
 
 def uncleared(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """How many rows still have a figure in columns that should be cleared, and have none in any."""
-    return df.groupBy(*by).agg(*[F.count(c).alias(c) for c in columns], F.count_if(~F.coalesce(*[F.col(c).isNotNull() & F.lit(True) for c in columns], F.lit(False))).alias("empty"))
+    """How many rows still have a figure in columns that should be cleared, and how many have none in any."""
+    none = F.coalesce(*[F.col(c).cast("string") for c in columns]).isNull()
+    return df.groupBy(*by).agg(*[F.count(c).alias(c) for c in columns], F.count_if(none).alias("empty"))
 
 
 def staleness(fresh: DataFrame, stored: DataFrame) -> DataFrame:
