@@ -26,7 +26,7 @@ GRAM = 32
 #: Bytes of a text that are hashed at once.
 PIECE = 1 << 19
 #: Contexts that go into one suffix array, if their anchors' groups allow it; and the largest group that stays whole.
-TOGETHER, GROUP = 1500, 24_000
+TOGETHER, GROUP = 400, 24_000
 
 
 # -- suffix arrays ---------------------------------------------------------------------------------
@@ -50,43 +50,63 @@ def suffix_array(text: list[int]) -> list[int]:
     members: list[list[int]] = [[] for _ in values]
     for i, g in enumerate(group):
         members[g].append(i)
-    # groups in a list linked both ways, by order
+    # groups in a list linked both ways, by order; size: members that are still in them
     below = list(range(-1, len(values) - 1))
     above = [*range(1, len(values)), -1]
+    size = [len(m) for m in members]
     before = [-1] * n  # the previous smaller suffix
     done = bytearray(n)
     g = len(values) - 1
     while g >= 0:
-        own = [i for i in members[g] if group[i] == g]
-        own.sort()
-        members[g] = own
-        pointed: dict[int, int] = {}
-        for i in own:
+        own = members[g]
+        if size[g] < len(own):
+            own = members[g] = [i for i in own if group[i] == g]
+        if len(own) == 1:
+            i = own[0]
             j = i - 1
-            while j >= 0 and (done[j] or group[j] == g):
+            while j >= 0 and done[j]:
                 j = before[j]
             before[i] = j
-            if j >= 0:
-                pointed[j] = pointed.get(j, 0) + 1
-        for i in own:
             done[i] = 1
-        if pointed:
-            by: dict[tuple[int, int], list[int]] = {}
+            if j >= 0 and size[group[j]] > 1:
+                by = (((1, group[j]), [j]),)
+            else:  # nothing to move, or one suffix that has its group for itself
+                g = below[g]
+                continue
+        elif own:
+            own.sort()
+            pointed: dict[int, int] = {}
+            for i in own:
+                j = i - 1
+                while j >= 0 and (done[j] or group[j] == g):
+                    j = before[j]
+                before[i] = j
+                if j >= 0:
+                    pointed[j] = pointed.get(j, 0) + 1
+            for i in own:
+                done[i] = 1
+            parts: dict[tuple[int, int], list[int]] = {}
             for j, times in pointed.items():
-                by.setdefault((times, group[j]), []).append(j)
+                parts.setdefault((times, group[j]), []).append(j)
             # the more often pointed at, the greater: each new group goes right above the old one, below those made before
-            for times, old in sorted(by, reverse=True):
-                js = by[times, old]
-                new = len(members)
-                members.append(js)
-                over = above[old]
-                below.append(old)
-                above.append(over)
-                above[old] = new
-                if over >= 0:
-                    below[over] = new
-                for j in js:
-                    group[j] = new
+            by = sorted(parts.items(), reverse=True) if len(parts) > 1 else parts.items()
+        else:
+            by = ()
+        for (_, old), js in by:
+            if size[old] == len(js):
+                continue  # all that is left of a group stays where it is
+            new = len(members)
+            members.append(js)
+            size.append(len(js))
+            size[old] -= len(js)
+            over = above[old]
+            below.append(old)
+            above.append(over)
+            above[old] = new
+            if over >= 0:
+                below[over] = new
+            for j in js:
+                group[j] = new
         g = below[g]
     # first free place of each group, from the lowest
     free = [0] * len(members)
