@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,12 +60,17 @@ def estimates(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> n
     for i in range(len(a)):
         either = (a[i] != EMPTY) | (b != EMPTY)
         same = ((a[i] == b) & either).sum(axis=1)
-        ratio = np.maximum(na[i], 1) / np.maximum(nb, 1)
-        chance = 0.1699 / (1 << MANTISSA) * 4 * ratio / (1 + ratio) ** 2
-        out[i] = (same / np.maximum(either.sum(axis=1), 1) - chance) / (1 - chance)
+        out[i] = corrected(same, either.sum(axis=1), na[i], nb)
     return out
 
 
+def corrected(same: np.ndarray, either: np.ndarray, na, nb) -> np.ndarray:
+    """Similarity from equal registers of those in use, less the share that is equal by chance."""
+    ratio = np.maximum(na, 1) / np.maximum(nb, 1)
+    chance = 0.1699 / (1 << MANTISSA) * 4 * ratio / (1 + ratio) ** 2
+    return (same / np.maximum(either, 1) - chance) / (1 - chance)
+
+
 def band_keys(regs: np.ndarray, times: int) -> np.ndarray:
     """One key for each band that holds a register."""
     bands = regs[: BANDS * ROWS].view(np.uint64)
@@ -119,27 +123,70 @@ def _propose(rows: DataFrame, similarity: float, best: int) -> DataFrame:
     """
     cut = similarity - MARGIN
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        left, right = f[f["side"] != 1], f[f["side"] != 0]
+    def group(x: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+        left, right = np.flatnonzero(x["side"] != 1), np.flatnonzero(x["side"] != 0)
+        if not len(left) or not len(right):
+            return []
+        la, ra = x["id"][left], x["id"][right]
+        est = estimates(x["regs"][left], x["regs"][right], x["n"][left], x["n"][right])
+        ok = (est >= cut) & (x["comp"][left][:, None] != x["comp"][right][None, :])
+        if best < 0:
+            i, j = np.nonzero(ok)
+            return list(zip(la[i], ra[j], strict=True))
         out = []
-        if len(left) and len(right):
-            regs = lambda x: np.array([np.frombuffer(r, np.uint16) for r in x["regs"]])
-            la, ra, lc, rc = left["id"].to_numpy(), right["id"].to_numpy(), left["comp"].to_numpy(), right["comp"].to_numpy()
-            est = estimates(regs(left), regs(right), left["n"].to_numpy(), right["n"].to_numpy())
-            ok = (est >= cut) & (lc[:, None] != rc[None, :])
-            if best < 0:
-                i, j = np.nonzero(ok)
-                out = list(zip(la[i], ra[j], strict=True))
-            else:
-                for own, other, mat, may in ((la, ra, est, ok), (ra, la, est.T, ok.T)):
-                    for i in np.flatnonzero(may.any(axis=1)):
-                        j = np.flatnonzero(may[i])
-                        j = j[[other[j].argmin()]] if best == 0 else j[np.argsort(-mat[i, j], kind="stable")[:best]]
-                        out += [(own[i], x) for x in other[j]]
-        pairs = np.array(out, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)}) if len(pairs) else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-
-    return rows.groupBy("key", "p", "q").applyInPandas(run, "a long, b long").distinct()
+        for own, other, mat, may in ((la, ra, est, ok), (ra, la, est.T, ok.T)):
+            for i in np.flatnonzero(may.any(axis=1)):
+                j = np.flatnonzero(may[i])
+                j = j[[other[j].argmin()]] if best == 0 else j[np.argsort(-mat[i, j], kind="stable")[:best]]
+                out += [(own[i], y) for y in other[j]]
+        return out
+
+    def groups(b: pa.Table) -> Iterator[pa.RecordBatch]:
+        x = {c: b[c].to_numpy() for c in ("side", "id", "comp", "n")}
+        x["regs"] = np.frombuffer(b"".join(b["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        at = _starts(b)
+        ends = np.r_[at[1:], b.num_rows]
+        # groups of two, most of all, at once
+        two = at[ends - at == 2]
+        two = two[(x["side"][two] == 2) | (x["side"][two] != x["side"][two + 1])]
+        two = two[x["comp"][two] != x["comp"][two + 1]]
+        either = (x["regs"][two] != EMPTY) | (x["regs"][two + 1] != EMPTY)
+        same = ((x["regs"][two] == x["regs"][two + 1]) & either).sum(axis=1)
+        two = two[corrected(same, either.sum(axis=1), x["n"][two], x["n"][two + 1]) >= cut]
+        pairs = list(zip(x["id"][two], x["id"][two + 1], strict=True))
+        for a, e in zip(at, ends, strict=True):
+            if e - a > 2:
+                pairs += group({c: v[a:e] for c, v in x.items()})
+        out = np.unique(np.sort(np.array(pairs, np.int64).reshape(-1, 2), axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a group is two blocks at most, so what is carried from batch to batch is bounded
+        held = None
+        for b in batches:
+            for piece in small_batches([b], 4096):
+                held = pa.Table.from_batches([piece]) if held is None else pa.concat_tables([held, pa.Table.from_batches([piece])])
+                last = int(_starts(held)[-1]) if held.num_rows else 0
+                if last:
+                    yield from groups(held.slice(0, last).combine_chunks())
+                    held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield from groups(held.combine_chunks())
+
+    dealt = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _starts(b: pa.Table) -> np.ndarray:
+    """Where the groups of sorted rows begin."""
+    if not b.num_rows:
+        return np.empty(0, np.int64)
+    new = np.zeros(b.num_rows, bool)
+    new[0] = True
+    for c in ("key", "p", "q"):
+        v = b[c].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
