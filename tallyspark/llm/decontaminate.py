@@ -78,9 +78,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str
     cover = cover.groupBy("doc_id", "k").agg(F.sum(F.greatest(F.lit(0), end - F.greatest("at", "seen"))).alias("n_hit"))
     which = hit.select("doc_id", "k", "len", "h", "win").distinct().join(wins, ["len", "h", "win"]).where("item is not null")
     which = which.groupBy("doc_id", "k").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"))
-    found = cover.join(which, ["doc_id", "k"], "left").select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), "n_hit", "items")
+    which = which.select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), "items")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_k"))
+    found = cover.join(which, same, "left").select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), "n_hit", "items")
     counted = d.select("doc_id", "k", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = counted.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_k")), "left")
+    out = counted.join(found, same, "left")
     n_hit = F.coalesce(F.col("n_hit").cast("long"), F.lit(0).cast("long"))
     items = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
