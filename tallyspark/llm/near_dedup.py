@@ -25,8 +25,8 @@ REGISTERS, BANDS, ROWS, MANTISSA = 128, 24, 4, 10
 EMPTY = 0xFFFF
 #: Sets below a size are hashed so many times into the same buckets: the similarity stays, and no bucket is left empty.
 REPEATS = ((8, 256), (32, 64), (128, 16), (512, 4))
-#: Members of a band bucket that are compared in one piece.
-BLOCK = 512
+#: Members that are compared in one piece, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: Pairs whose estimate is so far below the threshold are not looked at; about five standard deviations of 128 registers.
 MARGIN = 0.18
 
@@ -116,74 +116,126 @@ def _bands(reps: DataFrame) -> DataFrame:
     return reps.select("id", "t", "regs").mapInArrow(run, "key long, id long, t int")
 
 
-def _propose(rows: DataFrame, similarity: float, best: int) -> DataFrame:
-    """Pairs (a, b) of one group of rows (side 0, 1 or both as 2) that may be similar and have different ``comp``.
+class Joined:
+    """What is joined to what, among the rows of one group."""
 
-    ``best``: for each member the partner of the least id (0), or its so many most similar partners, or all (-1).
-    """
-    cut = similarity - MARGIN
-
-    def group(x: dict[str, np.ndarray]) -> list[tuple[int, int]]:
-        left, right = np.flatnonzero(x["side"] != 1), np.flatnonzero(x["side"] != 0)
-        if not len(left) or not len(right):
-            return []
-        la, ra = x["id"][left], x["id"][right]
-        est = estimates(x["regs"][left], x["regs"][right], x["n"][left], x["n"][right])
-        ok = (est >= cut) & (x["comp"][left][:, None] != x["comp"][right][None, :])
-        if best < 0:
-            i, j = np.nonzero(ok)
-            return list(zip(la[i], ra[j], strict=True))
-        out = []
-        for own, other, mat, may in ((la, ra, est, ok), (ra, la, est.T, ok.T)):
-            for i in np.flatnonzero(may.any(axis=1)):
-                j = np.flatnonzero(may[i])
-                j = j[[other[j].argmin()]] if best == 0 else j[np.argsort(-mat[i, j], kind="stable")[:best]]
-                out += [(own[i], y) for y in other[j]]
-        return out
-
-    def groups(b: pa.Table) -> Iterator[pa.RecordBatch]:
-        x = {c: b[c].to_numpy() for c in ("side", "id", "comp", "n")}
-        x["regs"] = np.frombuffer(b"".join(b["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        at = _starts(b)
+    def __init__(self, labels):
+        self.boss = {x: x for x in labels}
+
+    def find(self, x):
+        boss = self.boss
+        while boss[x] != x:
+            boss[x] = x = boss[boss[x]]
+        return x
+
+    def join(self, a, b) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.boss[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _grouped(rows: DataFrame, keys: list[str], work, schema: str, names: list[str]) -> DataFrame:
+    """``work`` on runs of whole groups of rows, streamed in the order of the keys; groups are bounded, so what is carried on is too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            for piece in small_batches([b], 4096):
+                held = pa.Table.from_batches([piece] if held is None else [*held.to_batches(), piece])
+                last = int(_starts(held, keys)[-1]) if held.num_rows else 0
+                if last:
+                    yield from work(held.slice(0, last).combine_chunks())
+                    held = held.slice(last).combine_chunks()
+        if held is not None and held.num_rows:
+            yield from work(held.combine_chunks())
+
+    return rows.select(*names).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def _arrays(b: pa.Table, columns: list[str]) -> dict[str, np.ndarray]:
+    return {c: b[c].to_numpy() for c in columns} | {"regs": np.frombuffer(b"".join(b["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)}
+
+
+def _pairs_out(pairs: list) -> pa.RecordBatch:
+    out = np.sort(np.array(pairs, np.int64).reshape(-1, 2), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+
+def _tied(rows: DataFrame, cut: float) -> DataFrame:
+    """Edges (a, b) that tie together all members of a bucket whose estimates reach the cut: a forest, not all pairs."""
+
+    def work(b: pa.Table) -> Iterator[pa.RecordBatch]:
+        x = _arrays(b, ["id", "n"])
+        at = _starts(b, ["key"])
         ends = np.r_[at[1:], b.num_rows]
-        # groups of two, most of all, at once
-        two = at[ends - at == 2]
-        two = two[(x["side"][two] == 2) | (x["side"][two] != x["side"][two + 1])]
-        two = two[x["comp"][two] != x["comp"][two + 1]]
+        two = at[ends - at == 2]  # groups of two, most of all, at once
         either = (x["regs"][two] != EMPTY) | (x["regs"][two + 1] != EMPTY)
         same = ((x["regs"][two] == x["regs"][two + 1]) & either).sum(axis=1)
         two = two[corrected(same, either.sum(axis=1), x["n"][two], x["n"][two + 1]) >= cut]
         pairs = list(zip(x["id"][two], x["id"][two + 1], strict=True))
         for a, e in zip(at, ends, strict=True):
             if e - a > 2:
-                pairs += group({c: v[a:e] for c, v in x.items()})
-        out = np.unique(np.sort(np.array(pairs, np.int64).reshape(-1, 2), axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+                ids = x["id"][a:e]
+                est = estimates(x["regs"][a:e], x["regs"][a:e], x["n"][a:e], x["n"][a:e])
+                tree = Joined(range(len(ids)))
+                pairs += [(ids[i], ids[j]) for i, j in zip(*np.nonzero(np.triu(est >= cut, 1)), strict=True) if tree.join(i, j)]
+        yield _pairs_out(pairs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a group is two blocks at most, so what is carried from batch to batch is bounded
-        held = None
-        for b in batches:
-            for piece in small_batches([b], 4096):
-                held = pa.Table.from_batches([piece]) if held is None else pa.concat_tables([held, pa.Table.from_batches([piece])])
-                last = int(_starts(held)[-1]) if held.num_rows else 0
-                if last:
-                    yield from groups(held.slice(0, last).combine_chunks())
-                    held = held.slice(last)
-        if held is not None and held.num_rows:
-            yield from groups(held.combine_chunks())
+    return _grouped(rows, ["key"], work, "a long, b long", ["key", "id", "n", "regs"]).distinct()
 
-    dealt = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
 
+def _linked(rows: DataFrame, cut: float, similarity: Fraction) -> DataFrame:
+    """Confirmed links between components, within pairs of blocks (side 0, 1, or 2 for both).
+
+    Pairs are tried from the most similar estimate down, and not at all once a link has joined them.
+    """
+    num, den = similarity.numerator, similarity.denominator
 
-def _starts(b: pa.Table) -> np.ndarray:
+    def work(b: pa.Table) -> Iterator[pa.RecordBatch]:
+        x = _arrays(b, ["id", "comp", "n", "t", "side"])
+        raw = b["set"].to_pylist()
+        at = _starts(b, ["key", "p", "q"])
+        found = []
+        for a, e in zip(at, np.r_[at[1:], b.num_rows], strict=True):
+            own = {c: v[a:e] for c, v in x.items()}
+            tree, sets = Joined(set(own["comp"].tolist())), {}
+            for t in np.unique(own["t"]):
+                left, right = np.flatnonzero((own["side"] != 1) & (own["t"] == t)), np.flatnonzero((own["side"] != 0) & (own["t"] == t))
+                if not len(left) or not len(right):
+                    continue
+                est = estimates(own["regs"][left], own["regs"][right], own["n"][left], own["n"][right])
+                i, j = np.nonzero((est >= cut) & (own["comp"][left][:, None] != own["comp"][right][None, :]))
+                order = np.argsort(-est[i, j], kind="stable")
+                for p, q in zip(left[i[order]].tolist(), right[j[order]].tolist(), strict=True):
+                    if tree.find(own["comp"][p]) == tree.find(own["comp"][q]):
+                        continue
+                    for k in (p, q):
+                        if k not in sets:
+                            sets[k] = np.frombuffer(raw[a + k], np.uint64)
+                    common = _common(sets[p], sets[q])
+                    if den * common >= num * (len(sets[p]) + len(sets[q]) - common):
+                        tree.join(own["comp"][p], own["comp"][q])
+                        found.append((own["id"][p], own["id"][q]))
+        yield _pairs_out(found)
+
+    return _grouped(rows, ["key", "p", "q"], work, "a long, b long", ["key", "p", "q", "id", "t", "n", "comp", "side", "regs", "set"])
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many hashes two sorted sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int((y[at] == x).sum()) if len(y) else 0
+
+
+def _starts(b: pa.Table, keys: list[str]) -> np.ndarray:
     """Where the groups of sorted rows begin."""
     if not b.num_rows:
         return np.empty(0, np.int64)
     new = np.zeros(b.num_rows, bool)
     new[0] = True
-    for c in ("key", "p", "q"):
+    for c in keys:
         v = b[c].to_numpy()
         new[1:] |= v[1:] != v[:-1]
     return np.flatnonzero(new)
@@ -200,7 +252,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFra
             good = []
             for x, y in zip(b["sa"].to_pylist(), b["sb"].to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
+                common = _common(x, y)
                 good.append(den * common >= num * (len(x) + len(y) - common))
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
@@ -218,10 +270,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float | str = "0.8"
     component, and is kept. ``n_links`` counts the confirmed links of the
     document's class of equal sets to other classes that the search needed.
 
-    Rounds of candidates: each band bucket's members with the least partner in
-    one block; then, only between components, the most similar partners; then
-    all that are left. A bucket beyond a block's size is compared block by
-    block in tasks of their own.
+    Members of a band bucket whose estimates come near the threshold are tied
+    together by a forest of edges, all members of a bucket larger than a block by
+    a star; so every candidate pair lies in one tied-up group. The edges
+    themselves are confirmed first. Then, in groups that still hold several
+    components, the pairs between components are tried block by block, each
+    task ending a pair's turn as soon as a link has joined its ends.
     """
     sim = Fraction(str(similarity))
     level = float(sim)
@@ -235,29 +289,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float | str = "0.8"
     bands = written(_bands(reps), "bands")
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     member = written(bands.join(shared, "key"), "members")
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64(F.lit("block"), "id"), n_blocks).cast("int")
-    first = member.withColumn("b", block)
-    # (0, j): members of block 0 stand on the left of every pair of blocks
-    first = first.withColumn("q", F.when(F.col("b") == 0, F.sequence(F.lit(0), n_blocks - 1)).otherwise(F.array("b"))).select("key", "id", "t", "b", F.explode("q").alias("q"))
-    first = first.select("key", "id", "t", F.lit(0).alias("p"), "q", F.when(F.col("q") == 0, 2).when(F.col("b") == 0, 0).otherwise(1).alias("side"), F.col("id").alias("comp"))
-    with_regs = lambda rows: rows.join(reps, ["id", "t"])
-    pairs = written(_propose(with_regs(first), level, 0), "pairs")
-    # sets of the documents that a candidate pair, now or later, may hold: those in a shared bucket whose sketches come near another's, or in a bucket of several blocks
-    near = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(member.where(F.col("size") > BLOCK).select("id")).distinct()
-    sets = written(_sets(docs, near, k, text, doc_id), "sets")
+    cut = level - MARGIN
+    tied = _tied(member.where(F.col("size") <= BLOCK).join(reps, ["id", "t"]), cut)
+    large = member.where(F.col("size") > BLOCK)
+    star = large.join(large.groupBy("key").agg(F.min("id").alias("a")), "key").where("a <> id").select("a", F.col("id").alias("b"))
+    pairs = written(tied.unionByName(star).distinct(), "pairs")
+    group = written(components(pairs).withColumnRenamed("component", "key"), "groups")
+    sets = written(_sets(docs, group.select("id"), k, text, doc_id), "sets")
     links = written(_confirm(pairs, sets, sim), "links")
-    tested = pairs
     comp = components(links)
-    for best in (16, -1):
-        rows = _between(member.join(near, "id", "left_semi"), comp)
-        pairs = written(_propose(with_regs(rows), level, best).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
-        more = written(_confirm(pairs, sets, sim), "links")
-        tested, links = tested.unionByName(pairs), links.unionByName(more)
-        if not more.isEmpty():
-            comp = components(links)
+    rows = _between(group.join(sets.select("id", F.length("set").alias("bytes")), "id"), comp)
+    more = written(_linked(rows.join(reps, "id").join(sets, "id"), cut, sim), "links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        comp = components(links)
     ends = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
     named = classes.join(comp, "id", "left").join(ends, "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     rows = sk.select("doc_id", "n", "s1", "s2")
@@ -276,12 +321,12 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int, text: str, doc_id: str) -> Da
     return own.mapInArrow(run, "id long, set binary").where(F.length("set") > 0).dropDuplicates(["id"])
 
 
-def _between(member: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, as pairs of blocks that are not of one component."""
-    own = member.join(comp, "id", "left").select("key", "id", "t", F.coalesce("component", "id").alias("comp"))
+def _between(group: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members of groups that hold several components, as pairs of blocks that are not of one component; blocks are bounded in members and in bytes of sets."""
+    own = group.join(comp, "id", "left").select("key", "id", "bytes", F.coalesce("component", "id").alias("comp"))
     mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    order = F.row_number().over(Window.partitionBy("key").orderBy("comp", "id"))
-    own = written(own.join(mixed, "key").withColumn("b", F.floor((order - 1) / BLOCK).cast("int")), "between")
+    so_far = F.sum(F.greatest(F.lit(1 / BLOCK), F.col("bytes") / BLOCK_BYTES)).over(Window.partitionBy("key").orderBy("comp", "id"))
+    own = written(own.join(mixed, "key").withColumn("b", F.floor(so_far - 1e-9).cast("int")), "between")
     blocks = own.groupBy("key", "b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     p = blocks.select("key", F.col("b").alias("p"), "lo", "hi")
     q = blocks.select("key", F.col("b").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
@@ -289,4 +334,4 @@ def _between(member: DataFrame, comp: DataFrame) -> DataFrame:
     # each pair of blocks asks for its one or two blocks
     asked = todo.select("key", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("b"))
     side = F.when(F.col("p") == F.col("q"), 2).when(F.col("b") == F.col("p"), 0).otherwise(1)
-    return own.join(asked, ["key", "b"]).select("key", "id", "t", "p", "q", side.alias("side"), "comp")
+    return own.join(asked, ["key", "b"]).select("key", "id", "p", "q", side.alias("side"), "comp")
