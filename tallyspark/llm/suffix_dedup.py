@@ -265,6 +265,33 @@ def repeated_starts(ctx: list[bytes], left: np.ndarray, occ: np.ndarray, pos: np
     return np.split(where, np.searchsorted(who, np.arange(1, m)))
 
 
+def narrowed(rows: list[tuple], length: int, parts: int = 8) -> list[tuple]:
+    """Rows (anchor, left, context, ...) that may hold a repeated string, each cut to where one can be.
+
+    The strings around an anchor fall into ranges by how far they begin before
+    it; all strings of a range hold the same core, so only ranges whose core
+    another context has as well are left. Gives (place in rows, left, context).
+    """
+    step = -(-(length - GRAM + 1) // parts)
+    ranges = [(lo, min(lo + step - 1, length - GRAM)) for lo in range(0, length - GRAM + 1, step)]
+    cores, count = [], {}
+    for a, left, c, *_ in rows:
+        own = []
+        for lo, hi in ranges:
+            core = c[left - lo : left + length - hi] if lo <= left and left + length - hi <= len(c) else None
+            own.append(None if core is None else hash((a, lo, core)))
+            if core is not None:
+                count[own[-1]] = count.get(own[-1], 0) + 1
+        cores.append(own)
+    out = []
+    for k, (own, row) in enumerate(zip(cores, rows, strict=True)):
+        live = [r for r, key in zip(ranges, own, strict=True) if key is not None and count[key] > 1]
+        if live:
+            left, begin = row[1], max(0, row[1] - live[-1][1])
+            out.append((k, left - begin, row[2][begin : left + length - live[0][0]]))
+    return out
+
+
 def runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     """The stretches that strings with these starts, in order, cover."""
     if not len(starts):
@@ -324,10 +351,12 @@ def _by_suffix_array(ctx: DataFrame, length: int) -> DataFrame:
             yield flush(held)
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
-        _, many, d, tag, pos, lft, ctx = zip(*held, strict=True)
+        live = narrowed([(h[0], h[5], h[6]) for h in held], length)
+        _, many, d, tag, pos, _, _ = zip(*[held[k] for k, _, _ in live], strict=True) if live else [()] * 7
+        lft, ctx = [x[1] for x in live], [x[2] for x in live]
         number: dict[tuple, int] = {}
         occ = np.array([number.setdefault(x, len(number)) for x in zip(d, tag, strict=True)])
-        got = repeated_starts(list(ctx), np.array(lft, np.int64), occ, np.array(pos, np.int64), np.array(many, bool), length)
+        got = repeated_starts(ctx, np.array(lft, np.int64), occ, np.array(pos, np.int64), np.array(many, bool), length) if live else []
         out = [(d[i], tag[i], a, b) for i, s in enumerate(got) if not many[i] for a, b in runs(s, length)]
         return pa.RecordBatch.from_pylist([dict(zip(("d", "tag", "a", "b"), x, strict=True)) for x in out], pa.schema([("d", pa.int64()), ("tag", pa.int32()), ("a", pa.int64()), ("b", pa.int64())]))
 
@@ -355,7 +384,8 @@ def _by_window(ctx: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = 200, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Columns d, tag, spans (array of a, b): the stretches of each text that repeated strings cover, in bytes."""
     rows = _keyed(docs, text, doc_id)
-    multi = _anchor_rows(rows, length, True).groupBy("ah").count().where("count > 1").select("ah")
+    # written, so that the join below has a plain exchange on either side and a hot anchor can be split
+    multi = written(_anchor_rows(rows, length, True).groupBy("ah").count().where("count > 1").select("ah"), "twice")
     seen = written(_anchor_rows(rows, length, False).join(multi, "ah", "left_semi"), "anchors")
     alike = written(seen.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("d", "tag", "pos")).alias("m")), "contexts")
     mixed = alike.groupBy("ah").agg(F.count("*").alias("kinds")).where("kinds > 1")
