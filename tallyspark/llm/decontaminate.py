@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower
+from ._common import ascii_lower, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words in text that still has its capitals.
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Window hashes that are broadcast at most (16 bytes each); a larger set is joined by shuffle.
-BROADCAST_WINDOWS = 1_000_000
+#: Windows that are broadcast at most, about 100 bytes each; a larger set is joined by shuffle.
+BROADCAST_WINDOWS = 200_000
+#: Words of a window that are probed first.
+PREFIX = 4
 
 
 def words(text: Column) -> Column:
@@ -24,8 +26,9 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _window(ws: Column, at: Column, n: int) -> Column:
-    return F.slice(ws, at + 1, F.lit(n))
+def _hashes(ws: Column, n: int) -> Column:
+    """Hashes of all runs of n words."""
+    return F.transform(F.sequence(F.lit(0), F.size(ws) - n), lambda i: F.xxhash64(F.slice(ws, i + 1, F.lit(n))))
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = 10, text: str = "text", item: str = "item_id") -> DataFrame:
@@ -38,25 +41,27 @@ def benchmark_windows(benchmark: DataFrame, n: int = 10, text: str = "text", ite
 
 
 def hits(docs: DataFrame, windows: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """Verified occurrences: key columns, at (first word, from 0), len, h, win."""
-    lens = [r[0] for r in windows.select("len").distinct().collect()]  # at most n lengths
-    probe = windows.select("len", "h").distinct()
-    if probe.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
-        probe = F.broadcast(probe)
-    ws = docs.select(*key, words(F.col(text)).alias("ws"))
-
-    def of(n: int) -> Column:
-        each = F.transform(
-            F.sequence(F.lit(0), F.size("ws") - n),
-            lambda i: F.struct(i.alias("at"), F.lit(n).alias("len"), F.xxhash64(_window(F.col("ws"), i, n)).alias("h")),
-        )
-        return F.when(F.size("ws") >= n, each).otherwise(F.array().cast("array<struct<at:int,len:int,h:bigint>>"))
+    """Verified occurrences: key columns, at (first word, from 0), len, h, win.
 
-    each = ws.select(*key, "ws", F.explode(F.concat(*[of(n) for n in lens]) if lens else F.array().cast("array<struct<at:int,len:int,h:bigint>>")).alias("w"))
-    found = each.select(*key, "ws", "w.at", "w.len", "w.h").join(probe, ["len", "h"])
-    found = found.select(*key, "at", "len", "h", F.slice("ws", F.col("at") + 1, F.col("len")).alias("win"))
+    Every place of a text is probed with the hash of its first words, for
+    which one small set is broadcast; only where that meets is the whole window
+    taken and compared.
+    """
+    sizes = sorted({min(PREFIX, r[0]) for r in windows.select("len").distinct().collect()})  # at most PREFIX sizes
     sure = windows.select("len", "h", "win").distinct()
-    return found.join(sure, ["len", "h", "win"], "left_semi")
+    if sure.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+        sure = F.broadcast(sure)
+    ws = docs.select(*key, words(F.col(text)).alias("ws"))
+    out = None
+    for m in sizes or [PREFIX]:
+        begin = windows.where(F.least("len", F.lit(PREFIX)) == m).select("len", F.xxhash64(F.slice("win", 1, m)).alias("p")).distinct()
+        if begin.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+            begin = F.broadcast(begin)
+        placed = ws.select(*key, "ws", F.posexplode(F.when(F.size("ws") >= m, _hashes(F.col("ws"), m))).alias("at", "p"))
+        near = placed.join(begin, "p").where(F.col("at") + F.col("len") <= F.size("ws"))
+        one = near.select(*key, "at", "len", F.slice("ws", F.col("at") + 1, F.col("len")).alias("win"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("h", F.xxhash64("win")).join(sure, ["len", "h", "win"], "left_semi")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", doc_id: str = "doc_id", item: str = "item_id") -> DataFrame:
@@ -69,7 +74,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("k"), F.col(text).alias("text"))
     wins = benchmark_windows(benchmark, n, text, item)
-    hit = hits(d.select("doc_id", "k", "text"), wins, ["doc_id", "k"]).distinct()
+    hit = written(hits(d.select("doc_id", "k", "text"), wins, ["doc_id", "k"]).distinct(), "hits")  # read twice
     # words inside any hit: what each hit adds beyond the hits that begin before it
     ahead = Window.partitionBy("doc_id", "k").orderBy("at", "len").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("at") + F.col("len")
