@@ -37,13 +37,14 @@ def a5_filtered(t: Tables):
     return t.b1().df.groupBy("season").agg(F.count_if("won").alias("wins"), agg.total(F.when(F.col("opponent") == "1-URGENT", F.col("price"))).alias("urgent"))
 
 
-A6 = {"season": ("season", F.col("season").cast("string")), "type": ("season_type", F.col("season_type").cast("string")), "year_month": ("strftime(day, '%Y-%m')", F.date_format("day", "yyyy-MM")), "month": ("month(day)", F.month("day").cast("string")), "opponent": ("opponent", F.col("opponent")), "outcome": ("won", F.col("won").cast("string"))}
+A6 = {"season": "season", "type": "season_type", "year_month": "strftime(day, '%Y-%m')", "month": "month(day)", "opponent": "opponent", "outcome": "won"}
 
 
-@bound(" UNION ALL ".join(f"SELECT '{k}' AS kind, CAST({s} AS VARCHAR) AS value, count(*) AS games, {PRICE} AS total_price FROM b1 GROUP BY {s}" for k, (s, _) in A6.items()))
+@bound(" UNION ALL ".join(f"SELECT '{k}' AS kind, CAST({s} AS VARCHAR) AS value, count(*) AS games, {PRICE} AS total_price FROM b1 GROUP BY {s}" for k, s in A6.items()))
 def a6_grouped(t: Tables):
-    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("value")) for k, (_, c) in A6.items()])).alias("g")
-    return t.b1().df.select("price", kinds).groupBy("g.kind", "g.value").agg(F.count("*").alias("games"), agg.total("price").alias("total_price"))
+    values = {"year_month": F.date_format("day", "yyyy-MM"), "month": F.month("day"), "type": F.col("season_type"), "outcome": F.col("won")}
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), (values[k] if k in values else F.col(k)).cast("string").alias("value")) for k in A6])
+    return t.b1().df.select("price", F.explode(kinds).alias("g")).groupBy("g.kind", "g.value").agg(F.count("*").alias("games"), agg.total("price").alias("total_price"))
 
 
 @bound(f"SELECT CASE WHEN p IS NULL THEN 'blank' WHEN p >= 200000 THEN 'reached' ELSE 'short' END AS line, count(*) AS games, count(*) FILTER (won) AS wins, {PRICE} AS total_price FROM (SELECT *, CASE WHEN season_type = 2 THEN price END AS p FROM b1) GROUP BY line")
