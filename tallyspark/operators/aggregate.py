@@ -73,13 +73,13 @@ def scaled_minimum(df: DataFrame, season: str, group: str, base: int, full: int
 def weighted(value: str | Column, weight: str | Column) -> Column:
     """Weighted mean; weights count only where the value is there."""
     v, w = (F.col(x) if isinstance(x, str) else x for x in (value, weight))
-    return ratio(F.sum(v * w), F.sum(F.when(v.isNotNull(), w)))
+    return ratio(F.sum((v * w).cast("decimal(28,4)")), F.sum(F.when(v.isNotNull(), w)))
 
 
 def career(df: DataFrame, by: list[str], stored: str, avg: str, games: str) -> DataFrame:
     """Totals from seasons: the stored total, or else the average times the games; the mean only over seasons that have one."""
-    t = F.coalesce(F.col(stored).cast("double"), F.col(avg).cast("double") * F.col(games))
-    return df.groupBy(*by).agg(F.sum(t).alias("total"), ratio(F.sum(t), F.sum(F.when(t.isNotNull(), F.col(games)))).alias("average"), F.sum(games).alias("games"))
+    t = F.coalesce(F.col(stored).cast("double"), F.col(avg).cast("double") * F.col(games)).cast("decimal(28,4)")
+    return df.groupBy(*by).agg(total(t).alias("total"), ratio(F.sum(t), F.sum(F.when(t.isNotNull(), F.col(games)))).alias("average"), F.sum(games).alias("games"))
 
 
 def groups_counted(df: DataFrame, inner: list[str], outer: list[str], having: Column) -> DataFrame:

@@ -80,12 +80,12 @@ def seasons(t: Tables):
     return g.withColumn("stored", F.when(F.col("season") % 2 == 0, F.col("total")))
 
 
-@bound(f"WITH {SEASONS} SELECT entity, sum(stored * games) / nullif(sum(CASE WHEN stored IS NOT NULL THEN games END), 0) AS mean FROM s WHERE 'b1 ' <> '' GROUP BY entity")
+@bound(f"WITH {SEASONS} SELECT entity, CAST(sum(CAST(stored * games AS DECIMAL(28,4))) AS DOUBLE) / nullif(sum(CASE WHEN stored IS NOT NULL THEN games END), 0) AS mean FROM s WHERE 'b1 ' <> '' GROUP BY entity")
 def a11_weighted(t: Tables):
     return seasons(t).groupBy("entity").agg(agg.weighted("stored", "games").alias("mean"))
 
 
-@bound(f"WITH {SEASONS} SELECT entity, sum(coalesce(stored, avg_price * games)) AS total, sum(coalesce(stored, avg_price * games)) / sum(games) AS average, CAST(sum(games) AS BIGINT) AS games FROM s WHERE 'b1 ' <> '' GROUP BY entity")
+@bound(f"WITH {SEASONS} SELECT entity, CAST(sum(CAST(coalesce(stored, avg_price * games) AS DECIMAL(28,4))) AS DOUBLE) AS total, CAST(sum(CAST(coalesce(stored, avg_price * games) AS DECIMAL(28,4))) AS DOUBLE) / sum(games) AS average, CAST(sum(games) AS BIGINT) AS games FROM s WHERE 'b1 ' <> '' GROUP BY entity")
 def a12_career(t: Tables):
     return agg.career(seasons(t), ["entity"], "stored", "avg_price", "games")
 
