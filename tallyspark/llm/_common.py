@@ -26,6 +26,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete a table of ``written`` that is not read again."""
+    files = df.inputFiles()
+    if files:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, so that Spark deletes the shuffle files of steps that have ended."""
+    spark._jvm.System.gc()
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z; every other character as it is."""
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)

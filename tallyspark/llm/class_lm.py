@@ -1,14 +1,18 @@
 """A Brown class-based bigram model, and the add-one unigram base beside it.
 
-Word counts over all training texts are a Spark aggregation by word hash. The
-most frequent words, and groups of all other words by their ending, are the
-units that exchange clustering puts into classes; class transitions and word
-emissions give the score. Rare words' counts are looked up by joins: each slice
-of documents sends its distinct rare words and gets their counts back.
+Texts are split once, into written slices of word numbers; word counts over all
+training texts are a Spark aggregation by word hash. The most frequent words,
+and groups of all other words by their ending, only give every word its first
+class. Then all words are exchanged: a round counts the classes beside each
+word over all training texts, and each word goes where the likelihood of the
+class bigrams is largest. Class transitions and word emissions give the score.
+Rare words' counts and classes are looked up by joins: each slice of documents
+sends its distinct rare words and gets them back.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -20,14 +24,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import remainder, written
+from ._common import forget, remainder, sweep, written
 from .shingles import coded, split_words, word_hashes
 
-#: Units of their own, groups of other words by their ending, classes, and words whose counts every task holds.
+#: Words with a first class of their own, groups that give all others theirs (and unseen words their only one), classes, and words whose counts and classes every task holds.
 TOP, GROUPS, CLASSES, HELD = 512, 255, 48, 100_000
 #: The end of a text, which no word can be.
 END = np.array([xxhash.xxh3_64_intdigest("\n")], np.uint64).view(np.int64)[0]
 DELTA, ALPHA = 0.5, 8.0
+#: Exchange of all words ends with the round that gains fewer nats a token than this.
+SETTLED = 0.002
+#: Kinds of counts of a word: classes after it, classes before it, and itself after itself.
+KINDS = 2 * CLASSES + 1
 
 
 def groups_of(words: list[str]) -> np.ndarray:
@@ -50,40 +58,61 @@ def slices(batches, most_rows: int = 2048, most_bytes: int = 8 << 20):
             yield b.slice(at)
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """Columns wh, grp, n of all words of the column t; each text adds one end, whose group is -1."""
+def packed(a: np.ndarray) -> bytes:
+    return pa.compress(a.tobytes(), codec="zstd", asbytes=True) if len(a) else b""
+
+
+def numbers(b: bytes, size: int) -> np.ndarray:
+    """The places of words in their slice's list."""
+    return np.frombuffer(pa.decompress(b, decompressed_size=4 * size, codec="zstd", asbytes=True), np.uint32).astype(np.int64) if size else np.empty(0, np.int64)
+
+
+def encode(docs: DataFrame) -> DataFrame:
+    """A row for each slice of ``docs`` (columns i, held_out, learn, t): its distinct words, with the end of a text first, and its texts as places in that list."""
+    kind = docs.schema["i"].dataType.simpleString()
+    shape = f"key long, words array<long>, grp array<int>, n array<long>, ids array<{kind}>, held array<boolean>, learn array<boolean>, sizes array<long>, seq binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            flat, _ = split_words(b["t"])
+            flat, counts = split_words(b["t"])
             idx, words = coded(flat)
-            n = np.bincount(idx, minlength=len(words)).astype(np.int64)
-            wh = np.append(word_hashes(words).view(np.int64), END)
-            yield pa.RecordBatch.from_arrays([pa.array(wh), pa.array(np.append(groups_of(words), -1).astype(np.int32)), pa.array(np.append(n, b.num_rows))], ["wh", "grp", "n"])
+            # frequent words have small numbers, which pack well
+            order = np.argsort(-np.bincount(idx, minlength=len(words)), kind="stable")
+            place = np.empty(len(words), np.int64)
+            place[order] = np.arange(1, len(words) + 1)
+            seq, _ = with_ends(place[idx], counts)
+            learn = np.repeat(b["learn"].to_numpy(zero_copy_only=False).astype(bool), counts + 1)
+            n = np.bincount(seq[learn], minlength=len(words) + 1)
+            one = lambda v, t: pa.array([v], pa.list_(t))
+            cols = [
+                pa.array([int.from_bytes(os.urandom(8), "little", signed=True)]), one(np.r_[END, word_hashes(words).view(np.int64)[order]], pa.int64()), one(np.r_[-1, groups_of(words)[order]].astype(np.int32), pa.int32()), one(n, pa.int64()),
+                *(pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b[c]) for c in ("i", "held_out", "learn")), one(counts + 1, pa.int64()), pa.array([packed(seq.astype(np.uint32))], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "words", "grp", "n", "ids", "held", "learn", "sizes", "seq"])
 
-    return docs.select("t").mapInArrow(run, "wh long, grp int, n long").groupBy("wh").agg(F.first("grp").alias("grp"), F.sum("n").alias("n"))
+    return written(docs.select("i", "held_out", "learn", "t").mapInArrow(run, shape), "lm-slices")
 
 
-class Units:
-    """Words to units: the end is 0, the most frequent words follow, then the groups."""
-
-    def __init__(self, held: pd.DataFrame):
-        held = held[held["wh"] != END].sort_values(["n", "wh"], ascending=[False, True]).reset_index(drop=True)
-        self.top = len(held.index[:TOP])
-        order = np.argsort(held["wh"].to_numpy(), kind="stable")
-        self.wh, self.n = held["wh"].to_numpy()[order], held["n"].to_numpy()[order]
-        self.unit = np.where(order < self.top, order + 1, -1)
-        self.size = 1 + self.top + GROUPS
-
-    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Unit, count (-1: not held), and hash of each word."""
-        h = word_hashes(words).view(np.int64)
-        if not len(self.wh):
-            return 1 + groups_of(words), np.full(len(h), -1), h
-        at = np.minimum(np.searchsorted(self.wh, h), len(self.wh) - 1)
-        known = self.wh[at] == h
-        unit = np.where(known, self.unit[at], -1)
-        return np.where(unit >= 0, unit, 1 + self.top + groups_of(words)), np.where(known, self.n[at], -1), h
+def count_words(coded_docs: DataFrame) -> DataFrame:
+    """Columns wh, grp, n of all words of the texts that teach; each text adds one end, whose group is -1."""
+    rows = coded_docs.select(F.explode(F.arrays_zip("words", "grp", "n")).alias("w")).select("w.*").where("n > 0")
+    return rows.groupBy(F.col("words").alias("wh")).agg(F.first("grp").alias("grp"), F.sum("n").alias("n"))
+
+
+class Held:
+    """Counts and classes of the words that every task holds, and the classes of groups."""
+
+    def __init__(self, held: pd.DataFrame, group_cls: np.ndarray):
+        held = held[held["wh"] != END].sort_values("wh")
+        self.wh, self.n, self.cls = (held[c].to_numpy(np.int64) for c in ("wh", "n", "cls"))
+        self.top, self.group_cls = len(self.wh), group_cls
+
+    def of(self, wh: np.ndarray) -> np.ndarray:
+        """The place of each word among those held, or -1."""
+        if not self.top:
+            return np.full(len(wh), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.wh, wh), self.top - 1)
+        return np.where(self.wh[at] == wh, at, -1)
 
 
 def with_ends(unit: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,29 +121,46 @@ def with_ends(unit: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.insert(unit, ends, 0), np.r_[0, ends[:-1] + np.arange(1, len(counts))] if len(counts) else ends
 
 
-def count_pairs(docs: DataFrame, units: Units) -> np.ndarray:
-    """How often each unit follows each; a text's first word follows an end. The table's size does not depend on the corpus."""
-    sent = docs.sparkSession.sparkContext.broadcast(units)
+def count_pairs(coded_docs: DataFrame, top: np.ndarray) -> np.ndarray:
+    """How often each unit follows each; a text's first word follows an end. Units are the end, the words ``top``, and the groups of all other words."""
+    sent = coded_docs.sparkSession.sparkContext.broadcast(np.sort(top))
+    side = 1 + len(top) + GROUPS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u = sent.value
-        total = np.zeros(u.size * u.size, np.int64)
-        for b in slices(batches):
-            flat, counts = split_words(b["t"])
-            idx, words = coded(flat)
-            seq, _ = with_ends(u.of(words)[0][idx] if len(words) else np.empty(0, np.int64), counts)
-            total += np.bincount(np.r_[0, seq[:-1]] * u.size + seq, minlength=len(total))
+        top = sent.value
+        total = np.zeros(side * side, np.int64)
+        for words, grp, seq, begin, learn in each_slice(batches):
+            at = np.minimum(np.searchsorted(top, words), max(len(top) - 1, 0))
+            unit = np.where(top[at] == words, 1 + at, 1 + len(top) + grp) if len(top) else 1 + grp
+            unit[0] = 0
+            u = unit[seq]
+            prev = np.r_[0, u[:-1]]
+            prev[begin] = 0
+            total += np.bincount((prev * side + u)[learn], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
 
-    got = docs.select("t").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(units.size * units.size, np.int64)
+    got = coded_docs.select("words", "grp", "learn", "sizes", "seq").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(side * side, np.int64)
     out[got["pair"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return out.reshape(units.size, units.size)
+    return out.reshape(side, side)
 
 
-def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 6) -> np.ndarray:
-    """Classes of units: each unit in turn goes where the likelihood of the class bigrams is largest, until none moves.
+def opened(words, grp, sizes, learn, seq):
+    """Words, groups, sequence, where texts begin, and which places teach, of a slice."""
+    sizes = np.asarray(sizes, np.int64)
+    flat = numbers(seq, int(sizes.sum()))
+    return np.asarray(words, np.int64), np.asarray(grp, np.int64), flat, np.r_[0, np.cumsum(sizes)[:-1]], np.repeat(np.asarray(learn, bool), sizes)
+
+
+def each_slice(batches):
+    for b in batches:
+        for k in range(b.num_rows):
+            yield opened(*(b[c][k].values.to_numpy(zero_copy_only=False) for c in ("words", "grp", "sizes", "learn")), b["seq"][k].as_py())
+
+
+def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int | None = None) -> np.ndarray:
+    """Classes of units: each unit in turn goes where the likelihood of the class bigrams is largest, until none moves (or for so many rounds).
 
     Unit 0, the end of a text, has class 0 for itself.
     """
@@ -127,7 +173,8 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 6) -> np.n
     hot = np.eye(classes)[cls]
     big = hot.T @ n @ hot
     f = lambda x: x * np.log(np.maximum(x, 1e-300))
-    for _ in range(rounds):
+    least = max(1e-9, 1e-12 * f(n.sum()))
+    for _ in itertools.count() if rounds is None else range(rounds):
         moved = 0
         for i in order:
             if not own[i] and not n[i].any():
@@ -143,11 +190,11 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 6) -> np.n
             with_row, with_col = f(big + row) - fb, f(big + col[:, None]) - fb
             both = np.diag(big) + row + col + self_
             gain = with_row.sum(axis=1) - np.diag(with_row) + with_col.sum(axis=0) - np.diag(with_col) + f(both) - np.diag(fb)
-            outs, ins = big.sum(axis=1), big.sum(axis=0)
+            outs, ins = big.sum(axis=1) + col, big.sum(axis=0) + row
             gain -= f(outs + row.sum() + self_) - f(outs) + f(ins + col.sum() + self_) - f(ins)
             gain[0] = -np.inf
             new = int(gain.argmax())
-            if gain[new] <= gain[old] + 1e-9:
+            if gain[new] <= gain[old] + least:
                 new = int(old)
             big[new] += row
             big[:, new] += col
@@ -159,23 +206,44 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 6) -> np.n
     return cls
 
 
-class Model:
-    """Log10 probabilities of transitions and emissions."""
-
-    def __init__(self, units: Units, pairs: np.ndarray, group_n: np.ndarray, group_v: np.ndarray, total: int, distinct: int):
-        self.units, self.total, self.distinct = units, total, distinct
-        self.cls = exchange(pairs)
-        hot = np.eye(CLASSES)[self.cls]
-        big = hot.T @ pairs @ hot
-        into = big.sum(axis=0)
-        prior = (into + 1) / (into.sum() + CLASSES)
-        self.move = np.log10((big + ALPHA * prior) / (big.sum(axis=1, keepdims=True) + ALPHA))
-        unit_n = pairs.sum(axis=0).astype(np.float64)
-        in_class = np.bincount(self.cls, minlength=CLASSES)[self.cls]
-        self.emit = np.log10((unit_n + DELTA) / (into[self.cls] + DELTA * in_class))
-        # within a group: a word of count n has (n + DELTA) of this; one place is left for words never seen
-        self.emit[1 + units.top :] -= np.log10(group_n + DELTA * (group_v + 1))
-        self.is_group = np.arange(units.size) > units.top
+def xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def likelihood(big: np.ndarray) -> float:
+    """Of the class bigrams, in nats, without the part that no class changes."""
+    return float(xlogx(big).sum() - xlogx(big.sum(axis=0)).sum() - xlogx(big.sum(axis=1)).sum())
+
+
+def best_classes(cls: np.ndarray, counts: np.ndarray, big: np.ndarray) -> np.ndarray:
+    """Where each word (a row of its KINDS counts) goes by itself, all others staying: as a step of exchange()."""
+    m, c, every = len(big), len(cls), np.arange(len(cls))
+    row, col, self_ = counts[:, :m].astype(float), counts[:, m : 2 * m].astype(float), counts[:, 2 * m].astype(float)
+    gain = np.zeros((c, m))
+    for mine, other, table in ((row, col, big), (col, row, big.T)):
+        w, k = np.nonzero(mine)
+        if not len(w):
+            continue
+        v, base, old = mine[w, k], table[:, k].T.copy(), cls[w]
+        base[np.arange(len(w)), old] -= v
+        own = np.flatnonzero(k == old)
+        base[own] -= other[w[own]]
+        base[own, old[own]] -= self_[w[own]]
+        base = np.maximum(base, 0)
+        more = xlogx(base + v[:, None]) - xlogx(base)
+        more[np.arange(len(w)), k] = 0
+        at = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+        gain[w[at]] += np.add.reduceat(more, at)
+    diag, both = np.tile(np.diag(big), (c, 1)), row + col + self_[:, None]
+    diag[every, cls] = np.maximum(diag[every, cls] - both[every, cls], 0)
+    gain += xlogx(diag + both) - xlogx(diag)
+    for side, add in ((big.sum(axis=1), row.sum(axis=1) + self_), (big.sum(axis=0), col.sum(axis=1) + self_)):
+        rest = np.tile(side, (c, 1))
+        rest[every, cls] = np.maximum(rest[every, cls] - add, 0)
+        gain -= xlogx(rest + add[:, None]) - xlogx(rest)
+    gain[:, 0] = -np.inf
+    new = gain.argmax(axis=1)
+    return np.where(gain[every, new] > gain[every, cls] + 1e-9, new, cls)
 
 
 def held_from(vocab: DataFrame) -> int:
@@ -190,85 +258,237 @@ def held_from(vocab: DataFrame) -> int:
     return 1 << least if sizes and sizes[0]["count"] <= HELD else 1 << 62
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the written table of all word counts, from the column t of all rows."""
-    vocab = written(count_words(docs), "vocab")
-    size = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    units = Units(vocab.where(F.col("n") >= held_from(vocab)).select("wh", "n").toPandas())
-    tops = pd.DataFrame({"wh": units.wh[units.unit > 0]})
-    rest = vocab.where("grp >= 0")
-    if len(tops):
-        rest = rest.join(F.broadcast(docs.sparkSession.createDataFrame(tops)), "wh", "left_anti")
-    n, v = np.zeros(GROUPS), np.zeros(GROUPS)
-    for r in rest.groupBy("grp").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # a row per group of words
-        n[r["grp"]], v[r["grp"]] = r["n"], r["v"]
-    return Model(units, count_pairs(docs, units), n, v, int(size[0]), int(size[1])), vocab
-
-
-def score_texts(docs: DataFrame, model: Model, vocab: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (columns i, held_out, t): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema["i"].dataType.simpleString()
-    plain = f"i {kind}, held_out boolean, n_tokens long, n_known long, base double, score double"
+def found_rare(rare: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Counts and classes of slices' rare words: slice, pos, n, cls."""
+    return rare.join(vocab.select("wh", "n", "cls"), "wh").select(F.col("key").alias("slice"), "pos", "n", "cls")
+
+
+def classes_of(held: Held, words: np.ndarray, grp: np.ndarray, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Count and class of each word of a slice: the end, words that are held, words whose row came back, and words never seen, which have their group's class."""
+    at = held.of(words)
+    known = at >= 0
+    n = np.zeros(len(words), np.int64)
+    cls = held.group_cls[np.maximum(grp, 0)].copy()
+    n[known], cls[known] = held.n[at[known]], held.cls[at[known]]
+    pos = right["pos"].to_numpy()
+    n[pos], cls[pos] = right["n"].to_numpy(), right["cls"].to_numpy()
+    cls[0] = 0
+    return n, cls
+
+
+def count_classes(coded_docs: DataFrame, rare: DataFrame, vocab: DataFrame, held: Held) -> DataFrame:
+    """Written: wh, cls, n, grp, e of each word, e its counts by kind; and rows of class -1 whose e are parts of the class bigrams' table.
+
+    Slices count their own words; a word's counts meet in the order of words, so a task holds few words at a time.
+    """
+    sent = coded_docs.sparkSession.sparkContext.broadcast(held)
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        wh, e = [], []
+        for r in range(left.num_rows):
+            words, grp, seq, begin, learn = opened(*(left[c][r].values.to_numpy(zero_copy_only=False) for c in ("words", "grp", "sizes", "learn")), left["seq"][r].as_py())
+            _, cls = classes_of(sent.value, words, grp, right)
+            prev = np.r_[0, seq[:-1]]
+            prev[begin] = 0
+            a, b = prev[learn], seq[learn]
+            same = a == b
+            kinds = np.concatenate([a * KINDS + np.where(same, 2 * CLASSES, cls[b]), (b * KINDS + CLASSES + cls[a])[~same]])
+            at, n = np.unique(kinds, return_counts=True)
+            w, k = at // KINDS, at % KINDS
+            first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]]) if len(w) else w
+            one = (k.astype(np.uint64) << np.uint64(56)) | n.astype(np.uint64)
+            wh.append(words[w[first]])
+            e.append(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.r_[8 * first, 8 * len(w)].astype(np.int32)), pa.py_buffer(one.tobytes())]))
+        return pa.table({"wh": pa.array(np.concatenate(wh) if wh else np.empty(0, np.int64)), "e": pa.concat_arrays(e) if e else pa.array([], pa.binary())})
+
+    parts = coded_docs.select("key", "words", "grp", "sizes", "learn", "seq").groupBy("key").cogroup(found_rare(rare, vocab).groupBy("slice")).applyInArrow(count, "wh long, e binary")
+    own = vocab.select("wh", "cls", "n", "grp", F.lit(None).cast("binary").alias("e"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("cls", "int"), ("n", "long"), ("grp", "int"))]
+    rows = own.unionByName(parts.select("wh", *none, "e")).repartition("wh").sortWithinPartitions("wh")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        big = np.zeros((CLASSES, KINDS), np.int64)
+
+        def done(t: pa.Table) -> pa.RecordBatch:
+            nonlocal big
+            wh = t["wh"].to_numpy()
+            new = np.r_[True, wh[1:] != wh[:-1]]
+            word, named = np.cumsum(new) - 1, t["cls"].is_valid().to_numpy()
+            e = t["e"].combine_chunks()
+            size = pc.fill_null(pc.binary_length(e), 0).to_numpy(zero_copy_only=False) // 8
+            x = np.frombuffer(b"".join(v for v in e.to_pylist() if v), np.uint64)
+            at, back = np.unique(np.repeat(word, size) * KINDS + (x >> np.uint64(56)).astype(np.int64), return_inverse=True)
+            n = np.zeros(len(at), np.int64)
+            np.add.at(n, back, (x & np.uint64((1 << 56) - 1)).astype(np.int64))
+            ids = t.filter(pa.array(named)).select(["cls", "n", "grp"]).combine_chunks()
+            cls = ids["cls"].to_numpy()
+            np.add.at(big, (cls[at // KINDS], at % KINDS), n)
+            one = ((at % KINDS).astype(np.uint64) << np.uint64(56)) | n.astype(np.uint64)
+            ends = np.searchsorted(at, np.arange(len(cls) + 1) * KINDS)
+            packed_ = pa.Array.from_buffers(pa.binary(), len(cls), [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(one.tobytes())])
+            return pa.RecordBatch.from_arrays([pa.array(wh[new]), pa.array(cls, pa.int32()), pa.array(ids["n"].to_numpy(), pa.int64()), pa.array(ids["grp"].to_numpy(), pa.int32()), packed_], ["wh", "cls", "n", "grp", "e"])
+
+        kept = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([kept, t]) if kept is not None else t
+            wh = t["wh"].to_numpy()
+            cut = int(np.searchsorted(wh, wh[-1])) if len(wh) else 0
+            if cut:
+                yield done(t.slice(0, cut))
+            kept = t.slice(cut)
+        if kept is not None and kept.num_rows:
+            yield done(kept)
+        if big.any():
+            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([-1], pa.int32()), pa.array([0]), pa.array([-1], pa.int32()), pa.array([big.tobytes()], pa.binary())], ["wh", "cls", "n", "grp", "e"])
+
+    return written(rows.mapInArrow(merge, "wh long, cls int, n long, grp int, e binary"), "lm-round")
+
+
+def bigrams(counts: DataFrame) -> np.ndarray:
+    """The class bigrams, from the parts that tasks wrote."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        big = np.zeros(CLASSES * KINDS, np.int64)
+        for b in batches:
+            for v in b["e"].to_pylist():
+                big += np.frombuffer(v, np.int64)
+        at = np.flatnonzero(big)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(big[at])], ["at", "n"])
+
+    got = counts.where("cls = -1").select("e").mapInArrow(add, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(CLASSES * KINDS)
+    out[got["at"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    out = out.reshape(CLASSES, KINDS)
+    return out[:, :CLASSES] + np.diag(out[:, 2 * CLASSES])
+
+
+def moved(counts: DataFrame, big: np.ndarray) -> DataFrame:
+    """Written: wh, grp, n, cls of all words after each has gone to its best class."""
+    sent = counts.sparkSession.sparkContext.broadcast(big)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        u = m.units
-        end_n = m.pairs_end
-        for b in slices(batches):
-            key = int.from_bytes(os.urandom(8), "little", signed=True)
-            flat, counts = split_words(b["t"])
-            idx, words = coded(flat)
-            unit, n, wh = u.of(words) if len(words) else (np.empty(0, np.int64),) * 3
-            seq, begin = with_ends(unit[idx], counts)
-            c = m.cls[seq]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                cls = b["cls"].to_numpy().astype(np.int64)
+                size = pc.binary_length(b["e"]).to_numpy(zero_copy_only=False) // 8
+                x = np.frombuffer(b"".join(b["e"].to_pylist()), np.uint64)
+                dense = np.zeros((len(cls), KINDS), np.int64)
+                dense[np.repeat(np.arange(len(cls)), size), (x >> np.uint64(56)).astype(np.int64)] = (x & np.uint64((1 << 56) - 1)).astype(np.int64)
+                new = best_classes(cls, dense, sent.value)
+                new[b["wh"].to_numpy() == END] = 0
+                yield pa.RecordBatch.from_arrays([b["wh"], b["grp"], b["n"], pa.array(new.astype(np.int32))], ["wh", "grp", "n", "cls"])
+
+    return written(counts.where("cls >= 0").select("wh", "grp", "n", "cls", "e").mapInArrow(run, "wh long, grp int, n long, cls int"), "lm-classes")
+
+
+class Units:
+    """The end is 0, the words that every task holds follow, then the groups, which words never seen belong to."""
+
+    def __init__(self, held: Held):
+        self.top, self.size = held.top, 1 + held.top + GROUPS
+
+
+class Model:
+    """Log10 probabilities of transitions and emissions."""
+
+    def __init__(self, held: Held, big: np.ndarray, in_class: np.ndarray, total: int, distinct: int, ends: int):
+        self.held, self.units, self.total, self.distinct, self.ends = held, Units(held), total, distinct, ends
+        into = big.sum(axis=0)
+        prior = (into + 1) / (into.sum() + CLASSES)
+        self.move = np.log10((big + ALPHA * prior) / (big.sum(axis=1, keepdims=True) + ALPHA))
+        # a word of count n has (n + DELTA) of its class; each group in a class leaves one place for words never seen
+        places = in_class + np.bincount(held.group_cls, minlength=CLASSES)
+        self.share = -np.log10(into + DELTA * np.maximum(places, 1))
+        self.cls = np.r_[0, held.cls, held.group_cls]
+        self.emit = np.log10(np.r_[ends, held.n, np.zeros(GROUPS)] + DELTA) + self.share[self.cls]
+
+
+def learned(coded_docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the written table of all words' counts and classes, and that of the slices' rare words."""
+    spark = coded_docs.sparkSession
+    words = written(count_words(coded_docs), "vocab")
+    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    least = held_from(words)
+    first = words.where((F.col("n") >= least) & (F.col("grp") >= 0)).select("wh", "n").toPandas().sort_values(["n", "wh"], ascending=[False, True])
+    top = np.sort(first["wh"].to_numpy(np.int64)[:TOP])
+    cls = exchange(count_pairs(coded_docs, top))
+    groups = cls[1 + len(top) :]
+    named = spark.createDataFrame(pd.DataFrame({"wh": np.r_[END, top], "own": cls[: 1 + len(top)]}))
+    of_group = F.element_at(F.array(*[F.lit(int(c)) for c in groups]), F.greatest(F.col("grp"), F.lit(0)) + 1)
+    vocab = written(words.join(F.broadcast(named), "wh", "left").select("wh", "grp", "n", F.coalesce(F.col("own").cast("int"), of_group).alias("cls")), "lm-classes")
+
+    hold = lambda v: Held(v.where((F.col("n") >= least) & (F.col("grp") >= 0)).select("wh", "n", "cls").toPandas(), groups)
+    held = hold(vocab)
+    sent = spark.sparkContext.broadcast(np.sort(held.wh))
+
+    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, w in zip(b["key"].to_pylist(), b["words"], strict=True):
+                wh = w.values.to_numpy()
+                mine = sent.value
+                known = mine[np.minimum(np.searchsorted(mine, wh), len(mine) - 1)] == wh if len(mine) else np.zeros(len(wh), bool)
+                known[0] = True
+                pos = np.flatnonzero(~known)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), k)), pa.array(pos.astype(np.int32)), pa.array(wh[pos])], ["key", "pos", "wh"])
+
+    rare = written(coded_docs.select("key", "words").mapInArrow(rare_words, "key long, pos int, wh long"), "lm-rare")
+    sweep(spark)
+    counts = count_classes(coded_docs, rare, vocab, held)
+    sweep(spark)
+    big = bigrams(counts)
+    while True:
+        new = moved(counts, big)
+        forget(counts)
+        new_held = hold(new)
+        counts = count_classes(coded_docs, rare, new, new_held)
+        sweep(spark)
+        new_big = bigrams(counts)
+        gain = likelihood(new_big) - likelihood(big)
+        if gain > 0:
+            vocab, held, big = new, new_held, new_big
+        if gain <= SETTLED * int(size[0]):
+            break
+    forget(counts)
+    in_class = np.zeros(CLASSES)
+    for r in vocab.groupBy("cls").count().collect():  # a row per class
+        in_class[r["cls"]] = r["count"]
+    end = vocab.where(F.col("wh") == int(END)).select("n").first()
+    return Model(held, big, in_class, int(size[0]), int(size[1]), int(end[0]) if end else 0), vocab, rare
+
+
+def train(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and the written table of all words' counts and classes, from the column t of all rows."""
+    return learned(encode(docs.select(F.lit(0).alias("i"), F.lit(False).alias("held_out"), F.lit(True).alias("learn"), "t")))[:2]
+
+
+def score_texts(coded_docs: DataFrame, model: Model, vocab: DataFrame, rare: DataFrame) -> DataFrame:
+    """One row per text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    sent = coded_docs.sparkSession.sparkContext.broadcast(model)
+    kind = coded_docs.schema["ids"].dataType.elementType.simpleString()
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        m, out = sent.value, []
+        less = float(np.log10(m.total + m.distinct + 1))
+        for r in range(left.num_rows):
+            words, grp, seq, begin, _ = opened(*(left[c][r].values.to_numpy(zero_copy_only=False) for c in ("words", "grp", "sizes", "learn")), left["seq"][r].as_py())
+            n, cls = classes_of(m.held, words, grp, right)
+            n[0] = m.ends
+            c = cls[seq]
             prev = np.r_[0, c[:-1]]
             prev[begin] = 0
-            per = m.move[prev, c] + m.emit[seq]
-            word_n = np.insert(n[idx], np.cumsum(counts), end_n)
-            group = m.is_group[seq]
-            held = word_n >= 0
-            per = per + np.where(group & held, np.log10(np.maximum(word_n, 0) + DELTA), 0)
-            base = np.where(held, np.log10(np.maximum(word_n, 0) + 1.0), 0)
-            add = lambda x: np.add.reduceat(x, begin) if len(begin) else np.zeros(0)
-            # rare words: their places in the slice's list of them
-            rare = np.flatnonzero(n < 0)
-            place = np.full(len(words), -1, np.int64)
-            place[rare] = np.arange(len(rare))
-            asked = place[idx]
-            lists = np.r_[0, np.cumsum(np.bincount(np.repeat(np.arange(len(counts)), counts)[asked >= 0], minlength=len(counts)))].astype(np.int32)
-            ask = pa.ListArray.from_arrays(pa.array(lists), pa.array(asked[asked >= 0].astype(np.int32)))
-            known = add((word_n > 0).astype(np.int64)).astype(np.int64)
-            rows = [pa.array(np.full(b.num_rows, key)), b["i"], b["held_out"], pa.array(counts + 1), pa.array(known), pa.array(add(base)), pa.array(add(per)), ask, pa.nulls(b.num_rows, pa.list_(pa.int64()))]
-            names = ["key", "i", "held_out", "n_tokens", "n_known", "base", "score", "ask", "words"]
-            yield pa.RecordBatch.from_arrays(rows, names)
-            if len(rare):
-                one = [pa.array([key]), pa.nulls(1, b["i"].type), pa.nulls(1, pa.bool_()), *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())), pa.nulls(1, pa.list_(pa.int32())), pa.array([wh[rare].tolist()], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(one, names)
-
-    coded_docs = written(docs.mapInArrow(run, f"key long, {plain}, ask array<int>, words array<long>"), "lm-slices")
-    wanted = coded_docs.where("words is not null").select("key", F.posexplode("words").alias("pos", "wh"))
-    found = wanted.join(vocab.select("wh", "n"), "wh").select(F.col("key").alias("slice"), "pos", "n")
-    rows = coded_docs.where("words is null").drop("words")
-
-    def back(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        size = 1 + max((int(max(a)) for a in left["ask"] if len(a)), default=-1)
-        n = np.zeros(size + 1)
-        if len(right):
-            ok = right["pos"].to_numpy() < size
-            n[right["pos"].to_numpy()[ok]] = right["n"].to_numpy()[ok]
-        base, mine, known = np.log10(n + 1), np.log10(n + DELTA), n > 0
-        ask = [np.asarray(a, np.int64) for a in left["ask"]]
-        out = left[["i", "held_out", "n_tokens", "n_known", "base", "score"]].copy()
-        out["n_known"] += [int(known[a].sum()) for a in ask]
-        out["base"] += [float(base[a].sum()) for a in ask]
-        out["score"] += [float(mine[a].sum()) for a in ask]
-        return out
-
-    scored = rows.groupBy("key").cogroup(found.groupBy("slice")).applyInPandas(back, plain)
-    less = float(np.log10(model.total + model.distinct + 1))
-    total = F.lit(model.total).cast("long")
-    return scored.select(F.col("i").alias("doc_id"), "held_out", "n_tokens", "n_known", total.alias("train_tokens"), (F.col("base") - F.col("n_tokens") * less).alias("base_score"), "score")
+            add = lambda x: np.add.reduceat(x, begin)
+            per = m.move[prev, c] + (np.log10(n + DELTA) + m.share[cls])[seq]
+            sizes = left["sizes"][r].values
+            cols = [left["ids"][r].values, left["held"][r].values, sizes, pa.array(add((n > 0).astype(np.int64)[seq])), pa.array(np.full(len(begin), m.total)), pa.array(add(np.log10(n + 1.0)[seq]) - sizes.to_numpy() * less), pa.array(add(per))]
+            out.append(pa.table(cols, names))
+        return pa.concat_tables(out) if out else None
+
+    rows = coded_docs.select("key", "words", "grp", "ids", "held", "learn", "sizes", "seq")
+    # every slice has a row on the left; a rare word's row comes from a slice
+    return rows.groupBy("key").cogroup(found_rare(rare, vocab).groupBy("slice")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def class_lm(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: int = 7, held: int = 2) -> DataFrame:
@@ -280,9 +500,7 @@ def class_lm(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", folds:
     Without training rows every word is unknown and the model is uniform over classes.
     """
     fold = remainder(F.col(doc_id), folds)
-    rows = docs.select(F.col(doc_id).alias("i"), F.coalesce(fold == held, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    learn = rows.where(F.col("i").isNotNull() & ~F.col("held_out"))
-    model, vocab = train(learn)
-    end = vocab.where(F.col("wh") == int(END)).select("n").first()
-    model.pairs_end = int(end[0]) if end else 0
-    return score_texts(rows, model, vocab)
+    fields = docs.select(F.col(doc_id).alias("i"), F.coalesce(fold == held, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    coded_docs = encode(fields.withColumn("learn", F.col("i").isNotNull() & ~F.col("held_out")))
+    model, vocab, rare = learned(coded_docs)
+    return score_texts(coded_docs, model, vocab, rare)

@@ -243,6 +243,20 @@ def test_exchange_finds_the_classes():
     assert cls[0] == 0 and (cls[1:] > 0).all() and gain(cls) >= gain(kind) - 1e-6
 
 
+def test_best_classes_gain_is_the_likelihood():
+    """The class chosen for a word alone is the one of the largest likelihood when the table is counted anew."""
+    rng = np.random.default_rng(3)
+    n, m = rng.poisson(2.0, (40, 40)).astype(float), class_lm.CLASSES
+    cls = np.r_[0, rng.integers(1, 6, 39)]
+    table = lambda c: np.eye(m)[c].T @ n @ np.eye(m)[c]
+    own = np.diag(n)
+    counts = np.c_[(n - np.diag(own)) @ np.eye(m)[cls], (n - np.diag(own)).T @ np.eye(m)[cls], own]
+    new = class_lm.best_classes(cls, counts, table(cls))
+    for w in range(1, 40):
+        by = [class_lm.likelihood(table(np.r_[cls[:w], k, cls[w + 1 :]])) for k in range(1, m)]
+        assert by[new[w] - 1] == pytest.approx(max(by), abs=1e-6)
+
+
 def test_probabilities_of_the_model_sum_to_one(spark):
     d = spark.createDataFrame([("the cat sat on the mat",), ("the dog sat",)], "t string")
     m, vocab = class_lm.train(d)
