@@ -85,9 +85,26 @@ def alias_lookup(mentions: DataFrame, aliases: DataFrame, season: str = "season"
     return mentions.join(F.broadcast(a), (F.lower("mention") == F.col("_a")) & F.col(season).between(F.col("_f"), F.col("_l"))).drop("_a", "_f", "_l")
 
 
-def resolve_names(rows: DataFrame, dim: DataFrame, name: str, key: str) -> DataFrame:
-    """A row's id by its exact name, else by its folded name; names of several ids resolve to nothing."""
-    one = lambda c: dim.groupBy(c.alias("_n")).agg(F.min(key).alias("_id"), F.count_distinct(key).alias("_k")).where("_k = 1").drop("_k")
+def resolve_names(rows: DataFrame, dim: DataFrame, name: str, key: str, events: DataFrame | None = None, event: str = "event") -> DataFrame:
+    """A row's id by its exact name, else by its folded name; names of several ids resolve to nothing.
+
+    With ``events`` (columns of ``key`` and ``event``), a name of two ids that share an event resolves to the
+    established one: the id with more events, the lesser id of a tie.
+    """
+
+    def one(c):
+        ids = dim.select(c.alias("_n"), F.col(key).alias("_id")).where("_n is not null").distinct()
+        n = ids.groupBy("_n").agg(F.min("_id").alias("_id"), F.max("_id").alias("_b"), F.count("*").alias("_k"))
+        alone = n.where("_k = 1").select("_n", "_id")
+        if events is None:
+            return alone
+        seen = events.select(F.col(key).alias("_x"), F.col(event).alias("_ev")).where("_x is not null and _ev is not null").distinct()
+        pairs = n.where("_k = 2").select("_n", F.explode(F.array("_id", "_b")).alias("_x"))
+        held = pairs.join(seen, "_x")
+        shared = held.groupBy("_n", "_ev").agg(F.count("*").alias("_c")).where("_c = 2").select("_n").distinct()
+        most = held.join(shared, "_n", "left_semi").groupBy("_n", "_x").agg(F.count("*").alias("_c")).groupBy("_n").agg(F.min(F.struct((-F.col("_c")).alias("c"), F.col("_x").alias("x"))).alias("_m"))
+        return alone.unionByName(most.select("_n", F.col("_m.x").alias("_id")))
+
     exact, fold = one(F.col(name)), one(folded_name(F.col(name)))
     out = rows.join(exact.select(F.col("_n").alias("_n1"), F.col("_id").alias("_e")), F.col(name) == F.col("_n1"), "left")
     out = out.join(fold.select(F.col("_n").alias("_n2"), F.col("_id").alias("_f")), folded_name(F.col(name)) == F.col("_n2"), "left")

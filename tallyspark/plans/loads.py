@@ -271,6 +271,13 @@ def l17_resolve_names(t: Tables):
     return match.resolve_names(t.part.select(F.col("p_partkey").alias("part"), "p_name"), dim, "p_name", "id").select("part", "id")
 
 
+@bound("SELECT c_custkey AS customer, CASE WHEN n = 1 THEN k END AS id FROM customer LEFT JOIN (SELECT c_name, count(*) AS n, min(c_custkey) AS k FROM customer GROUP BY c_name) USING (c_name)")
+def l17_resolve_all_names(t: Tables):
+    names = t.customer.select(F.col("c_custkey").alias("id"), "c_name")
+    events = t.orders.select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("event"))
+    return match.resolve_names(t.customer.select(F.col("c_custkey").alias("customer"), "c_name"), names, "c_name", "id", events).select("customer", "id")
+
+
 @bound("SELECT entity, lower(regexp_replace(\"group\" || 'NetPts', '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS category, count(*) AS n FROM b2 GROUP BY ALL")
 def l18_fingerprint_long(t: Tables):
     return t.b2().df.groupBy("entity", flatten.snake(F.concat("group", F.lit("NetPts"))).alias("category")).agg(F.count("*").alias("n"))
@@ -286,6 +293,13 @@ def m1_lookup(t: Tables):
     return match.lookup(mentions.where("mention <> ''"), t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
 
 
+@bound("""WITH m AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS mention FROM part UNION SELECT p_name FROM part), d AS (SELECT p_partkey AS id, p_name FROM part)
+SELECT mention, id, mention = p_name AS exact FROM m JOIN d ON len(list_filter(string_split(mention, ' '), lambda w: NOT list_contains(string_split(p_name, ' '), w))) = 0 AND (mention = p_name OR NOT EXISTS (SELECT 1 FROM part p WHERE p.p_name = m.mention)) WHERE mention <> ''""")
+def m1_lookup_all_names(t: Tables):
+    mentions = t.part.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("mention")).union(t.part.select("p_name")).distinct()
+    return match.lookup(mentions.where("mention <> ''"), t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
+
+
 @bound("""WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part), e AS (SELECT DISTINCT substr(word, 1, 2) || substr(word, 4) AS word FROM w WHERE length(word) > 3)
 SELECT e.word, w.word AS near, CAST(damerau_levenshtein(e.word, w.word) AS INTEGER) AS gap FROM e JOIN w ON damerau_levenshtein(e.word, w.word) <= CASE WHEN length(e.word) <= 3 THEN 0 WHEN length(e.word) <= 6 THEN 1 ELSE 2 END""")
 def m2_near_spelling(t: Tables):

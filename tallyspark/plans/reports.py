@@ -290,6 +290,17 @@ def q40_located_shots(t: Tables):
     return rows.select("event", "period", F.col("qty").cast("double").alias("qty"), made.alias("made"), F.count("*").over(w).alias("total"), F.count(F.when(made, 1)).over(w).alias("good"))
 
 
+@bound("SELECT event, period, CAST(qty AS DOUBLE) AS qty, flag = 'R' AS made, row_number() OVER (PARTITION BY event ORDER BY period, part, supp) AS place, count(*) OVER (PARTITION BY event) AS total, count(*) FILTER (flag = 'R') OVER (PARTITION BY event) AS good, count(*) FILTER (flag = 'N') OVER (PARTITION BY event) AS unknown FROM ln WHERE NOT (qty = 0 AND period = 0)")
+def q40_all_located_shots(t: Tables):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("event")
+    made = F.when(F.col("flag") != "N", F.col("flag") == "R")
+    rows = relation.located(t.lines(), "qty", "period").withColumn("_made", made)
+    place = F.row_number().over(w.orderBy("period", "part", "supp")).cast("long")
+    return rows.select("event", "period", F.col("qty").cast("double").alias("qty"), (F.col("flag") == "R").alias("made"), place.alias("place"), F.count("*").over(w).alias("total"), F.count_if("_made").over(w).alias("good"), F.count_if(F.col("_made").isNull()).over(w).alias("unknown"))
+
+
 @bound("""WITH f AS (SELECT * FROM (VALUES ('orders', 1996, 2001), ('events', 1998, 1999)) v("table", first, part)), q AS (SELECT DISTINCT season, CASE WHEN season % 2 = 0 THEN 'both' ELSE 'orders' END AS question FROM b1)
 SELECT question, season, max(first) AS floor, bool_or(season = part) AS partial, season < max(first) AS refused FROM q JOIN f ON f."table" = 'orders' OR q.question = 'both' GROUP BY question, season""")
 def q41_coverage_gate(t: Tables):

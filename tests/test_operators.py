@@ -159,3 +159,12 @@ def test_audits_are_empty_when_clean(spark):
     d = spark.createDataFrame([(2000, 1), (2000, 2), (2001, 1), (2001, 3)], "season int, k int")
     assert audit.repeated_keys(d, ["season", "k"]).count() == 0 and audit.phantom_seasons(d, "season", ["k"]).count() == 0
     assert rows(audit.staleness(d, d)) == [(0, 0)]
+
+
+def test_resolve_names_takes_the_established_id_of_a_shared_event(spark):
+    from tallyspark.operators import match
+
+    dim = spark.createDataFrame([(1, "Ann"), (2, "Ann"), (3, "Bob"), (4, "Bob"), (5, "Cy")], "id int, name string")
+    events = spark.createDataFrame([(1, 10), (2, 10), (2, 11), (3, 12), (4, 13)], "id int, event int")
+    rows = spark.createDataFrame([("Ann",), ("ann",), ("Bob",), ("Cy",)], "name string")
+    assert {r.name: r.id for r in match.resolve_names(rows, dim, "name", "id", events).collect()} == {"Ann": 2, "ann": 2, "Bob": None, "Cy": 5}
