@@ -137,10 +137,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         k = list(got)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array([got[x][1] for x in k], pa.int64()), pa.array([got[x][0] for x in k], pa.int64())], ["f", "one", "zero"])
 
-    table = rows.mapInArrow(count, "f string, one long, zero long").groupBy("f").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"))
-    table = table.where("one >= 4 and one > zero or f = ''").collect()  # of a bounded sample
-    sizes = next(((r["one"], r["zero"]) for r in table if r["f"] == ""), (0, 0))
-    one, zero = ({r["f"]: r[c] for r in table if r["f"]} for c in ("one", "zero"))
+    table = written(rows.mapInArrow(count, "f string, one long, zero long").groupBy("f").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero")), "tox-features")
+    first = table.where("f = ''").first()
+    sizes = (first["one"], first["zero"]) if first else (0, 0)
+    # by the test of choose(), so that it sees every feature it could take
+    table = table.where((F.col("f") != "") & (F.col("one") >= 4) & (F.col("one") * sizes[1] >= 6 * F.col("zero") * sizes[0])).collect()  # of a bounded sample
+    one, zero = ({r["f"]: r[c] for r in table} for c in ("one", "zero"))
     lexicon = choose(Counter(one), Counter(zero), *sizes) if min(sizes) else {}
 
     def apply(exceptions: frozenset, with_phrases: bool):

@@ -243,6 +243,13 @@ def test_exchange_finds_the_classes():
     assert cls[0] == 0 and (cls[1:] > 0).all() and gain(cls) >= gain(kind) - 1e-6
 
 
+def test_toxic_words_of_few_toxic_texts_are_learned(spark):
+    """A word in fewer toxic than clean texts by count, but far more often by share."""
+    texts = [(i, f"plain words number{i} here" + (" vile" if i < 20 else ""), 1 if i < 8 else 0) for i in range(800)]
+    d = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    assert any(f.startswith("vil") for f in toxicity.train(d.select("doc_id", "text"), d.select("doc_id", "toxic"))[0])
+
+
 def test_best_classes_gain_is_the_likelihood():
     """The class chosen for a word alone is the one of the largest likelihood when the table is counted anew."""
     rng = np.random.default_rng(3)
