@@ -27,15 +27,15 @@ from pyspark.sql import functions as F
 from ._common import forget, remainder, sweep, written
 from .shingles import coded, split_words, word_hashes
 
-#: Words with a first class of their own, groups that give all others theirs (and unseen words their only one), classes, and words whose counts and classes every task holds.
+#: Words with a first class of their own, groups that give all others theirs (and unseen words their only one), classes, and the most words whose counts and classes every task holds.
 TOP, GROUPS, CLASSES, HELD = 512, 255, 48, 100_000
 #: The end of a text, which no word can be.
 END = np.array([xxhash.xxh3_64_intdigest("\n")], np.uint64).view(np.int64)[0]
 DELTA, ALPHA = 0.5, 8.0
-#: Exchange of all words ends with the round that gains fewer nats a token than this.
+#: Exchange ends with the round that gains fewer nats a token than this.
 SETTLED = 0.002
-#: Kinds of counts of a word: classes after it, classes before it, and itself after itself.
-KINDS = 2 * CLASSES + 1
+#: Held words whose counts (classes after it, classes before it, itself after itself) travel together, and rows that are added up by one task.
+BLOCK, FAN = 256, 256
 
 
 def groups_of(words: list[str]) -> np.ndarray:
@@ -102,10 +102,11 @@ def count_words(coded_docs: DataFrame) -> DataFrame:
 class Held:
     """Counts and classes of the words that every task holds, and the classes of groups."""
 
-    def __init__(self, held: pd.DataFrame, group_cls: np.ndarray):
-        held = held[held["wh"] != END].sort_values("wh")
-        self.wh, self.n, self.cls = (held[c].to_numpy(np.int64) for c in ("wh", "n", "cls"))
-        self.top, self.group_cls = len(self.wh), group_cls
+    def __init__(self, wh: np.ndarray, n: np.ndarray, cls: np.ndarray, group_cls: np.ndarray, classes: int):
+        self.wh, self.n, self.cls, self.group_cls, self.classes, self.top = wh, n, cls, group_cls, classes, len(wh)
+
+    def with_classes(self, cls: np.ndarray) -> Held:
+        return Held(self.wh, self.n, cls, self.group_cls, self.classes)
 
     def of(self, wh: np.ndarray) -> np.ndarray:
         """The place of each word among those held, or -1."""
@@ -114,6 +115,23 @@ class Held:
         at = np.minimum(np.searchsorted(self.wh, wh), self.top - 1)
         return np.where(self.wh[at] == wh, at, -1)
 
+    def classes_of(self, words: np.ndarray, grp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and class of each word of a slice; words that are not held have their group's class, and the first is the end."""
+        at = self.of(words)
+        cls = self.group_cls[np.maximum(grp, 0)]
+        if self.top:
+            cls = np.where(at >= 0, self.cls[at], cls)
+        at[0], cls[0] = -1, 0
+        return at, cls
+
+
+def beside(seq: np.ndarray, begin: np.ndarray, learn: np.ndarray, cls: np.ndarray):
+    """Of each place that teaches: the word before it (the end, at a text's begin), its own, their classes, and whether they are equal."""
+    prev = np.r_[0, seq[:-1]]
+    prev[begin] = 0
+    a, b = prev[learn], seq[learn]
+    return a, b, cls[a], cls[b], a == b
+
 
 def with_ends(unit: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The units of all texts with an end after each, and where each text begins."""
@@ -216,7 +234,7 @@ def likelihood(big: np.ndarray) -> float:
 
 
 def best_classes(cls: np.ndarray, counts: np.ndarray, big: np.ndarray) -> np.ndarray:
-    """Where each word (a row of its KINDS counts) goes by itself, all others staying: as a step of exchange()."""
+    """Where each word (a row of counts: classes after it, classes before it, itself after itself) goes by itself, all others staying: as a step of exchange()."""
     m, c, every = len(big), len(cls), np.arange(len(cls))
     row, col, self_ = counts[:, :m].astype(float), counts[:, m : 2 * m].astype(float), counts[:, 2 * m].astype(float)
     gain = np.zeros((c, m))
@@ -258,240 +276,310 @@ def held_from(vocab: DataFrame) -> int:
     return 1 << least if sizes and sizes[0]["count"] <= HELD else 1 << 62
 
 
-def found_rare(rare: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Counts and classes of slices' rare words: slice, pos, n, cls."""
-    return rare.join(vocab.select("wh", "n", "cls"), "wh").select(F.col("key").alias("slice"), "pos", "n", "cls")
+def sparse(keys: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+    """A row of a block's counts: how many cells, their places and their counts, packed."""
+    return [pa.array([len(keys)]), pa.array([packed(np.diff(keys, prepend=0).astype(np.uint32))]), pa.array([packed(n.astype(np.int64))])]
 
 
-def classes_of(held: Held, words: np.ndarray, grp: np.ndarray, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Count and class of each word of a slice: the end, words that are held, words whose row came back, and words never seen, which have their group's class."""
-    at = held.of(words)
-    known = at >= 0
-    n = np.zeros(len(words), np.int64)
-    cls = held.group_cls[np.maximum(grp, 0)].copy()
-    n[known], cls[known] = held.n[at[known]], held.cls[at[known]]
-    pos = right["pos"].to_numpy()
-    n[pos], cls[pos] = right["n"].to_numpy(), right["cls"].to_numpy()
-    cls[0] = 0
-    return n, cls
+def add_sparse(dense: np.ndarray, size: int, keys: bytes, n: bytes) -> None:
+    if size:
+        raw = pa.decompress(n, decompressed_size=8 * size, codec="zstd", asbytes=True)
+        dense[np.cumsum(numbers(keys, size))] += np.frombuffer(raw, np.int64)
 
 
-def count_classes(coded_docs: DataFrame, rare: DataFrame, vocab: DataFrame, held: Held) -> DataFrame:
-    """Written: wh, cls, n, grp, e of each word, e its counts by kind; and rows of class -1 whose e are parts of the class bigrams' table.
+CELLS = "block int, part int, size long, cells binary, n binary"
 
-    Slices count their own words; a word's counts meet in the order of words, so a task holds few words at a time.
-    """
+
+def neighbours(coded_docs: DataFrame, held: Held) -> DataFrame:
+    """Written: of each task, how often each class stands beside each held word, a row for each block of words; the block -1 is the class bigrams."""
     sent = coded_docs.sparkSession.sparkContext.broadcast(held)
+    c, kinds = held.classes, 2 * held.classes + 1
 
-    def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        wh, e = [], []
-        for r in range(left.num_rows):
-            words, grp, seq, begin, learn = opened(*(left[c][r].values.to_numpy(zero_copy_only=False) for c in ("words", "grp", "sizes", "learn")), left["seq"][r].as_py())
-            _, cls = classes_of(sent.value, words, grp, right)
-            prev = np.r_[0, seq[:-1]]
-            prev[begin] = 0
-            a, b = prev[learn], seq[learn]
-            same = a == b
-            kinds = np.concatenate([a * KINDS + np.where(same, 2 * CLASSES, cls[b]), (b * KINDS + CLASSES + cls[a])[~same]])
-            at, n = np.unique(kinds, return_counts=True)
-            w, k = at // KINDS, at % KINDS
-            first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]]) if len(w) else w
-            one = (k.astype(np.uint64) << np.uint64(56)) | n.astype(np.uint64)
-            wh.append(words[w[first]])
-            e.append(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.r_[8 * first, 8 * len(w)].astype(np.int32)), pa.py_buffer(one.tobytes())]))
-        return pa.table({"wh": pa.array(np.concatenate(wh) if wh else np.empty(0, np.int64)), "e": pa.concat_arrays(e) if e else pa.array([], pa.binary())})
-
-    parts = coded_docs.select("key", "words", "grp", "sizes", "learn", "seq").groupBy("key").cogroup(found_rare(rare, vocab).groupBy("slice")).applyInArrow(count, "wh long, e binary")
-    own = vocab.select("wh", "cls", "n", "grp", F.lit(None).cast("binary").alias("e"))
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("cls", "int"), ("n", "long"), ("grp", "int"))]
-    rows = own.unionByName(parts.select("wh", *none, "e")).repartition("wh").sortWithinPartitions("wh")
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        big = np.zeros((CLASSES, KINDS), np.int64)
-
-        def done(t: pa.Table) -> pa.RecordBatch:
-            nonlocal big
-            wh = t["wh"].to_numpy()
-            new = np.r_[True, wh[1:] != wh[:-1]]
-            word, named = np.cumsum(new) - 1, t["cls"].is_valid().to_numpy()
-            e = t["e"].combine_chunks()
-            size = pc.fill_null(pc.binary_length(e), 0).to_numpy(zero_copy_only=False) // 8
-            x = np.frombuffer(b"".join(v for v in e.to_pylist() if v), np.uint64)
-            at, back = np.unique(np.repeat(word, size) * KINDS + (x >> np.uint64(56)).astype(np.int64), return_inverse=True)
-            n = np.zeros(len(at), np.int64)
-            np.add.at(n, back, (x & np.uint64((1 << 56) - 1)).astype(np.int64))
-            ids = t.filter(pa.array(named)).select(["cls", "n", "grp"]).combine_chunks()
-            cls = ids["cls"].to_numpy()
-            np.add.at(big, (cls[at // KINDS], at % KINDS), n)
-            one = ((at % KINDS).astype(np.uint64) << np.uint64(56)) | n.astype(np.uint64)
-            ends = np.searchsorted(at, np.arange(len(cls) + 1) * KINDS)
-            packed_ = pa.Array.from_buffers(pa.binary(), len(cls), [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(one.tobytes())])
-            return pa.RecordBatch.from_arrays([pa.array(wh[new]), pa.array(cls, pa.int32()), pa.array(ids["n"].to_numpy(), pa.int64()), pa.array(ids["grp"].to_numpy(), pa.int32()), packed_], ["wh", "cls", "n", "grp", "e"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = sent.value
+        cells, big = np.zeros(h.top * kinds, np.int64), np.zeros(c * c, np.int64)
+        for words, grp, seq, begin, learn in each_slice(batches):
+            at, cls = h.classes_of(words, grp)
+            a, b, ca, cb, same = beside(seq, begin, learn, cls)
+            big += np.bincount(ca * c + cb, minlength=c * c)
+            a, b = at[a], at[b]
+            np.add.at(cells, (a * kinds + np.where(same, 2 * c, cb))[a >= 0], 1)
+            np.add.at(cells, (b * kinds + c + ca)[(b >= 0) & ~same], 1)
+        part = int.from_bytes(os.urandom(3), "little")
+        width = BLOCK * kinds
+        for block in range(-1, -(-h.top // BLOCK)):
+            own = big if block < 0 else cells[block * width : (block + 1) * width]
+            full = np.flatnonzero(own)
+            if len(full):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), *sparse(full, own[full])], ["block", "part", "size", "cells", "n"])
+
+    return written(coded_docs.select("words", "grp", "learn", "sizes", "seq").mapInArrow(run, CELLS), "lm-round")
+
+
+def added(rows: DataFrame, width: int, finish, schema: str) -> DataFrame:
+    """``finish(block, its counts)`` for each block: tasks' rows are added up in a tree, FAN of them at a time, each task holding one block."""
+
+    def merge(emit):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, dense = None, np.zeros(width, np.int64)
+            for b in batches:
+                for key, size, cells, n in zip(zip(b["block"].to_pylist(), b["part"].to_pylist(), strict=True), b["size"].to_pylist(), b["cells"].to_pylist(), b["n"].to_pylist(), strict=True):
+                    if key != now:
+                        if now is not None:
+                            yield emit(*now, dense)
+                        now = key
+                        dense[:] = 0
+                    add_sparse(dense, size, cells, n)
+            if now is not None:
+                yield emit(*now, dense)
+
+        return run
+
+    def again(block: int, part: int, dense: np.ndarray) -> pa.RecordBatch:
+        full = np.flatnonzero(dense)
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), *sparse(full, dense[full])], ["block", "part", "size", "cells", "n"])
+
+    parts = rows.rdd.getNumPartitions()
+    while True:
+        parts = -(-parts // FAN)
+        rows = rows.withColumn("part", F.pmod("part", F.lit(parts))).repartition("block", "part").sortWithinPartitions("block", "part")
+        if parts == 1:
+            return rows.mapInArrow(merge(lambda block, part, dense: finish(block, dense)), schema)
+        rows = rows.mapInArrow(merge(again), CELLS)
+
+
+def bigrams(counts: DataFrame, classes: int) -> np.ndarray:
+    """The class bigrams that tasks wrote as their block -1."""
+
+    def out(block: int, dense: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(dense)
+        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(dense[at])], ["at", "n"])
+
+    got = added(counts.where("block = -1"), classes * classes, out, "at long, n long").toPandas()  # a row for each pair of classes
+    big = np.zeros(classes * classes)
+    big[got["at"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return big.reshape(classes, classes)
 
+
+def moved(counts: DataFrame, held: Held, big: np.ndarray) -> Held:
+    """The held words after each has gone to its best class; what comes to the driver is a class for each."""
+    sent = counts.sparkSession.sparkContext.broadcast((held, big))
+    kinds = 2 * held.classes + 1
+
+    def best(block: int, dense: np.ndarray) -> pa.RecordBatch:
+        h, table = sent.value
+        own = h.cls[block * BLOCK : (block + 1) * BLOCK]
+        new = best_classes(own, dense.reshape(BLOCK, kinds)[: len(own)], table)
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(own)) + block * BLOCK), pa.array(new)], ["at", "cls"])
+
+    got = added(counts.where("block >= 0"), BLOCK * kinds, best, "at long, cls long").toPandas()
+    cls = held.cls.copy()
+    cls[got["at"].to_numpy(np.int64)] = got["cls"].to_numpy(np.int64)
+    return held.with_classes(cls)
+
+
+def rare_classes(coded_docs: DataFrame, held: Held, big: np.ndarray) -> DataFrame:
+    """Written: wh, n, cls of all other words of the texts that teach, each in its best class beside the held words' settled ones.
+
+    Slices count the classes beside their own rare words (a rare neighbour has
+    its group's class); a word's counts meet in the order of words, and a task
+    holds those of one batch.
+    """
+    spark = coded_docs.sparkSession
+    sent, table = spark.sparkContext.broadcast(held), spark.sparkContext.broadcast(big)
+    c, kinds = held.classes, 2 * held.classes + 1
+    names = ["wh", "grp", "n", "e"]
+
+    def rows(wh, grp, n, at, k, count) -> pa.RecordBatch:
+        """``at``: of each cell, its word; ``k``, ``count``: its kind and count."""
+        e = (k.astype(np.uint64) << np.uint64(48)) | count.astype(np.uint64)
+        ends = np.searchsorted(at, np.arange(len(wh) + 1))
+        e = pa.Array.from_buffers(pa.binary(), len(wh), [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(e.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(wh, pa.int64()), pa.array(grp, pa.int32()), pa.array(n, pa.int64()), e], names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, grp, seq, begin, learn in each_slice(batches):
+            held_at, cls = sent.value.classes_of(words, grp)
+            rare = held_at < 0
+            rare[0] = False
+            a, b, ca, cb, same = beside(seq, begin, learn, cls)
+            n = np.bincount(b, minlength=len(words))
+            one, two = rare[a], rare[b] & ~same
+            cells, m = np.unique(np.concatenate([(a * kinds + np.where(same, 2 * c, cb))[one], (b * kinds + c + ca)[two]]), return_counts=True)
+            own = np.flatnonzero(rare & (n > 0))
+            yield rows(words[own], grp[own], n[own], np.searchsorted(own, cells // kinds), cells % kinds, m)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            t = pa.concat_tables([kept, t]) if kept is not None else t
-            wh = t["wh"].to_numpy()
-            cut = int(np.searchsorted(wh, wh[-1])) if len(wh) else 0
-            if cut:
-                yield done(t.slice(0, cut))
-            kept = t.slice(cut)
-        if kept is not None and kept.num_rows:
-            yield done(kept)
-        if big.any():
-            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([-1], pa.int32()), pa.array([0]), pa.array([-1], pa.int32()), pa.array([big.tobytes()], pa.binary())], ["wh", "cls", "n", "grp", "e"])
-
-    return written(rows.mapInArrow(merge, "wh long, cls int, n long, grp int, e binary"), "lm-round")
-
-
-def bigrams(counts: DataFrame) -> np.ndarray:
-    """The class bigrams, from the parts that tasks wrote."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        big = np.zeros(CLASSES * KINDS, np.int64)
-        for b in batches:
-            for v in b["e"].to_pylist():
-                big += np.frombuffer(v, np.int64)
-        at = np.flatnonzero(big)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(big[at])], ["at", "n"])
 
-    got = counts.where("cls = -1").select("e").mapInArrow(add, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(CLASSES * KINDS)
-    out[got["at"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    out = out.reshape(CLASSES, KINDS)
-    return out[:, :CLASSES] + np.diag(out[:, 2 * CLASSES])
+        def summed(b: pa.RecordBatch):
+            wh = b["wh"].to_numpy()
+            first = np.flatnonzero(np.r_[True, wh[1:] != wh[:-1]])
+            word = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(wh)]))
+            size = pc.binary_length(b["e"]).to_numpy(zero_copy_only=False) // 8
+            x = np.frombuffer(b"".join(b["e"].to_pylist()), np.uint64)
+            cells, back = np.unique(np.repeat(word, size) * kinds + (x >> np.uint64(48)).astype(np.int64), return_inverse=True)
+            m = np.zeros(len(cells), np.int64)
+            np.add.at(m, back, (x & np.uint64((1 << 48) - 1)).astype(np.int64))
+            return wh[first], b["grp"].to_numpy()[first], np.add.reduceat(b["n"].to_numpy(), first), cells, m
+
+        def placed(wh, grp, n, cells, m) -> Iterator[pa.RecordBatch]:
+            old = sent.value.group_cls[np.maximum(grp, 0)]
+            new = old.copy()
+            ends = np.searchsorted(cells, np.arange(len(wh) + 1) * kinds)
+            for at in range(0, len(wh), 1024):
+                end = min(at + 1024, len(wh))
+                dense = np.zeros((end - at) * kinds, np.int64)
+                dense[cells[ends[at] : ends[end]] - at * kinds] = m[ends[at] : ends[end]]
+                new[at:end] = best_classes(old[at:end], dense.reshape(-1, kinds), table.value)
+            yield pa.RecordBatch.from_arrays([pa.array(wh), pa.array(n), pa.array(new, pa.int32())], ["wh", "n", "cls"])
 
+        for b in batches:
+            if not b.num_rows:
+                continue
+            wh, grp, n, cells, m = summed(b if kept is None else pa.Table.from_batches([kept, b]).combine_chunks().to_batches()[0])
+            # the last word may go on in the next batch
+            last = len(wh) - 1
+            cut = np.searchsorted(cells, last * kinds)
+            kept = rows(wh[last:], grp[last:], n[last:], np.zeros(len(cells) - cut, np.int64), cells[cut:] - last * kinds, m[cut:])
+            if last:
+                yield from placed(wh[:last], grp[:last], n[:last], cells[:cut], m[:cut])
+        if kept is not None:
+            yield from placed(*summed(kept))
 
-def moved(counts: DataFrame, big: np.ndarray) -> DataFrame:
-    """Written: wh, grp, n, cls of all words after each has gone to its best class."""
-    sent = counts.sparkSession.sparkContext.broadcast(big)
+    parts = coded_docs.select("words", "grp", "learn", "sizes", "seq").mapInArrow(count, "wh long, grp int, n long, e binary")
+    return written(parts.repartition("wh").sortWithinPartitions("wh").mapInArrow(meet, "wh long, n long, cls int"), "lm-rare")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                cls = b["cls"].to_numpy().astype(np.int64)
-                size = pc.binary_length(b["e"]).to_numpy(zero_copy_only=False) // 8
-                x = np.frombuffer(b"".join(b["e"].to_pylist()), np.uint64)
-                dense = np.zeros((len(cls), KINDS), np.int64)
-                dense[np.repeat(np.arange(len(cls)), size), (x >> np.uint64(56)).astype(np.int64)] = (x & np.uint64((1 << 56) - 1)).astype(np.int64)
-                new = best_classes(cls, dense, sent.value)
-                new[b["wh"].to_numpy() == END] = 0
-                yield pa.RecordBatch.from_arrays([b["wh"], b["grp"], b["n"], pa.array(new.astype(np.int32))], ["wh", "grp", "n", "cls"])
 
-    return written(counts.where("cls >= 0").select("wh", "grp", "n", "cls", "e").mapInArrow(run, "wh long, grp int, n long, cls int"), "lm-classes")
+def resolved(coded_docs: DataFrame, held: Held, rare: DataFrame) -> DataFrame:
+    """Written: the slices with the count and class of each of their words instead of the words; ``cells`` and the like are the slice's class bigrams.
+
+    A slice sends its distinct rare words and gets a row back for each that the training texts hold.
+    """
+    sent = coded_docs.sparkSession.sparkContext.broadcast(held)
+    c = held.classes
+    kind = coded_docs.schema["ids"].dataType.simpleString()
 
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, w in zip(b["key"].to_pylist(), b["words"], strict=True):
+                wh = w.values.to_numpy()
+                missing = sent.value.of(wh) < 0
+                missing[0] = False
+                pos = np.flatnonzero(missing)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), k)), pa.array(pos.astype(np.int32)), pa.array(wh[pos])], ["slice", "pos", "wh"])
 
-class Units:
-    """The end is 0, the words that every task holds follow, then the groups, which words never seen belong to."""
+    def fill(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for r in range(left.num_rows):
+            words, grp, seq, begin, learn = opened(*(left[x][r].values.to_numpy(zero_copy_only=False) for x in ("words", "grp", "sizes", "learn")), left["seq"][r].as_py())
+            at, cls = sent.value.classes_of(words, grp)
+            n = np.where(at >= 0, sent.value.n[at] if sent.value.top else 0, 0)
+            pos = right["pos"].to_numpy()
+            n[pos], cls[pos] = right["n"].to_numpy(), right["cls"].to_numpy()
+            *_, ca, cb, _ = beside(seq, begin, learn, cls)
+            big = np.bincount(ca * c + cb, minlength=c * c)
+            full = np.flatnonzero(big)
+            one = lambda v, t: pa.array([v], pa.list_(t))
+            cols = [*(left[x].slice(r, 1).combine_chunks() for x in ("ids", "held", "sizes", "seq")), one(n, pa.int64()), one(cls.astype(np.int16), pa.int16()), pa.array([-1], pa.int32()), pa.array([int(left["key"][r].as_py()) & 0xFFFFFF], pa.int32()), *sparse(full, big[full])]
+            out.append(pa.table(cols, ["ids", "held", "sizes", "seq", "count", "cls", "block", "part", "size", "cells", "n"]))
+        return pa.concat_tables(out) if out else None
 
-    def __init__(self, held: Held):
-        self.top, self.size = held.top, 1 + held.top + GROUPS
+    found = coded_docs.select("key", "words").mapInArrow(asked, "slice long, pos int, wh long").join(rare, "wh").select("slice", "pos", "n", "cls")
+    rows = coded_docs.select("key", "words", "grp", "ids", "held", "learn", "sizes", "seq")
+    shape = f"ids {kind}, held array<boolean>, sizes array<long>, seq binary, count array<long>, cls array<short>, {CELLS}"
+    # every slice has a row on the left; a rare word's row comes from a slice
+    return written(rows.groupBy("key").cogroup(found.groupBy("slice")).applyInArrow(fill, shape), "lm-resolved")
 
 
 class Model:
     """Log10 probabilities of transitions and emissions."""
 
     def __init__(self, held: Held, big: np.ndarray, in_class: np.ndarray, total: int, distinct: int, ends: int):
-        self.held, self.units, self.total, self.distinct, self.ends = held, Units(held), total, distinct, ends
-        into = big.sum(axis=0)
-        prior = (into + 1) / (into.sum() + CLASSES)
+        self.total, self.distinct, self.ends = total, distinct, ends
+        into, classes = big.sum(axis=0), len(big)
+        prior = (into + 1) / (into.sum() + classes)
         self.move = np.log10((big + ALPHA * prior) / (big.sum(axis=1, keepdims=True) + ALPHA))
         # a word of count n has (n + DELTA) of its class; each group in a class leaves one place for words never seen
-        places = in_class + np.bincount(held.group_cls, minlength=CLASSES)
+        places = in_class + np.bincount(held.group_cls, minlength=classes)
         self.share = -np.log10(into + DELTA * np.maximum(places, 1))
-        self.cls = np.r_[0, held.cls, held.group_cls]
-        self.emit = np.log10(np.r_[ends, held.n, np.zeros(GROUPS)] + DELTA) + self.share[self.cls]
 
 
-def learned(coded_docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
-    """The model, the written table of all words' counts and classes, and that of the slices' rare words."""
+def first_classes(coded_docs: DataFrame, words: pd.DataFrame, classes: int) -> Held:
+    """The held words (columns wh, grp, n), classed as the most frequent of them and the groups of all others exchange."""
+    words = words.sort_values(["n", "wh"], ascending=[False, True])
+    top = np.sort(words["wh"].to_numpy(np.int64)[:TOP])
+    cls = exchange(count_pairs(coded_docs, top), classes)
+    own, groups = cls[1 : 1 + len(top)], cls[1 + len(top) :]
+    words = words.sort_values("wh")
+    wh = words["wh"].to_numpy(np.int64)
+    out = groups[words["grp"].to_numpy(np.int64)]
+    if len(top):
+        at = np.minimum(np.searchsorted(top, wh), len(top) - 1)
+        out = np.where(top[at] == wh, own[at], out)
+    return Held(wh, words["n"].to_numpy(np.int64), out, groups, classes)
+
+
+def learned(coded_docs: DataFrame, classes: int) -> tuple[Model, Held, DataFrame, DataFrame]:
+    """The model, the held words, the written table of all others' counts and classes, and that of the slices in these terms."""
     spark = coded_docs.sparkSession
     words = written(count_words(coded_docs), "vocab")
-    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = held_from(words)
-    first = words.where((F.col("n") >= least) & (F.col("grp") >= 0)).select("wh", "n").toPandas().sort_values(["n", "wh"], ascending=[False, True])
-    top = np.sort(first["wh"].to_numpy(np.int64)[:TOP])
-    cls = exchange(count_pairs(coded_docs, top))
-    groups = cls[1 + len(top) :]
-    named = spark.createDataFrame(pd.DataFrame({"wh": np.r_[END, top], "own": cls[: 1 + len(top)]}))
-    of_group = F.element_at(F.array(*[F.lit(int(c)) for c in groups]), F.greatest(F.col("grp"), F.lit(0)) + 1)
-    vocab = written(words.join(F.broadcast(named), "wh", "left").select("wh", "grp", "n", F.coalesce(F.col("own").cast("int"), of_group).alias("cls")), "lm-classes")
-
-    hold = lambda v: Held(v.where((F.col("n") >= least) & (F.col("grp") >= 0)).select("wh", "n", "cls").toPandas(), groups)
-    held = hold(vocab)
-    sent = spark.sparkContext.broadcast(np.sort(held.wh))
-
-    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, w in zip(b["key"].to_pylist(), b["words"], strict=True):
-                wh = w.values.to_numpy()
-                mine = sent.value
-                known = mine[np.minimum(np.searchsorted(mine, wh), len(mine) - 1)] == wh if len(mine) else np.zeros(len(wh), bool)
-                known[0] = True
-                pos = np.flatnonzero(~known)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), k)), pa.array(pos.astype(np.int32)), pa.array(wh[pos])], ["key", "pos", "wh"])
-
-    rare = written(coded_docs.select("key", "words").mapInArrow(rare_words, "key long, pos int, wh long"), "lm-rare")
-    sweep(spark)
-    counts = count_classes(coded_docs, rare, vocab, held)
-    sweep(spark)
-    big = bigrams(counts)
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    end = words.where(F.col("wh") == int(END)).select("n").first()
+    held = first_classes(coded_docs, words.where((F.col("n") >= held_from(words)) & (F.col("grp") >= 0)).toPandas(), classes)
+    forget(words)
+    counts = neighbours(coded_docs, held)
+    big = bigrams(counts, classes)
     while True:
-        new = moved(counts, big)
+        new = moved(counts, held, big)
         forget(counts)
-        new_held = hold(new)
-        counts = count_classes(coded_docs, rare, new, new_held)
         sweep(spark)
-        new_big = bigrams(counts)
+        counts = neighbours(coded_docs, new)
+        new_big = bigrams(counts, classes)
         gain = likelihood(new_big) - likelihood(big)
         if gain > 0:
-            vocab, held, big = new, new_held, new_big
-        if gain <= SETTLED * int(size[0]):
+            held, big = new, new_big
+        if gain <= SETTLED * int(total):
             break
     forget(counts)
-    in_class = np.zeros(CLASSES)
-    for r in vocab.groupBy("cls").count().collect():  # a row per class
-        in_class[r["cls"]] = r["count"]
-    end = vocab.where(F.col("wh") == int(END)).select("n").first()
-    return Model(held, big, in_class, int(size[0]), int(size[1]), int(end[0]) if end else 0), vocab, rare
-
-
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the written table of all words' counts and classes, from the column t of all rows."""
-    return learned(encode(docs.select(F.lit(0).alias("i"), F.lit(False).alias("held_out"), F.lit(True).alias("learn"), "t")))[:2]
+    rare = rare_classes(coded_docs, held, big)
+    slices_ = resolved(coded_docs, held, rare)
+    sweep(spark)
+    in_class = np.bincount(held.cls, minlength=classes).astype(float)
+    in_class[0] += 1
+    for r in rare.groupBy("cls").count().collect():  # a row per class
+        in_class[r["cls"]] += r["count"]
+    return Model(held, bigrams(slices_, classes), in_class, int(total), int(distinct), int(end[0]) if end else 0), held, rare, slices_
 
 
-def score_texts(coded_docs: DataFrame, model: Model, vocab: DataFrame, rare: DataFrame) -> DataFrame:
+def score_texts(slices_: DataFrame, model: Model) -> DataFrame:
     """One row per text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    sent = coded_docs.sparkSession.sparkContext.broadcast(model)
-    kind = coded_docs.schema["ids"].dataType.elementType.simpleString()
+    sent = slices_.sparkSession.sparkContext.broadcast(model)
+    kind = slices_.schema["ids"].dataType.elementType.simpleString()
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        m, out = sent.value, []
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
         less = float(np.log10(m.total + m.distinct + 1))
-        for r in range(left.num_rows):
-            words, grp, seq, begin, _ = opened(*(left[c][r].values.to_numpy(zero_copy_only=False) for c in ("words", "grp", "sizes", "learn")), left["seq"][r].as_py())
-            n, cls = classes_of(m.held, words, grp, right)
-            n[0] = m.ends
-            c = cls[seq]
-            prev = np.r_[0, c[:-1]]
-            prev[begin] = 0
-            add = lambda x: np.add.reduceat(x, begin)
-            per = m.move[prev, c] + (np.log10(n + DELTA) + m.share[cls])[seq]
-            sizes = left["sizes"][r].values
-            cols = [left["ids"][r].values, left["held"][r].values, sizes, pa.array(add((n > 0).astype(np.int64)[seq])), pa.array(np.full(len(begin), m.total)), pa.array(add(np.log10(n + 1.0)[seq]) - sizes.to_numpy() * less), pa.array(add(per))]
-            out.append(pa.table(cols, names))
-        return pa.concat_tables(out) if out else None
-
-    rows = coded_docs.select("key", "words", "grp", "ids", "held", "learn", "sizes", "seq")
-    # every slice has a row on the left; a rare word's row comes from a slice
-    return rows.groupBy("key").cogroup(found_rare(rare, vocab).groupBy("slice")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def class_lm(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: int = 7, held: int = 2) -> DataFrame:
+        for b in batches:
+            for r in range(b.num_rows):
+                sizes = b["sizes"][r].values
+                n, cls = b["count"][r].values.to_numpy().copy(), b["cls"][r].values.to_numpy().astype(np.int64)
+                n[0] = m.ends
+                seq = numbers(b["seq"][r].as_py(), int(sizes.to_numpy().sum()))
+                begin = np.r_[0, np.cumsum(sizes.to_numpy())[:-1]]
+                c = cls[seq]
+                prev = np.r_[0, c[:-1]]
+                prev[begin] = 0
+                add = lambda x: np.add.reduceat(x, begin)
+                per = m.move[prev, c] + (np.log10(n + DELTA) + m.share[cls])[seq]
+                cols = [b["ids"][r].values, b["held"][r].values, sizes, pa.array(add((n > 0).astype(np.int64)[seq])), pa.array(np.full(len(begin), m.total)), pa.array(add(np.log10(n + 1.0)[seq]) - sizes.to_numpy() * less), pa.array(add(per))]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return slices_.select("ids", "held", "sizes", "seq", "count", "cls").mapInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def class_lm(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: int = 7, held: int = 2, classes: int = CLASSES) -> DataFrame:
     """One row per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows whose fold is not ``held``; a row with a null id is in
@@ -502,5 +590,5 @@ def class_lm(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", folds:
     fold = remainder(F.col(doc_id), folds)
     fields = docs.select(F.col(doc_id).alias("i"), F.coalesce(fold == held, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     coded_docs = encode(fields.withColumn("learn", F.col("i").isNotNull() & ~F.col("held_out")))
-    model, vocab, rare = learned(coded_docs)
-    return score_texts(coded_docs, model, vocab, rare)
+    model, _, _, slices_ = learned(coded_docs, classes)
+    return score_texts(slices_, model)
