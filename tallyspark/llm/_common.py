@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one is set only where none is configured, as in tests."""
+    """The folder that all executors share; a temporary one is set only where none is configured and all run on one machine, as in tests."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         given = tempfile.mkdtemp(prefix="spark-ckpt-")
         spark.sparkContext.setCheckpointDir(given)
     return given.rstrip("/")
@@ -89,9 +91,12 @@ def small_batches(batches, rows: int = 256):
             yield b.slice(i, rows)
 
 
-def bounded_sample(df: DataFrame, id_col: str, most: int) -> DataFrame:
-    """About ``most`` rows at most, chosen by a hash of the id; all rows where there are no more than that."""
+def dealt(*cols) -> Column:
+    """A number from 0 to 1 for each row, by a hash of the columns: equal rows have equal numbers."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit("sample"), *cols), 11) / F.lit(float(1 << 53))
+
+
+def bounded_sample(df: DataFrame, most: int, *by: str) -> DataFrame:
+    """About ``most`` rows at most, chosen by a hash of the columns ``by``, which should be distinct; all rows where there are no more than that."""
     n = df.count()
-    if n <= most:
-        return df
-    return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    return df if n <= most else df.where(dealt(*by) < most / n)

@@ -355,7 +355,7 @@ def bigrams(counts: DataFrame, classes: int) -> np.ndarray:
         at = np.flatnonzero(dense)
         return pa.RecordBatch.from_arrays([pa.array(at), pa.array(dense[at])], ["at", "n"])
 
-    got = added(counts.where("block = -1"), classes * classes, out, "at long, n long").toPandas()  # a row for each pair of classes
+    got = added(counts.where("block = -1").select("block", "part", "size", "cells", "n"), classes * classes, out, "at long, n long").toPandas()  # a row for each pair of classes
     big = np.zeros(classes * classes)
     big[got["at"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     return big.reshape(classes, classes)

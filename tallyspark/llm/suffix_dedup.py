@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import small_batches, written
@@ -164,10 +164,14 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     return pos, np.concatenate(hashes)[first]
 
 
+def _key(text: Column, doc_id: str) -> list[Column]:
+    """d, tag: what tells a row's text from others, its id and a 64-bit hash of the text; without an id, two such hashes."""
+    return [F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.lit("no id"), text)).alias("d"), F.xxhash64(text).alias("tag")]
+
+
 def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """d, tag: what tells a row's text from others: its id (a null id has a number of its own) and a hash of the text."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 62))).alias("d"), F.hash(body).alias("tag"), body.alias("t"))
+    return docs.select(*_key(body, doc_id), body.alias("t"))
 
 
 def _anchor_rows(docs: DataFrame, length: int, only_hash: bool) -> DataFrame:
@@ -192,7 +196,7 @@ def _anchor_rows(docs: DataFrame, length: int, only_hash: bool) -> DataFrame:
                 own = pa.array(np.concatenate(own))
                 yield pa.RecordBatch.from_arrays([ah, pa.array(np.array(ch, np.uint64).view(np.int64)), b["d"].take(own), b["tag"].take(own), pa.array(np.concatenate(ps), pa.int64())], ["ah", "ch", "d", "tag", "pos"])
 
-    return docs.mapInArrow(run, "ah long" if only_hash else "ah long, ch long, d long, tag int, pos long")
+    return docs.mapInArrow(run, "ah long" if only_hash else "ah long, ch long, d long, tag long, pos long")
 
 
 # -- contexts --------------------------------------------------------------------------------------
@@ -300,8 +304,8 @@ def runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.r_[0, gap + 1]].tolist(), (starts[np.r_[gap, len(starts) - 1]] + length).tolist(), strict=True))
 
 
-CONTEXT = "ah long, many boolean, d long, tag int, pos long, lft int, ctx binary"
-SPAN = "d long, tag int, a long, b long"
+CONTEXT = "ah long, many boolean, d long, tag long, pos long, lft int, ctx binary"
+SPAN = "d long, tag long, a long, b long"
 
 
 def _contexts(packed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -318,7 +322,7 @@ def _contexts(packed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     p = x["pos"]
                     rows[d, tag, p] = (x["ah"], x["many"], d, tag, p, min(p, reach), data[max(0, p - reach) : p + length])
             cols = list(zip(*rows.values(), strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["ah", "many", "d", "tag", "pos", "lft", "ctx"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["ah", "many", "d", "tag", "pos", "lft", "ctx"])
 
     return packed.join(lists, ["d", "tag"]).select("d", "tag", "z", "want").mapInArrow(run, CONTEXT)
 
@@ -358,7 +362,7 @@ def _by_suffix_array(ctx: DataFrame, length: int) -> DataFrame:
         occ = np.array([number.setdefault(x, len(number)) for x in zip(d, tag, strict=True)])
         got = repeated_starts(ctx, np.array(lft, np.int64), occ, np.array(pos, np.int64), np.array(many, bool), length) if live else []
         out = [(d[i], tag[i], a, b) for i, s in enumerate(got) if not many[i] for a, b in runs(s, length)]
-        return pa.RecordBatch.from_pylist([dict(zip(("d", "tag", "a", "b"), x, strict=True)) for x in out], pa.schema([("d", pa.int64()), ("tag", pa.int32()), ("a", pa.int64()), ("b", pa.int64())]))
+        return pa.RecordBatch.from_pylist([dict(zip(("d", "tag", "a", "b"), x, strict=True)) for x in out], pa.schema([("d", pa.int64()), ("tag", pa.int64()), ("a", pa.int64()), ("b", pa.int64())]))
 
     return ctx.repartition("ah").sortWithinPartitions("ah").mapInArrow(run, SPAN)
 
@@ -373,9 +377,9 @@ def _by_window(ctx: DataFrame, length: int) -> DataFrame:
             for many, d, tag, pos, lft, c in zip(*(b[x].to_pylist() for x in ("many", "d", "tag", "pos", "lft", "ctx")), strict=True):
                 out += [(digest(c[i : i + length]), many, d, tag, pos - lft + i) for i in range(len(c) - length + 1)]
             cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.binary(), pa.bool_(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["w", "many", "d", "tag", "a"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["w", "many", "d", "tag", "a"])
 
-    rows = ctx.mapInArrow(run, "w binary, many boolean, d long, tag int, a long")
+    rows = ctx.mapInArrow(run, "w binary, many boolean, d long, tag long, a long")
     place = F.struct("d", "tag", "a")
     twice = rows.groupBy("w").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.max("many").alias("any")).where("any or lo <> hi").select("w")
     return rows.where("not many").join(twice, "w", "left_semi").select("d", "tag", "a", (F.col("a") + length).alias("b"))
@@ -422,7 +426,8 @@ def _joined(docs: DataFrame, length: int, text: str, doc_id: str) -> DataFrame:
     """All columns of the rows, the text compressed as z, with the spans of each."""
     spans = repeated_spans(docs, length, text, doc_id)
     body = F.coalesce(F.col(text), F.lit(""))
-    own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 62))).alias("_d"), F.hash(body).alias("_tag"), F.struct(*[c for c in docs.columns if c != text]).alias("_row"), body.alias("t"))
+    d, tag = _key(body, doc_id)
+    own = docs.select(d.alias("_d"), tag.alias("_tag"), F.struct(*[c for c in docs.columns if c != text]).alias("_row"), body.alias("t"))
     packed = _packed(own)
     return packed.join(spans.select(F.col("d").alias("_d"), F.col("tag").alias("_tag"), "spans"), ["_d", "_tag"], "left")
 

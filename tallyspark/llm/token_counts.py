@@ -113,19 +113,14 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, text
         wanted = wanted.join(known.where(F.col("tokenizer") == version), "content", "left_anti")
     where = cache or f"{shared_dir(spark)}/tables/token-cache-{uuid.uuid4().hex}"
     # one document of each missing digest; narrow rows decide, only its text moves
-    held = docs.select(F.col(doc_id).alias("_id"), body.alias("body"), digest.alias("content"))
+    held = docs.select(F.col(doc_id).alias("_id"), body.alias("body"), digest.alias("content")).groupBy("content", "_id").agg(F.first("body").alias("body"))
     misses = held.join(wanted.withColumnRenamed("content", "_c"), (F.col("content") == F.col("_c")) & F.col("_id").eqNullSafe(F.col("rep")), "left_semi").select("content", "body")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, seen = counter(tokenizer), set()
+        count = counter(tokenizer)
         for b in small_batches(batches):
-            todo: dict[bytes, str] = {}
-            for k, t in zip(b["content"].to_pylist(), b["body"].to_pylist(), strict=True):
-                if k not in seen:  # repeated rows of one document
-                    todo[k] = t
-            seen = set(todo)
-            n = count(list(todo.values()))
-            yield pa.RecordBatch.from_pydict({"content": pa.array(list(todo), pa.binary()), "tokenizer": pa.array([version] * len(todo), pa.string()), "n_tokens": pa.array(n, pa.int64())})
+            n = count(b["body"].to_pylist())
+            yield pa.RecordBatch.from_arrays([b["content"], pa.array([version] * b.num_rows, pa.string()), pa.array(n, pa.int64())], ["content", "tokenizer", "n_tokens"])
 
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(where)
     stored = spark.read.schema(CACHE_SCHEMA).parquet(where).where(F.col("tokenizer") == version)

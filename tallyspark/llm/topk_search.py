@@ -115,7 +115,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
             continue
         own = rows.where(F.col("dim") == s["dim"])
         norm2 = float(s["norm2"] or 0.0)
-        some = bounded_sample(own, "vec_id", 2000).orderBy("vec_id").select("v").collect()
+        some = bounded_sample(own, 2000, "vec_id", "v").orderBy("vec_id").select("v").collect()
         points = longer(np.array([r["v"] for r in some], np.float64).reshape(len(some), -1), norm2)
         piv = _spread(points, pivots)
         nq, nc = -(-s["q"] // query_block), -(-s["n"] // block)

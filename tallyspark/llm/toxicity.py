@@ -12,7 +12,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +46,7 @@ def features(folded: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in PREFIXES if len(w) > n}
 
 
-@lru_cache(maxsize=2)
-def automaton(patterns: tuple[str, ...]):
+def automaton(patterns):
     import ahocorasick
 
     a = ahocorasick.Automaton()
@@ -61,13 +59,12 @@ def automaton(patterns: tuple[str, ...]):
     return a
 
 
-def matches(folded: str, patterns: tuple[str, ...]) -> list[tuple[int, str]]:
-    """(start, pattern) of every hit: a word's beginning, and its end too unless the pattern is starred."""
-    a = automaton(patterns)
-    if not len(a) or not folded:
+def matches(folded: str, found_by) -> list[tuple[int, str]]:
+    """(start, pattern) of every hit of an automaton: a word's beginning, and its end too unless the pattern is starred."""
+    if not len(found_by) or not folded:
         return []
     out, last = [], len(folded)
-    for end, found in a.iter(folded):
+    for end, found in found_by.iter(folded):
         for p in found:
             start = end + 1 - len(p.rstrip("*"))
             if (start == 0 or not folded[start - 1].isalpha()) and (p[-1] == "*" or end + 1 == last or not folded[end + 1].isalpha()):
@@ -81,9 +78,8 @@ def phrase(folded: str, start: int) -> str:
     return f"{before[-1] if before else ''} {WORD.match(folded, start)[0]}"
 
 
-def measure(folded: str, lexicon: dict[str, float], exceptions: frozenset) -> tuple[float, float]:
-    """Sum of the weights of the hits, and the text's length in words."""
-    found = matches(folded, tuple(lexicon))
+def measure(folded: str, lexicon: dict[str, float], exceptions: frozenset, found: list[tuple[int, str]]) -> tuple[float, float]:
+    """Sum of the weights of the hits ``found``, and the text's length in words."""
     total = sum(lexicon[p] for s, p in found if not exceptions or phrase(folded, s) not in exceptions)
     return total, 1.0 + folded.count(" ") + folded.count("\n")
 
@@ -115,14 +111,14 @@ def choose(one: Counter, zero: Counter, n1: int, n0: int, most: int = 400) -> di
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample: int = 12_000):
-    """(lexicon, exceptions, curve) from about ``sample`` labelled documents at most.
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample: int = 12_000, most: int = 400):
+    """(lexicon, exceptions, curve) from about ``sample`` labelled documents at most; the lexicon holds the ``most`` strongest features.
 
     Equal texts count once. Labels without a document, null labels and null
     texts teach nothing. The sampled ids are few, so they are broadcast and no text is shuffled.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.col(label)).cast("int").alias("y"))
-    some = bounded_sample(known, "_id", sample)
+    some = bounded_sample(known, sample, "_id")
     own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("t")).where(F.col("t").isNotNull())
     rows = written(own.join(F.broadcast(some), "_id").withColumn("k", F.xxhash64("t")), "tox-sample")
     firsts = rows.groupBy("k").agg(F.min("_id").alias("_id"))
@@ -143,19 +139,21 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     # by the test of choose(), so that it sees every feature it could take
     table = table.where((F.col("f") != "") & (F.col("one") >= 4) & (F.col("one") * sizes[1] >= 6 * F.col("zero") * sizes[0])).collect()  # of a bounded sample
     one, zero = ({r["f"]: r[c] for r in table} for c in ("one", "zero"))
-    lexicon = choose(Counter(one), Counter(zero), *sizes) if min(sizes) else {}
+    lexicon = choose(Counter(one), Counter(zero), *sizes, most) if min(sizes) else {}
 
     def apply(exceptions: frozenset, with_phrases: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found_by = automaton(lexicon)
             for b in small_batches(batches):
                 ys, totals, lens, phrases = [], [], [], []
                 for y, t in zip(b["y"].to_pylist(), b["t"].to_pylist(), strict=True):
                     f = fold(t)
-                    total, n = measure(f, lexicon, exceptions)
+                    found = matches(f, found_by)
+                    total, n = measure(f, lexicon, exceptions, found)
                     ys.append(y)
                     totals.append(total)
                     lens.append(n)
-                    phrases.append(sorted({phrase(f, s) for s, _ in matches(f, tuple(lexicon))}) if with_phrases else [])
+                    phrases.append(sorted({phrase(f, s) for s, _ in found}) if with_phrases else [])
                 yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(totals, pa.float64()), pa.array(lens, pa.float64()), pa.array(phrases, pa.list_(pa.string()))], ["y", "total", "n", "phrases"])
 
         return rows.mapInArrow(run, "y int, total double, n double, phrases array<string>")
@@ -186,8 +184,9 @@ def score(docs: DataFrame, model, text: str = "text", doc_id: str = "doc_id", th
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, exceptions, curve = sent.value
+        found_by = automaton(lexicon)
         for b in small_batches(batches):
-            got = [measure(fold(t or ""), lexicon, exceptions) for t in b["t"].to_pylist()]
+            got = [measure(f, lexicon, exceptions, matches(f, found_by)) for f in (fold(t or "") for t in b["t"].to_pylist())]
             total, n = np.array([g[0] for g in got]), np.array([g[1] for g in got])
             p = 1 / (1 + np.exp(-np.clip(inputs(total, n) @ curve, -500, 500)))
             yield pa.RecordBatch.from_arrays([b["i"], pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32), pa.int32()), pa.array(total, pa.float64())], ["doc_id", "score", "predicted", "weight"])
