@@ -343,3 +343,18 @@ def test_pipeline(spark, sf_dir):
     assert d.count() == b.count() - dirty.count() and dirty.count() > 0
     out = pipe.run(spark, sf_dir)
     assert set(out.columns) >= {"doc_id", "n_tokens", "ids_sha256"} and 0 < out.count() <= len(kept)
+
+
+def test_decontamination_by_shuffle_is_the_same(spark, monkeypatch):
+    """Beyond the bound of the broadcast, and with a text of many words, repeated rows and short items."""
+    r = random.Random(8)
+    vocab = [f"w{i}" for i in range(30)]
+    bench = spark.createDataFrame([(i, " ".join(r.choice(vocab) for _ in range(r.choice([1, 2, 3, 5, 12, 30])))) for i in range(40)], "item_id long, text string")
+    items = {x.item_id: x.text for x in bench.collect()}
+    texts = [" ".join(r.choice([*vocab, *items.values()]) for _ in range(n)) for n in (0, 1, 40, 200, 6_000)] + ["!W1,w2;" * 30, None]
+    d = docs_of(spark, texts).unionByName(docs_of(spark, texts[2:3], 2))
+    one = sorted(map(tuple, decontaminate.decontaminate(d, bench).drop("items").collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    two = sorted(map(tuple, decontaminate.decontaminate(d, bench).drop("items").collect()))
+    assert one == two and len(one) == 8 and one[5][1] > 6_000
+    assert {x.doc_id for x in decontaminate.clean(d, bench).collect()} == {x[0] for x in one if not x[5]}
