@@ -1,9 +1,9 @@
 """Chat formatting: schema fingerprints, canonical turns, one reversible template.
 
 A record's nested field paths are hashed to a fingerprint, and the fingerprint
-selects a declarative mapping into canonical turns. The template writes a turn
-as a segment, so that a conversation is its segments in order; it is never
-held as a whole, and reading back is a stream over the sorted segments.
+selects a declarative mapping into canonical turns. The template writes a
+conversation as a stream of segments in order; it is never held as a whole, and
+reading back finds the turns in that stream by the template's own marks.
 """
 
 from __future__ import annotations
@@ -15,10 +15,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import small_batches
+
 OPEN, SHUT, END = "### ", ":\n", "\n</turn>\n"
 #: Inside texts and roles these characters get a backslash, so that no control string can stand there.
 CONTROL = r"([\\#<:])"
@@ -42,22 +45,20 @@ def fingerprint(paths) -> str:
 
 RENAME = (("human", "user"), ("gpt", "assistant"), ("prompter", "user"), ("bot", "assistant"), ("model", "assistant"))
 #: Layouts by their field paths; an array's elements are marked [].
-LAYOUTS: dict[str, Mapping] = {
-    fingerprint(p): m
-    for p, m in [
-        (("role", "text"), Mapping("rows", "role", "text")),
-        (("messages[].role", "messages[].content"), Mapping("list", "role", "content", "messages", rename=RENAME)),
-        (("conversations[].from", "conversations[].value"), Mapping("list", "from", "value", "conversations", rename=RENAME)),
-        (("prompt", "completion"), Mapping("fields", fields=(("prompt", "user"), ("completion", "assistant")))),
-        (("prompt", "response"), Mapping("fields", fields=(("prompt", "user"), ("response", "assistant")))),
-        (("question", "answer"), Mapping("fields", fields=(("question", "user"), ("answer", "assistant")))),
-        (("instruction", "output"), Mapping("fields", fields=(("instruction", "user"), ("output", "assistant")))),
-        (("instruction", "input", "output"), Mapping("fields", fields=(("instruction", "user"), ("input", "user"), ("output", "assistant")))),
-        (("system", "prompt", "completion"), Mapping("fields", fields=(("system", "system"), ("prompt", "user"), ("completion", "assistant")))),
-        (("system", "instruction", "input", "output"), Mapping("fields", fields=(("system", "system"), ("instruction", "user"), ("input", "user"), ("output", "assistant")))),
-    ]
-}
-KNOWN_FIELDS = {"role", "text", "messages", "conversations", "prompt", "completion", "response", "question", "answer", "instruction", "input", "output", "system"}
+PATHS: list[tuple[tuple[str, ...], Mapping]] = [
+    (("role", "text"), Mapping("rows", "role", "text")),
+    (("messages[].role", "messages[].content"), Mapping("list", "role", "content", "messages", rename=RENAME)),
+    (("conversations[].from", "conversations[].value"), Mapping("list", "from", "value", "conversations", rename=RENAME)),
+    (("prompt", "completion"), Mapping("fields", fields=(("prompt", "user"), ("completion", "assistant")))),
+    (("prompt", "response"), Mapping("fields", fields=(("prompt", "user"), ("response", "assistant")))),
+    (("question", "answer"), Mapping("fields", fields=(("question", "user"), ("answer", "assistant")))),
+    (("instruction", "output"), Mapping("fields", fields=(("instruction", "user"), ("output", "assistant")))),
+    (("instruction", "input", "output"), Mapping("fields", fields=(("instruction", "user"), ("input", "user"), ("output", "assistant")))),
+    (("system", "prompt", "completion"), Mapping("fields", fields=(("system", "system"), ("prompt", "user"), ("completion", "assistant")))),
+    (("system", "instruction", "input", "output"), Mapping("fields", fields=(("system", "system"), ("instruction", "user"), ("input", "user"), ("output", "assistant")))),
+]
+LAYOUTS: dict[str, Mapping] = {fingerprint(p): m for p, m in PATHS}
+KNOWN_PATHS = {x for p, _ in PATHS for x in p}
 
 
 def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
@@ -79,8 +80,16 @@ def value_paths(value, at: str = "") -> list[str]:
 
 
 def mapping_of(paths) -> Mapping | None:
-    """The mapping for these paths, looking only at fields that some layout knows; other fields may be there as well."""
-    return LAYOUTS.get(fingerprint(p for p in paths if re.split(r"[.\[]", p)[0] in KNOWN_FIELDS))
+    """The mapping for these paths, by the fingerprint of those that some layout knows; other fields may be there as well.
+
+    Where known fields stand beside a whole layout, the layout of most fields is taken, of equals the first.
+    """
+    own = KNOWN_PATHS & set(paths)
+    exact = LAYOUTS.get(fingerprint(own))
+    if exact is not None:
+        return exact
+    parts = [p for p, _ in PATHS if own.issuperset(p)]
+    return LAYOUTS[fingerprint(max(parts, key=len))] if parts else None
 
 
 def canonical_turns(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn") -> DataFrame:
@@ -109,26 +118,35 @@ def canonical_turns(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn")
 def canonical_json(df: DataFrame, record: str, conv_id: str = "conv_id") -> DataFrame:
     """Columns conv_id, turn, role, text from JSON records of mixed layouts, each record by its own fingerprint.
 
-    A record that is null, no JSON object, or of no known layout gives one row
-    whose turn is -1 and whose role is ``unknown``, with the record as its text.
+    A record that is null, no JSON object, nested too deep to read, of no known
+    layout, or with a turn that is no 64-bit integer or a text that is no
+    Unicode, gives one row whose turn is -1 and whose role is ``unknown``, with
+    the record as its text.
     """
+    say = lambda v: v if isinstance(v, str) else "" if v is None else json.dumps(v, ensure_ascii=False)
 
-    def turns(text: str | None) -> list[tuple[int, str, str]]:
-        try:
-            value = json.loads(text or "")
-            m = mapping_of(value_paths(value)) if isinstance(value, dict) else None
-        except ValueError:
-            m = None
-        if m is None or m.kind == "rows" and not isinstance(value.get(m.role), str):
-            return [(-1, "unknown", text or "")]
-        say = lambda v: v if isinstance(v, str) else "" if v is None else json.dumps(v, ensure_ascii=False)
+    def read(text: str | None) -> list[tuple[int, str, str]] | None:
+        value = json.loads(text or "")
+        m = mapping_of(value_paths(value)) if isinstance(value, dict) else None
+        if m is None:
+            return None
         if m.kind == "rows":
-            return [(int(value.get("turn") or 0), say(value.get(m.role)), say(value.get(m.text)))]
+            turn = value.get("turn") or 0
+            ok = isinstance(value.get(m.role), str) and isinstance(turn, int) and -(1 << 63) <= turn < 1 << 63
+            return [(int(turn), say(value.get(m.role)), say(value.get(m.text)))] if ok else None
         if m.kind == "list":
             names = dict(m.rename)
             return [(i, names.get(say(v.get(m.role)), say(v.get(m.role))), say(v.get(m.text))) for i, v in enumerate(value[m.turns]) if isinstance(v, dict)]
         return [(i, r, say(value[f])) for i, (f, r) in enumerate(m.fields) if value.get(f) is not None]
 
+    def turns(text: str | None) -> list[tuple[int, str, str]]:
+        try:
+            got = read(text)
+            "".join(x for t in got or () for x in t[1:]).encode()
+        except (ValueError, RecursionError):
+            got = None
+        return [(-1, "unknown", text or "")] if got is None else got
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = [(i, *t) for i, r in zip(f["conv_id"], f["record"], strict=True) for t in turns(r)]
@@ -142,61 +160,124 @@ def escaped(c: Column) -> Column:
     return F.regexp_replace(c, CONTROL, r"\\$1")
 
 
-def format_turns(turns: DataFrame) -> DataFrame:
-    """Columns conv_id, turn, ord, segment, loss_from, loss_to: the conversation is its segments by (turn, ord).
+def format_turns(turns: DataFrame, piece: int = 1 << 16) -> DataFrame:
+    """Columns conv_id, turn, seq, part, segment, loss_from, loss_to: a formatted conversation is its segments by (seq, part).
 
-    ``ord`` orders turns of the same number by role and text, so that ties have one result. The loss mask, in code
-    points of the segment, covers an assistant's escaped text.
+    ``seq`` numbers the turns of a conversation from 1; turns of the same number are ordered by role and text, so that
+    ties have one result. A turn longer than ``piece`` code points goes on in further parts, wherever the cut falls. The
+    loss mask, in code points of the segment, covers an assistant's escaped text.
     """
+    order = Window.partitionBy("conv_id").orderBy("turn", F.concat_ws("\n", "role", "text"))
     role, body = escaped(F.col("role")), escaped(F.col("text"))
     head = F.concat(F.lit(OPEN), role, F.lit(SHUT))
-    seg = F.concat(head, body, F.lit(END))
-    start, n = F.length(head), F.length(body)
     mine = F.col("role") == "assistant"
-    return turns.select("conv_id", "turn", F.concat_ws("\n", "role", "text").alias("ord"), seg.alias("segment"), F.when(mine, start).alias("loss_from"), F.when(mine, start + n).alias("loss_to"))
+    whole = turns.select("conv_id", "turn", F.row_number().over(order).alias("seq"), F.concat(head, body, F.lit(END)).alias("w"), F.when(mine, F.length(head)).alias("a"), F.when(mine, F.length(head) + F.length(body)).alias("b"))
+    parts = F.sequence(F.lit(0), F.floor((F.length("w") - 1) / piece).cast("int"))
+    each = whole.select("*", F.explode(parts).alias("part"))
+    at = F.col("part") * piece
+    inside = (F.col("a") < at + piece) & (F.col("b") > at)
+    return each.select(
+        "conv_id", "turn", "seq", "part", F.substring(F.col("w"), at + 1, F.lit(piece)).alias("segment"),
+        F.when(inside, F.greatest(F.col("a") - at, F.lit(0))).alias("loss_from"), F.when(inside, F.least(F.col("b") - at, F.lit(piece))).alias("loss_to"),
+    )
+
+
+PLAIN = re.compile(r"(?:[^\\#<:]++|\\.)*+", re.S)
+ESCAPED = re.compile(r"\\(.)", re.S)
 
 
-SEGMENT = re.compile(r"### ((?:[^\\#<:]|\\.)*):\n((?:[^\\#<:]|\\.)*)\n</turn>\n", re.S)
-ESCAPED = re.compile(r"\\(.)", re.S)
+class Unescaped:
+    """Text without its escapes, from pieces that may be cut anywhere."""
+
+    def __init__(self):
+        self.rest = ""
+
+    def feed(self, s: str) -> str:
+        s = self.rest + s
+        odd = (len(s) - len(s.rstrip("\\"))) % 2
+        self.rest, s = ("\\", s[:-1]) if odd else ("", s)
+        return ESCAPED.sub(r"\1", s) if "\\" in s else s
+
+
+class Reader:
+    """One conversation, read from pieces of its formatted text: turns are found by the template's marks alone."""
+
+    def __init__(self):
+        self.turns, self.digest, self.chars = 0, hashlib.sha256(), 0
+        self.said, self.said_chars, self.masked = hashlib.sha256(), 0, Unescaped()
+        self.rest, self.state, self.held = "", 0, ""
+
+    def feed(self, segment: str, loss: tuple[int, int] | None) -> None:
+        self.chars += len(segment)
+        if loss:
+            said = self.masked.feed(segment[loss[0] : loss[1]])
+            self.said_chars += len(said)
+            self.said.update(said.encode())
+        s, i = self.rest + segment, 0
+        while i < len(s):
+            if self.state == 0:  # before a turn
+                if not s.startswith(OPEN, i):
+                    if len(s) - i >= len(OPEN) or not OPEN.startswith(s[i:]):
+                        raise ValueError("a turn must begin here")
+                    break
+                i, self.state = i + len(OPEN), 1
+            j = PLAIN.match(s, i).end()
+            text = s[i:j] if self.state == 1 else self.held + s[i:j]
+            if self.state == 2:  # the line break before the closing mark belongs to the mark
+                self.held = "\n" if text.endswith("\n") else ""
+                text = text[: len(text) - len(self.held)]
+            self.digest.update((ESCAPED.sub(r"\1", text) if "\\" in text else text).encode())
+            i, mark = j, SHUT if self.state == 1 else END[1:]
+            if not s.startswith(mark, i):
+                if len(s) - i >= len(mark) or s[i:] != "\\" and not mark.startswith(s[i:]):
+                    raise ValueError("a mark must stand here")
+                break
+            if self.state == 2:
+                if not self.held:
+                    raise ValueError("a turn must end with a line")
+                self.turns += 1
+                self.held = ""
+            self.digest.update(b"\n")
+            i, self.state = i + len(mark), (self.state + 1) % 3
+        self.rest = s[i:]
+
+    def done(self) -> tuple:
+        if self.state or self.rest:
+            raise ValueError("the last turn has no end")
+        return self.turns, self.digest.hexdigest(), self.said_chars, self.said.hexdigest(), self.chars
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """What the formatted conversations say, one row each: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    Segments are dealt by conversation and sorted, and each task streams over
-    them with running digests: a conversation of any length needs only the
-    memory of one batch. (A digest over one conversation is one task's work by
-    its nature.)
+    Segments are dealt by conversation and sorted, and each task reads them as
+    one stream of text with running digests: a conversation of any length
+    needs only the memory of one batch. (A digest over one conversation is one
+    task's work by its nature.)
     """
     cols = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kind = formatted.schema["conv_id"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state, begun = None, None, False
-        for f in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, reader = None, None
+        for whole in batches:
             out = []
-            ids = f["conv_id"].astype(object).where(f["conv_id"].notna(), None)
-            for conv, seg, a, b in zip(ids, f["segment"], f["loss_from"], f["loss_to"], strict=True):
-                if not begun or conv != now:
-                    if begun:
-                        out.append(done(now, state))
-                    now, begun, state = conv, True, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                m = SEGMENT.fullmatch(seg)
-                role, text = (ESCAPED.sub(r"\1", x) for x in m.groups())
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                if a == a and a is not None:
-                    said = ESCAPED.sub(r"\1", seg[int(a) : int(b)])
-                    state[2] += len(said)
-                    state[3].update(said.encode())
-                state[4] += len(seg)
-            yield pd.DataFrame(out, columns=cols)
-        if begun:
-            yield pd.DataFrame([done(now, state)], columns=cols)
-
-    def done(conv, s):
-        return (conv, s[0], s[1].hexdigest(), s[2], s[3].hexdigest(), s[4])
-
-    rows = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "ord")
+            for b in small_batches([whole], 64):
+                for conv, seg, x, y in zip(*(b[c].to_pylist() for c in ("conv_id", "segment", "loss_from", "loss_to")), strict=True):
+                    if reader is None or conv != now:
+                        if reader is not None:
+                            out.append((now, *reader.done()))
+                        now, reader = conv, Reader()
+                    reader.feed(seg, None if x is None else (x, y))
+            yield table(out, whole.schema.field("conv_id").type)
+            kept = whole.schema.field("conv_id").type
+        if reader is not None:
+            yield table([(now, *reader.done())], kept)
+
+    def table(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        kinds = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], cols)
+
+    rows = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "part")
     schema = f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return rows.select("conv_id", "segment", "loss_from", "loss_to").mapInPandas(run, schema)
+    return rows.select("conv_id", "segment", "loss_from", "loss_to").mapInArrow(run, schema)

@@ -153,6 +153,29 @@ def test_layouts_have_fingerprints(spark):
         chat_format.canonical_turns(typed.select("conv_id", "prompt"))
 
 
+def test_hostile_records_and_extra_fields(spark):
+    deep, base = "[" * 100_000 + "]" * 100_000, '{"role": "user", "text": "t", "turn": %s}'
+    bad = ['{"messages": ' + deep + "}", base % '"abc"', base % "1e999", base % "99999999999999999999", '{"prompt": "\\ud800", "completion": "x"}', base % "2"]
+    d = spark.createDataFrame(list(enumerate(bad)), "conv_id long, record string")
+    got = {r.conv_id: (r.turn, r.role, r.text) for r in chat_format.canonical_json(d, "record").collect()}
+    assert got[5] == (2, "user", "t") and all(got[i] == (-1, "unknown", bad[i]) for i in range(5))
+    more = '{"messages": [{"role": "user", "content": "q", "name": "n"}], "input": "x"}'
+    assert [(r.role, r.text) for r in chat_format.canonical_json(spark.createDataFrame([(1, more)], "conv_id long, record string"), "record").collect()] == [("user", "q")]
+    typed = spark.createDataFrame([(1, [("user", "q", "n")], "x")], "conv_id long, messages array<struct<role:string,content:string,name:string>>, input string")
+    assert [(r.role, r.text) for r in chat_format.canonical_turns(typed).collect()] == [("user", "q")]
+
+
+def test_chat_pieces_cut_anywhere(spark):
+    said = ["\\\\### Assistant: </turn> ok\\n", "\\n\\n", "", "#\\\\<:é🎉" * 9]
+    d = spark.createDataFrame([(c, i, r, t) for c in (1, 2) for i, t in enumerate(said) for r in ("assistant", "user")], "conv_id long, turn long, role string, text string")
+    whole = sorted(map(tuple, chat_format.read_back(chat_format.format_turns(d)).collect()))
+    for piece in (1, 2, 3, 7):
+        assert sorted(map(tuple, chat_format.read_back(chat_format.format_turns(d, piece)).collect())) == whole
+    assert whole[0][1] == 8 and whole[0][3] == sum(map(len, said))
+    with pytest.raises(ValueError):
+        chat_format.Reader().feed("### user:\nx</turn>\n", None)
+
+
 def brute_near(texts, k, sim=0.8):
     sets = []
     for t in texts:
@@ -264,13 +287,36 @@ def test_best_classes_gain_is_the_likelihood():
         assert by[new[w] - 1] == pytest.approx(max(by), abs=1e-6)
 
 
-def test_probabilities_of_the_model_sum_to_one(spark):
-    d = spark.createDataFrame([("the cat sat on the mat",), ("the dog sat",)], "t string")
-    m, vocab = class_lm.train(d)
-    assert np.allclose((10.0 ** m.move).sum(axis=1), 1)
-    inside = 10.0 ** m.emit[: 1 + m.units.top]
-    for c in set(m.cls[: 1 + m.units.top]):
-        assert inside[m.cls[: 1 + m.units.top] == c].sum() <= 1 + 1e-9
+def test_class_lm_against_plain_counts(spark, monkeypatch):
+    """Scores from the classes that were found, counted and summed in plain Python; most words are not held."""
+    for name, n in (("TOP", 5), ("HELD", 12), ("BLOCK", 4), ("FAN", 2)):
+        monkeypatch.setattr(class_lm, name, n)
+    r = random.Random(9)
+    texts = [" ".join(r.choice([f"n{r.randrange(9)}", f"v{r.randrange(9)}"]) + r.choice(["", "", "s"]) for _ in range(r.randrange(30))) for _ in range(60)]
+    d = docs_of(spark, texts).repartition(5)
+    docs = d.select(F.col("doc_id").alias("i"), F.lit(False).alias("held_out"), (F.col("doc_id") % 4 > 0).alias("learn"), F.col("text").alias("t"))
+    coded = class_lm.encode(docs)
+    model, held, rare, slices = class_lm.learned(coded, 6)
+    assert 0 < held.top <= 12 and rare.count() > 8
+    cls = dict(zip(held.wh.tolist(), held.cls.tolist(), strict=True)) | {x.wh: x.cls for x in rare.collect()} | {int(class_lm.END): 0}
+    h = lambda w: int(class_lm.END) if w == "\n" else int(class_lm.word_hashes([w]).view(np.int64)[0])
+    of = lambda w: cls.get(h(w), held.group_cls[class_lm.groups_of([w])[0]])
+    tok = {i: [*t.split(), "\n"] for i, t in enumerate(texts)}
+    learn = [t for i, t in tok.items() if i % 4]
+    n = Counter(w for t in learn for w in t)
+    assert len(cls) == len(n)
+    big = np.zeros((6, 6))
+    for t in learn:
+        for a, b in zip(["\n", *t], t, strict=False):
+            big[of(a), of(b)] += 1
+    into = big.sum(axis=0)
+    prior = (into + 1) / (into.sum() + 6)
+    places = np.bincount([*cls.values(), *held.group_cls], minlength=6)
+    prob = lambda a, b: (big[of(a), of(b)] + 8.0 * prior[of(b)]) / (big[of(a)].sum() + 8.0) * (n[b] + 0.5) / (into[of(b)] + 0.5 * places[of(b)])
+    for x in class_lm.score_texts(slices, model).collect():
+        t = tok[x.doc_id]
+        assert x.score == pytest.approx(sum(math.log10(prob(a, b)) for a, b in zip(["\n", *t], t, strict=False)))
+    assert np.allclose((10.0**model.move).sum(axis=1), 1)
 
 
 def test_pieces_equal_the_library(spark, sample):
