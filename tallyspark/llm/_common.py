@@ -64,7 +64,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     # every edge as (larger, smaller)
     cur = written(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    before = None
+    before, last = None, None
     for _ in range(max_rounds):
         # large star: every larger neighbour of u is tied to the least of u and its neighbours
         sym = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -74,7 +74,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         low = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         nxt = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        cur = written(nxt, "cc")
+        if last is not None:
+            forget(last)
+        last, cur = cur, written(nxt, "cc")
         state = cur.agg(F.count("*"), F.countDistinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break

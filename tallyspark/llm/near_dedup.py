@@ -15,7 +15,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import components, small_batches, written
@@ -162,11 +162,11 @@ def _pairs_out(pairs: list) -> pa.RecordBatch:
 
 
 def _tied(rows: DataFrame, cut: float) -> DataFrame:
-    """Edges (a, b) that tie together all members of a bucket whose estimates reach the cut: a forest, not all pairs."""
+    """Edges (a, b) that tie together all members of a block of a bucket whose estimates reach the cut: a forest, not all pairs."""
 
     def work(b: pa.Table) -> Iterator[pa.RecordBatch]:
         x = _arrays(b, ["id", "n"])
-        at = _starts(b, ["key"])
+        at = _starts(b, ["key", "b"])
         ends = np.r_[at[1:], b.num_rows]
         two = at[ends - at == 2]  # groups of two, most of all, at once
         either = (x["regs"][two] != EMPTY) | (x["regs"][two + 1] != EMPTY)
@@ -181,7 +181,7 @@ def _tied(rows: DataFrame, cut: float) -> DataFrame:
                 pairs += [(ids[i], ids[j]) for i, j in zip(*np.nonzero(np.triu(est >= cut, 1)), strict=True) if tree.join(i, j)]
         yield _pairs_out(pairs)
 
-    return _grouped(rows, ["key"], work, "a long, b long", ["key", "id", "n", "regs"]).distinct()
+    return _grouped(rows, ["key", "b"], work, "a long, b long", ["key", "b", "id", "n", "regs"]).distinct()
 
 
 def _linked(rows: DataFrame, cut: float, similarity: Fraction) -> DataFrame:
@@ -271,11 +271,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float | str = "0.8"
     document's class of equal sets to other classes that the search needed.
 
     Members of a band bucket whose estimates come near the threshold are tied
-    together by a forest of edges, all members of a bucket larger than a block by
-    a star; so every candidate pair lies in one tied-up group. The edges
-    themselves are confirmed first. Then, in groups that still hold several
-    components, the pairs between components are tried block by block, each
-    task ending a pair's turn as soon as a link has joined its ends.
+    together by a forest of edges, and the edges are confirmed on full sets; a
+    large bucket is dealt into blocks by a hash of the members, and after the
+    first links into other blocks once more. Then, in buckets whose members
+    are still not all joined, the pairs between components are tried block by
+    block, each task ending a pair's turn as soon as a link has joined its
+    ends. Blocks of one component never meet.
     """
     sim = Fraction(str(similarity))
     level = float(sim)
@@ -290,16 +291,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float | str = "0.8"
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     member = written(bands.join(shared, "key"), "members")
     cut = level - MARGIN
-    tied = _tied(member.where(F.col("size") <= BLOCK).join(reps, ["id", "t"]), cut)
+
+    def tied(rows: DataFrame, deal: int) -> DataFrame:
+        block = F.pmod(F.xxhash64(F.lit(deal), "id"), F.ceil(F.col("size") / BLOCK).cast("long"))
+        return _tied(rows.withColumn("b", block).join(reps, ["id", "t"]), cut)
+
+    pairs = written(tied(member, 0), "pairs")
     large = member.where(F.col("size") > BLOCK)
-    star = large.join(large.groupBy("key").agg(F.min("id").alias("a")), "key").where("a <> id").select("a", F.col("id").alias("b"))
-    pairs = written(tied.unionByName(star).distinct(), "pairs")
-    group = written(components(pairs).withColumnRenamed("component", "key"), "groups")
-    sets = written(_sets(docs, group.select("id"), k, text, doc_id), "sets")
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")).distinct()
+    sets = written(_sets(docs, ends, k, text, doc_id), "sets")
     links = written(_confirm(pairs, sets, sim), "links")
     comp = components(links)
-    rows = _between(group.join(sets.select("id", F.length("set").alias("bytes")), "id"), comp)
-    more = written(_linked(rows.join(reps, "id").join(sets, "id"), cut, sim), "links")
+    if not large.isEmpty():
+        again = tied(large, 1).join(pairs, ["a", "b"], "left_anti")
+        links = links.unionByName(written(_confirm(again, sets, sim), "links"))
+        comp = components(links)
+    # of a bucket of two the only pair has been tried
+    rows = _between(member.where("size > 2").join(sets.select("id", F.length("set").alias("bytes")), "id"), comp)
+    more = written(_linked(rows.join(reps, ["id", "t"]).join(sets, "id"), cut, sim), "links")
     if not more.isEmpty():
         links = links.unionByName(more)
         comp = components(links)
@@ -321,17 +330,35 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int, text: str, doc_id: str) -> Da
     return own.mapInArrow(run, "id long, set binary").where(F.length("set") > 0).dropDuplicates(["id"])
 
 
-def _between(group: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members of groups that hold several components, as pairs of blocks that are not of one component; blocks are bounded in members and in bytes of sets."""
-    own = group.join(comp, "id", "left").select("key", "id", "bytes", F.coalesce("component", "id").alias("comp"))
-    mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    so_far = F.sum(F.greatest(F.lit(1 / BLOCK), F.col("bytes") / BLOCK_BYTES)).over(Window.partitionBy("key").orderBy("comp", "id"))
-    own = written(own.join(mixed, "key").withColumn("b", F.floor(so_far - 1e-9).cast("int")), "between")
-    blocks = own.groupBy("key", "b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    p = blocks.select("key", F.col("b").alias("p"), "lo", "hi")
-    q = blocks.select("key", F.col("b").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    todo = p.join(q, "key").where("p <= q and not (lo = hi and lo2 = hi2 and lo = lo2)").select("key", "p", "q")
+def _between(member: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, as the pairs of blocks in which they meet; blocks are bounded in members and in bytes of sets.
+
+    A component that fills a block has blocks of its own, which do not meet one
+    another; all smaller ones of a bucket are dealt together. Buckets of the
+    same members count once.
+    """
+    own = member.join(comp, "id", "left").select("key", "id", "t", "bytes", F.coalesce("component", "id").alias("comp"))
+    mixed = own.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("first"))
+    once = mixed.where("n > 2 and lo <> hi").groupBy("n", "lo", "hi", "x", "first").agg(F.min("key").alias("key")).select("key")
+    own = written(own.join(once, "key"), "between")
+    size = own.groupBy("key", "comp").agg(F.sum(F.greatest(F.lit(1 / BLOCK), F.col("bytes") / BLOCK_BYTES)).alias("w"))
+    size = size.withColumn("big", F.col("w") >= 1)
+    rest = size.where("not big").groupBy("key").agg(F.ceil(F.sum("w") - 1e-9).alias("n"))
+    of_big = size.where("big").select("key", "comp", F.ceil("w").alias("n"))
+    dealt = F.pmod(F.xxhash64("id"), F.col("n"))
+    big = own.join(of_big, ["key", "comp"]).select("key", "id", "t", "comp", F.xxhash64("comp", dealt).alias("block"))
+    small = own.join(size.where("not big").select("key", "comp"), ["key", "comp"]).join(rest, "key").select("key", "id", "t", "comp", F.xxhash64(F.lit("small"), dealt).alias("block"))
+    own = written(big.withColumn("big", F.lit(True)).unionByName(small.withColumn("big", F.lit(False))), "blocks")
+    blocks = own.groupBy("key", "block", "big").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    s, b = blocks.where("not big"), blocks.where("big")
+    right = lambda d: d.select("key", F.col("block").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    left = lambda d: d.select("key", F.col("block").alias("p"), "lo", "hi")
+    among = left(s).join(right(s), "key").where("p <= q and not (lo = hi and lo2 = hi2 and lo = lo2)")
+    across = left(s).join(right(b), "key")
+    two = of_big.select("key", "comp").join(of_big.select("key", F.col("comp").alias("comp2")), "key").where("comp < comp2")
+    apart = two.join(b.select("key", F.col("lo").alias("comp"), F.col("block").alias("p")), ["key", "comp"]).join(b.select("key", F.col("lo").alias("comp2"), F.col("block").alias("q")), ["key", "comp2"])
+    todo = among.select("key", "p", "q").unionByName(across.select("key", "p", "q")).unionByName(apart.select("key", "p", "q"))
     # each pair of blocks asks for its one or two blocks
-    asked = todo.select("key", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("b"))
-    side = F.when(F.col("p") == F.col("q"), 2).when(F.col("b") == F.col("p"), 0).otherwise(1)
-    return own.join(asked, ["key", "b"]).select("key", "id", "p", "q", side.alias("side"), "comp")
+    asked = todo.select("key", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
+    side = F.when(F.col("p") == F.col("q"), 2).when(F.col("block") == F.col("p"), 0).otherwise(1)
+    return own.join(asked, ["key", "block"]).select("key", "id", "t", "p", "q", side.alias("side"), "comp")
