@@ -53,7 +53,7 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         rolled = np.zeros(len(h), np.uint64)
         for j in range(k):  # position-dependent, so that the order of the words counts
-            rolled[: len(h) - j] += mix(h[j:] + np.uint64(0x9E3779B97F4A7C15) * np.uint64(j + 1))
+            rolled[: max(0, len(h) - j)] += mix(h[j:] + np.uint64(0x9E3779B97F4A7C15) * np.uint64(j + 1))
         for n, end in zip(counts, ends, strict=True):
             if n >= k:
                 out.append(np.unique(mix(rolled[end - n : end - k + 1])))

@@ -404,3 +404,89 @@ def test_decontamination_by_shuffle_is_the_same(spark, monkeypatch):
     two = sorted(map(tuple, decontaminate.decontaminate(d, bench).drop("items").collect()))
     assert one == two and len(one) == 8 and one[5][1] > 6_000
     assert {x.doc_id for x in decontaminate.clean(d, bench).collect()} == {x[0] for x in one if not x[5]}
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Repeated rows, null ids and texts, no labels, and an empty table."""
+    pipe = pytest.importorskip("corpus_pipeline")
+    long = "".join(random.Random(i).choice("abcdefgh ") for i in range(900))
+    rows = [(1, long, None), (1, long, None), (None, "y" + long[::-1], None), (None, "y" + long[::-1], None), (2, None, "en"), (3, "123 ²³ ½", "en"), (4, "", None), (5, "five words are in here", None)]
+    d = spark.createDataFrame([(i, t, x, "s", 1) for i, t, x in rows], ", ".join(f"{c} {k}" for c, k in zip(pipe.COLUMNS, ("long", "string", "string", "string", "long"), strict=True)))
+    spark.createDataFrame([(1, "nothing of this")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for n, docs in ((3, d), (0, d.limit(0))):
+        docs.write.parquet(f"{tmp_path}/documents.parquet", mode="overwrite")
+        a = pipe.language(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+        assert a.count() == (5 if n else 0)
+        out = pipe.run(spark, str(tmp_path)).collect()
+        assert sorted(str(r.doc_id) for r in out) == ["1", "5", "None"][: n or 0] and (not n or all(r.n_tokens > 3 for r in out))
+
+
+def test_language_kernel_is_the_blended_one():
+    """Kernel values and the ridge solution against sets and a plain solve."""
+    texts = ["the cat sat on the mat", "der Hund läuft im Wald", "THE dog 1 2", "ein Wald"]
+
+    def grams(t):
+        b = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in f" {t} ".encode())
+        return [{b[i : i + n] for i in range(len(b) - n + 1)} for n in (1, 2, 3)]
+
+    want = [[sum(len(a & b) / math.sqrt(len(a) * len(b)) for a, b in zip(grams(x), grams(y), strict=True)) / 3 for y in texts] for x in texts]
+    g = language_id.Grams()
+    marks = language_id.Landmarks([np.concatenate(g.of(t)) for t in texts])
+    got = marks.kernel(texts, g, marks.columns())
+    assert np.allclose(got, want, atol=1e-6)
+    w, langs = language_id.fit(got, got, ["en", "de", "en", "de"], 0.3)
+    assert [langs[k] for k in (got @ w[:-1] + w[-1]).argmax(axis=1)] == ["en", "de", "en", "de"]
+    # kernel ridge on all landmarks: z z' is the kernel, with an intercept that is shrunk like the rest
+    y = np.array([[-1.0, 1.0], [1.0, -1.0]] * 2)
+    k = np.array(want) + 1
+    assert np.allclose(got @ w[:-1] + w[-1], k @ np.linalg.solve(k + 0.3 * np.eye(4), y), atol=1e-3)
+
+
+def test_texts_without_letters_and_languages_without_labels(spark):
+    d = spark.createDataFrame([(0, "²³ ½", "en"), (1, "a b c", "en"), (2, "d e f", "de"), (3, "ªº", "en"), (None, "x", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(d, language_id.train(d)).collect()}
+    assert got[0] == "und" and {got[1], got[2], got[None]} <= {"en", "de"} and got[3] != "und"
+    none = {r.doc_id: r.lang_pred for r in language_id.identify(d, language_id.train(d.withColumn("lang", F.lit(None).cast("string")))).collect()}
+    assert none[0] == "und" and none[1] is None
+
+
+def test_toxic_matches_against_plain_search():
+    r = random.Random(5)
+    lexicon = {"bad": 1.0, "ill*": 2.0, "vile": 4.0}
+    found_by = toxicity.automaton(lexicon)
+    for _ in range(300):
+        f = toxicity.fold(" ".join(r.choice(["bad", "b4d", "badly", "illness", "1ll", "il", "vile", "v1le", "vi1e", "x", "ßad", "é"]) for _ in range(12)))
+        want = sorted((m.start(), p) for p in lexicon for m in re.finditer(r"(?<![^\W\d_])" + p.rstrip("*") + ("" if p[-1] == "*" else r"(?![^\W\d_])"), f))
+        got = [(s, p) for s, p in toxicity.matches(f, found_by) if f.startswith(p.rstrip("*"), s)]
+        assert sorted(got) == want
+        assert toxicity.measure(f, lexicon, frozenset(), want) == (sum(lexicon[p] for _, p in want), 12.0)
+
+
+def test_long_texts(spark):
+    """Megabytes of one letter, of spaces, of words, of other scripts: whole, and in time that grows with them."""
+    import sentencepiece as spm
+    from tokenizers import Tokenizer
+
+    model, bpe, r = queries.tokenizer("piece_bpe_32k.model"), queries.tokenizer("byte_bpe_50k.json"), random.Random(7)
+    n = 300_000
+    texts = ["a" * n, " " * n, "".join(r.choice("abcdefghij") for _ in range(n)), "word " * (n // 5), "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(n // 3))]
+    d = docs_of(spark, texts).repartition(5)
+    sp, lib = spm.SentencePieceProcessor(model_file=model), Tokenizer.from_file(bpe)
+    for x in pieces.piece_digests(d, model).collect():
+        ids = [*sp.encode(texts[x.doc_id]), sp.eos_id()]
+        assert x.n_tokens == len(ids) and x.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    for x in token_counts.count_tokens(d.where("doc_id > 1"), bpe).collect():
+        assert x.n_tokens == len(lib.encode(texts[x.doc_id], add_special_tokens=False).ids)
+    assert {x.doc_id: x.n_removed for x in suffix_dedup.substring_digests(d.where("doc_id in (0, 3)")).collect()} == {0: n, 3: n}
+    assert near_dedup.near_duplicates(d, 5).count() == 5 and class_lm.class_lm(d).count() == 5
+    assert {x.doc_id: x.lang_pred for x in language_id.identify(d, language_id.train(d)).collect()}[1] == "und"
+    bench = spark.createDataFrame([(1, "word " * 10)], "item_id long, text string")
+    assert {x.doc_id: x.n_hit for x in decontaminate.decontaminate(d, bench).collect()} == {0: 0, 1: 0, 2: 0, 3: n // 5, 4: 0}
+    turns = d.select(F.col("doc_id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), "text")
+    assert {x.conv_id: x.formatted_chars for x in chat_format.read_back(chat_format.format_turns(turns)).collect()} == {i: len(t) + 19 for i, t in enumerate(texts)}
+
+
+def test_one_digest_is_encoded_once(spark, tmp_path):
+    d = docs_of(spark, ["same text"]).select("doc_id", "text").crossJoin(spark.range(700)).drop("id").repartition(7)
+    assert token_counts.count_tokens(d, queries.tokenizer("byte_bpe_50k.json"), str(tmp_path / "c")).count() == 700
+    assert spark.read.parquet(str(tmp_path / "c")).count() == 1
