@@ -528,6 +528,7 @@ def learned(coded_docs: DataFrame, classes: int) -> tuple[Model, Held, DataFrame
     end = words.where(F.col("wh") == int(END)).select("n").first()
     held = first_classes(coded_docs, words.where((F.col("n") >= held_from(words)) & (F.col("grp") >= 0)).toPandas(), classes)
     forget(words)
+    sweep(spark)
     counts = neighbours(coded_docs, held)
     big = bigrams(counts, classes)
     while True:
@@ -543,6 +544,7 @@ def learned(coded_docs: DataFrame, classes: int) -> tuple[Model, Held, DataFrame
             break
     forget(counts)
     rare = rare_classes(coded_docs, held, big)
+    sweep(spark)
     slices_ = resolved(coded_docs, held, rare)
     sweep(spark)
     in_class = np.bincount(held.cls, minlength=classes).astype(float)
