@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,11 +64,21 @@ def letters(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda x: x != "")
 
 
+@lru_cache
+def _plain_letters() -> tuple[str, str]:
+    """Lower-case letters of the Latin blocks that decompose to one letter and marks, and these letters."""
+    out = {}
+    for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base = "".join(x for x in unicodedata.normalize("NFKD", chr(i)) if not unicodedata.combining(x))
+        if len(base) == 1 and base != chr(i) and chr(i).islower():
+            out[chr(i)] = base
+    return "".join(out), "".join(out.values())
+
+
 def folded_name(c: Column) -> Column:
-    """A name as it is matched: no accents, hyphens as spaces, no generation suffix."""
-    # fixed values: accented letters and the plain letters that stand for them
-    plain = F.translate(F.lower(c), "àáâãäåçćčđèéêëēėęìíîïīįñńòóôõöøōšśùúûüūųýÿžźż", "aaaaaacccdeeeeeeeiiiiiinnooooooossuuuuuuyyzzz")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "[-']", " "), r"\s+", " "), r" (jr|sr|ii|iii|iv)\.?$", ""))
+    """A name as it is matched: no accents (by decomposition, so that letters which do not decompose stay), hyphens as spaces, no generation suffix."""
+    plain = F.regexp_replace(F.translate(F.lower(c), *_plain_letters()), r"\p{M}+", "")
+    return F.regexp_replace(F.trim(F.regexp_replace(plain, r"[-\s]+", " ")), r" (jr\.?|sr\.?|ii|iii|iv|v)$", "")
 
 
 def edit_budget(word: Column) -> Column:
@@ -85,3 +98,25 @@ def distance(x: Column, y: Column) -> Column:
 def possessions(attempts: Column, offensive: Column, turnovers: Column, free: Column) -> Column:
     """Plays that a side used, by the usual estimate."""
     return attempts - offensive + turnovers + F.lit(0.44) * free
+
+
+def ratings(points: Column, allowed: Column, used: Column, games: Column) -> dict[str, Column]:
+    """Pace, and what was scored and allowed in a hundred possessions, from season totals."""
+    return {
+        "pace": ratio(used, games), "offensive_rating": ratio(points, used, 100.0), "defensive_rating": ratio(allowed, used, 100.0), "net_rating": ratio(points - allowed, used, 100.0),
+    }
+
+
+def of_class(text: Column, some: tuple[str, ...] = (), none: tuple[str, ...] = (), equal: tuple[str, ...] = ()) -> Column:
+    """Whether a type's text is one of ``equal``, or like one of ``some`` and none of ``none``, whatever its case; a null text is of no class."""
+    like = F.lit(False)
+    for p in some:
+        like = like | text.ilike(p)
+    for p in none:
+        like = like & ~text.ilike(p)
+    return F.coalesce(text.isin(*equal) | like if equal else like, F.lit(False))
+
+
+def starts_word(c: Column, start: str) -> Column:
+    """Whether a word of a name begins so."""
+    return F.exists(letters(c), lambda w: F.startswith(w, F.lit(start.lower())))

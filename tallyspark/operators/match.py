@@ -27,10 +27,11 @@ def _deletes(frame: DataFrame, word: str) -> DataFrame:
     return frame.withColumn("form", F.explode(F.array_distinct(F.concat(F.array(F.col(word)), first, second))))
 
 
-def edits(a: str, b: str) -> int:
-    """Edits with swaps of neighbours, of which the swapped letters may be edited again."""
+def edits(one: str, other: str) -> int:
+    """Edits of UTF-8 bytes with swaps of neighbours, of which the swapped ones may be edited again."""
+    a, b = one.encode(), other.encode()
     far = len(a) + len(b)
-    last: dict[str, int] = {}
+    last: dict[int, int] = {}
     rows = [[far] * (len(b) + 2), [far, *range(len(b) + 1)]]
     for i, x in enumerate(a, 1):
         row, at = [far, i], 0
@@ -51,6 +52,8 @@ def near_words(left: DataFrame, right: DataFrame) -> DataFrame:
     a = left.select("word").distinct().withColumn("budget", edit_budget(F.col("word")))
     b = right.select(F.col("word").alias("near")).distinct().withColumn("budget", F.lit(2))
     pairs = _deletes(a, "word").select("word", "form", F.col("budget").alias("most")).join(_deletes(b, "near").select("near", "form"), "form").select("word", "near", "most").distinct()
+    # a swap is two plain edits, and a character is a byte at least
+    pairs = pairs.where(F.levenshtein("word", "near") <= 2 * F.col("most"))
 
     @F.pandas_udf("int")
     def gap(x: pd.Series, y: pd.Series) -> pd.Series:

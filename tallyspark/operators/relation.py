@@ -150,6 +150,12 @@ class Rel:
     def series_game(self, numbered: DataFrame, on: list[str], n: int, col: str = "game_no") -> Rel:
         return self.with_df(self.df.join(numbered.where(F.col(col) == n).select(*on), on, "left_semi"))
 
+    def in_round(self, rounds: DataFrame, on: list[str], n: int, conference: str | None = None) -> Rel:
+        """Rows whose event is of round ``n``, and of a conference if one is named; ``rounds`` has the columns round and conference."""
+        some = rounds.where(F.col("round") == n)
+        some = some if conference is None else some.where(F.col("conference") == conference)
+        return self.with_df(self.df.join(some.select(*on), on, "left_semi"))
+
     # dates
     def on_day(self, day: str, zone: str = "UTC") -> Rel:
         begin, end = day_range(day, zone)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from .windows import keep_one
 def swap_sides(df: DataFrame, fixes: DataFrame, key: str, a: str, b: str, served: str) -> DataFrame:
     """Rows of listed keys get two columns swapped, but only while they are still served with the value that is wrong."""
     f = fixes.select(F.col(key), F.col(served).alias("_wrong"))
-    out = df.join(F.broadcast(f), key, "left")
+    out = df.join(f, key, "left")
     hit = F.col("_wrong").isNotNull() & (F.col(a) == F.col("_wrong"))
     x, y = F.when(hit, F.col(b)).otherwise(F.col(a)), F.when(hit, F.col(a)).otherwise(F.col(b))
     return out.withColumns({"_x": x, "_y": y, "swapped": F.coalesce(hit, F.lit(False))}).withColumns({a: F.col("_x"), b: F.col("_y")}).drop("_wrong", "_x", "_y")
@@ -38,9 +40,54 @@ def with_share(df: DataFrame, event: list[str], value: str, name: str = "share")
     return df.withColumn(name, ratio(F.col(value), F.sum(value).over(Window.partitionBy(*event))))
 
 
-def shooting(made: Column, attempts: Column, threes: Column, points: Column, free: Column) -> dict[str, Column]:
+BOX = ("minutes", "fga", "fgm", "fg3m", "fta", "ftm", "points", "oreb", "dreb", "ast", "stl", "blk", "fouls", "tov")
+
+
+def _with_team(box: DataFrame, team: list[str]) -> DataFrame:
+    """Box lines (columns BOX) with their side's minutes and plays, and their own plays; one window, no join."""
+    w = Window.partitionBy(*team)
+    used = lambda f: f("fga") + F.lit(0.44) * f("fta") + f("tov")
+    of_team = lambda c: F.sum(F.col(c)).over(w)
+    return box.withColumns({"_used": used(F.col).cast("double"), "_team_used": used(of_team).cast("double"), "_team_minutes": of_team("minutes").cast("double")})
+
+
+def game_score() -> Column:
+    """A line's figures weighed into one; exact where they are integers."""
+    c, x = F.col, lambda v: F.lit(Decimal(v))
+    out = c("points") + x("0.4") * c("fgm") - x("0.7") * c("fga") - x("0.4") * (c("fta") - c("ftm")) + x("0.7") * c("oreb") + x("0.3") * c("dreb")
+    return (out + c("stl") + x("0.7") * c("ast") + x("0.7") * c("blk") - x("0.4") * c("fouls") - c("tov")).cast("double")
+
+
+def advanced_game(box: DataFrame, team: list[str]) -> DataFrame:
+    """Box lines with ts_pct, efg_pct, usage_pct and game_score; ``team`` is the key of a side in an event. Null without attempts, and usage without minutes."""
+    d = _with_team(box, team)
+    s = shooting(F.col("fgm"), F.col("fga"), F.col("fg3m"), F.col("points"), F.col("fta"), 1.0)
+    usage = F.when(F.col("minutes") > 0, ratio(F.col("_used") * F.col("_team_minutes") / 5.0, F.col("minutes") * F.col("_team_used"), 100.0))
+    return d.withColumns(s | {"usage_pct": usage, "game_score": game_score()}).drop("_used", "_team_used", "_team_minutes")
+
+
+def advanced_season(box: DataFrame, team: list[str], key: list[str]) -> DataFrame:
+    """Season lines: each metric a ratio of sums beside the volume that it qualifies on."""
+    d = _with_team(box, team)
+    total = lambda c: F.sum(F.col(c)).cast("double")
+    tried = total("fga") + 0.44 * total("fta")
+    return d.groupBy(*key).agg(
+        F.count("points").alias("games_played"), F.sum("fga").cast("long").alias("field_goals_attempted"), tried.alias("true_shooting_attempts"), ratio(total("points"), 2.0 * tried).alias("ts_pct"),
+        ratio(total("fgm") + 0.5 * total("fg3m"), total("fga")).alias("efg_pct"), ratio(F.sum(F.col("_used") * F.col("_team_minutes") / 5.0), F.sum(F.col("minutes").cast("double") * F.col("_team_used")), 100.0).alias("usage_pct"), F.avg(game_score()).alias("avg_game_score"),
+    )
+
+
+def fact_log(lines: DataFrame, events: DataFrame, names: list[tuple[DataFrame, str]], event: str = "event") -> DataFrame:
+    """Fact lines with their event's columns and, by each key in turn, the columns of a dimension; every line stays."""
+    out = lines.join(events, event, "left")
+    for dim, key in names:
+        out = out.join(dim, key, "left")
+    return out
+
+
+def shooting(made: Column, attempts: Column, threes: Column, points: Column, free: Column, times: float = 100.0) -> dict[str, Column]:
     """True and effective shooting as ratios, null without attempts."""
-    return {"ts_pct": ratio(points, 2 * (attempts + F.lit(0.44) * free), 100.0), "efg_pct": ratio(made + F.lit(0.5) * threes, attempts, 100.0)}
+    return {"ts_pct": ratio(points, 2 * (attempts + F.lit(0.44) * free), times), "efg_pct": ratio(made + F.lit(0.5) * threes, attempts, times)}
 
 
 def rebuild_lines(events: DataFrame, key: list[str], actors: list[tuple[str, dict[str, Column]]], roster: DataFrame | None = None) -> DataFrame:
@@ -93,8 +140,8 @@ def real_events(events: DataFrame, detail: DataFrame, members: DataFrame, event:
     return keep_one(rows, ["_a", "_b", day, season], [F.col("_detail").desc(), *[F.col(c).asc() for c in event]]).drop("_a", "_b", "_any", "_detail")
 
 
-def number_series(events: DataFrame, a: str, b: str, order: list[str], season: list[str]) -> DataFrame:
-    """Each pair's series numbered from both sides; the round where both agree, and each event's number in its series."""
+def number_series(events: DataFrame, a: str, b: str, order: list[str], season: list[str], given: str | None = None) -> DataFrame:
+    """Each pair's series numbered from both sides; the round where both agree, and each event's number in its series, or the ``given`` one where there is one."""
     pair = [F.least(a, b).alias("x"), F.greatest(a, b).alias("y")]
     series = events.select(*season, *pair, *order).groupBy(*season, "x", "y").agg(F.min(F.struct(*order)).alias("_first"))
     side = series.select(*season, "x", "y", "_first", F.explode(F.array("x", "y")).alias("member"))
@@ -103,6 +150,7 @@ def number_series(events: DataFrame, a: str, b: str, order: list[str], season: l
     rounds = rounds.select(*season, "x", "y", F.when(F.col("lo") == F.col("hi"), F.col("lo")).cast("long").alias("round"))
     rows = events.withColumns({"x": pair[0], "y": pair[1]})
     no = F.row_number().over(Window.partitionBy(*season, "x", "y").orderBy(*order)).cast("long")
+    no = F.coalesce(F.col(given).cast("long"), no) if given else no
     return rows.withColumn("game_no", no).join(rounds, [*season, "x", "y"])
 
 

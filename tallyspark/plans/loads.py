@@ -412,11 +412,15 @@ def k11_ambiguous_aliases(t: Tables):
 
 
 def _folder(t: Tables, name: str) -> str:
-    """A new folder that all executors share: under the checkpoint folder, or a temporary one where none is set, as in tests."""
+    """A new folder that all executors share: under the checkpoint folder, or a temporary one where none is set and all run on one machine, as in tests."""
     import tempfile
     import uuid
 
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-load-")
+    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-load-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

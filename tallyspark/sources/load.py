@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,10 +29,20 @@ def promoted(kinds: list[T.DataType]) -> T.DataType:
     return T.StringType()
 
 
-def files_of(spark: SparkSession, path: str) -> list[str]:
-    """Parquet files of a tree, in order, listed with Spark's own file source."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-    return sorted(r["path"] for r in listed.select("path").collect())
+def by_schema(spark: SparkSession, path: str) -> list[list[str]]:
+    """The files of a tree by the schema in their footers, which tasks read; what comes to the driver is a list of paths for each schema."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path")
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kinds = []
+            for p in b["path"].to_pylist():
+                fs, name = (LocalFileSystem(), re.sub("^file:/*", "/", p)) if p.startswith(("file:", "/")) else FileSystem.from_uri(quote(p, safe="/:@"))
+                kinds.append(pq.read_schema(name, filesystem=fs).remove_metadata().to_string())
+            yield pa.RecordBatch.from_arrays([b["path"], pa.array(kinds, pa.string())], ["path", "kind"])
+
+    groups = listed.mapInArrow(footers, "path string, kind string").groupBy("kind").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return sorted(r["paths"] for r in groups.collect())
 
 
 def read_drifting(spark: SparkSession, path: str, promote: dict[str, str] | None = None, groups: list[list[str]] | None = None) -> DataFrame:
@@ -37,10 +52,7 @@ def read_drifting(spark: SparkSession, path: str, promote: dict[str, str] | None
     that share a schema, where a writer knows them; otherwise footers tell.
     """
     if groups is None:
-        by: dict[str, list[str]] = {}
-        for f in files_of(spark, path):
-            by.setdefault(spark.read.parquet(f).schema.json(), []).append(f)
-        groups = list(by.values())
+        groups = by_schema(spark, path)
     frames = [spark.read.option("recursiveFileLookup", "true").parquet(*g) for g in groups]
     kinds: dict[str, list[T.DataType]] = {}
     for f in frames:
@@ -98,6 +110,16 @@ def write_rows(spark: SparkSession, rows: list[dict], schema: str, path: str) ->
     spark.createDataFrame([tuple(r.get(c) for c in kind.names) for r in rows], kind).write.mode("append").parquet(path)
 
 
+def load_rows(spark: SparkSession, landed: str, schema: str, path: str) -> None:
+    """Landed JSON lines of ragged records to Parquet, read and checked by tasks; a missing key is null, a key outside the schema an error."""
+    kind = T._parse_datatype_string(schema)
+    keys = spark.read.text(landed).select(F.explode(F.json_object_keys("value")).alias("k")).distinct()
+    extra = sorted(r["k"] for r in keys.where(~F.col("k").isin(kind.names)).limit(20).collect())
+    if extra:
+        raise ValueError(f"unknown columns {extra}")
+    spark.read.schema(kind).json(landed).write.mode("append").parquet(path)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """New keys and new values win; old keys stay, and a value that the new row lacks stays too."""
     values = [c for c in old.columns if c not in key]

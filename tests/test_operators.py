@@ -168,3 +168,32 @@ def test_resolve_names_takes_the_established_id_of_a_shared_event(spark):
     events = spark.createDataFrame([(1, 10), (2, 10), (2, 11), (3, 12), (4, 13)], "id int, event int")
     rows = spark.createDataFrame([("Ann",), ("ann",), ("Bob",), ("Cy",)], "name string")
     assert {r.name: r.id for r in match.resolve_names(rows, dim, "name", "id", events).collect()} == {"Ann": 2, "ann": 2, "Bob": None, "Cy": 5}
+
+
+def test_folding_is_decomposition(spark):
+    """Every lower-case letter of the Latin blocks, against the decomposition of Python's own tables; all suffix forms."""
+    import unicodedata
+
+    letters = [chr(i) for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if chr(i).islower()]
+    plain = {c: "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) for c in letters}
+    d = spark.createDataFrame([(c, f"x{c}y") for c in letters], "c string, n string").select("c", scalar.folded_name(F.col("n")).alias("f"))
+    for r in d.collect():
+        if len(plain[r.c]) == 1:
+            assert r.f == f"x{plain[r.c]}y"
+    names = ["A B Jr.", "A B jr", "A B Sr", "A B II", "A B III", "A  B IV", "A-B V", " A B "]
+    assert {r.f for r in spark.createDataFrame([(n,) for n in names], "n string").select(scalar.folded_name(F.col("n")).alias("f")).collect()} == {"a b"}
+
+
+def test_edits_count_bytes():
+    assert match.edits("č", "c") == 2 and match.edits("jokci", "jokic") == 1 and match.edits("ab", "ba") == 1
+
+
+def test_folders_must_be_shared_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tallyspark.plans.loads import _folder
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    t = SimpleNamespace(spark=SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)))
+    with pytest.raises(ValueError):
+        _folder(t, "x")

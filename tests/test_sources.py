@@ -85,3 +85,18 @@ def test_summary_documents(spark):
     assert (box["11"].fieldGoalsMade, box["11"].fieldGoalsAttempted, box["11"].opponent_team_id) == (7, 14, "2") and box["12"].minutes is None and box["12"].did_not_play
     assert [(r.play_id, r.athlete_id, r.participant_athlete_ids) for r in t["plays"].orderBy("play_id").collect()] == [("p1", "11", "11,12"), ("p2", None, "")] or t["plays"].count() == 2
     assert t["shots"].count() == 1 and t["win_probability"].count() == 1 and t["players"].count() == 2 and t["glossary"].first().label == "Assists"
+
+
+def test_landed_rows_with_an_unknown_key_are_refused(spark, tmp_path):
+    spark.createDataFrame([('{"a": 1}',), ('{"b": "x", "c": 2}',)], "value string").write.text(str(tmp_path / "in"))
+    with pytest.raises(ValueError):
+        load.load_rows(spark, str(tmp_path / "in"), "a int, b string", str(tmp_path / "out"))
+    load.load_rows(spark, str(tmp_path / "in"), "a int, b string, c int", str(tmp_path / "out"))
+    assert sorted(map(str, rows(spark.read.parquet(str(tmp_path / "out"))))) == ["(1, None, None)", "(None, 'x', 2)"]
+
+
+def test_many_files_are_grouped_by_footers(spark, tmp_path):
+    p = str(tmp_path / "t")
+    spark.range(200).repartition(40).write.parquet(f"{p}/a")
+    spark.range(5).selectExpr("id", "cast(id as double) as v").write.parquet(f"{p}/b c")
+    assert sorted(map(len, load.by_schema(spark, p)))[-1] == 40 and load.read_drifting(spark, p).count() == 205
