@@ -20,13 +20,14 @@ from ._common import bounded_sample, written
 
 #: Largest integer that a double holds with every smaller one; products beyond it are computed with Python's integers.
 EXACT = 1 << 53
+LONG = (1 << 63) - 1
 
 
 def whole(embedding: Column) -> Column:
-    """floor(256 x) of each component; null where the vector is null, or holds a null or a non-finite component."""
-    d = embedding.cast("array<double>")
+    """floor(256 x) of each component, exact at any size; null where the vector is null, or holds a null or a component for which that is not finite."""
+    d = F.transform(embedding.cast("array<double>"), lambda x: x * 256)
     good = F.forall(d, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return F.when(good, F.transform(d, lambda x: F.floor(x * 256).cast("double")))
+    return F.when(good, F.transform(d, lambda x: F.when(F.abs(x) < float(EXACT), F.floor(x).cast("double")).otherwise(x)))
 
 
 def pack(df: DataFrame, norm2: float, pivots: np.ndarray) -> DataFrame:
@@ -66,13 +67,13 @@ def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.array([sum(int(a) * b for a, b in zip(r, big, strict=True)) for r in c], object)
 
 
-def search_block(qid: np.ndarray, q: np.ndarray, qd: np.ndarray, cid: np.ndarray, c: np.ndarray, cd: np.ndarray, norm2: float, k: int, step: int = 256):
-    """The k best (query, candidate, score) of each query within one block of candidates, by pivot elimination."""
+def search_block(qid: np.ndarray, q: np.ndarray, qd: np.ndarray, cid: np.ndarray, c: np.ndarray, cd: np.ndarray, norm2: float, k: int, step: int = 256, seen: list[int] | None = None):
+    """The k best (query, candidate, score) of each query within one block of candidates, by pivot elimination. ``seen`` gets the number of candidates evaluated for each."""
     for i in range(len(qid)):
         own = q[i]
         bound = np.abs(cd - qd[i]).max(axis=1) if cd.shape[1] and cd.shape[1] == qd.shape[1] else np.zeros(len(cid))
         order = np.argsort(bound, kind="stable")
-        best_id, best = np.zeros(0, np.int64), np.zeros(0)
+        best_id, best, done = np.zeros(0, np.int64), np.zeros(0), 0
         scale = float((own * own).sum()) + norm2
         for at in range(0, len(order), step):
             take = order[at : at + step]
@@ -81,6 +82,7 @@ def search_block(qid: np.ndarray, q: np.ndarray, qd: np.ndarray, cid: np.ndarray
                 reach = (scale - max(0.0, float(bound[take[0]])) ** 2) / 2
                 if reach + 1e-3 * max(1.0, abs(scale)) ** 0.5 + 1e-5 * scale < float(best[-1]):
                     break
+            done += len(take)
             take = take[cid[take] != qid[i]]
             s = np.concatenate([best, products(own, c[take])])
             ids = np.concatenate([best_id, cid[take]])
@@ -89,7 +91,9 @@ def search_block(qid: np.ndarray, q: np.ndarray, qd: np.ndarray, cid: np.ndarray
                 s, ids = s[top], ids[top]
             o = np.lexsort((ids, -s)) if s.dtype != object else np.array(sorted(range(len(s)), key=lambda j: (-s[j], ids[j])), int)
             best_id, best = ids[o[:k]], s[o[:k]]
-        yield from ((int(qid[i]), int(a), int(b)) for a, b in zip(best_id, best, strict=True))
+        if seen is not None:
+            seen.append(done)
+        yield from ((int(qid[i]), int(a), min(max(int(b), -LONG - 1), LONG)) for a, b in zip(best_id, best, strict=True))
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", embedding: str = "embedding", pivots: int = 32, query_block: int = 1024, block: int = 8192) -> DataFrame:
@@ -99,7 +103,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
     rows but the query's own id. Vectors that are null or hold a null or
     non-finite component take no part, nor do rows without an id; a vector is
     compared with those of its own number of components, and empty vectors
-    score 0. A row that repeats an id with equal components counts once.
+    score 0. A score beyond 64 bits is given as the nearest 64-bit number. A row that repeats an id with equal components counts once.
     Queries and candidates meet in blocks of bounded size; pivots come from a
     bounded sample and only steer the search.
     """

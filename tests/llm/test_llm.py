@@ -490,3 +490,25 @@ def test_one_digest_is_encoded_once(spark, tmp_path):
     d = docs_of(spark, ["same text"]).select("doc_id", "text").crossJoin(spark.range(700)).drop("id").repartition(7)
     assert token_counts.count_tokens(d, queries.tokenizer("byte_bpe_50k.json"), str(tmp_path / "c")).count() == 700
     assert spark.read.parquet(str(tmp_path / "c")).count() == 1
+
+
+def test_pivots_eliminate_on_clustered_vectors():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 400, (40, 16))
+    v = np.floor(centres[rng.integers(0, 40, 8000)] + rng.normal(0, 8, (8000, 16)))
+    norm2 = float((v * v).sum(axis=1).max())
+    pivots = topk_search._spread(topk_search.longer(v[:2000], norm2), 32)
+    ids, q = np.arange(8000), v[:60]
+    seen: list[int] = []
+    got = list(topk_search.search_block(ids[:60], q, topk_search.distances(q, norm2, pivots, query=True), ids, v, topk_search.distances(v, norm2, pivots), norm2, 5, seen=seen))
+    for i in range(60):
+        s = v @ q[i]
+        assert [(b, c) for a, b, c in got if a == i] == [(int(j), int(s[j])) for j in sorted(set(range(8000)) - {i}, key=lambda j: (-s[j], j))[:5]]
+    assert sum(seen) < 0.5 * 60 * 8000
+
+
+def test_top_k_of_no_rows_and_of_huge_components(spark):
+    d = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [1e18, 3.0]), (50, [1.0, 1e308])], "vec_id long, embedding array<double>")
+    assert topk_search.top_k(d.limit(0)).count() == 0
+    got = sorted(map(tuple, topk_search.top_k(d).collect()))
+    assert [r[:3] for r in got] == [(0, 1, 1), (0, 2, 2)] and got[0][3] == (1 << 63) - 1
