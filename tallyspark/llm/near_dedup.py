@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, small_batches, written
+from ._common import components, small_batches, sweep, written
 from .shingles import mix, shingle_sets
 
 REGISTERS, BANDS, ROWS, MANTISSA = 128, 24, 4, 10
@@ -297,17 +297,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float | str = "0.8"
         return _tied(rows.withColumn("b", block).join(reps, ["id", "t"]), cut)
 
     pairs = written(tied(member, 0), "pairs")
+    sweep(spark)
     large = member.where(F.col("size") > BLOCK)
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")).distinct()
     sets = written(_sets(docs, ends, k, text, doc_id), "sets")
     links = written(_confirm(pairs, sets, sim), "links")
+    sweep(spark)
     comp = components(links)
     if not large.isEmpty():
         again = tied(large, 1).join(pairs, ["a", "b"], "left_anti")
         links = links.unionByName(written(_confirm(again, sets, sim), "links"))
         comp = components(links)
     # of a bucket of two the only pair has been tried
-    rows = _between(member.where("size > 2").join(sets.select("id", F.length("set").alias("bytes")), "id"), comp)
+    sweep(spark)
+    known = sets.select("id", F.length("set").alias("bytes")).join(comp, "id", "left").select("id", "bytes", F.coalesce("component", "id").alias("comp"))
+    rows = _between(member.where("size > 2").select("key", "id", "t").join(known, "id"))
+    sweep(spark)
     more = written(_linked(rows.join(reps, ["id", "t"]).join(sets, "id"), cut, sim), "links")
     if not more.isEmpty():
         links = links.unionByName(more)
@@ -330,14 +335,13 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int, text: str, doc_id: str) -> Da
     return own.mapInArrow(run, "id long, set binary").where(F.length("set") > 0).dropDuplicates(["id"])
 
 
-def _between(member: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, as the pairs of blocks in which they meet; blocks are bounded in members and in bytes of sets.
+def _between(own: DataFrame) -> DataFrame:
+    """Members of buckets (key, id, t, bytes, comp) that hold several components, as the pairs of blocks in which they meet; blocks are bounded in members and in bytes of sets.
 
     A component that fills a block has blocks of its own, which do not meet one
     another; all smaller ones of a bucket are dealt together. Buckets of the
     same members count once.
     """
-    own = member.join(comp, "id", "left").select("key", "id", "t", "bytes", F.coalesce("component", "id").alias("comp"))
     mixed = own.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("first"))
     once = mixed.where("n > 2 and lo <> hi").groupBy("n", "lo", "hi", "x", "first").agg(F.min("key").alias("key")).select("key")
     own = written(own.join(once, "key"), "between")
