@@ -85,7 +85,7 @@ def eliminate(candidates: DataFrame, facts: DataFrame, entity: str = "id", seaso
 def alias_lookup(mentions: DataFrame, aliases: DataFrame, season: str = "season") -> DataFrame:
     """Mentions that are an alias in their season; aliases are a short table of (alias, id, first, last)."""
     a = aliases.select(F.lower("alias").alias("_a"), F.col("id"), F.col("first").alias("_f"), F.coalesce("last", F.lit(9999)).alias("_l"))
-    return mentions.join(F.broadcast(a), (F.lower("mention") == F.col("_a")) & F.col(season).between(F.col("_f"), F.col("_l"))).drop("_a", "_f", "_l")
+    return mentions.join(a, (F.lower("mention") == F.col("_a")) & F.col(season).between(F.col("_f"), F.col("_l"))).drop("_a", "_f", "_l")
 
 
 def resolve_names(rows: DataFrame, dim: DataFrame, name: str, key: str, events: DataFrame | None = None, event: str = "event") -> DataFrame:

@@ -169,9 +169,9 @@ def dedup_seasons(df: DataFrame, key: list[str], sibling: list[str], kind: str,
 
 
 def name_as_of(df: DataFrame, eras: DataFrame, key: str, season: str, current: str) -> DataFrame:
-    """The name that held in a row's season; eras are open at the end, and few, so they are broadcast by a declared table."""
+    """The name that held in a row's season; eras are open at the end."""
     e = eras.select(F.col(key).alias("_k"), F.col("first").alias("_f"), F.coalesce("last", F.lit(9999)).alias("_l"), F.col("name").alias("_n"))
-    return df.join(F.broadcast(e), (F.col(key) == F.col("_k")) & F.col(season).between(F.col("_f"), F.col("_l")), "left").withColumn("name_then", F.coalesce("_n", current)).drop("_k", "_f", "_l", "_n")
+    return df.join(e, (F.col(key) == F.col("_k")) & F.col(season).between(F.col("_f"), F.col("_l")), "left").withColumn("name_then", F.coalesce("_n", current)).drop("_k", "_f", "_l", "_n")
 
 
 def fill_missing(rows: DataFrame, totals: DataFrame, key: list[str], value: str, games: str) -> DataFrame:

@@ -90,7 +90,7 @@ def id_from_url(c: Column, part: str) -> Column:
 def merge_rates(totals: DataFrame, rates: DataFrame, key: list[str], teams: DataFrame | None = None, label: str = "abbreviation") -> DataFrame:
     """Totals with their rates on a composite key; a short team name is mapped by its dimension."""
     out = totals.join(rates, key, "left")
-    return out if teams is None else out.join(F.broadcast(teams), label, "left")
+    return out if teams is None else out.join(teams, label, "left")
 
 
 def unpack_columns(df: DataFrame, key: list[str], text: str, columns: list[str]) -> DataFrame:
