@@ -112,9 +112,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, text
     if known is not None:
         wanted = wanted.join(known.where(F.col("tokenizer") == version), "content", "left_anti")
     where = cache or f"{shared_dir(spark)}/tables/token-cache-{uuid.uuid4().hex}"
-    # one document of each missing digest; narrow rows decide, only its text moves
-    held = docs.select(F.col(doc_id).alias("_id"), body.alias("body"), digest.alias("content")).groupBy("content", "_id").agg(F.first("body").alias("body"))
-    misses = held.join(wanted.withColumnRenamed("content", "_c"), (F.col("content") == F.col("_c")) & F.col("_id").eqNullSafe(F.col("rep")), "left_semi").select("content", "body")
+    # one row of one document of each missing digest; narrow rows decide, only its text moves, once
+    key = lambda c: [F.isnull(c).alias("_none"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("_id")]
+    held = docs.select(*key(doc_id), body.alias("body"), digest.alias("content")).groupBy("content", "_none", "_id").agg(F.first("body").alias("body"))
+    misses = held.join(wanted.select("content", *key("rep")), ["content", "_none", "_id"], "left_semi").select("content", "body")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)
