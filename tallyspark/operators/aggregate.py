@@ -82,9 +82,9 @@ def career(df: DataFrame, by: list[str], stored: str, avg: str, games: str) -> D
     return df.groupBy(*by).agg(total(t).alias("total"), ratio(F.sum(t), F.sum(F.when(t.isNotNull(), F.col(games)))).alias("average"), F.sum(games).alias("games"))
 
 
-def groups_counted(df: DataFrame, inner: list[str], outer: list[str], having: Column) -> DataFrame:
+def groups_counted(df: DataFrame, inner: list[str], outer: list[str], having: Column, name: str = "seasons") -> DataFrame:
     """How many inner groups that pass each outer group has."""
-    return df.groupBy(*inner).agg(having.alias("_ok")).where("_ok").groupBy(*outer).agg(F.count("*").alias("seasons"))
+    return df.groupBy(*inner).agg(having.alias("_ok")).where("_ok").groupBy(*outer).agg(F.count("*").alias(name))
 
 
 def pivot_long(df: DataFrame, key: list[str], category: str, value: str, categories: list[str], agg=F.max) -> DataFrame:

@@ -200,10 +200,10 @@ def w5_stints(t: Tables):
     return windows.stints(t.b1().df, "entity", "opponent", ["ts", "event"], season="season")
 
 
-@bound(f"WITH {STINTS} SELECT x.opponent, greatest(x.first_day, y.first_day) AS first_day, least(x.last_day, y.last_day) AS last_day FROM st x JOIN st y ON x.opponent = y.opponent AND x.first_day <= y.last_day AND y.first_day <= x.last_day WHERE x.entity = 1 AND y.entity = 2 AND 'b1 ' <> ''")
+@bound(f"WITH {STINTS} SELECT x.entity, x.opponent, greatest(x.first_day, y.first_day) AS first_day, least(x.last_day, y.last_day) AS last_day FROM st x JOIN st y ON y.entity = x.entity + 1 AND x.opponent = y.opponent AND x.first_day <= y.last_day AND y.first_day <= x.last_day WHERE 'b1 ' <> ''")
 def w6_overlaps(t: Tables):
     s = windows.stints(t.b1().df, "entity", "opponent", ["ts", "event"], season="season")
-    return windows.overlaps(s.where("entity = 1"), s.where("entity = 2"), ["opponent"])
+    return windows.overlaps(s, s.withColumn("entity", F.col("entity") - 1), ["entity", "opponent"])
 
 
 @bound('SELECT entity, "group", min(day) AS first_day, max(day) AS last_day FROM b2 GROUP BY ALL')

@@ -9,6 +9,7 @@ from ..operators import aggregate as agg
 from ..operators import audit, joins, match, repair
 from ..sources import flatten, load
 from ..streaming import ingest
+from . import shapes
 from .bind import Tables, bound
 
 # repairs
@@ -152,8 +153,8 @@ def r18_period_line(t: Tables):
 
 @bound('SELECT "group", CAST(sum(qty) FILTER (p IS NOT NULL) AS DOUBLE) AS known, CAST(sum(qty) FILTER (p IS NULL) AS DOUBLE) AS unassigned FROM (SELECT event, qty, CASE WHEN flag <> \'A\' THEN part END AS p FROM ln WHERE period <= 2) JOIN b1 USING (event) GROUP BY "group"')
 def r19_team_period_line(t: Tables):
-    d = t.lines().where("period <= 2").withColumn("p", F.when(F.col("flag") != "A", F.col("part"))).join(t.b1().df.select("event", "group"), "event")
-    return d.groupBy("group").agg(agg.total(F.when(F.col("p").isNotNull(), F.col("qty"))).alias("known"), agg.total(F.when(F.col("p").isNull(), F.col("qty"))).alias("unassigned"))
+    d = t.lines().where("period <= 2").join(t.b1().df.select("event", "group"), "event")
+    return shapes.team_period_line(d, ["group"], F.when(F.col("flag") != "A", F.col("part")), "qty")
 
 
 @bound("SELECT event, CASE WHEN len(q) >= 2 THEN q[2] + coalesce(q[4], 0) END AS points FROM (SELECT event, list(CAST(qty AS BIGINT) ORDER BY period, qty) AS q FROM ln GROUP BY event)")
@@ -265,9 +266,9 @@ def l16_resolve_event(t: Tables):
     return flatten.resolve_event(b.select("entity", "day").distinct(), events, "entity", "day", "event")
 
 
-@bound("SELECT p_partkey AS part, CASE WHEN n = 1 THEN k END AS id FROM part JOIN (SELECT p_name, count(*) AS n, min(p_partkey) AS k FROM part WHERE p_partkey < 100 GROUP BY p_name) USING (p_name) UNION ALL SELECT p_partkey, NULL FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_partkey < 100)")
+@bound("SELECT p_partkey AS part, CASE WHEN n = 1 THEN k END AS id FROM part LEFT JOIN (SELECT p_name, count(*) AS n, min(p_partkey) AS k FROM part GROUP BY p_name) USING (p_name)")
 def l17_resolve_names(t: Tables):
-    dim = t.part.where("p_partkey < 100").select(F.col("p_partkey").alias("id"), "p_name")
+    dim = t.part.select(F.col("p_partkey").alias("id"), "p_name")
     return match.resolve_names(t.part.select(F.col("p_partkey").alias("part"), "p_name"), dim, "p_name", "id").select("part", "id")
 
 
@@ -286,16 +287,13 @@ def l18_fingerprint_long(t: Tables):
 # matching
 
 
-@bound("""WITH m AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS mention FROM part UNION SELECT p_name FROM part WHERE p_partkey < 40), d AS (SELECT p_partkey AS id, p_name FROM part)
-SELECT mention, id, mention = p_name AS exact FROM m JOIN d ON len(list_filter(string_split(mention, ' '), lambda w: NOT list_contains(string_split(p_name, ' '), w))) = 0 AND (mention = p_name OR NOT EXISTS (SELECT 1 FROM part p WHERE p.p_name = m.mention)) WHERE mention <> ''""")
-def m1_lookup(t: Tables):
-    mentions = t.part.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("mention")).union(t.part.where("p_partkey < 40").select("p_name")).distinct()
-    return match.lookup(mentions.where("mention <> ''"), t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
+M1 = """WITH m AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS mention FROM part UNION SELECT p_name FROM part), d AS (SELECT p_partkey AS id, p_name FROM part)
+SELECT mention, id, mention = p_name AS exact FROM m JOIN d ON len(list_filter(string_split(mention, ' '), lambda w: NOT list_contains(string_split(p_name, ' '), w))) = 0 AND (mention = p_name OR NOT EXISTS (SELECT 1 FROM part p WHERE p.p_name = m.mention)) WHERE mention <> ''"""
 
 
-@bound("""WITH m AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS mention FROM part UNION SELECT p_name FROM part), d AS (SELECT p_partkey AS id, p_name FROM part)
-SELECT mention, id, mention = p_name AS exact FROM m JOIN d ON len(list_filter(string_split(mention, ' '), lambda w: NOT list_contains(string_split(p_name, ' '), w))) = 0 AND (mention = p_name OR NOT EXISTS (SELECT 1 FROM part p WHERE p.p_name = m.mention)) WHERE mention <> ''""")
-def m1_lookup_all_names(t: Tables):
+@bound(M1, name="m1_lookup_all_names")
+@bound(M1)
+def m1_lookup(t: Tables):
     mentions = t.part.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("mention")).union(t.part.select("p_name")).distinct()
     return match.lookup(mentions.where("mention <> ''"), t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
 

@@ -86,7 +86,7 @@ def q11_career_leaderboard(t: Tables):
 
 @bound("SELECT season, count(*) AS entities FROM (SELECT entity, season FROM b1 GROUP BY ALL HAVING sum(price) >= 400000) GROUP BY season")
 def q12_entities_counted(t: Tables):
-    return t.b1().df.groupBy("entity", "season").agg(F.sum("price").alias("p")).where("p >= 400000").groupBy("season").agg(F.count("*").alias("entities"))
+    return shapes.entities_counted(t.b1(), "price", 400000)
 
 
 @bound(cut_sql("SELECT entity, count(*) AS seasons FROM (SELECT entity, season FROM b1 GROUP BY entity, season HAVING sum(price) >= 300000) GROUP BY entity", "seasons", 300, "entity, seasons", 200))
@@ -143,9 +143,9 @@ def sides(t: Tables):
     return joins.both_sides(ln, ["event", "amount"], home, {"team": F.col("place"), "opp": F.col("group"), "home": F.lit(False), "won": ~won})
 
 
-@bound(f"WITH {SIDES} SELECT team, opp, home, count(*) AS games, count(*) FILTER (won) AS wins, count(*) FILTER (NOT won) AS losses, CAST(sum(amount) AS DOUBLE) AS figure FROM sd WHERE team = 4 GROUP BY ALL")
+@bound(f"WITH {SIDES} SELECT team, opp, home, count(*) AS games, count(*) FILTER (won) AS wins, count(*) FILTER (NOT won) AS losses, CAST(sum(amount) AS DOUBLE) AS figure FROM sd WHERE 'ln ' <> '' GROUP BY ALL")
 def q20_team_log(t: Tables):
-    return sides(t).where("team = 4").groupBy("team", "opp", "home").agg(F.count("*").alias("games"), *agg.record(), agg.total("amount").alias("figure"))
+    return shapes.team_log(sides(t), ["team", "opp", "home"], "amount")
 
 
 @bound("WITH g AS (SELECT event, CAST(sum(amount * discount) AS DOUBLE) * 100 / nullif(CAST(sum(amount) AS DOUBLE), 0) AS figure FROM ln GROUP BY event HAVING count(*) >= 4), r AS (SELECT *, rank() OVER (ORDER BY figure DESC) AS rank, count(*) OVER (PARTITION BY figure) AS ties FROM g) SELECT event, figure, rank FROM r WHERE rank <= 10 AND (rank = 1 OR rank + ties - 1 <= 20) AND 'ln ' <> '' ORDER BY rank, event LIMIT 20")
@@ -157,14 +157,12 @@ def q21_team_high(t: Tables):
 
 @bound(f"WITH {SIDES} SELECT team, CASE WHEN team = opp THEN 'neutral' WHEN home THEN 'home' ELSE 'away' END AS place, count(*) AS games, count(*) FILTER (won) AS wins, count(*) FILTER (NOT won) AS losses FROM sd WHERE 'ln ' <> '' GROUP BY ALL")
 def q22_team_splits(t: Tables):
-    place = F.when(F.col("team") == F.col("opp"), "neutral").when(F.col("home"), "home").otherwise("away")
-    return sides(t).groupBy("team", place.alias("place")).agg(F.count("*").alias("games"), *agg.record())
+    return shapes.team_splits(sides(t))
 
 
 @bound(f"WITH {SIDES} SELECT team, CASE WHEN amount >= 40000 THEN 'reached' ELSE 'short' END AS line, count(*) AS games, count(*) FILTER (won) AS wins, count(*) FILTER (NOT won) AS losses FROM sd WHERE 'ln ' <> '' GROUP BY ALL")
 def q23_team_record_when(t: Tables):
-    s = sides(t)
-    return s.groupBy("team", F.when(F.col("amount") >= 40000, "reached").otherwise("short").alias("line")).agg(F.count("*").alias("games"), *agg.record())
+    return shapes.team_record_when(sides(t), "amount", 40000)
 
 
 @bound("""WITH s1 AS (SELECT "group", min(day) AS f, max(day) AS l FROM b2 WHERE entity = 3 GROUP BY "group"), s2 AS (SELECT "group", min(day) AS f, max(day) AS l FROM b2 WHERE entity = 8 GROUP BY "group"),
@@ -184,7 +182,7 @@ def q25_team_streak(t: Tables):
 
 @bound(f"WITH {SIDES} SELECT team, opp, count(*) AS met, count(*) FILTER (won) AS wins, count(*) FILTER (NOT won) AS losses, CAST(sum(amount) AS DOUBLE) AS figure FROM sd WHERE team < opp AND 'ln ' <> '' GROUP BY ALL")
 def q26_head_to_head(t: Tables):
-    return sides(t).where("team < opp").groupBy("team", "opp").agg(F.count("*").alias("met"), *agg.record(), agg.total("amount").alias("figure"))
+    return shapes.head_to_head(sides(t), "amount")
 
 
 @bound('SELECT "group", season, month(day)::INTEGER AS month, count(*) AS games, count(*) FILTER (won) AS wins, count(*) FILTER (NOT won) AS losses FROM b1 GROUP BY ALL')
@@ -194,14 +192,13 @@ def q27_team_record(t: Tables):
 
 @bound(f'SELECT "group", count(*) AS games, count(p) AS counted, CAST(sum(p) AS DOUBLE) AS total FROM (SELECT "group", CASE WHEN season_type = 2 THEN price END AS p FROM b1) GROUP BY "group"')
 def q28_team_total(t: Tables):
-    d = t.b1().df.withColumn("p", F.when(F.col("season_type") == 2, F.col("price")))
-    return d.groupBy("group").agg(F.count("*").alias("games"), F.count("p").alias("counted"), agg.total("p").alias("total"))
+    return shapes.team_total(t.b1(), F.when(F.col("season_type") == 2, F.col("price")), ["group"])
 
 
 @bound('SELECT "group", count(DISTINCT event) AS games, CAST(sum(qty) FILTER (period <= 2) AS DOUBLE) AS half, CAST(sum(qty) AS DOUBLE) AS whole FROM ln JOIN b1 USING (event) GROUP BY "group"')
 def q29_team_period(t: Tables):
     d = t.lines().join(t.b1().df.select("event", "group"), "event")
-    return d.groupBy("group").agg(F.count_distinct("event").alias("games"), agg.total(F.when(F.col("period") <= 2, F.col("qty"))).alias("half"), agg.total("qty").alias("whole"))
+    return shapes.team_period(d, ["group"], "event", F.col("period") <= 2, "qty")
 
 
 TEAM = f'tm AS (SELECT "group", {AVG} AS pace, CAST(count(*) FILTER (won) AS DOUBLE) / count(*) AS winning, CAST(count(*) FILTER (season_type = 3) AS DOUBLE) / count(*) AS pending FROM b1 GROUP BY "group")'
@@ -226,8 +223,7 @@ def q31_team_ranking(t: Tables):
 @bound(f"""WITH p AS (SELECT "group", season, count(*) AS played, {AVG} AS average FROM b1 GROUP BY "group", season), l AS (SELECT "group", season, count(DISTINCT entity) AS listed FROM b1 GROUP BY "group", season)
 SELECT "group", season, played, CASE WHEN listed = played THEN average END AS average FROM p JOIN l USING ("group", season)""")
 def q32_team_history(t: Tables):
-    g = t.b1().df.groupBy("group", "season").agg(F.count("*").alias("played"), agg.mean("price").alias("average"), F.count_distinct("entity").alias("listed"))
-    return g.select("group", "season", "played", F.when(F.col("listed") == F.col("played"), F.col("average")).alias("average"))
+    return shapes.team_history(t.b1(), "price")
 
 
 @bound('SELECT "group", CAST(sum(w) AS BIGINT) AS wins, CAST(sum(l) AS BIGINT) AS losses FROM (SELECT "group", season, count(*) FILTER (won) AS w, count(*) FILTER (NOT won) AS l FROM b1 GROUP BY "group", season) GROUP BY "group"')
@@ -280,25 +276,20 @@ def q39_shot_distance(t: Tables):
     return s.groupBy("flag").agg(F.count("*").alias("shots"), F.count_distinct("event").alias("events"), F.avg(d).alias("distance"))
 
 
-@bound("SELECT event, period, CAST(qty AS DOUBLE) AS qty, flag = 'R' AS made, count(*) OVER (PARTITION BY event) AS total, count(*) FILTER (flag = 'R') OVER (PARTITION BY event) AS good FROM ln WHERE part < 50")
-def q40_located_shots(t: Tables):
-    from pyspark.sql import Window
+def shot_columns() -> list:
+    return [F.col("period"), F.col("qty").cast("double").alias("qty"), (F.col("flag") == "R").alias("made")]
+
 
-    w = Window.partitionBy("event")
-    made = F.col("flag") == "R"
-    rows = t.lines().where("part < 50")
-    return rows.select("event", "period", F.col("qty").cast("double").alias("qty"), made.alias("made"), F.count("*").over(w).alias("total"), F.count(F.when(made, 1)).over(w).alias("good"))
+@bound("SELECT event, period, CAST(qty AS DOUBLE) AS qty, flag = 'R' AS made, count(*) OVER (PARTITION BY event) AS total, count(*) FILTER (flag = 'R') OVER (PARTITION BY event) AS good FROM ln WHERE NOT (qty = 0 AND period = 0)")
+def q40_located_shots(t: Tables):
+    shown = shapes.located_shots(relation.located(t.lines(), "qty", "period"), "event", F.col("flag") == "R", ["period", "part", "supp"], shot_columns())
+    return shown.drop("place", "unknown")
 
 
 @bound("SELECT event, period, CAST(qty AS DOUBLE) AS qty, flag = 'R' AS made, row_number() OVER (PARTITION BY event ORDER BY period, part, supp) AS place, count(*) OVER (PARTITION BY event) AS total, count(*) FILTER (flag = 'R') OVER (PARTITION BY event) AS good, count(*) FILTER (flag = 'N') OVER (PARTITION BY event) AS unknown FROM ln WHERE NOT (qty = 0 AND period = 0)")
 def q40_all_located_shots(t: Tables):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("event")
     made = F.when(F.col("flag") != "N", F.col("flag") == "R")
-    rows = relation.located(t.lines(), "qty", "period").withColumn("_made", made)
-    place = F.row_number().over(w.orderBy("period", "part", "supp")).cast("long")
-    return rows.select("event", "period", F.col("qty").cast("double").alias("qty"), (F.col("flag") == "R").alias("made"), place.alias("place"), F.count("*").over(w).alias("total"), F.count_if("_made").over(w).alias("good"), F.count_if(F.col("_made").isNull()).over(w).alias("unknown"))
+    return shapes.located_shots(relation.located(t.lines(), "qty", "period"), "event", made, ["period", "part", "supp"], shot_columns())
 
 
 @bound("""WITH f AS (SELECT * FROM (VALUES ('orders', 1996, 2001), ('events', 1998, 1999)) v("table", first, part)), q AS (SELECT DISTINCT season, CASE WHEN season % 2 = 0 THEN 'both' ELSE 'orders' END AS question FROM b1)

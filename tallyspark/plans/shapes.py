@@ -38,13 +38,11 @@ def record_when(rel: Rel, cond: Column, margin: str) -> DataFrame:
 
 
 def splits(rel: Rel, kinds: dict[str, dict[str, Column]], measures: list[str]) -> DataFrame:
-    """All kinds of split in one pass; every half of a kind is shown, also without rows."""
-    pairs = [F.when(c, F.struct(F.lit(k).alias("kind"), F.lit(v).alias("half"))) for k, halves in kinds.items() for v, c in halves.items()]
-    rows = rel.df.select(*measures, F.explode(F.filter(F.array(*pairs), lambda x: x.isNotNull())).alias("s"))
-    got = rows.groupBy("s.kind", "s.half").agg(F.count("*").alias("games"), *[agg.mean(m).alias(f"avg_{m}") for m in measures])
-    spark = rel.df.sparkSession
-    shown = spark.createDataFrame([(k, v) for k, halves in kinds.items() for v in halves], "kind string, half string")
-    return shown.join(got, ["kind", "half"], "left").withColumn("games", F.coalesce("games", F.lit(0)))
+    """All kinds of split in one aggregate, no row multiplied; every half of a kind is shown, also without rows."""
+    halves = [(k, v, c) for k, of in kinds.items() for v, c in of.items()]
+    sums = [x for i, (_, _, c) in enumerate(halves) for x in (F.count_if(c).alias(f"_n{i}"), *[agg.mean(F.when(c, F.col(m))).alias(f"_{m}{i}") for m in measures])]
+    shown = [F.struct(F.lit(k).alias("kind"), F.lit(v).alias("half"), F.col(f"_n{i}").alias("games"), *[F.col(f"_{m}{i}").alias(f"avg_{m}") for m in measures]) for i, (k, v, _) in enumerate(halves)]
+    return rel.df.agg(*sums).select(F.inline(F.array(*shown)))
 
 
 def matchup(rel: Rel, a, b, shared: list[str], figure: str) -> DataFrame:
@@ -77,6 +75,12 @@ def career_leaderboard(seasons: DataFrame, k: int, floor: int, entity: str = "en
     return c.where(F.col("games") >= floor).orderBy(F.desc_nulls_last("figure"), F.asc(entity)).limit(k)
 
 
+def entities_counted(rel: Rel, figure: str, least) -> DataFrame:
+    """How many entities' season totals reach a line, season by season."""
+    e, s = rel.name("entity"), rel.name("season")
+    return agg.groups_counted(rel.df, [e, s], [s], F.sum(figure) >= least, "entities")
+
+
 def history(rel: Rel, figure: str) -> DataFrame:
     """Each entity's seasons, and its career as a row whose season is null."""
     e, s = rel.name("entity"), rel.name("season")
@@ -124,6 +128,68 @@ def team_record(rel: Rel, by: list[str]) -> DataFrame:
     return rel.df.groupBy(*by).agg(F.count("*").alias("games"), *agg.record(rel.name("won")))
 
 
+def team_log(sides: DataFrame, by: list[str], figure: str) -> DataFrame:
+    """Each side's events by ``by``, with its record and its total of a box figure over exactly those."""
+    return sides.groupBy(*by).agg(F.count("*").alias("games"), *agg.record(), agg.total(figure).alias("figure"))
+
+
+def team_splits(sides: DataFrame, team: str = "team", opp: str = "opp", home: str = "home") -> DataFrame:
+    """Each team's record at home, away, and where neither side is at home (one id on both sides)."""
+    place = F.when(F.col(team) == F.col(opp), "neutral").when(F.col(home), "home").otherwise("away")
+    return sides.groupBy(team, place.alias("place")).agg(F.count("*").alias("games"), *agg.record())
+
+
+def team_record_when(sides: DataFrame, figure: str, least, team: str = "team") -> DataFrame:
+    """Each team's record where a figure reaches a line, falls short of it, or is unknown (blank)."""
+    f = F.col(figure)
+    line = F.when(f.isNull(), "blank").when(f >= least, "reached").otherwise("short")
+    return sides.groupBy(team, line.alias("line")).agg(F.count("*").alias("games"), *agg.record())
+
+
+def head_to_head(sides: DataFrame, figure: str, last: int | None = None, order: list[str] | None = None, team: str = "team", opp: str = "opp") -> DataFrame:
+    """Each pair of teams once, by the smaller: meetings, record and figure, over the last meetings by ``order`` if asked."""
+    rows = sides.where(F.col(team) < F.col(opp))
+    if last is not None:
+        if not order:
+            raise ValueError("a window of meetings needs an order")
+        newest = Window.partitionBy(team, opp).orderBy(*[F.desc_nulls_last(c) for c in order])
+        rows = rows.withColumn("_at", F.row_number().over(newest)).where(F.col("_at") <= last).drop("_at")
+    return rows.groupBy(team, opp).agg(F.count("*").alias("met"), *agg.record(), agg.total(figure).alias("figure"))
+
+
+def team_total(rel: Rel, figure: Column, by: list[str]) -> DataFrame:
+    """A figure's sum, with the games behind it and how many of them it could be read in."""
+    return rel.df.groupBy(*by).agg(F.count("*").alias("games"), F.count(figure).alias("counted"), agg.total(figure).alias("total"))
+
+
+def team_period(parts: DataFrame, by: list[str], event: str, in_period: Column, value: str) -> DataFrame:
+    """A figure in some periods beside the whole, and the events behind both."""
+    return parts.groupBy(*by).agg(F.count_distinct(event).alias("games"), agg.total(F.when(in_period, F.col(value))).alias("half"), agg.total(value).alias("whole"))
+
+
+def team_period_line(parts: DataFrame, by: list[str], player: Column, value: str, roster: DataFrame | None = None, on: list[str] | None = None) -> DataFrame:
+    """A team's period figure, what has no player apart; with a roster, its members without a row are counted at zero rows."""
+    out = parts.groupBy(*by).agg(agg.total(F.when(player.isNotNull(), F.col(value))).alias("known"), agg.total(F.when(player.isNull(), F.col(value))).alias("unassigned"))
+    if roster is None:
+        return out
+    idle = roster.join(parts.select(*on).distinct(), on, "left_anti").groupBy(*by).agg(F.count("*").alias("idle"))
+    return out.join(idle, by, "full").withColumn("idle", F.coalesce("idle", F.lit(0)))
+
+
+def team_history(rel: Rel, figure: str) -> DataFrame:
+    """Each team's seasons; the mean is shown only where as many entities are listed as rows were played."""
+    g = rel.df.groupBy(rel.name("group"), rel.name("season")).agg(F.count("*").alias("played"), agg.mean(figure).alias("average"), F.count_distinct(rel.name("entity")).alias("listed"))
+    return g.select(rel.name("group"), rel.name("season"), "played", F.when(F.col("listed") == F.col("played"), F.col("average")).alias("average"))
+
+
+def located_shots(rows: DataFrame, event: str, made: Column, order: list[str], columns: list[Column]) -> DataFrame:
+    """Located shots in their event's total order, with the shots, makes and unknown outcomes of the event; ``made`` is null where unknown."""
+    w = Window.partitionBy(event)
+    place = F.row_number().over(w.orderBy(*order)).cast("long")
+    d = rows.withColumn("_made", made)
+    return d.select(event, *columns, place.alias("place"), F.count("*").over(w).alias("total"), F.count_if("_made").over(w).alias("good"), F.count_if(F.col("_made").isNull()).over(w).alias("unknown"))
+
+
 def ranked_metric(df: DataFrame, metrics: dict[str, bool], key: str) -> DataFrame:
     """Long form: each group's value and rank in every metric; True: more is better."""
     rows = agg.unpivot(df, [key], list(metrics), "metric", "value").where("value is not null")

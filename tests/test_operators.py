@@ -197,3 +197,39 @@ def test_folders_must_be_shared_on_a_cluster():
     t = SimpleNamespace(spark=SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)))
     with pytest.raises(ValueError):
         _folder(t, "x")
+
+
+SIDE = "event int, team int, opp int, home boolean, won boolean, amount int"
+
+
+def test_team_shapes_keep_blank_neutral_and_last_meetings(spark):
+    from tallyspark.plans import shapes
+
+    s = spark.createDataFrame([(1, 1, 2, True, True, 10), (2, 1, 2, False, False, None), (3, 1, 2, True, None, 30), (4, 5, 5, True, True, 1)], SIDE)
+    assert {(r.team, r.line, r.games, r.wins, r.losses) for r in shapes.team_record_when(s, "amount", 20).collect()} == {(1, "short", 1, 1, 0), (1, "blank", 1, 0, 1), (1, "reached", 1, 0, 0), (5, "short", 1, 1, 0)}
+    assert {(r.team, r.place, r.games) for r in shapes.team_splits(s).collect()} == {(1, "home", 2), (1, "away", 1), (5, "neutral", 1)}
+    assert [(r.team, r.opp, r.met, r.wins, r.losses, r.figure) for r in shapes.head_to_head(s, "amount", last=2, order=["event"]).collect()] == [(1, 2, 2, 0, 1, 30.0)]
+    assert shapes.head_to_head(s, "amount").first().met == 3
+    with pytest.raises(ValueError):
+        shapes.head_to_head(s, "amount", last=2)
+
+
+def test_period_line_with_roster_counts_idle_members(spark):
+    from tallyspark.plans import shapes
+
+    parts = spark.createDataFrame([("a", 1, 5), ("a", None, 2)], "grp string, player int, v int")
+    roster = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "grp string, player int")
+    out = shapes.team_period_line(parts, ["grp"], F.col("player"), "v", roster, ["grp", "player"])
+    assert {tuple(r) for r in out.collect()} == {("a", 5.0, 2.0, 1), ("b", None, None, 1)}
+
+
+def test_splits_show_empty_halves_and_shots_count_unknown(spark):
+    from tallyspark.plans import shapes
+
+    d = spark.createDataFrame([(1, True, 2.0), (2, None, 4.0)], "event int, won boolean, p double")
+    kinds = {"outcome": {"won": F.col("won"), "lost": ~F.col("won")}, "any": {"all": F.lit(True)}}
+    for frame, want in ((d, {("outcome", "won", 1, 2.0), ("outcome", "lost", 0, None), ("any", "all", 2, 3.0)}), (d.limit(0), {("outcome", "won", 0, None), ("outcome", "lost", 0, None), ("any", "all", 0, None)})):
+        assert {tuple(r) for r in shapes.splits(Rel(frame), kinds, ["p"]).collect()} == want
+    shots = spark.createDataFrame([(1, 1, True), (1, 2, None), (1, 3, False)], "event int, at int, good boolean")
+    out = shapes.located_shots(shots, "event", F.col("good"), ["at"], [F.col("at")])
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 1, 3, 1, 1), (1, 2, 2, 3, 1, 1), (1, 3, 3, 3, 1, 1)]
