@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import keep_one
-
 
 def reconcile(left: DataFrame, right: DataFrame, key: list[str], col: str) -> DataFrame:
     """Keys whose tallies differ, one that is missing counting 0."""
@@ -72,5 +70,5 @@ def agreed(df: DataFrame, a: Column, b: Column) -> Column:
 
 def exclude_last(df: DataFrame, group: list[str], order: list[str], flag: Column) -> DataFrame:
     """Each group's last flagged row goes."""
-    last = keep_one(df.where(flag), group, [F.col(c).desc() for c in order]).select(*group, *order)
+    last = df.where(flag).groupBy(*group).agg(F.max(F.struct(*order)).alias("_last")).select(*group, "_last.*")
     return df.join(last, [*group, *order], "left_anti")

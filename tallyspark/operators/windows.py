@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of values that are counted apart, of a whole table and of each key.
+RANGES, KEY_RANGES = 256, 64
+
 
 def keep_one(df: DataFrame, key: list[str], prefer: list[Column]) -> DataFrame:
     """The preferred row of each key."""
@@ -58,18 +64,20 @@ def spans(df: DataFrame, keys: list[str], day: str = "day") -> DataFrame:
 
 
 def _value_counts(df: DataFrame, value: str, key: list[str]) -> DataFrame:
-    """Each value's count, and how many rows lie below it, within the key; without a key by ranges of values in parallel."""
+    """Each value's count, and how many rows lie below it (within the key), by ranges of values in parallel: no pool goes to one task."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("_ties"))
-    below = lambda w: F.coalesce(F.sum("_ties").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    if key:
-        w = Window.partitionBy(*key)
-        return counts.withColumn("_below", below(w)).withColumn("_all", F.sum("_ties").over(w))
-    cuts = counts.agg(F.percentile_approx(value, [i / 64 for i in range(1, 64)], 1000).alias("_cuts"))
-    ranged = counts.join(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
-    sizes = ranged.groupBy("_range").agg(F.sum("_ties").alias("_n"))  # 64 rows at most
-    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    within = ranged.withColumn("_below", below(Window.partitionBy("_range")))
-    return within.join(F.broadcast(before), "_range").select(value, "_ties", (F.col("_below") + F.col("_before")).alias("_below"), "_all")
+    below = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = KEY_RANGES if key else RANGES
+    cuts = counts.groupBy(*key).agg(F.percentile_approx(value, [i / n for i in range(1, n)], 1000).alias("_cuts"))
+    same = lambda other: [F.col(f"c.{k}").eqNullSafe(F.col(f"{other}.{k}")) for k in key]
+    # one row a key; without a key one row, which is broadcast
+    near = counts.alias("c").join(cuts.alias("q") if key else F.broadcast(cuts.alias("q")), reduce(and_, same("q")) if key else None)
+    ranged = near.select(*[F.col(f"c.{k}") for k in key], value, "_ties", F.size(F.filter("_cuts", lambda c: c <= F.col(value))).alias("_range"))
+    sizes = ranged.groupBy(*key, "_range").agg(F.sum("_ties").alias("_n"))  # at most n rows a key
+    before = sizes.select(*key, "_range", below(Window.partitionBy(*key).orderBy("_range"), "_n").alias("_before"), F.sum("_n").over(Window.partitionBy(*key)).alias("_all"))
+    within = ranged.withColumn("_under", below(Window.partitionBy(*key, "_range").orderBy(value), "_ties"))
+    both = within.alias("c").join(before.alias("b") if key else F.broadcast(before.alias("b")), reduce(and_, same("b"), F.col("c._range") == F.col("b._range")))
+    return both.select(*[F.col(f"c.{k}") for k in key], value, "_ties", (F.col("_under") + F.col("_before")).alias("_below"), "_all")
 
 
 def competition_rank(df: DataFrame, value: str, descending: bool = True, key: list[str] | None = None, name: str = "rank") -> DataFrame:

@@ -233,3 +233,18 @@ def test_splits_show_empty_halves_and_shots_count_unknown(spark):
     shots = spark.createDataFrame([(1, 1, True), (1, 2, None), (1, 3, False)], "event int, at int, good boolean")
     out = shapes.located_shots(shots, "event", F.col("good"), ["at"], [F.col("at")])
     assert sorted(map(tuple, out.collect())) == [(1, 1, 1, 3, 1, 1), (1, 2, 2, 3, 1, 1), (1, 3, 3, 3, 1, 1)]
+
+
+def test_ranks_within_keys_by_ranges_against_plain_ranks(spark):
+    import random
+
+    rng = random.Random(3)
+    data = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, *range(300), 7, 7])) for _ in range(3000)]
+    d = spark.createDataFrame([(i, k, None if v is None else float(v)) for i, (k, v) in enumerate(data)], "i int, k string, v double")
+    pool = {k: [v for x, v in data if x == k and v is not None] for k in ("a", "b")}
+    for r in windows.competition_rank(d, "v", key=["k"]).collect():
+        assert r["rank"] == (None if r.k is None or r.v is None else 1 + sum(x > r.v for x in pool[r.k]))
+    every = [v for _, v in data if v is not None]
+    for r in windows.percentile(d, "v").collect():
+        assert r.pct == (None if r.v is None else sum(x <= r.v for x in every) / len(every))
+    assert windows.competition_rank(d.limit(0), "v", key=["k"]).count() == 0
