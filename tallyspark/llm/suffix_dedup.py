@@ -4,7 +4,8 @@ Content-defined anchors (window minima of 32-byte hashes) mark every string of
 the given length; only anchors that occur twice lead on. Equal surroundings of
 an anchor are counted and collapse; where an anchor has several surroundings,
 these are put into a suffix array of 8-byte symbols, built by linear grouping,
-and neighbours in it show exactly which strings occur twice.
+and neighbours in it show exactly which strings occur twice. The surroundings of a
+very frequent anchor are dealt to several such arrays by what they share.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .shingles import mix
 GRAM = 32
 #: Bytes of a text that are hashed at once.
 PIECE = 1 << 19
-#: Contexts that go into one suffix array, if their anchors' groups allow it; and the largest group that stays whole.
+#: Contexts that go into one suffix array, if their anchors' groups allow it; and the largest group that is not dealt by cores.
 TOGETHER, GROUP = 400, 24_000
 
 
@@ -269,6 +270,12 @@ def repeated_starts(ctx: list[bytes], left: np.ndarray, occ: np.ndarray, pos: np
     return np.split(where, np.searchsorted(who, np.arange(1, m)))
 
 
+def starts(length: int, parts: int) -> list[tuple[int, int]]:
+    """How far before an anchor a string may begin, in ranges, first and last of each."""
+    step = -(-(length - GRAM + 1) // parts)
+    return [(lo, min(lo + step - 1, length - GRAM)) for lo in range(0, length - GRAM + 1, step)]
+
+
 def narrowed(rows: list[tuple], length: int, parts: int = 8) -> list[tuple]:
     """Rows (anchor, left, context, ...) that may hold a repeated string, each cut to where one can be.
 
@@ -276,8 +283,7 @@ def narrowed(rows: list[tuple], length: int, parts: int = 8) -> list[tuple]:
     it; all strings of a range hold the same core, so only ranges whose core
     another context has as well are left. Gives (place in rows, left, context).
     """
-    step = -(-(length - GRAM + 1) // parts)
-    ranges = [(lo, min(lo + step - 1, length - GRAM)) for lo in range(0, length - GRAM + 1, step)]
+    ranges = starts(length, parts)
     cores, count = [], {}
     for a, left, c, *_ in rows:
         own = []
@@ -367,22 +373,50 @@ def _by_suffix_array(ctx: DataFrame, length: int) -> DataFrame:
     return ctx.repartition("ah").sortWithinPartitions("ah").mapInArrow(run, SPAN)
 
 
-def _by_window(ctx: DataFrame, length: int) -> DataFrame:
-    """The same for groups too large for one task: every window by a 128-bit digest."""
+def _cuts(ctx: DataFrame, length: int, parts: int) -> DataFrame:
+    """Each context once for every range of starts, cut to it; ah becomes a hash of the anchor, the range and its core, cut one of the bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
+        short, digest = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
+        ranges = starts(length, parts)
         for b in small_batches(batches):
             out = []
-            for many, d, tag, pos, lft, c in zip(*(b[x].to_pylist() for x in ("many", "d", "tag", "pos", "lft", "ctx")), strict=True):
-                out += [(digest(c[i : i + length]), many, d, tag, pos - lft + i) for i in range(len(c) - length + 1)]
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["w", "many", "d", "tag", "a"])
-
-    rows = ctx.mapInArrow(run, "w binary, many boolean, d long, tag long, a long")
-    place = F.struct("d", "tag", "a")
-    twice = rows.groupBy("w").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.max("many").alias("any")).where("any or lo <> hi").select("w")
-    return rows.where("not many").join(twice, "w", "left_semi").select("d", "tag", "a", (F.col("a") + length).alias("b"))
+            for ah, many, d, tag, pos, left, c in zip(*(b[x].to_pylist() for x in ("ah", "many", "d", "tag", "pos", "lft", "ctx")), strict=True):
+                for lo, hi in ranges:
+                    if lo <= left and left + length - hi <= len(c):
+                        begin = max(0, left - hi)
+                        cut, own = c[begin : left + length - lo], left - begin
+                        core = short(c[left - lo : left + length - hi], ah * 1000 + lo & (1 << 64) - 1)
+                        out.append((core - (1 << 63), many, d, tag, pos, own, cut, digest(cut, own)))
+            cols = list(zip(*out, strict=True)) or [()] * 8
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["ah", "many", "d", "tag", "pos", "lft", "ctx", "cut"])
+
+    return ctx.mapInArrow(run, CONTEXT + ", cut binary")
+
+
+def _by_core(ctx: DataFrame, length: int, parts: int = 8) -> DataFrame:
+    """Spans in groups too large for one task, dealt by what the strings of a range of starts have in common.
+
+    Equal strings begin equally far before their anchor, so they share the
+    range and its core, and meet in one of the new groups. Equal cuts are
+    counted and collapse, as equal surroundings do; the rest goes into suffix
+    arrays. A group that is still too large, of strings that share all but a
+    few bytes at their ends, is dealt again by ranges an eighth as wide; a
+    range of one start holds one string, which is counted.
+    """
+    cuts = written(_cuts(ctx, length, parts), "cuts")
+    alike = written(cuts.groupBy("ah", "cut").agg(F.count("*").alias("n"), F.max("many").alias("known"), F.min(F.struct("d", "tag", "pos", "lft", "ctx")).alias("m")), "alike")
+    again = alike.where("n > 1").select("ah", "cut")
+    begin = F.col("pos") - F.col("lft")
+    spans = cuts.select("ah", "cut", "many", "d", "tag", begin.alias("a"), (begin + F.length("ctx")).alias("b")).where("not many").join(again, ["ah", "cut"], "left_semi").select("d", "tag", "a", "b")
+    mixed = alike.groupBy("ah").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    rest = alike.join(mixed, "ah").select("ah", "kinds", F.expr("known or n > 1").alias("many"), "m.*")
+    if parts > length - GRAM:  # one string a group: only groups of equal hashes are left
+        return spans.unionByName(_by_suffix_array(rest.drop("kinds"), length))
+    spans = spans.unionByName(_by_suffix_array(rest.where(F.col("kinds") <= GROUP).drop("kinds"), length))
+    large = written(rest.where(F.col("kinds") > GROUP).drop("kinds"), "large")
+    return spans if large.isEmpty() else spans.unionByName(_by_core(large, length, parts * 8))
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -400,7 +434,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, text: str = "text", doc_i
     ctx = _contexts(_packed(rows), wanted.where(F.col("kinds") <= GROUP), length)
     spans = whole.unionByName(_by_suffix_array(ctx, length))
     if not large.isEmpty():
-        spans = spans.unionByName(_by_window(written(_contexts(_packed(rows), large, length), "large"), length))
+        spans = spans.unionByName(_by_core(written(_contexts(_packed(rows), large, length), "large"), length))
     return written(spans.groupBy("d", "tag").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans")), "spans")
 
 

@@ -357,9 +357,9 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("group", [24_000, 1])
+@pytest.mark.parametrize("group", [24_000, 3, 1])
 def test_repeats_against_every_window(spark, monkeypatch, group):
-    monkeypatch.setattr(suffix_dedup, "GROUP", group)  # 1: all groups take the way of the very large ones
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)  # 3: large groups are dealt by cores; 1: down to single strings
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)
     r = random.Random(6)
     say = lambda n: "".join(r.choice("abcdé \n") for _ in range(n))
