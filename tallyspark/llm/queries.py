@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, class_lm, decontaminate, importance, language_id, near_dedup, pieces, prefix_trie, suffix_dedup, token_counts, topk_search, toxicity
+from . import chat_format, class_lm, decontaminate, embedding_dedup, importance, language_id, near_dedup, pieces, prefix_trie, suffix_dedup, token_counts, topk_search, toxicity
 from ._common import remainder
 
 LENGTH, NGRAM, LIMIT = 200, 10, 1024
@@ -74,6 +74,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.substring_digests(table(spark, sf_dir, "documents"), LENGTH)
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.rebuilt(prefix_trie.ordered(table(spark, sf_dir, "conversations")))
     return prefix_trie.trie(turns).drop(*prefix_trie.KEY)
@@ -84,7 +88,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_topk_search, op4_toxicity, op5_chat_formatting, op6_near_dedup, op7_language_id, op8_class_lm, op9_sentencepiece, op10_suffix_dedup, op12_prefix_trie, op13_importance_resampling)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_topk_search, op4_toxicity, op5_chat_formatting, op6_near_dedup, op7_language_id, op8_class_lm, op9_sentencepiece, op10_suffix_dedup, op11_embedding_near_dedup, op12_prefix_trie, op13_importance_resampling)}
 
 
 WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
