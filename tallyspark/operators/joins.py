@@ -17,12 +17,25 @@ def missing_detail(events: DataFrame, detail: DataFrame, on: list[str]) -> DataF
     return events.join(detail.select(*on), on, "left_anti")
 
 
-def within_spans(events: DataFrame, spans: DataFrame, keys: list[str], day: str = "day", kind: str = "inner") -> DataFrame:
-    """Events on days inside a span of the same key: an equality on the key, so that both sides are dealt by it, then the range."""
-    s = spans.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in spans.columns if c not in keys and c not in events.columns])
-    on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col(day).between(F.col("first_day"), F.col("last_day"))]
-    out = events.join(s, on, kind)
-    return out.drop(*[f"_{k}" for k in keys]) if kind == "inner" else out
+def within_spans(events: DataFrame, spans: DataFrame, keys: list[str], day: str = "day", kind: str = "inner", first: str = "first_day", last: str = "last_day", bins: int = 256) -> DataFrame:
+    """Events on days inside a span of the same key.
+
+    The days that events have are cut into ``bins`` stretches; a span stands in
+    each that it touches, an event in its own, and they meet by key and
+    stretch, so a key with very many spans and events is many tasks. An event
+    has one stretch, so each pair meets once. ``kind``: inner (each pair, with
+    the columns of the span), left, left_semi or left_anti.
+    """
+    num = lambda c: F.unix_date(F.to_date(c))
+    about = F.broadcast(events.agg(F.min(num(day)).alias("_lo"), F.max(num(day)).alias("_hi")))
+    width = F.greatest(F.ceil((F.col("_hi") - F.col("_lo") + 1) / bins), F.lit(1))
+    stretch = lambda c: F.floor((c - F.col("_lo")) / width)
+    s = spans.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in dict.fromkeys([*spans.columns, first, last]) if c not in keys and (c in (first, last) or c not in events.columns)])
+    lo, hi = F.greatest(num(first), F.col("_lo")), F.least(num(last), F.col("_hi"))
+    s = s.join(about).where(lo <= hi).withColumn("_bin", F.explode(F.sequence(stretch(lo), stretch(hi)))).drop("_lo", "_hi")
+    e = events.join(about).withColumn("_own", stretch(num(day))).drop("_lo", "_hi")
+    on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_own") == F.col("_bin"), F.col(day).between(F.col(first), F.col(last))]
+    return e.join(s, on, kind).drop("_own", "_bin", *[f"_{k}" for k in keys])
 
 
 def paired(df: DataFrame, event: list[str], entity: str, side: str | None = None, same: bool = False, ordered: bool = True) -> DataFrame:

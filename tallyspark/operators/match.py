@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import edit_budget, folded_name, letters
 
 
 def lookup(mentions: DataFrame, dim: DataFrame, mention: str = "mention", name: str = "name", key: str = "id") -> DataFrame:
-    """Mention to candidates: all of a mention's words are in the name; a mention that is a whole name takes only that."""
-    m = mentions.select(F.col(mention).alias("mention")).distinct().withColumn("words", F.array_distinct(letters(F.col("mention"))))
-    d = dim.select(F.col(key).alias("id"), F.array_distinct(letters(F.col(name))).alias("words"), F.array_join(letters(F.col(name)), " ").alias("whole"))
-    words = m.select("mention", F.size("words").alias("n"), F.array_join(letters(F.col("mention")), " ").alias("said"), F.explode("words").alias("w"))
-    hit = words.join(d.select("id", "whole", F.explode("words").alias("w")), "w").groupBy("mention", "id", "n").agg(F.count("*").alias("found"), F.max(F.col("said") == F.col("whole")).alias("exact")).where("found = n")
-    best = hit.groupBy("mention").agg(F.bool_or("exact").alias("any"))
-    return hit.join(best, "mention").where("exact or not any").select("mention", "id", "exact")
+    """Mention to candidates: all of a mention's words are in the name; a mention that is a whole name takes only that.
+
+    Whole names are one join. Any other mention meets only the names that hold
+    its rarest word, by how many names have each; its other words are looked
+    for in place. So a word that very many names share costs nothing but for a
+    mention that has no other.
+    """
+    m = mentions.select(F.col(mention).alias("mention")).distinct().withColumn("said", letters(F.col("mention"))).where(F.size("said") > 0)
+    d = dim.select(F.col(key).alias("id"), letters(F.col(name)).alias("words")).where(F.size("words") > 0)
+    whole = lambda c: F.array_join(c, " ")
+    exact = m.select("mention", whole("said").alias("_w")).join(d.select("id", whole("words").alias("_w")), "_w").select("mention", "id", F.lit(True).alias("exact"))
+    rest = m.join(exact.select("mention"), "mention", "left_anti").withColumn("said", F.array_distinct("said"))
+    index = d.withColumn("words", F.array_distinct("words")).select("id", "words", F.explode("words").alias("w"))
+    often = index.groupBy("w").agg(F.count("*").alias("_n"))
+    # a word that no name holds leaves its mention without candidates
+    seen = rest.select("mention", "said", F.explode("said").alias("w")).join(often, "w")
+    rarest = seen.groupBy("mention", "said").agg(F.min(F.struct("_n", "w")).alias("_r"), F.count("*").alias("_k")).where(F.col("_k") == F.size("said"))
+    met = rarest.select("mention", "said", F.col("_r.w").alias("w")).join(index, "w").where(F.size(F.array_except("said", "words")) == 0)
+    return exact.unionByName(met.select("mention", "id", F.lit(False).alias("exact")))
 
 
 def _deletes(frame: DataFrame, word: str) -> DataFrame:
@@ -48,18 +59,50 @@ def edits(one: str, other: str) -> int:
 
 
 def near_words(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (word, near, gap) of distinct words within the budget of the first: candidates share a form with letters left out, and the survivors are measured."""
+    """Pairs (word, near, gap) of distinct words within the budget of the first: candidates share a form with letters left out, and the survivors are measured, in the JVM."""
     a = left.select("word").distinct().withColumn("budget", edit_budget(F.col("word")))
     b = right.select(F.col("word").alias("near")).distinct().withColumn("budget", F.lit(2))
     pairs = _deletes(a, "word").select("word", "form", F.col("budget").alias("most")).join(_deletes(b, "near").select("near", "form"), "form").select("word", "near", "most").distinct()
     # a swap is two plain edits, and a character is a byte at least
     pairs = pairs.where(F.levenshtein("word", "near") <= 2 * F.col("most"))
 
-    @F.pandas_udf("int")
-    def gap(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([edits(p, q) for p, q in zip(x, y, strict=True)], dtype="int32")
+    return pairs.withColumn("gap", near_edits(F.col("word"), F.col("near"))).where("gap <= most").select("word", "near", "gap")
+
 
-    return pairs.withColumn("gap", gap("word", "near")).where("gap <= most").select("word", "near", "gap")
+def near_edits(one: Column, other: Column) -> Column:
+    """``edits`` of two texts where there are at most two, and a larger number where there are more.
+
+    A distance of two stays within two places of the diagonal, so a row is five
+    numbers; a swap of neighbours reaches two rows back, and one with a byte
+    put in or left out between them three.
+    """
+    a, b = F.regexp_extract_all(F.hex(one), F.lit(".."), F.lit(0)), F.regexp_extract_all(F.hex(other), F.lit(".."), F.lit(0))
+    far = 9
+    row = lambda *v: F.array(*[x if isinstance(x, Column) else F.lit(x) for x in v]).cast("array<int>")
+    state = lambda r1, r2, r3: F.struct(r1.alias("r1"), r2.alias("r2"), r3.alias("r3"))
+
+    def step(rows: Column, i: Column) -> Column:
+        x = lambda back: F.get(a, i - 1 - back)
+        base = []
+        for p in range(5):
+            j = i + (p - 2)
+            y = lambda back, j=j: F.when(j - back >= 1, F.get(b, j - 1 - back))
+            cell = lambda r, q: F.get(rows[r], F.lit(q)) if 0 <= q < 5 else F.lit(far)
+            swap = lambda u, v: F.coalesce((x(0) == y(v)) & (x(u) == y(0)), F.lit(False))
+            least = F.least(
+                cell("r1", p) + F.when(x(0) == y(0), 0).otherwise(1), cell("r1", p + 1) + 1,
+                F.when((i >= 2) & swap(1, 1), cell("r2", p) + 1).otherwise(far), F.when((i >= 3) & swap(2, 1), cell("r3", p + 1) + 2).otherwise(far), F.when((i >= 2) & swap(1, 2), cell("r2", p - 1) + 2).otherwise(far),
+            )
+            base.append(F.when(j < 0, F.lit(far)).when(j == 0, i).otherwise(least))
+        start = row(*base)
+        # what a byte put in adds, from the left
+        new = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda p: F.array_min(F.transform(F.slice(start, F.lit(1), p + 1), lambda v, q: v + p - q)))
+        return state(new, rows["r1"], rows["r2"])
+
+    first = state(row(far, far, 0, 1, 2), row(*[far] * 5), row(*[far] * 5))
+    n, m = F.size(a), F.size(b)
+    last = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), first, step)
+    return F.when(F.abs(n - m) <= 2, F.least(F.get(last["r1"], m - n + 2), F.lit(far))).otherwise(far)
 
 
 def near_spelling(mentions: DataFrame, dim: DataFrame, mention: str = "mention", name: str = "name", key: str = "id") -> DataFrame:

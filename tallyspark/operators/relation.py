@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import day_range, nth_weekday
+from .joins import within_spans
 
 OPS = {">=": operator.ge, ">": operator.gt, "<=": operator.le, "<": operator.lt, "=": operator.eq}
 ROLES = {r: r for r in ("entity", "event", "season", "season_type", "ts", "day", "group", "opponent", "won")}
@@ -143,9 +144,8 @@ class Rel:
     def without(self, others: DataFrame, on: list[str], stints: DataFrame, group: str = "group", first: str = "first_day", last: str = "last_day") -> Rel:
         """Rows without the companion, but only on days inside one of its stints with the row's group."""
         absent = self.companion(others, on, present=False).df
-        span = stints.select(F.col(group).alias("_g"), F.col(first).alias("_f"), F.col(last).alias("_l"))
-        inside = (F.col(self.name("group")) == F.col("_g")) & self.col("day").between(F.col("_f"), F.col("_l"))
-        return self.with_df(absent.join(span, inside, "left_semi"))
+        span = stints.select(F.col(group).alias(self.name("group")), F.col(first).alias("_first"), F.col(last).alias("_last"))
+        return self.with_df(within_spans(absent, span, [self.name("group")], self.name("day"), "left_semi", "_first", "_last"))
 
     def series_game(self, numbered: DataFrame, on: list[str], n: int, col: str = "game_no") -> Rel:
         return self.with_df(self.df.join(numbered.where(F.col(col) == n).select(*on), on, "left_semi"))

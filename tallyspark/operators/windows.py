@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import LARGE, ranged
+
 #: Ranges of values that are counted apart, of a whole table and of each key.
 RANGES, KEY_RANGES = 256, 64
 
@@ -17,21 +19,46 @@ def keep_one(df: DataFrame, key: list[str], prefer: list[Column]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*prefer))).where("_rn = 1").drop("_rn")
 
 
-def longest_runs(df: DataFrame, keys: list[str], order: list[str], hit: Column, best_per_key: bool = True, limit: int | None = None, day: str = "day") -> DataFrame:
+def longest_runs(df: DataFrame, keys: list[str], order: list[str], hit: Column, best_per_key: bool = True, limit: int | None = None, day: str = "day", large: int = LARGE) -> DataFrame:
     """Longest unbroken runs of hits: keys, length, first and last day, and whether the run reaches its key's last row.
 
-    A row whose hit is unknown breaks a run.
+    A row whose hit is unknown breaks a run; of equally long runs of a key the
+    first stands. A key of more than ``large`` rows is dealt into ranges of its
+    order: each finds its own runs, and only those at the ends of ranges are
+    joined, in order. The first column of ``order`` is a number, day or time.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = df.withColumn("_hit", F.coalesce(hit, F.lit(False))).withColumn("_rn", F.row_number().over(w))
-    rows = rows.withColumn("_last", F.lead(F.lit(1)).over(w).isNull())
-    rows = rows.withColumn("_isle", F.col("_rn") - F.row_number().over(Window.partitionBy(*keys, "_hit").orderBy(*order)))
-    runs = rows.where("_hit").groupBy(*keys, "_isle").agg(F.count("*").alias("length"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.bool_or("_last").alias("open")).drop("_isle")
+    rows, split = ranged(df.withColumn("_hit", F.coalesce(hit, F.lit(False))), keys, order[0], large)
+    own = [*keys, "_range"]
+    w = Window.partitionBy(*own).orderBy(*order)
+    rows = rows.withColumn("_rn", F.row_number().over(w)).withColumn("_last", F.lead(F.lit(1)).over(w).isNull())
+    rows = rows.withColumn("_isle", F.col("_rn") - F.row_number().over(Window.partitionBy(*own, "_hit").orderBy(*order)))
+    runs = rows.where("_hit").groupBy(*own, "_isle").agg(F.count("*").alias("length"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.min("_rn").alias("_at"), F.bool_or("_last").alias("open"))
+    if split:
+        runs = _joined_runs(runs, rows.groupBy(*own).agg(F.lit(1).alias("_some")), keys)
+    runs = runs.select(*keys, "length", "first_day", "last_day", "open")
     if best_per_key:
-        runs = keep_one(runs, keys, [F.desc("length"), F.desc("first_day")])
+        best = F.min(F.struct((-F.col("length")).alias("l"), "first_day", "last_day", "open")).alias("_b")
+        runs = runs.groupBy(*keys).agg(best).select(*keys, (-F.col("_b.l")).alias("length"), "_b.first_day", "_b.last_day", "_b.open")
     return runs if limit is None else runs.orderBy(F.desc("length"), F.asc("first_day"), *keys).limit(limit)
 
 
+def _joined_runs(runs: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs of ranges as runs of keys: a run that ends with its range goes on in the next one that begins with a run."""
+    of_key = Window.partitionBy(*keys).orderBy("_range")  # a row a range
+    own = [*keys, "_range"]
+    ranges = ranges.select(*[F.col(c).alias(f"_of_{c}") for c in own], F.row_number().over(of_key).alias("_no"), F.lead(F.lit(1)).over(of_key).isNull().alias("_final"))
+    runs = runs.join(ranges, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in own]))
+    inner = runs.where("_at > 1 and not open").withColumn("open", F.lit(False))
+    ends = runs.where("_at = 1 or open")
+    w = Window.partitionBy(*keys).orderBy("_no", "_at")  # two rows a range at most
+    goes_on = (F.col("_at") == 1) & F.lag("open").over(w) & (F.lag("_no").over(w) == F.col("_no") - 1)
+    ends = ends.withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
+    ends = ends.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = ends.groupBy(*keys, "_run").agg(F.sum("length").alias("length"), F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"), F.bool_or(F.col("open") & F.col("_final")).alias("open"))
+    cols = [*keys, "length", "first_day", "last_day", "open"]
+    return inner.select(*cols).unionByName(whole.select(*cols))
+
+
 def runs_with_unknown(df: DataFrame, unknown: DataFrame, keys: list[str], order: list[str], hit: str, **more) -> DataFrame:
     """Runs where events whose figures are unknown stand in the sequence and break it."""
     both = df.select(*keys, *order, "day", F.col(hit).alias("hit")).unionByName(unknown.select(*keys, *order, "day", F.lit(None).cast("boolean").alias("hit")))
@@ -39,16 +66,24 @@ def runs_with_unknown(df: DataFrame, unknown: DataFrame, keys: list[str], order:
 
 
 def stints(df: DataFrame, entity: str, group: str, order: list[str], day: str = "day", season: str | None = None, season_gap: int = 1) -> DataFrame:
-    """An entity's stretches with one group: a new one at a change of group or a gap of seasons; ``last_day`` closes at the next stint's eve or the group's last day."""
+    """An entity's stretches with one group: a new one at a change of group or a gap of seasons.
+
+    ``last_day`` is the group's last day in the season of the stint's last row
+    (of all where there are no seasons), or the eve of the next stint, if that
+    comes first; ``seen_day`` is the day of its own last row.
+    """
     w = Window.partitionBy(entity).orderBy(*order)
-    new = F.lag(group).over(w).isNull() | (F.lag(group).over(w) != F.col(group))
+    before = F.lag(group).over(w)
+    new = F.lag(F.lit(1)).over(w).isNull() | ~before.eqNullSafe(F.col(group))
     if season:
         new = new | (F.col(season) - F.lag(season).over(w) > season_gap)
     rows = df.withColumn("_new", new.cast("int")).withColumn("stint", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = rows.groupBy(entity, "stint").agg(F.first(group).alias(group), F.min(day).alias("first_day"), F.max(day).alias("seen_day"), F.count("*").alias("games"))
-    end = df.groupBy(group).agg(F.max(day).alias("_end"))
+    of = [F.max(season).alias("_season")] if season else []
+    out = rows.groupBy(entity, "stint", group).agg(F.min(day).alias("first_day"), F.max(day).alias("seen_day"), F.count("*").alias("games"), *of)
+    ends = df.groupBy(group, *([F.col(season).alias("_season")] if season else [])).agg(F.max(day).alias("_end"))
     nxt = F.date_sub(F.lead("first_day").over(Window.partitionBy(entity).orderBy("stint")), 1)
-    return out.join(end, group).withColumn("last_day", F.greatest("seen_day", F.coalesce(F.least(nxt, "_end"), "_end"))).drop("_end")
+    closed = out.withColumn("_next", nxt).join(ends, [group, *(["_season"] if season else [])])
+    return closed.withColumn("last_day", F.least("_next", "_end")).select(entity, "stint", group, "first_day", "seen_day", "games", "last_day")
 
 
 def overlaps(a: DataFrame, b: DataFrame, on: list[str], first: str = "first_day", last: str = "last_day") -> DataFrame:

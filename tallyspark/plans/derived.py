@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import match, relation, repair, windows
 from ..sources import flatten, load
+from ..sources.store import Store
 from .bind import Tables, bound
 from .loads import _folder
 
@@ -178,7 +179,7 @@ def l2_partial_reload(t: Tables):
     step = [("both", lambda have: have["orders"].unionByName(have["part"]))]
     load.load(t.spark, src, dst, ["orders", "part"], step)
     old = _folder(t, "kept")
-    t.spark.read.parquet(f"{dst}/orders").write.parquet(old)
+    Store(t.spark, dst).read("orders").write.parquet(old)
     orders.where("k % 2 = 1").write.mode("append").parquet(f"{src}/orders")
     have = load.load(t.spark, src, dst, ["orders", "part"], step, only=["orders"])
     named = {"orders": t.spark.read.parquet(old), "again": have["orders"], "both": have["both"], "part": have["part"]}
@@ -195,8 +196,8 @@ def l3_atomic_publish(t: Tables):
     path = _folder(t, "published")
     c = t.customer.select("c_custkey", "c_name", "c_acctbal")
     load.publish(c, path)
-    load.publish(t.spark.read.parquet(path).where("c_acctbal > 0"), path)
-    return t.spark.read.parquet(path)
+    load.publish(load.read(t.spark, path).where("c_acctbal > 0"), path)
+    return load.read(t.spark, path)
 
 
 @bound("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS status, CASE WHEN o_orderkey % 5 <> 0 THEN o_shippriority END AS priority FROM (SELECT *, o_orderkey % 11 AS o_shippriority FROM orders)")

@@ -165,7 +165,7 @@ def runs_sql(src: str, keys: str, hit: str, pick: str = "rn2 = 1") -> str:
     return f"""WITH r AS (SELECT {keys}, day, coalesce({hit}, false) AS hit, row_number() OVER (PARTITION BY {keys} ORDER BY ts, event) AS rn, lead(1) OVER (PARTITION BY {keys} ORDER BY ts, event) IS NULL AS final,
  row_number() OVER (PARTITION BY {keys}, coalesce({hit}, false) ORDER BY ts, event) AS rh FROM {src} ),
 g AS (SELECT {keys}, count(*) AS length, min(day) AS first_day, max(day) AS last_day, bool_or(final) AS open FROM r WHERE hit GROUP BY {keys}, rn - rh),
-p AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY length DESC, first_day DESC) AS rn2 FROM g)
+p AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY length DESC, first_day) AS rn2 FROM g)
 SELECT {keys}, length, first_day, last_day, open FROM p WHERE {pick}"""
 
 
@@ -190,9 +190,9 @@ def w4_season_runs(t: Tables):
 
 STINTS = """r AS (SELECT *, CASE WHEN lag(opponent) OVER w IS NULL OR lag(opponent) OVER w <> opponent OR season - lag(season) OVER w > 1 THEN 1 ELSE 0 END AS new FROM b1 WINDOW w AS (PARTITION BY entity ORDER BY ts, event)),
 k AS (SELECT *, sum(new) OVER (PARTITION BY entity ORDER BY ts, event ROWS UNBOUNDED PRECEDING) AS stint FROM r),
-g AS (SELECT entity, stint, any_value(opponent) AS opponent, min(day) AS first_day, max(day) AS seen_day, count(*) AS games FROM k GROUP BY entity, stint),
-e AS (SELECT opponent, max(day) AS fin FROM b1 GROUP BY opponent),
-st AS (SELECT entity, CAST(stint AS BIGINT) AS stint, g.opponent, first_day, seen_day, games, greatest(seen_day, coalesce(least(CAST(lead(first_day) OVER (PARTITION BY entity ORDER BY stint) - INTERVAL 1 DAY AS DATE), fin), fin)) AS last_day FROM g JOIN e ON e.opponent = g.opponent)"""
+g AS (SELECT entity, stint, any_value(opponent) AS opponent, min(day) AS first_day, max(day) AS seen_day, max(season) AS season, count(*) AS games FROM k GROUP BY entity, stint),
+e AS (SELECT opponent, season, max(day) AS fin FROM b1 GROUP BY opponent, season),
+st AS (SELECT entity, CAST(stint AS BIGINT) AS stint, g.opponent, first_day, seen_day, games, coalesce(least(CAST(lead(first_day) OVER (PARTITION BY entity ORDER BY stint) - INTERVAL 1 DAY AS DATE), fin), fin) AS last_day FROM g JOIN e ON e.opponent = g.opponent AND e.season = g.season)"""
 
 
 @bound(f"WITH {STINTS} SELECT * FROM st WHERE 'b1 ' <> ''")
@@ -225,10 +225,10 @@ def w9_merge_window(t: Tables):
 
 @bound("SELECT event, count(*) OVER (PARTITION BY season) AS pool, n > 1 AS moved FROM b1 JOIN (SELECT entity, count(DISTINCT opponent) AS n FROM b1 GROUP BY entity) USING (entity)")
 def w10_partition_counts(t: Tables):
-    from pyspark.sql import Window
-
-    d = t.b1().df
-    return d.select("event", F.count("*").over(Window.partitionBy("season")).alias("pool"), (F.size(F.collect_set("opponent").over(Window.partitionBy("entity"))) > 1).alias("moved"))
+    d = t.b1().df.select("event", "season", "entity", "opponent")
+    pool = d.groupBy("season").agg(F.count("*").alias("pool"))
+    groups = d.groupBy("entity").agg((F.min("opponent") < F.max("opponent")).alias("moved"))
+    return d.join(pool, "season").join(groups, "entity").select("event", "pool", "moved")
 
 
 @bound("SELECT p_partkey AS part, cume_dist() OVER (ORDER BY p_retailprice) AS pct, (rank() OVER (ORDER BY p_retailprice) - 1 + count(*) OVER (PARTITION BY p_retailprice) / 2.0) / count(*) OVER () AS mid FROM part")

@@ -291,7 +291,6 @@ M1 = """WITH m AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS mention FROM pa
 SELECT mention, id, mention = p_name AS exact FROM m JOIN d ON len(list_filter(string_split(mention, ' '), lambda w: NOT list_contains(string_split(p_name, ' '), w))) = 0 AND (mention = p_name OR NOT EXISTS (SELECT 1 FROM part p WHERE p.p_name = m.mention)) WHERE mention <> ''"""
 
 
-@bound(M1, name="m1_lookup_all_names")
 @bound(M1)
 def m1_lookup(t: Tables):
     mentions = t.part.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("mention")).union(t.part.select("p_name")).distinct()

@@ -1,48 +1,23 @@
-"""Loading: drifting Parquet trees, atomic publishing, partial reloads, manifests, upserts."""
+"""Loading: drifting Parquet trees, publishing, partial reloads, manifests, upserts."""
 
 from __future__ import annotations
 
-import re
-import uuid
-from collections.abc import Callable, Iterator
-from urllib.parse import quote
+from collections.abc import Callable
+from itertools import groupby
 
-import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RANK = {T.ByteType(): 1, T.ShortType(): 2, T.IntegerType(): 3, T.LongType(): 4, T.FloatType(): 5, T.DoubleType(): 6}
-
-
-def promoted(kinds: list[T.DataType]) -> T.DataType:
-    """The one type that all values fit in: a column of nulls gives way, numbers widen, anything else is text."""
-    some = list(dict.fromkeys(k for k in kinds if not isinstance(k, T.NullType)))
-    if not some:
-        return T.StringType()
-    if len(some) == 1:
-        return some[0]
-    if all(k in RANK for k in some):
-        return T.DoubleType() if any(RANK[k] > 4 for k in some) else max(some, key=RANK.get)
-    return T.StringType()
+from . import ledger
+from .store import Store, united
 
 
 def by_schema(spark: SparkSession, path: str) -> list[list[str]]:
-    """The files of a tree by the schema in their footers, which tasks read; what comes to the driver is a list of paths for each schema."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path")
-
-    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kinds = []
-            for p in b["path"].to_pylist():
-                fs, name = (LocalFileSystem(), re.sub("^file:/*", "/", p)) if p.startswith(("file:", "/")) else FileSystem.from_uri(quote(p, safe="/:@"))
-                kinds.append(pq.read_schema(name, filesystem=fs).remove_metadata().to_string())
-            yield pa.RecordBatch.from_arrays([b["path"], pa.array(kinds, pa.string())], ["path", "kind"])
-
-    groups = listed.mapInArrow(footers, "path string, kind string").groupBy("kind").agg(F.sort_array(F.collect_list("path")).alias("paths"))
-    return sorted(r["paths"] for r in groups.collect())
+    """The files of a tree by the schema in their footers, which tasks read. Paths come to the driver one after the other, as the file index of a scan needs them there; for a tree too large for that, see ``ledger.load_drifting``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    rows = ledger.footers(files).select("kind", "path").orderBy("kind", "path").toLocalIterator()
+    return sorted([r["path"] for r in own] for _, own in groupby(rows, key=lambda r: r["kind"]))
 
 
 def read_drifting(spark: SparkSession, path: str, promote: dict[str, str] | None = None, groups: list[list[str]] | None = None) -> DataFrame:
@@ -53,56 +28,35 @@ def read_drifting(spark: SparkSession, path: str, promote: dict[str, str] | None
     """
     if groups is None:
         groups = by_schema(spark, path)
-    frames = [spark.read.option("recursiveFileLookup", "true").parquet(*g) for g in groups]
-    kinds: dict[str, list[T.DataType]] = {}
-    for f in frames:
-        for c in f.schema.fields:
-            kinds.setdefault(c.name, []).append(c.dataType)
-    to = {c: promoted(k) for c, k in kinds.items()} | {c: T._parse_datatype_string(t) for c, t in (promote or {}).items()}
-    out = None
-    for f in frames:
-        one = f.select(*[F.col(c).cast(to[c]).alias(c) if c in f.columns else F.lit(None).cast(to[c]).alias(c) for c in kinds])
-        out = one if out is None else out.unionByName(one)
-    return out
+    return united([spark.read.option("recursiveFileLookup", "true").parquet(*g) for g in groups], promote)
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+def publish(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    """Write beside the table's old rows, then point to the new ones: a reader (``read``) sees the old table or the new one whole, and a failed write changes nothing."""
+    store = Store(df.sparkSession, path)
+    store.publish({"rows": [store.build("rows", df, partition_by)]})
 
 
-def publish(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write beside the table, then swap: a reader sees the old table or the new one whole, and a failed write changes nothing."""
-    spark = df.sparkSession
-    new, old = f"{path}_building_{uuid.uuid4().hex}", f"{path}_old_{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(new)
-    fs, target = _fs(spark, path)
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    had = fs.exists(target)
-    if had and not fs.rename(target, p(old)):
-        raise OSError(f"could not move {path} aside")
-    if not fs.rename(p(new), target):
-        if had:
-            fs.rename(p(old), target)
-        raise OSError(f"could not publish {path}")
-    if had:
-        fs.delete(p(old), True)
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """A table as ``publish`` last left it."""
+    return Store(spark, path).read("rows")
 
 
 def load(spark: SparkSession, source: str, target: str, tables: list[str], derived: list[tuple[str, Callable[[dict[str, DataFrame]], DataFrame]]], only: list[str] | None = None) -> dict[str, DataFrame]:
-    """Rebuild the named base tables, or all, then every derived table in its order; each is published by itself."""
-    for t in only or tables:
-        publish(read_drifting(spark, f"{source}/{t}"), f"{target}/{t}")
-    have = {t: spark.read.parquet(f"{target}/{t}") for t in tables}
+    """Rebuild the named base tables, or all, then every derived table in its order; all of them become current at once, in the end."""
+    store = Store(spark, target)
+    parts = {t: [store.build(t, read_drifting(spark, f"{source}/{t}"))] for t in only or tables}
+    now = store.current()[1]["tables"]
+    have = {t: united([spark.read.parquet(f"{target}/{t}/{p}") for p in parts.get(t) or now[t]]) for t in tables}
     for name, step in derived:
-        publish(step(have), f"{target}/{name}")
-        have[name] = spark.read.parquet(f"{target}/{name}")
+        parts[name] = [store.build(name, step(have))]
+        have[name] = spark.read.parquet(f"{target}/{name}/{parts[name][0]}")
+    store.publish(parts)
     return have
 
 
 def write_rows(spark: SparkSession, rows: list[dict], schema: str, path: str) -> None:
-    """Ragged records to Parquet; a missing key is null, a key outside the schema an error."""
+    """A few ragged records made on the driver, as in tests, to Parquet (``load_rows`` is for landed files); a missing key is null, a key outside the schema an error."""
     kind = T._parse_datatype_string(schema)
     known = set(kind.names)
     if extra := {k for r in rows for k in r} - known:
