@@ -86,6 +86,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     return cur.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """Each value of a column that is not null, as ``key``, with a number ``_no`` that grows with it; written, so that the numbers stay."""
+    ids = df.select(F.col(key).alias("key")).where("key is not null").distinct()
+    return written(ids.repartitionByRange("key").sortWithinPartitions("key").withColumn("_no", F.monotonically_increasing_id()), "numbers")
+
+
 def small_batches(batches, rows: int = 256):
     """Arrow batches cut to few rows, so that work arrays stay small whatever the batch size is."""
     for b in batches:

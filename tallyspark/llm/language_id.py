@@ -24,8 +24,16 @@ KINDS = 155
 KIND = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else b - 101 if b >= 128 else 0 for b in range(256)], np.int32)
 #: Where the numbers of n-grams of each length begin.
 STARTS = (0, KINDS, KINDS + KINDS**2, KINDS + KINDS**2 + KINDS**3)
-#: Landmarks are texts of no more n-grams than this.
-MARK_GRAMS = 1 << 16
+#: A landmark is a text, or of a longer one the stretch of so many characters in its middle.
+MARK_CHARS = 1 << 14
+#: Cells of the landmarks' matrix (4 bytes each); if there were more, the n-grams that most landmarks hold make its columns.
+CELLS = 1 << 27
+
+
+def middle(text: Column) -> Column:
+    """What of a text is a landmark."""
+    at = F.floor(F.greatest(F.char_length(text) - MARK_CHARS, F.lit(0)) / 2).cast("int")
+    return F.substring(text, at + 1, F.lit(MARK_CHARS))
 
 
 def has_letter(text: Column) -> Column:
@@ -56,13 +64,16 @@ class Landmarks:
     """Presence rows of landmark texts over their own n-grams, and kernels with them."""
 
     def __init__(self, grams: list[np.ndarray]):
-        self.codes = np.unique(np.concatenate(grams))
+        self.codes, held = np.unique(np.concatenate(grams), return_counts=True)
+        if len(self.codes) * len(grams) > CELLS:
+            self.codes = np.sort(self.codes[np.lexsort((self.codes, -held))[: CELLS // len(grams)]])
         self.rows = np.zeros((len(grams), len(self.codes)), np.float32)
         cuts = [0, *np.searchsorted(self.codes, STARTS[1:]).tolist()]
         for row, g in zip(self.rows, grams, strict=True):
-            row[np.searchsorted(self.codes, g)] = 1
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                row[a:b] /= max(1.0, float(np.sqrt(row[a:b].sum())))
+            own = np.searchsorted(self.codes, g)
+            row[own[(own < len(self.codes)) & (self.codes[np.minimum(own, len(self.codes) - 1)] == g)]] = 1
+            for a, b, lo, hi in zip(cuts, cuts[1:], STARTS, STARTS[1:], strict=False):
+                row[a:b] /= max(1.0, float(np.sqrt(((g >= lo) & (g < hi)).sum())))
 
     def columns(self) -> np.ndarray:
         """The column of each n-gram, or -1."""
@@ -103,28 +114,23 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 
     The ``languages`` most frequent values are learned, which is more than
     there are in use; it bounds what the driver holds. Rows of one id and text
-    teach once. What comes to the driver is the n-grams of the landmarks, and
+    teach once. A landmark is a text, or the middle of one of more than 16,384
+    characters; values are of whole texts. What comes to the driver is the n-grams of the landmarks, and
     a row of kernel values for each document of the sample.
     """
     known = docs.where(F.col(lang).isNotNull() & has_letter(F.col(text))).select(F.col(doc_id).alias("i"), F.col(lang).alias("lang"), F.col(text).alias("t"), F.xxhash64(doc_id, text).alias("k"))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(dealt("i", "k")).alias("least")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    sizes = {r["lang"]: r["n"] for r in counts}
     if not sizes:
         return None
     each = max(4, sample // len(sizes))
-    share = F.create_map(*[F.lit(x) for kv in sizes.items() for x in (kv[0], 1.0 if kv[1] <= each else each / kv[1])])
+    # the least number of each language is in, so that none is without a text
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], 1.0 if r["n"] <= each else max(each / r["n"], float(np.nextafter(r["least"], 2))))])
     some = known.where(dealt("i", "k") < share[F.col("lang")])
     some = written(some.dropDuplicates(["i", "k"]).select("k", "lang", "t"), "lang-sample")
-
-    def sizes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams()
-        for b in small_batches(batches, 64):
-            yield pa.RecordBatch.from_arrays([b["k"], b["lang"], pa.array([sum(map(len, grams.of(t))) for t in b["t"].to_pylist()], pa.int64())], ["k", "lang", "n"])
-
-    rows = sorted((r["lang"], r["k"]) for r in some.select("k", "lang", "t").mapInArrow(sizes_of, "k long, lang string, n long").where(F.col("n") <= MARK_GRAMS).collect())
-    if not rows:
-        return None
+    rows = sorted((r["lang"], r["k"]) for r in some.select("lang", "k").collect())
     picked = [r for x in sizes for r in [y for y in rows if y[0] == x][: max(1, landmarks // len(sizes))]]
-    chosen = some.where(F.col("k").isin([k for _, k in picked])).select("lang", "k", "t").dropDuplicates(["lang", "k"])
+    chosen = some.where(F.col("k").isin([k for _, k in picked])).dropDuplicates(["lang", "k"]).select("lang", "k", middle(F.col("t")).alias("t"))
     texts = [r["t"] for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["k"])) if (r["lang"], r["k"]) in set(picked)]
     grams = Grams()
     marks = Landmarks([np.concatenate(grams.of(t)) for t in texts])

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from ._common import components, small_batches, sweep, written
+from ._common import components, numbered, small_batches, sweep, written
 from .shingles import mix, shingle_sets
 
 REGISTERS, BANDS, ROWS, MANTISSA = 128, 24, 4, 10
@@ -276,8 +277,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float | str = "0.8"
     first links into other blocks once more. Then, in buckets whose members
     are still not all joined, the pairs between components are tried block by
     block, each task ending a pair's turn as soon as a link has joined its
-    ends. Blocks of one component never meet.
+    ends. Blocks of one component never meet. Ids that are no whole numbers
+    are numbered in their order first.
     """
+    if not isinstance(docs.schema[doc_id].dataType, IntegralType):
+        numbers = numbered(docs, doc_id)
+        rows = docs.select(F.col(doc_id).alias("key"), F.col(text).alias("_text")).join(numbers, "key", "left")
+        out = near_duplicates(rows.select("_no", "_text"), k, similarity, "_text", "_no")
+        name = lambda c: numbers.select(F.col("_no").alias(c), F.col("key").alias(f"_{c}"))
+        out = out.join(name("doc_id"), "doc_id", "left").join(name("component_id"), "component_id", "left")
+        return out.select(F.col("_doc_id").alias("doc_id"), "n_shingles", F.col("_component_id").alias("component_id"), "kept", "n_links")
     sim = Fraction(str(similarity))
     level = float(sim)
     spark = docs.sparkSession

@@ -19,6 +19,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ._common import small_batches, written
 from .shingles import mix
@@ -165,14 +166,16 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     return pos, np.concatenate(hashes)[first]
 
 
-def _key(text: Column, doc_id: str) -> list[Column]:
-    """d, tag: what tells a row's text from others, its id and a 64-bit hash of the text; without an id, two such hashes."""
-    return [F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.lit("no id"), text)).alias("d"), F.xxhash64(text).alias("tag")]
+def _key(docs: DataFrame, text: Column, doc_id: str) -> list[Column]:
+    """d, tag: what tells a row's text from others, its id (a hash of it, if it is no whole number) and a 64-bit hash of the text; without an id, two such hashes."""
+    whole = isinstance(docs.schema[doc_id].dataType, IntegralType)
+    own = F.col(doc_id).cast("long") if whole else F.when(F.col(doc_id).isNotNull(), F.xxhash64(F.lit("id"), doc_id))
+    return [F.coalesce(own, F.xxhash64(F.lit("no id"), text)).alias("d"), F.xxhash64(text).alias("tag")]
 
 
 def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(*_key(body, doc_id), body.alias("t"))
+    return docs.select(*_key(docs, body, doc_id), body.alias("t"))
 
 
 def _anchor_rows(docs: DataFrame, length: int, only_hash: bool) -> DataFrame:
@@ -435,7 +438,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, text: str = "text", doc_i
     spans = whole.unionByName(_by_suffix_array(ctx, length))
     if not large.isEmpty():
         spans = spans.unionByName(_by_core(written(_contexts(_packed(rows), large, length), "large"), length))
-    return written(spans.groupBy("d", "tag").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans")), "spans")
+    return written(spans.groupBy("d", "tag").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans")), "spans")  # rows that repeat an id and a text repeat their spans
 
 
 def _cut(data: bytes, spans) -> tuple[bytes, int, int]:
@@ -460,7 +463,7 @@ def _joined(docs: DataFrame, length: int, text: str, doc_id: str) -> DataFrame:
     """All columns of the rows, the text compressed as z, with the spans of each."""
     spans = repeated_spans(docs, length, text, doc_id)
     body = F.coalesce(F.col(text), F.lit(""))
-    d, tag = _key(body, doc_id)
+    d, tag = _key(docs, body, doc_id)
     own = docs.select(d.alias("_d"), tag.alias("_tag"), F.struct(*[c for c in docs.columns if c != text]).alias("_row"), body.alias("t"))
     packed = _packed(own)
     return packed.join(spans.select(F.col("d").alias("_d"), F.col("tag").alias("_tag"), "spans"), ["_d", "_tag"], "left")

@@ -57,7 +57,16 @@ def counter(path: str):
     fast = _rank_encoding(spec)
     if fast is None:
         return lambda texts: [slow(t) for t in texts]
-    return lambda texts: [len(fast.encode(t, allowed_special="all")) if PLAIN.fullmatch(t) else slow(t) for t in texts]
+
+    def count(text: str) -> int:
+        if PLAIN.fullmatch(text):
+            try:
+                return len(fast.encode(text, allowed_special="all"))
+            except ValueError:  # its pattern engine gives up on very long runs of white space
+                pass
+        return slow(text)
+
+    return lambda texts: [count(t) for t in texts]
 
 
 def _rank_encoding(spec: dict):

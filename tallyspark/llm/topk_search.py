@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ._common import bounded_sample, written
 
@@ -69,6 +70,7 @@ def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def search_block(qid: np.ndarray, q: np.ndarray, qd: np.ndarray, cid: np.ndarray, c: np.ndarray, cd: np.ndarray, norm2: float, k: int, step: int = 256, seen: list[int] | None = None):
     """The k best (query, candidate, score) of each query within one block of candidates, by pivot elimination. ``seen`` gets the number of candidates evaluated for each."""
+    repeated = len(np.unique(cid)) < len(cid)
     for i in range(len(qid)):
         own = q[i]
         bound = np.abs(cd - qd[i]).max(axis=1) if cd.shape[1] and cd.shape[1] == qd.shape[1] else np.zeros(len(cid))
@@ -86,10 +88,12 @@ def search_block(qid: np.ndarray, q: np.ndarray, qd: np.ndarray, cid: np.ndarray
             take = take[cid[take] != qid[i]]
             s = np.concatenate([best, products(own, c[take])])
             ids = np.concatenate([best_id, cid[take]])
-            if len(s) > 4 * k and s.dtype != object:
+            if len(s) > 4 * k and s.dtype != object and not repeated:
                 top = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
                 s, ids = s[top], ids[top]
             o = np.lexsort((ids, -s)) if s.dtype != object else np.array(sorted(range(len(s)), key=lambda j: (-s[j], ids[j])), int)
+            if repeated:  # of the vectors of one id the best counts
+                o = o[np.sort(np.unique(ids[o], return_index=True)[1])]
             best_id, best = ids[o[:k]], s[o[:k]]
         if seen is not None:
             seen.append(done)
@@ -103,10 +107,13 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
     rows but the query's own id. Vectors that are null or hold a null or
     non-finite component take no part, nor do rows without an id; a vector is
     compared with those of its own number of components, and empty vectors
-    score 0. A score beyond 64 bits is given as the nearest 64-bit number. A row that repeats an id with equal components counts once.
+    score 0. A score beyond 64 bits is given as the nearest 64-bit number. A row that repeats an id with equal components counts once;
+    of an id's different vectors the best counts, as a candidate and as a query. Ids are whole numbers.
     Queries and candidates meet in blocks of bounded size; pivots come from a
     bounded sample and only steer the search.
     """
+    if not isinstance(vectors.schema[vec_id].dataType, IntegralType):
+        raise TypeError("queries are chosen by division of their ids, which must be whole numbers")
     spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), whole(F.col(embedding)).alias("v")).where("vec_id is not null and v is not null")
     rows = written(rows.withColumn("h", F.xxhash64("v")).dropDuplicates(["vec_id", "h"]).select("vec_id", "v", F.size("v").alias("dim")), "vectors")
