@@ -17,6 +17,23 @@ def coverage(tables: dict[str, DataFrame], by: list[str]) -> DataFrame:
     return out.fillna(0, list(tables))
 
 
+def coverage_report(tables: dict[str, DataFrame], by: list[str], counted: str, expected: DataFrame, settled: DataFrame, markers: DataFrame) -> DataFrame:
+    """``coverage``, with what the groups should hold of the table ``counted``.
+
+    ``expected`` and ``settled`` have a column n by group: how many units there
+    should be, and how many are known never to come. A group with a marker is
+    complete and is taken at its word: nothing is expected of it. ``missing`` is
+    what is neither there nor settled. A group that is only expected is shown.
+    """
+    of = lambda d, name: d.groupBy(*by).agg(F.sum("n").alias(name))
+    out = coverage(tables, by).join(of(expected, "_want"), by, "full").join(of(settled, "settled"), by, "left")
+    out = out.join(markers.select(*by).distinct().withColumn("_done", F.lit(True)), by, "left")
+    done = F.col("_done").isNotNull()
+    have = F.coalesce(counted, F.lit(0)) + F.coalesce("settled", F.lit(0))
+    want = F.when(~done, F.coalesce("_want", F.lit(0)))
+    return out.select(*by, *[F.coalesce(t, F.lit(0)).alias(t) for t in tables], F.coalesce("settled", F.lit(0)).alias("settled"), want.alias("expected"), F.when(~done, F.greatest(want - have, F.lit(0))).alias("missing"), done.alias("complete"))
+
+
 def floor_check(df: DataFrame, season: str, floor: int, share: float = 0.55) -> DataFrame:
     """Seasons from the floor on with too few rows against the median season, and usable seasons below it."""
     n = df.groupBy(season).agg(F.count("*").alias("rows"))
@@ -82,6 +99,16 @@ def unmatched_share(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.count_if(F.col(key).isNull()).alias("unmatched"))
 
 
+def identity_pairs(fact: DataFrame, dim: DataFrame, entity: str, name: str, event: list[str]) -> DataFrame:
+    """Two ids of one name that stand in one event: the name, both ids and how many events they share."""
+    named = fact.select(F.col(entity).alias("_id"), *event).distinct().join(dim.select(F.col(entity).alias("_id"), F.col(name).alias("name")), "_id").where("name is not null")
+    # most events have one id of a name: only those with more are paired
+    several = named.groupBy("name", *event).agg(F.count_distinct("_id").alias("_n")).where("_n > 1").drop("_n")
+    rows = named.join(several, ["name", *event], "left_semi")
+    both = rows.withColumnRenamed("_id", "id").join(rows.withColumnRenamed("_id", "id_2"), ["name", *event]).where("id < id_2")
+    return both.groupBy("name", "id", "id_2").agg(F.count("*").alias("events"))
+
+
 def tiers(coverage_table: DataFrame, tier: str, first: str, last: str) -> DataFrame:
     """For cumulative sets of tables: each tier can use the latest of the first seasons and the earliest of the last ones so far."""
     w = Window.orderBy(tier).rowsBetween(Window.unboundedPreceding, 0)  # a row per tier

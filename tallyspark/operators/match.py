@@ -125,6 +125,15 @@ def eliminate(candidates: DataFrame, facts: DataFrame, entity: str = "id", seaso
     return rows.join(any_, "mention").where("(_any and _asked) or (not _any and _now)").select(*candidates.columns)
 
 
+def companions(candidates: DataFrame, facts: DataFrame, entity: str = "id", subject: str = "subject", shared: tuple[str, ...] = ("season", "group")) -> DataFrame:
+    """Candidates who were with their mention's subject: in one of the subject's groups in one of its seasons. A mention may be left without any."""
+    seen = facts.select(F.col(entity).alias("_e"), *shared).where("_e is not null").distinct()
+    keys = candidates.select(entity, subject).distinct()
+    his = keys.join(seen.withColumnRenamed("_e", subject), subject)
+    met = his.join(seen.withColumnRenamed("_e", entity), [entity, *shared], "left_semi").select(entity, subject)
+    return candidates.join(met, [entity, subject], "left_semi").select(*candidates.columns)
+
+
 def alias_lookup(mentions: DataFrame, aliases: DataFrame, season: str = "season") -> DataFrame:
     """Mentions that are an alias in their season; aliases are a short table of (alias, id, first, last)."""
     a = aliases.select(F.lower("alias").alias("_a"), F.col("id"), F.col("first").alias("_f"), F.coalesce("last", F.lit(9999)).alias("_l"))

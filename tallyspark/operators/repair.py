@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,13 +29,25 @@ def repair_parent(parent: DataFrame, child_sums: DataFrame, on: list[str], colum
     return out.withColumn(column, F.when(fault, F.col(rebuilt)).otherwise(F.col(column)))
 
 
-def rebuild_totals(df: DataFrame, key: list[str], part: str, sums: list[str]) -> DataFrame:
-    """Total rows (null part) that disagree with the sum of their parts take that sum; ``repaired`` says so."""
-    parts = df.where(F.col(part).isNotNull()).groupBy(*key).agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+def rebuild_totals(df: DataFrame, key: list[str], part: str, sums: list[str], check: list[str] | None = None, derived: dict[str, tuple[Callable[[Callable[[str], Column]], Column], str, int]] | None = None, unknown: list[str] | None = None) -> DataFrame:
+    """Total rows (null part) that disagree with their parts are rebuilt from them, as a whole; ``repaired`` says so.
+
+    A total is wrong if a figure of ``check`` (all sums, if not given) is not
+    the parts' sum, also where it is null; without parts it stays as it is.
+    ``derived`` figures are a numerator of the sums over one of them, rounded:
+    ``{"pct": (lambda s: 100.0 * s("made"), "tried", 1)}``; null where that is 0
+    or unknown. ``unknown`` figures, which no part proves, become null.
+    """
+    # parts of one key have one row each; a null key has no total of its own
+    parts = df.where(F.col(part).isNotNull()).groupBy(*key).agg(F.lit(True).alias("_there"), *[F.sum(c).alias(f"_{c}") for c in sums])
     out = df.join(parts, key, "left")
-    wrong = F.col(part).isNull() & F.greatest(*[(~F.col(c).eqNullSafe(F.col(f"_{c}")) & F.col(f"_{c}").isNotNull()).cast("int") for c in sums], F.lit(0)).cast("boolean")
+    differs = [~F.col(c).eqNullSafe(F.col(f"_{c}")) & (F.col(f"_{c}").isNotNull() if check is None else F.lit(True)) for c in check or sums]
+    wrong = F.col(part).isNull() & F.col("_there").isNotNull() & reduce(or_, differs, F.lit(False))
     out = out.withColumn("repaired", wrong)
-    return out.withColumns({c: F.when(F.col("repaired"), F.col(f"_{c}")).otherwise(F.col(c)) for c in sums}).drop(*[f"_{c}" for c in sums])
+    new = {c: F.col(f"_{c}") for c in sums} | {c: F.lit(None) for c in unknown or ()}
+    for name, (numerator, below, digits) in (derived or {}).items():
+        new[name] = F.round(ratio(numerator(lambda c: F.col(f"_{c}").cast("double")), F.col(f"_{below}").cast("double")), digits)
+    return out.withColumns({c: F.when(F.col("repaired"), v).otherwise(F.col(c)) for c, v in new.items()}).drop("_there", *[f"_{c}" for c in sums])
 
 
 def with_share(df: DataFrame, event: list[str], value: str, name: str = "share") -> DataFrame:
@@ -101,6 +116,12 @@ def rebuild_lines(events: DataFrame, key: list[str], actors: list[tuple[str, dic
     return out if roster is None else out.join(roster, [*key, "entity"], "left_semi")
 
 
+def rebuild_empty(stored: DataFrame, events: DataFrame, key: list[str], figure: str, actors: list[tuple[str, dict[str, Column]]], roster: DataFrame | None = None) -> DataFrame:
+    """Lines from child events of those parents only whose stored lines all lack a figure; a parent with one line that has it is left alone, and so is one without lines."""
+    empty = stored.groupBy(*key).agg(F.max(figure).alias("_most")).where("_most is null").select(*key)
+    return rebuild_lines(events.join(empty, key, "left_semi"), key, actors, roster)
+
+
 def fill_lines(stored: DataFrame, rebuilt: DataFrame, on: list[str], columns: list[str], empty: Column, unproven: tuple[str, ...] = ()) -> DataFrame:
     """Where a stored line is empty, the rebuilt one stands for it and is flagged; figures nobody proves are null there."""
     r = rebuilt.select(*on, *[F.col(c).alias(f"_{c}") for c in columns if c not in unproven], F.lit(True).alias("_there"))

@@ -100,7 +100,11 @@ def spans(df: DataFrame, keys: list[str], day: str = "day") -> DataFrame:
 
 def _value_counts(df: DataFrame, value: str, key: list[str]) -> DataFrame:
     """Each value's count, and how many rows lie below it (within the key), by ranges of values in parallel: no pool goes to one task."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("_ties"))
+    return _running(df.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("_ties")), value, key)
+
+
+def _running(counts: DataFrame, value: str, key: list[str]) -> DataFrame:
+    """What ``_value_counts`` gives, from values that are counted already."""
     below = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     n = KEY_RANGES if key else RANGES
     cuts = counts.groupBy(*key).agg(F.percentile_approx(value, [i / n for i in range(1, n)], 1000).alias("_cuts"))
@@ -129,6 +133,21 @@ def percentile(df: DataFrame, value: str, key: list[str] | None = None, midrank:
     return df.join(c.select(*(key or []), value, share.cast("double").alias(name)), [*(key or []), value], "left").select(*df.columns, name)
 
 
+def percentile_in(df: DataFrame, pool: DataFrame, value: str, key: list[str] | None = None, midrank: bool = False, name: str = "pct") -> DataFrame:
+    """The share of a pool that is at most a row's value, for rows that need not be of the pool; null where the pool is empty.
+
+    Values of both stand in one sequence, those of rows counting nothing, so a
+    row's rank among the pool is its value's running count.
+    """
+    key = key or []
+    one = lambda d, w: d.where(F.col(value).isNotNull()).select(*key, value, F.lit(w).alias("_w"))
+    counts = one(pool, 1).unionByName(one(df, 0)).groupBy(*key, value).agg(F.sum("_w").alias("_ties"))
+    c = _running(counts, value, key)
+    ties = F.col("_ties") / 2 if midrank else F.col("_ties")
+    share = ((F.col("_below") + ties) / F.nullif(F.col("_all"), F.lit(0))).cast("double")
+    return df.join(c.select(*key, value, share.alias(name)), [*key, value], "left").select(*df.columns, name)
+
+
 def cut_bounds(df: DataFrame, figure: str, k: int, room: int = 10, descending: bool = True) -> DataFrame:
     """The figures that a cut at k keeps, with rank and ties: k rows at most.
 

@@ -6,6 +6,7 @@ nation as group, status F as won). ``b2``: events as facts (user, event, day).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,7 +68,7 @@ def bound(sql: str | None = None, name: str | None = None):
         QUERIES[key] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         QUERIES[key].__name__ = key
         if sql is not None:
-            own = [c for n, c in (("b1", B1), ("b2", B2), ("ln", LINES)) if f" {n} " in f" {sql} ".replace("\n", " ").replace(")", " ").replace(",", " ")]
+            own = [c for n, c in (("b1", B1), ("b2", B2), ("ln", LINES)) if re.search(rf"\b{n}\b", sql)]
             body = sql.strip()
             rest = body[5:] if body[:5].upper() == "WITH " else None
             if rest is not None and rest[:10].upper() == "RECURSIVE ":

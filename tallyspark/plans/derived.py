@@ -32,7 +32,7 @@ def box(t: Tables) -> DataFrame:
 
 
 @bound(f"""WITH {BOX.replace("flag AS team,", "flag AS team, period,")}, {TT} SELECT bx.event, period, CASE WHEN fga + 0.44 * fta > 0 THEN CAST(points AS DOUBLE) / (2.0 * CAST(fga + 0.44 * fta AS DOUBLE)) END AS ts_pct, CASE WHEN fga > 0 THEN CAST(fgm + 0.5 * fg3m AS DOUBLE) / fga END AS efg_pct,
- CASE WHEN minutes > 0 AND tt.u > 0 THEN 100.0 * (CAST(fga + 0.44 * fta + tov AS DOUBLE) * (tt.m / 5.0)) / (minutes * tt.u) END AS usage_pct, CAST({SCORE} AS DOUBLE) AS game_score FROM bx JOIN tt ON tt.event = bx.event AND tt.season = bx.season AND tt.team = bx.team WHERE 'b1 ln ' <> ''""")
+ CASE WHEN minutes > 0 AND tt.u > 0 THEN 100.0 * (CAST(fga + 0.44 * fta + tov AS DOUBLE) * (tt.m / 5.0)) / (minutes * tt.u) END AS usage_pct, CAST({SCORE} AS DOUBLE) AS game_score FROM bx JOIN tt ON tt.event = bx.event AND tt.season = bx.season AND tt.team = bx.team""")
 def r4_box_metrics(t: Tables):
     return repair.advanced_game(box(t), ["event", "season", "team"]).select("event", "period", "ts_pct", "efg_pct", "usage_pct", "game_score")
 
@@ -40,13 +40,13 @@ def r4_box_metrics(t: Tables):
 @bound(f"""WITH {BOX}, {TT} SELECT bx.season, season_type, entity, count(points) AS games_played, CAST(sum(fga) AS BIGINT) AS field_goals_attempted, CAST(sum(fga) + 0.44 * sum(fta) AS DOUBLE) AS true_shooting_attempts,
  CAST(sum(points) AS DOUBLE) / nullif(2.0 * CAST(sum(fga) + 0.44 * sum(fta) AS DOUBLE), 0) AS ts_pct, CAST(sum(fgm) + 0.5 * sum(fg3m) AS DOUBLE) / nullif(sum(fga), 0) AS efg_pct,
  100.0 * sum(CAST(fga + 0.44 * fta + tov AS DOUBLE) * (tt.m / 5.0)) / nullif(sum(minutes * tt.u), 0) AS usage_pct, avg(CAST({SCORE} AS DOUBLE)) AS avg_game_score
-FROM bx JOIN tt ON tt.event = bx.event AND tt.season = bx.season AND tt.team = bx.team WHERE 'b1 ln ' <> '' GROUP BY bx.season, season_type, entity""")
+FROM bx JOIN tt ON tt.event = bx.event AND tt.season = bx.season AND tt.team = bx.team GROUP BY bx.season, season_type, entity""")
 def r5_season_metrics(t: Tables):
     return repair.advanced_season(box(t), ["event", "season", "team"], ["season", "season_type", "entity"])
 
 
 @bound(f"""WITH {BOX}, s AS (SELECT team, season, CAST(sum(points) AS DOUBLE) AS p, CAST(sum(minutes) AS DOUBLE) AS a, count(DISTINCT event) AS g, CAST(sum(fga) - sum(oreb) + sum(tov) + 0.44 * sum(fta) AS DOUBLE) AS n FROM bx GROUP BY ALL)
-SELECT team, season, n AS possessions, n / g AS pace, 100 * p / n AS offensive_rating, 100 * a / n AS defensive_rating, 100 * (p - a) / n AS net_rating FROM s WHERE 'b1 ln ' <> ''""")
+SELECT team, season, n AS possessions, n / g AS pace, 100 * p / n AS offensive_rating, 100 * a / n AS defensive_rating, 100 * (p - a) / n AS net_rating FROM s""")
 def s14_ratings(t: Tables):
     s = box(t).groupBy("team", "season").agg(*[F.sum(c).cast("double").alias(c) for c in ("points", "minutes", "fga", "oreb", "tov", "fta")], F.count_distinct("event").alias("games"))
     used = scalar.possessions(F.col("fga"), F.col("oreb"), F.col("tov"), F.col("fta"))
@@ -259,7 +259,7 @@ def summary(name: str, columns: list[str]):
     return run
 
 
-LB = """lb AS (SELECT CAST(ln.event AS VARCHAR) AS event_id, season, CAST(season_type AS BIGINT) AS season_type, CAST("group" AS VARCHAR) AS home, CAST("group" + 100 AS VARCHAR) AS away, won, part, supp, ln.period, flag, CAST(qty AS BIGINT) AS q FROM ln JOIN b1 ON b1.event = ln.event WHERE 'b1 ln ' <> ''),
+LB = """lb AS (SELECT CAST(ln.event AS VARCHAR) AS event_id, season, CAST(season_type AS BIGINT) AS season_type, CAST("group" AS VARCHAR) AS home, CAST("group" + 100 AS VARCHAR) AS away, won, part, supp, ln.period, flag, CAST(qty AS BIGINT) AS q FROM ln JOIN b1 ON b1.event = ln.event),
 gm AS (SELECT event_id, season, season_type, home, away, won, CAST(sum(q) AS BIGINT) AS score FROM lb GROUP BY ALL)"""
 PLAY = "event_id || '-' || CAST(period AS VARCHAR) || '-' || CAST(part AS VARCHAR)"
 for _name, _columns, _sql in [

@@ -80,12 +80,12 @@ def seasons(t: Tables):
     return g.withColumn("stored", F.when(F.col("season") % 2 == 0, F.col("total")))
 
 
-@bound(f"WITH {SEASONS} SELECT entity, CAST(sum(CAST(stored * games AS DECIMAL(28,4))) AS DOUBLE) / nullif(sum(CASE WHEN stored IS NOT NULL THEN games END), 0) AS mean FROM s WHERE 'b1 ' <> '' GROUP BY entity")
+@bound(f"WITH {SEASONS} SELECT entity, CAST(sum(CAST(stored * games AS DECIMAL(28,4))) AS DOUBLE) / nullif(sum(CASE WHEN stored IS NOT NULL THEN games END), 0) AS mean FROM s GROUP BY entity")
 def a11_weighted(t: Tables):
     return seasons(t).groupBy("entity").agg(agg.weighted("stored", "games").alias("mean"))
 
 
-@bound(f"WITH {SEASONS} SELECT entity, CAST(sum(CAST(coalesce(stored, avg_price * games) AS DECIMAL(28,4))) AS DOUBLE) AS total, CAST(sum(CAST(coalesce(stored, avg_price * games) AS DECIMAL(28,4))) AS DOUBLE) / sum(games) AS average, CAST(sum(games) AS BIGINT) AS games FROM s WHERE 'b1 ' <> '' GROUP BY entity")
+@bound(f"WITH {SEASONS} SELECT entity, CAST(sum(CAST(coalesce(stored, avg_price * games) AS DECIMAL(28,4))) AS DOUBLE) AS total, CAST(sum(CAST(coalesce(stored, avg_price * games) AS DECIMAL(28,4))) AS DOUBLE) / sum(games) AS average, CAST(sum(games) AS BIGINT) AS games FROM s GROUP BY entity")
 def a12_career(t: Tables):
     return agg.career(seasons(t), ["entity"], "stored", "avg_price", "games")
 
@@ -195,12 +195,12 @@ e AS (SELECT opponent, season, max(day) AS fin FROM b1 GROUP BY opponent, season
 st AS (SELECT entity, CAST(stint AS BIGINT) AS stint, g.opponent, first_day, seen_day, games, coalesce(least(CAST(lead(first_day) OVER (PARTITION BY entity ORDER BY stint) - INTERVAL 1 DAY AS DATE), fin), fin) AS last_day FROM g JOIN e ON e.opponent = g.opponent AND e.season = g.season)"""
 
 
-@bound(f"WITH {STINTS} SELECT * FROM st WHERE 'b1 ' <> ''")
+@bound(f"WITH {STINTS} SELECT * FROM st")
 def w5_stints(t: Tables):
     return windows.stints(t.b1().df, "entity", "opponent", ["ts", "event"], season="season")
 
 
-@bound(f"WITH {STINTS} SELECT x.entity, x.opponent, greatest(x.first_day, y.first_day) AS first_day, least(x.last_day, y.last_day) AS last_day FROM st x JOIN st y ON y.entity = x.entity + 1 AND x.opponent = y.opponent AND x.first_day <= y.last_day AND y.first_day <= x.last_day WHERE 'b1 ' <> ''")
+@bound(f"WITH {STINTS} SELECT x.entity, x.opponent, greatest(x.first_day, y.first_day) AS first_day, least(x.last_day, y.last_day) AS last_day FROM st x JOIN st y ON y.entity = x.entity + 1 AND x.opponent = y.opponent AND x.first_day <= y.last_day AND y.first_day <= x.last_day")
 def w6_overlaps(t: Tables):
     s = windows.stints(t.b1().df, "entity", "opponent", ["ts", "event"], season="season")
     return windows.overlaps(s, s.withColumn("entity", F.col("entity") - 1), ["entity", "opponent"])
@@ -254,7 +254,7 @@ def t1_ordered_rows(t: Tables):
 
 def cut_sql(src: str, figure: str, k: int, cols: str, room: int = 10, way: str = "DESC") -> str:
     return f"""WITH f AS ({src}), r AS (SELECT *, rank() OVER (ORDER BY {figure} {way}) AS rank, count(*) OVER (PARTITION BY {figure}) AS ties FROM f WHERE {figure} IS NOT NULL)
-SELECT {cols}, rank FROM r WHERE rank <= {k} AND (rank = 1 OR rank + ties - 1 <= {k + room}) AND 'b1 ' <> '' ORDER BY rank, {cols.split(",")[0]} LIMIT {k + room}"""
+SELECT {cols}, rank FROM r WHERE rank <= {k} AND (rank = 1 OR rank + ties - 1 <= {k + room}) ORDER BY rank, {cols.split(",")[0]} LIMIT {k + room}"""
 
 
 @bound(cut_sql("SELECT entity, count(*) AS games FROM b1 WHERE won GROUP BY entity", "games", 20, "entity, games"))

@@ -33,7 +33,7 @@ def r2_repair_parent(t: Tables):
 TOT = """tot AS (SELECT entity, opponent, count(*) + CASE WHEN opponent IS NULL AND entity % 7 = 0 THEN 1 ELSE 0 END AS games FROM b1 GROUP BY GROUPING SETS ((entity, opponent), (entity)))"""
 
 
-@bound(f"WITH {TOT}, s AS (SELECT entity, CAST(sum(games) AS BIGINT) AS g FROM tot WHERE opponent IS NOT NULL GROUP BY entity) SELECT entity, opponent, CASE WHEN opponent IS NULL AND games <> g THEN g ELSE games END AS games, opponent IS NULL AND games <> g AS repaired FROM tot JOIN s USING (entity) WHERE 'b1 ' <> ''")
+@bound(f"WITH {TOT}, s AS (SELECT entity, CAST(sum(games) AS BIGINT) AS g FROM tot WHERE opponent IS NOT NULL GROUP BY entity) SELECT entity, opponent, CASE WHEN opponent IS NULL AND games <> g THEN g ELSE games END AS games, opponent IS NULL AND games <> g AS repaired FROM tot JOIN s USING (entity)")
 def r3_rebuild_totals(t: Tables):
     g = t.b1().df.rollup("entity", "opponent").agg(F.count("*").alias("games"), F.grouping_id().alias("level")).where("level < 3").drop("level")
     g = g.withColumn("games", F.col("games") + F.when(F.col("opponent").isNull() & (F.col("entity") % 7 == 0), 1).otherwise(0))
@@ -52,7 +52,7 @@ def r5_advanced_season(t: Tables):
 
 
 @bound("""WITH u AS (SELECT event, part AS entity, sum(qty) AS q, NULL AS helped FROM ln GROUP BY ALL UNION ALL SELECT event, supp, NULL, sum(qty) FILTER (flag = 'R') FROM ln GROUP BY event, supp)
-SELECT event, entity, CAST(sum(q) AS DOUBLE) AS q, CAST(sum(helped) AS DOUBLE) AS helped FROM u WHERE 'ln ' <> '' GROUP BY event, entity""")
+SELECT event, entity, CAST(sum(q) AS DOUBLE) AS q, CAST(sum(helped) AS DOUBLE) AS helped FROM u GROUP BY event, entity""")
 def r6_rebuild_lines(t: Tables):
     out = repair.rebuild_lines(t.lines(), ["event"], [("part", {"q": F.col("qty")}), ("supp", {"helped": F.when(F.col("flag") == "R", F.col("qty"))})])
     return out.select("event", "entity", F.col("q").cast("double").alias("q"), F.col("helped").cast("double").alias("helped"))
@@ -91,7 +91,7 @@ def r9_real_events(t: Tables):
 @bound("""WITH p AS (SELECT event, season, ts, least("group", o) AS x, greatest("group", o) AS y FROM (SELECT *, CAST(substr(opponent, 1, 1) AS INTEGER) AS o FROM b1)),
 s AS (SELECT season, x, y, min(struct_pack(t := ts, e := event)) AS f FROM p GROUP BY season, x, y), m AS (SELECT *, unnest([x, y]) AS member FROM s),
 n AS (SELECT season, x, y, row_number() OVER (PARTITION BY season, member ORDER BY f, x, y) AS n FROM m), r AS (SELECT season, x, y, CASE WHEN min(n) = max(n) THEN min(n) END AS round FROM n GROUP BY season, x, y)
-SELECT p.event, r.round, row_number() OVER (PARTITION BY p.season, p.x, p.y ORDER BY p.ts, p.event) AS game_no FROM p JOIN r ON r.season = p.season AND r.x = p.x AND r.y = p.y WHERE 'b1 ' <> ''""")
+SELECT p.event, r.round, row_number() OVER (PARTITION BY p.season, p.x, p.y ORDER BY p.ts, p.event) AS game_no FROM p JOIN r ON r.season = p.season AND r.x = p.x AND r.y = p.y""")
 def r10_number_series(t: Tables):
     b = t.b1().df.withColumn("other", F.substring("opponent", 1, 1).cast("int"))
     return repair.number_series(b, "group", "other", ["ts", "event"], ["season"]).select("event", "round", "game_no")
@@ -338,17 +338,17 @@ def k1_coverage(t: Tables):
     return audit.coverage({"orders": b, "lines": b.join(t.lines(), "event")}, ["season", "season_type"])
 
 
-@bound("WITH n AS (SELECT season, count(*) AS rows FROM b1 GROUP BY season), m AS (SELECT median(rows) AS m FROM n WHERE season >= 1996), p AS (SELECT season, rows, CASE WHEN season >= 1996 AND rows < 1.0 * m THEN 'thin' WHEN season < 1996 AND rows >= 1.0 * m THEN 'usable below floor' END AS problem FROM n, m) SELECT * FROM p WHERE problem IS NOT NULL AND 'b1 ' <> ''")
+@bound("WITH n AS (SELECT season, count(*) AS rows FROM b1 GROUP BY season), m AS (SELECT median(rows) AS m FROM n WHERE season >= 1996), p AS (SELECT season, rows, CASE WHEN season >= 1996 AND rows < 1.0 * m THEN 'thin' WHEN season < 1996 AND rows >= 1.0 * m THEN 'usable below floor' END AS problem FROM n, m) SELECT * FROM p WHERE problem IS NOT NULL")
 def k2_floor(t: Tables):
     return audit.floor_check(t.b1().df, "season", 1996, 1.0)
 
 
-@bound("""WITH d AS (SELECT DISTINCT season, "group" FROM b1) SELECT season, count(*) AS keys, count(n.k) AS again FROM d LEFT JOIN (SELECT season - 1 AS s, "group" AS k FROM d) n ON n.s = season AND n.k = "group" WHERE 'b1 ' <> '' GROUP BY season HAVING count(*) = count(n.k)""")
+@bound("""WITH d AS (SELECT DISTINCT season, "group" FROM b1) SELECT season, count(*) AS keys, count(n.k) AS again FROM d LEFT JOIN (SELECT season - 1 AS s, "group" AS k FROM d) n ON n.s = season AND n.k = "group" GROUP BY season HAVING count(*) = count(n.k)""")
 def k3_phantom(t: Tables):
     return audit.phantom_seasons(t.b1().df, "season", ["group"])
 
 
-@bound("WITH n AS (SELECT season, count(DISTINCT entity) AS entities FROM b1 GROUP BY season), l AS (SELECT *, lag(entities) OVER (ORDER BY season) AS before FROM n) SELECT season, entities, before FROM l WHERE entities < 0.99 * before AND 'b1 ' <> ''")
+@bound("WITH n AS (SELECT season, count(DISTINCT entity) AS entities FROM b1 GROUP BY season), l AS (SELECT *, lag(entities) OVER (ORDER BY season) AS before FROM n) SELECT season, entities, before FROM l WHERE entities < 0.99 * before")
 def k3_shrinking(t: Tables):
     return audit.shrinking_pool(t.b1().df, "season", "entity", 0.99)
 
@@ -367,7 +367,7 @@ def k5_uncleared(t: Tables):
     return audit.uncleared(d, ["season"], ["p", "o"])
 
 
-@bound("WITH f AS (SELECT part, count(*) AS n FROM ln GROUP BY part), s AS (SELECT part, count(*) AS n FROM ln WHERE event % 10 <> 0 GROUP BY part) SELECT (SELECT count(*) FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM f)) AS stale, (SELECT count(*) FROM (SELECT * FROM f EXCEPT ALL SELECT * FROM s)) AS missing WHERE 'ln ' <> ''")
+@bound("WITH f AS (SELECT part, count(*) AS n FROM ln GROUP BY part), s AS (SELECT part, count(*) AS n FROM ln WHERE event % 10 <> 0 GROUP BY part) SELECT (SELECT count(*) FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM f)) AS stale, (SELECT count(*) FROM (SELECT * FROM f EXCEPT ALL SELECT * FROM s)) AS missing")
 def k6_staleness(t: Tables):
     ln = t.lines()
     return audit.staleness(ln.groupBy("part").agg(F.count("*").alias("n")), ln.where("event % 10 <> 0").groupBy("part").agg(F.count("*").alias("n")))
@@ -385,7 +385,7 @@ def k8_repeated_keys(t: Tables):
 
 
 @bound("""WITH e AS (SELECT DISTINCT entity, day FROM b2 WHERE won), r AS (SELECT DISTINCT entity, day FROM b2 WHERE NOT won), n AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.entity = r.entity AND e.day = r.day))
-SELECT n.entity, n.day, CAST(date_diff('day', n.day, e.day) AS INTEGER) AS shift FROM n JOIN e ON e.entity = n.entity AND abs(date_diff('day', n.day, e.day)) = 1 WHERE 'b2 ' <> ''""")
+SELECT n.entity, n.day, CAST(date_diff('day', n.day, e.day) AS INTEGER) AS shift FROM n JOIN e ON e.entity = n.entity AND abs(date_diff('day', n.day, e.day)) = 1""")
 def k8_neighbour_days(t: Tables):
     b = t.b2().df
     return audit.neighbour_days(b.where("not won").select("entity", "day").distinct(), b.where("won").select("entity", "day"), ["entity"])
@@ -397,7 +397,7 @@ def k9_unmatched(t: Tables):
     return audit.unmatched_share(t.b1().df.join(dim, "entity", "left"), "id")
 
 
-@bound("WITH s AS (SELECT season_type AS tier, min(season) AS f, max(season) AS l FROM b1 GROUP BY season_type) SELECT tier, max(f) OVER (ORDER BY tier) AS first, min(l) OVER (ORDER BY tier) AS last FROM s WHERE 'b1 ' <> ''")
+@bound("WITH s AS (SELECT season_type AS tier, min(season) AS f, max(season) AS l FROM b1 GROUP BY season_type) SELECT tier, max(f) OVER (ORDER BY tier) AS first, min(l) OVER (ORDER BY tier) AS last FROM s")
 def k10_tiers(t: Tables):
     s = t.b1().df.groupBy(F.col("season_type").alias("tier")).agg(F.min("season").alias("f"), F.max("season").alias("l"))
     return audit.tiers(s, "tier", "f", "l")

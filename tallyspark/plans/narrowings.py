@@ -137,7 +137,7 @@ def n16_aligned(t: Tables):
 NUMBERED = """num AS (SELECT *, row_number() OVER (PARTITION BY season, "group", opponent ORDER BY ts, event) AS game_no FROM b1)"""
 
 
-@bound(f"WITH {NUMBERED} SELECT season, {SUM} FROM num WHERE game_no = 3 AND 'b1 ' <> '' GROUP BY season")
+@bound(f"WITH {NUMBERED} SELECT season, {SUM} FROM num WHERE game_no = 3 GROUP BY season")
 def n17_series_game(t: Tables):
     from pyspark.sql import Window
 
@@ -236,7 +236,7 @@ def j6_within_spans(t: Tables):
     return joins.within_spans(b, s, ["entity"]).groupBy("entity").agg(F.count("*").alias("games"))
 
 
-PAIR = """WITH d AS (SELECT DISTINCT event, part, supp FROM ln) SELECT x.part, y.part AS part_2, count(*) AS games FROM d x JOIN d y ON x.event = y.event AND y.part > x.part AND x.supp {0} y.supp AND 'ln ' <> '' GROUP BY ALL HAVING count(*) >= 1"""
+PAIR = """WITH d AS (SELECT DISTINCT event, part, supp FROM ln) SELECT x.part, y.part AS part_2, count(*) AS games FROM d x JOIN d y ON x.event = y.event AND y.part > x.part AND x.supp {0} y.supp GROUP BY ALL HAVING count(*) >= 1"""
 
 
 @bound(PAIR.format("<>"))
@@ -296,7 +296,7 @@ def u2_union_distinct(t: Tables):
 
 
 @bound("""WITH f AS (SELECT event, period FROM ln), s AS (SELECT event, period FROM ln WHERE period <= 5)
-SELECT (SELECT count(*) FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM f WHERE 'ln ' <> '')) AS stale, (SELECT count(*) FROM (SELECT * FROM f EXCEPT ALL SELECT * FROM s)) AS missing""")
+SELECT (SELECT count(*) FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM f)) AS stale, (SELECT count(*) FROM (SELECT * FROM f EXCEPT ALL SELECT * FROM s)) AS missing""")
 def u3_staleness(t: Tables):
     from ..operators.audit import staleness
 
@@ -346,7 +346,7 @@ def s9_distance(t: Tables):
     return t.lines().groupBy("flag").agg(F.count("*").alias("games"), F.count_if(d >= 25).alias("far"))
 
 
-@bound("SELECT DISTINCT lower(replace(c_name, '#', ' ')) AS folded FROM customer WHERE c_custkey < 1000000000")
+@bound("SELECT DISTINCT lower(replace(c_name, '#', ' ')) AS folded FROM customer")
 def s10_folded_name(t: Tables):
     return t.customer.select(folded_name(F.regexp_replace("c_name", "#", " ")).alias("folded")).distinct()
 

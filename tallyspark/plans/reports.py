@@ -46,7 +46,7 @@ def q5_record_when(t: Tables):
 HALVES = {"outcome": {"wins": "won", "losses": "NOT won"}, "priority": {"urgent": "opponent = '1-URGENT'", "other": "opponent <> '1-URGENT'"}, "month": {f"{m:02d}": f"month(day) = {m}" for m in range(1, 13)}, "never": {"none": "price < 0"}}
 
 
-@bound("WITH x AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, '{h}' AS half, count(*) AS games, {AVG} AS avg_price FROM b1 WHERE {c}" for k, hs in HALVES.items() for h, c in hs.items()) + ") SELECT * FROM x WHERE 'b1 ' <> ''")
+@bound("WITH x AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, '{h}' AS half, count(*) AS games, {AVG} AS avg_price FROM b1 WHERE {c}" for k, hs in HALVES.items() for h, c in hs.items()) + ") SELECT * FROM x")
 def q6_splits(t: Tables):
     return shapes.splits(t.b1(), {k: {h: F.expr(c) for h, c in hs.items()} for k, hs in HALVES.items()}, ["price"])
 
@@ -64,7 +64,7 @@ def q8_matchup(t: Tables):
 @bound(f"""WITH g AS (SELECT entity, {AVG} AS figure, count(price) AS sample FROM b1 WHERE season = 1997 GROUP BY entity), m AS (SELECT max(sample) AS most FROM g),
 q AS (SELECT g.* FROM g, m WHERE sample >= CASE WHEN most >= 4 THEN 4 ELSE CAST(ceil(most / 2.0) AS BIGINT) END),
 r AS (SELECT *, rank() OVER (ORDER BY figure DESC) AS rank, count(*) OVER (PARTITION BY figure) AS ties FROM q), k AS (SELECT * FROM r WHERE rank <= 10 AND (rank = 1 OR rank + ties - 1 <= 20) ORDER BY rank, entity LIMIT 20)
-SELECT entity, figure, sample, rank, c_name FROM k JOIN customer ON c_custkey = entity WHERE 'b1 ' <> ''""")
+SELECT entity, figure, sample, rank, c_name FROM k JOIN customer ON c_custkey = entity""")
 def q9_game_ranking(t: Tables):
     names = t.customer.select(F.col("c_custkey").alias("entity"), "c_name")
     return shapes.game_ranking(t.b1().span(season=1997), "price", 10, 4, names)
@@ -73,7 +73,7 @@ def q9_game_ranking(t: Tables):
 SEAS = f"s AS (SELECT entity, season, count(*) AS games, {PRICE} AS total, {AVG} AS average FROM b1 GROUP BY entity, season)"
 
 
-@bound(f"WITH {SEAS} SELECT * FROM s WHERE season = 1998 AND games >= 3 AND 'b1 ' <> '' ORDER BY average DESC, entity LIMIT 25")
+@bound(f"WITH {SEAS} SELECT * FROM s WHERE season = 1998 AND games >= 3 ORDER BY average DESC, entity LIMIT 25")
 def q10_leaderboard(t: Tables):
     return shapes.leaderboard(shapes.season_table(t.b1(), "price"), "average", 1998, 3, 25)
 
@@ -95,7 +95,7 @@ def q13_seasons_counted(t: Tables):
     return windows.top_with_ties(g, "seasons", 300, 200, order=["entity"])
 
 
-@bound(f"WITH {SEAS} SELECT entity, 1999 AS season, games, total, average, games * 1.0 / (SELECT max(games) FROM s WHERE season = 1999) AS share FROM s WHERE season = 1999 AND 'b1 ' <> ''")
+@bound(f"WITH {SEAS} SELECT entity, 1999 AS season, games, total, average, games * 1.0 / (SELECT max(games) FROM s WHERE season = 1999) AS share FROM s WHERE season = 1999")
 def q14_season_line(t: Tables):
     s = shapes.season_table(t.b1().span(season=1999), "price")
     most = F.broadcast(s.agg(F.max("games").alias("_m")))
@@ -127,13 +127,13 @@ def q18_quarters(t: Tables):
     return agg.by_period(t.lines(), ["supp"], "period", [1, 2, 3, 4], F.col("qty"))
 
 
-@bound("WITH g AS (SELECT part, count(*) AS checked, CAST(sum(qty) AS DOUBLE) AS figure FROM ln WHERE period IN (1, 2, 3, 4) GROUP BY part HAVING count(DISTINCT period) = 4) SELECT part, checked, figure, (SELECT CAST(sum(checked) AS BIGINT) FROM g) AS pool_checked FROM g WHERE 'ln ' <> '' ORDER BY figure DESC, part LIMIT 20")
+@bound("WITH g AS (SELECT part, count(*) AS checked, CAST(sum(qty) AS DOUBLE) AS figure FROM ln WHERE period IN (1, 2, 3, 4) GROUP BY part HAVING count(DISTINCT period) = 4) SELECT part, checked, figure, (SELECT CAST(sum(checked) AS BIGINT) FROM g) AS pool_checked FROM g ORDER BY figure DESC, part LIMIT 20")
 def q19_period_ranking(t: Tables):
     return shapes.period_ranking(t.lines(), "part", [1, 2, 3, 4], F.col("qty"), 20, every=True)
 
 
 SIDES = """sd AS (SELECT event, c_nationkey AS team, s_nationkey AS opp, amount, true AS home, flag = 'R' AS won FROM ln JOIN orders ON o_orderkey = event JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = supp
- UNION ALL SELECT event, s_nationkey, c_nationkey, amount, false, flag <> 'R' FROM ln JOIN orders ON o_orderkey = event JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = supp WHERE 'ln ' <> '')"""
+ UNION ALL SELECT event, s_nationkey, c_nationkey, amount, false, flag <> 'R' FROM ln JOIN orders ON o_orderkey = event JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = supp)"""
 
 
 def sides(t: Tables):
@@ -143,24 +143,24 @@ def sides(t: Tables):
     return joins.both_sides(ln, ["event", "amount"], home, {"team": F.col("place"), "opp": F.col("group"), "home": F.lit(False), "won": ~won})
 
 
-@bound(f"WITH {SIDES} SELECT team, opp, home, count(*) AS games, count(*) FILTER (won) AS wins, count(*) FILTER (NOT won) AS losses, CAST(sum(amount) AS DOUBLE) AS figure FROM sd WHERE 'ln ' <> '' GROUP BY ALL")
+@bound(f"WITH {SIDES} SELECT team, opp, home, count(*) AS games, count(*) FILTER (won) AS wins, count(*) FILTER (NOT won) AS losses, CAST(sum(amount) AS DOUBLE) AS figure FROM sd GROUP BY ALL")
 def q20_team_log(t: Tables):
     return shapes.team_log(sides(t), ["team", "opp", "home"], "amount")
 
 
-@bound("WITH g AS (SELECT event, CAST(sum(amount * discount) AS DOUBLE) * 100 / nullif(CAST(sum(amount) AS DOUBLE), 0) AS figure FROM ln GROUP BY event HAVING count(*) >= 4), r AS (SELECT *, rank() OVER (ORDER BY figure DESC) AS rank, count(*) OVER (PARTITION BY figure) AS ties FROM g) SELECT event, figure, rank FROM r WHERE rank <= 10 AND (rank = 1 OR rank + ties - 1 <= 20) AND 'ln ' <> '' ORDER BY rank, event LIMIT 20")
+@bound("WITH g AS (SELECT event, CAST(sum(amount * discount) AS DOUBLE) * 100 / nullif(CAST(sum(amount) AS DOUBLE), 0) AS figure FROM ln GROUP BY event HAVING count(*) >= 4), r AS (SELECT *, rank() OVER (ORDER BY figure DESC) AS rank, count(*) OVER (PARTITION BY figure) AS ties FROM g) SELECT event, figure, rank FROM r WHERE rank <= 10 AND (rank = 1 OR rank + ties - 1 <= 20) ORDER BY rank, event LIMIT 20")
 def q21_team_high(t: Tables):
     d = t.lines().withColumn("less", F.col("amount") * F.col("discount"))
     g = d.groupBy("event").agg(agg.rate("less", "amount").alias("figure"), F.count("*").alias("n")).where("n >= 4").drop("n")
     return windows.top_with_ties(g, "figure", 10, order=["event"])
 
 
-@bound(f"WITH {SIDES} SELECT team, CASE WHEN team = opp THEN 'neutral' WHEN home THEN 'home' ELSE 'away' END AS place, count(*) AS games, count(*) FILTER (won) AS wins, count(*) FILTER (NOT won) AS losses FROM sd WHERE 'ln ' <> '' GROUP BY ALL")
+@bound(f"WITH {SIDES} SELECT team, CASE WHEN team = opp THEN 'neutral' WHEN home THEN 'home' ELSE 'away' END AS place, count(*) AS games, count(*) FILTER (won) AS wins, count(*) FILTER (NOT won) AS losses FROM sd GROUP BY ALL")
 def q22_team_splits(t: Tables):
     return shapes.team_splits(sides(t))
 
 
-@bound(f"WITH {SIDES} SELECT team, CASE WHEN amount >= 40000 THEN 'reached' ELSE 'short' END AS line, count(*) AS games, count(*) FILTER (won) AS wins, count(*) FILTER (NOT won) AS losses FROM sd WHERE 'ln ' <> '' GROUP BY ALL")
+@bound(f"WITH {SIDES} SELECT team, CASE WHEN amount >= 40000 THEN 'reached' ELSE 'short' END AS line, count(*) AS games, count(*) FILTER (won) AS wins, count(*) FILTER (NOT won) AS losses FROM sd GROUP BY ALL")
 def q23_team_record_when(t: Tables):
     return shapes.team_record_when(sides(t), "amount", 40000)
 
@@ -180,7 +180,7 @@ def q25_team_streak(t: Tables):
     return windows.longest_runs(t.b1().df, ["group", "season"], ["ts", "event"], F.col("won"))
 
 
-@bound(f"WITH {SIDES} SELECT team, opp, count(*) AS met, count(*) FILTER (won) AS wins, count(*) FILTER (NOT won) AS losses, CAST(sum(amount) AS DOUBLE) AS figure FROM sd WHERE team < opp AND 'ln ' <> '' GROUP BY ALL")
+@bound(f"WITH {SIDES} SELECT team, opp, count(*) AS met, count(*) FILTER (won) AS wins, count(*) FILTER (NOT won) AS losses, CAST(sum(amount) AS DOUBLE) AS figure FROM sd WHERE team < opp GROUP BY ALL")
 def q26_head_to_head(t: Tables):
     return shapes.head_to_head(sides(t), "amount")
 
@@ -210,12 +210,12 @@ def team(t: Tables):
 
 
 @bound(f"""WITH {TEAM}, u AS (SELECT "group", 'pace' AS metric, pace AS value, pace AS v FROM tm UNION ALL SELECT "group", 'winning', winning, winning FROM tm UNION ALL SELECT "group", 'pending', pending, -pending FROM tm)
-SELECT "group", metric, value, rank() OVER (PARTITION BY metric ORDER BY v DESC) AS rank FROM u WHERE 'b1 ' <> ''""")
+SELECT "group", metric, value, rank() OVER (PARTITION BY metric ORDER BY v DESC) AS rank FROM u""")
 def q30_team_line(t: Tables):
     return shapes.ranked_metric(team(t), {"pace": True, "winning": True, "pending": False}, "group")
 
 
-@bound(f'WITH {TEAM} SELECT "group", winning, rank() OVER (ORDER BY winning DESC) AS rank FROM tm WHERE \'b1 \' <> \'\'')
+@bound(f'WITH {TEAM} SELECT "group", winning, rank() OVER (ORDER BY winning DESC) AS rank FROM tm')
 def q31_team_ranking(t: Tables):
     return windows.competition_rank(team(t).select("group", "winning"), "winning")
 
@@ -256,13 +256,13 @@ def q36_ratings(t: Tables):
 POOL = 'p AS (SELECT entity, "group" AS category, CAST(sum(value) AS DOUBLE) / count(value) AS value FROM b2 GROUP BY ALL HAVING count(*) >= 8)'
 
 
-@bound(f"WITH {POOL} SELECT entity, category, value, cume_dist() OVER (PARTITION BY category ORDER BY value) AS pct, max(value) OVER (PARTITION BY category) AS pool_best, count(*) OVER (PARTITION BY category) AS pool_size FROM p WHERE 'b2 ' <> ''")
+@bound(f"WITH {POOL} SELECT entity, category, value, cume_dist() OVER (PARTITION BY category ORDER BY value) AS pct, max(value) OVER (PARTITION BY category) AS pool_best, count(*) OVER (PARTITION BY category) AS pool_size FROM p")
 def q37_fingerprint(t: Tables):
     d = t.b2().df.withColumn("category", F.col("group")).withColumn("one", F.lit(1))
     return shapes.fingerprint(d, "entity", "category", "value", "one", 8)
 
 
-@bound("WITH g AS (SELECT entity, CAST(sum(value) AS DOUBLE) / count(value) - 25 AS v FROM b2 GROUP BY entity), m AS (SELECT min(v) AS lo, max(v) AS hi FROM g) SELECT entity, CASE WHEN v >= 0 THEN 0.5 + (CASE WHEN hi > 0 THEN v / hi ELSE 0 END) / 2 ELSE 0.5 + (CASE WHEN lo < 0 THEN -(v / lo) ELSE 0 END) / 2 END AS radius FROM g, m WHERE 'b2 ' <> ''")
+@bound("WITH g AS (SELECT entity, CAST(sum(value) AS DOUBLE) / count(value) - 25 AS v FROM b2 GROUP BY entity), m AS (SELECT min(v) AS lo, max(v) AS hi FROM g) SELECT entity, CASE WHEN v >= 0 THEN 0.5 + (CASE WHEN hi > 0 THEN v / hi ELSE 0 END) / 2 ELSE 0.5 + (CASE WHEN lo < 0 THEN -(v / lo) ELSE 0 END) / 2 END AS radius FROM g, m")
 def q38_radius(t: Tables):
     g = t.b2().df.groupBy("entity").agg((agg.mean("value") - 25).alias("v"))
     m = F.broadcast(g.agg(F.min("v").alias("lo"), F.max("v").alias("hi")))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import court
 from ..functions.scalar import ratio, two_parts
 from ..operators import aggregate as agg
 from ..operators import windows
+from ..operators.joins import within_spans
 from ..operators.relation import Rel
 
 
@@ -124,6 +129,51 @@ def with_without(events: DataFrame, sides: list[DataFrame], stints: list[DataFra
     return rows.groupBy(which.alias("presence")).agg(F.count("*").alias("games"), *agg.record())
 
 
+@dataclass(frozen=True)
+class Companion:
+    """An entity and its role in an event: played, started, bench, or reached (``figure`` at least ``least``)."""
+
+    entity: object
+    role: str = "played"
+    figure: str | None = None
+    least: float | None = None
+
+    def holds(self, entity: str, played: Column, starter: str) -> Column:
+        own = (F.col(entity) == self.entity) & played
+        if self.role == "reached":
+            return F.coalesce(own & (F.col(self.figure) >= self.least), F.lit(False))
+        roles = {"played": own, "started": own & F.col(starter), "bench": own & ~F.col(starter)}
+        return F.coalesce(roles[self.role], F.lit(False))
+
+
+def presence(events: DataFrame, box: DataFrame, on: list[str], mates: list[Companion], spans: list[DataFrame], beside: list[Companion] | None = None, subject=None, figures: list[str] | None = None, played: Column | None = None, entity: str = "entity", group: str = "group", day: str = "day", starter: str = "starter") -> DataFrame:
+    """A group's record by how many companions held their roles: all, some, none, and ``unknown`` events, which have no detail at all.
+
+    Events count on days on which all companions belong to the group (``spans``
+    of each: group, first_day, last_day). Events in which one of ``beside`` did
+    not hold its role count nowhere. With a ``subject``, its events and mean
+    figures in each set, over those it played. Each event's detail is read
+    once: roles are bits of one number, put together by one aggregate.
+    """
+    beside, figures = list(beside or ()), list(figures or ())
+    bits = [*mates, *beside]
+    if len(bits) > 62:
+        raise ValueError("62 roles at most")
+    played = F.lit(True) if played is None else F.coalesce(played, F.lit(False))
+    mask = reduce(lambda a, b: a.bitwiseOR(b), [F.when(c.holds(entity, played, starter), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(bits)])
+    own = (F.col(entity) == subject) & played if subject is not None else F.lit(False)
+    detail = box.groupBy(*on).agg(F.bit_or(mask).alias("_mask"), F.count_if(played).alias("_known"), F.bool_or(own).alias("_own"), *[F.max(F.when(own, F.col(f))).alias(f"_f_{f}") for f in figures])
+    inside = reduce(lambda a, b: windows.overlaps(a, b, [group]), [s.select(group, "first_day", "last_day") for s in spans])
+    rows = within_spans(events, inside.withColumnsRenamed({"first_day": "_first", "last_day": "_last"}), [group], day, "left_semi", "_first", "_last").join(detail, on, "left")
+    known = F.coalesce(F.col("_known") > 0, F.lit(False))
+    full, extra = (1 << len(mates)) - 1, ((1 << len(beside)) - 1) << len(mates)
+    rows = rows.where(~known | (F.col("_mask").bitwiseAND(F.lit(extra)) == extra))
+    held = F.col("_mask").bitwiseAND(F.lit(full))
+    which = F.when(~known, "unknown").when(held == full, "all").when(held == 0, "none").otherwise("some")
+    of_subject = [F.count_if("_own").alias("subject_games"), *[agg.mean(F.when(F.col("_own"), F.coalesce(f"_f_{f}", F.lit(0)))).alias(f"avg_{f}") for f in figures]] if subject is not None else []
+    return rows.groupBy(which.alias("presence")).agg(F.count("*").alias("games"), *agg.record(), agg.mean("margin").alias("avg_margin"), *of_subject)
+
+
 def team_record(rel: Rel, by: list[str]) -> DataFrame:
     return rel.df.groupBy(*by).agg(F.count("*").alias("games"), *agg.record(rel.name("won")))
 
@@ -211,7 +261,7 @@ def records_since(groups: DataFrame, rel: Rel) -> DataFrame:
 
 
 def fingerprint(long: DataFrame, entity: str, category: str, value: str, weight: str, floor: int) -> DataFrame:
-    """Each entity's value by category with its percentile, mean and best in the pool of entities with enough rows."""
+    """Each entity's value by category with its percentile in the pool of entities with enough rows, and the pool's best and size (``fingerprints`` has also those outside it)."""
     per = long.groupBy(entity, category).agg(agg.mean(value).alias("value"), F.sum(weight).alias("_n"))
     pool = per.where(F.col("_n") >= floor).drop("_n")
     w = windows.percentile(pool, "value", key=[category])
@@ -219,6 +269,46 @@ def fingerprint(long: DataFrame, entity: str, category: str, value: str, weight:
     return w.join(about, category)
 
 
+def fingerprints(long: DataFrame, entity: str, category: str, value: str, weight: str, floor, times: float = 100.0) -> DataFrame:
+    """Each entity's value by category, in ``times`` units of weight, with its percentile among the entities of enough weight, their mean, best and number; ``in_pool`` says whether it is one of them."""
+    per = long.groupBy(entity, category).agg(ratio(F.sum(value), F.sum(weight), times).alias("value"), F.sum(weight).alias("_n")).withColumn("in_pool", F.coalesce(F.col("_n") >= floor, F.lit(False))).drop("_n")
+    return _against(per, per.where("in_pool"), category, False)
+
+
+def event_fingerprints(rows: DataFrame, entity: str, event: str, category: str, value: str, weight: str, floor, order: list[str], first: bool = False) -> DataFrame:
+    """The values of each entity's latest (or first) event, against all entities' events of enough weight; ties count half, as most do nothing in most categories."""
+    chosen = (F.min if first else F.max)(F.struct(*order, event)).alias("_at")
+    at = rows.groupBy(entity).agg(chosen).select(entity, F.col(f"_at.{event}").alias(event))
+    long = rows.select(entity, event, category, F.col(value).cast("double").alias("value"), F.coalesce(F.col(weight) >= floor, F.lit(False)).alias("in_pool"))
+    return _against(long.join(at, [entity, event], "left_semi"), long.where("in_pool"), category, True)
+
+
+def _against(rows: DataFrame, pool: DataFrame, category: str, midrank: bool) -> DataFrame:
+    about = pool.groupBy(category).agg(F.avg("value").alias("pool_mean"), F.max("value").alias("pool_best"), F.count("value").alias("pool_size"))
+    return windows.percentile_in(rows, pool, "value", [category], midrank).join(about, category, "left")
+
+
+def comparison_gaps(prints: DataFrame, entities: list, entity: str, category: str) -> DataFrame:
+    """For entities side by side, each category's spread, who leads it (nobody where all are equal), and the spread's share of the widest."""
+    g = prints.where(F.col(entity).isin(*entities)).groupBy(category).agg((F.max("value") - F.min("value")).alias("gap"), F.min_by(entity, F.struct(-F.col("value"), F.col(entity))).alias("leader"))
+    widest = F.broadcast(g.agg(F.max("gap").alias("_widest")))
+    return g.join(widest).select(category, "gap", F.when(F.col("gap") > 0, F.col("leader")).alias("leader"), F.when(F.col("_widest") > 0, F.col("gap") / F.col("_widest")).otherwise(0.0).alias("share"))
+
+
+def event_line(df: DataFrame, entity: str, columns: list[str], order: list[str], first: bool = False) -> DataFrame:
+    """Each entity's line of its first or latest event."""
+    pick = (F.min if first else F.max)(F.struct(*order, *columns)).alias("_at")
+    return df.groupBy(entity).agg(pick).select(entity, *[F.col(f"_at.{c}").alias(c) for c in dict.fromkeys([*order, *columns])])
+
+
+def shot_distances(shots: DataFrame, by: list[str], value: Column, x: Column, y: Column, only: int | None = None, events: DataFrame | None = None, event: str = "event") -> DataFrame:
+    """Mean distance from the rim, shots and events, of located shots that are no free throws; of one shot value, or over pinned events, if asked."""
+    rows = shots if events is None else shots.join(events.select(event).distinct(), event, "left_semi")
+    rows = rows.withColumn("_value", value).where(court.has_position(x, y)).where(~F.col("_value").eqNullSafe(F.lit(1)))
+    rows = rows if only is None else rows.where(F.col("_value") == only)
+    return rows.groupBy(*by).agg(F.avg(court.rim_distance(x, y)).alias("distance"), F.count("*").alias("shots"), F.count_distinct(event).alias("events"))
+
+
 def radius(c: Column, low: Column, high: Column) -> Column:
     """A value on the way from the pool's least to its greatest; below 0 on the half that negative values have."""
     up = F.when(high > 0, c / high).otherwise(0.0)
