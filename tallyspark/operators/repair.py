@@ -66,7 +66,7 @@ def _with_team(box: DataFrame, team: list[str]) -> DataFrame:
     return box.withColumns({"_used": used(F.col).cast("double"), "_team_used": used(of_team).cast("double"), "_team_minutes": of_team("minutes").cast("double")})
 
 
-def game_score() -> Column:
+def line_score() -> Column:
     """A line's figures weighed into one; exact where they are integers."""
     c, x = F.col, lambda v: F.lit(Decimal(v))
     out = c("points") + x("0.4") * c("fgm") - x("0.7") * c("fga") - x("0.4") * (c("fta") - c("ftm")) + x("0.7") * c("oreb") + x("0.3") * c("dreb")
@@ -74,11 +74,11 @@ def game_score() -> Column:
 
 
 def advanced_game(box: DataFrame, team: list[str]) -> DataFrame:
-    """Box lines with ts_pct, efg_pct, usage_pct and game_score; ``team`` is the key of a side in an event. Null without attempts, and usage without minutes."""
+    """Box lines with true_shooting, effective_shooting, usage and line_score; ``team`` is the key of a side in an event. Null without attempts, and usage without minutes."""
     d = _with_team(box, team)
     s = shooting(F.col("fgm"), F.col("fga"), F.col("fg3m"), F.col("points"), F.col("fta"), 1.0)
     usage = F.when(F.col("minutes") > 0, ratio(F.col("_used") * F.col("_team_minutes") / 5.0, F.col("minutes") * F.col("_team_used"), 100.0))
-    return d.withColumns(s | {"usage_pct": usage, "game_score": game_score()}).drop("_used", "_team_used", "_team_minutes")
+    return d.withColumns(s | {"usage": usage, "line_score": line_score()}).drop("_used", "_team_used", "_team_minutes")
 
 
 def advanced_season(box: DataFrame, team: list[str], key: list[str]) -> DataFrame:
@@ -87,8 +87,8 @@ def advanced_season(box: DataFrame, team: list[str], key: list[str]) -> DataFram
     total = lambda c: F.sum(F.col(c)).cast("double")
     tried = total("fga") + 0.44 * total("fta")
     return d.groupBy(*key).agg(
-        F.count("points").alias("games_played"), F.sum("fga").cast("long").alias("field_goals_attempted"), tried.alias("true_shooting_attempts"), ratio(total("points"), 2.0 * tried).alias("ts_pct"),
-        ratio(total("fgm") + 0.5 * total("fg3m"), total("fga")).alias("efg_pct"), ratio(F.sum(F.col("_used") * F.col("_team_minutes") / 5.0), F.sum(F.col("minutes").cast("double") * F.col("_team_used")), 100.0).alias("usage_pct"), F.avg(game_score()).alias("avg_game_score"),
+        F.count("points").alias("lines"), F.sum("fga").cast("long").alias("attempts"), tried.alias("tries"), ratio(total("points"), 2.0 * tried).alias("true_shooting"),
+        ratio(total("fgm") + 0.5 * total("fg3m"), total("fga")).alias("effective_shooting"), ratio(F.sum(F.col("_used") * F.col("_team_minutes") / 5.0), F.sum(F.col("minutes").cast("double") * F.col("_team_used")), 100.0).alias("usage"), F.avg(line_score()).alias("mean_line_score"),
     )
 
 
@@ -102,7 +102,7 @@ def fact_log(lines: DataFrame, events: DataFrame, names: list[tuple[DataFrame, s
 
 def shooting(made: Column, attempts: Column, threes: Column, points: Column, free: Column, times: float = 100.0) -> dict[str, Column]:
     """True and effective shooting as ratios, null without attempts."""
-    return {"ts_pct": ratio(points, 2 * (attempts + F.lit(0.44) * free), times), "efg_pct": ratio(made + F.lit(0.5) * threes, attempts, times)}
+    return {"true_shooting": ratio(points, 2 * (attempts + F.lit(0.44) * free), times), "effective_shooting": ratio(made + F.lit(0.5) * threes, attempts, times)}
 
 
 def rebuild_lines(events: DataFrame, key: list[str], actors: list[tuple[str, dict[str, Column]]], roster: DataFrame | None = None) -> DataFrame:

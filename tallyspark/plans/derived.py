@@ -17,8 +17,11 @@ from .loads import _folder
 BOX = """bx AS (SELECT ln.event, season, season_type, flag AS team, part AS entity, CAST(qty AS BIGINT) AS minutes, CAST(period + 5 AS BIGINT) AS fga, CAST(period AS BIGINT) AS fgm, CAST(period // 2 AS BIGINT) AS fg3m,
  CAST(supp % 4 AS BIGINT) AS fta, CAST(supp % 2 AS BIGINT) AS ftm, CAST(floor(amount / 1000) AS BIGINT) AS points, part % 3 AS oreb, part % 5 AS dreb, supp % 7 AS ast, supp % 3 AS stl, part % 2 AS blk, CAST(period % 6 AS BIGINT) AS fouls, part % 4 AS tov
  FROM ln JOIN b1 ON b1.event = ln.event)"""
-TT = """tt AS (SELECT event, season, team, CAST(sum(minutes) AS DOUBLE) AS m, CAST(sum(fga) + 0.44 * sum(fta) + sum(tov) AS DOUBLE) AS u FROM bx GROUP BY ALL)"""
-SCORE = "points + 0.4 * fgm - 0.7 * fga - 0.4 * (fta - ftm) + 0.7 * oreb + 0.3 * dreb + stl + 0.7 * ast + 0.7 * blk - 0.4 * fouls - tov"
+# fixed values: how a line's figures weigh in its score, in tenths, and a free throw in the plays that it uses
+SCORE = "list_inner_product([points, fgm, fga, fta - ftm, oreb, dreb, stl, ast, blk, fouls, tov]::DOUBLE[], [10, 4, -7, -4, 7, 3, 10, 7, 7, -4, -10]::DOUBLE[]) / 10"
+#: Lines with their tries (shots and trips to the free-throw line), the plays that they used, and both their side's plays and minutes.
+PLAYED = """us AS (SELECT *, CAST(fga + 0.44 * fta AS DOUBLE) AS tries, CAST(fga + 0.44 * fta + tov AS DOUBLE) AS used FROM bx),
+sd AS (SELECT *, sum(used) OVER side AS side_used, CAST(sum(minutes) OVER side AS DOUBLE) AS side_minutes FROM us WINDOW side AS (PARTITION BY event, season, team))"""
 
 
 def box(t: Tables) -> DataFrame:
@@ -31,16 +34,17 @@ def box(t: Tables) -> DataFrame:
     return d.select("event", "season", "season_type", c("flag").alias("team"), c("part").alias("entity"), "period", *[x.cast("long").alias(n) for n, x in made.items()])
 
 
-@bound(f"""WITH {BOX.replace("flag AS team,", "flag AS team, period,")}, {TT} SELECT bx.event, period, CASE WHEN fga + 0.44 * fta > 0 THEN CAST(points AS DOUBLE) / (2.0 * CAST(fga + 0.44 * fta AS DOUBLE)) END AS ts_pct, CASE WHEN fga > 0 THEN CAST(fgm + 0.5 * fg3m AS DOUBLE) / fga END AS efg_pct,
- CASE WHEN minutes > 0 AND tt.u > 0 THEN 100.0 * (CAST(fga + 0.44 * fta + tov AS DOUBLE) * (tt.m / 5.0)) / (minutes * tt.u) END AS usage_pct, CAST({SCORE} AS DOUBLE) AS game_score FROM bx JOIN tt ON tt.event = bx.event AND tt.season = bx.season AND tt.team = bx.team""")
+@bound(f"""WITH {BOX.replace("flag AS team,", "flag AS team, period,")}, {PLAYED}
+SELECT event, period, points / nullif(2 * tries, 0) AS true_shooting, (fgm + fg3m / 2.0) / nullif(CAST(fga AS DOUBLE), 0) AS effective_shooting,
+ 20 * (used / nullif(side_used, 0)) / nullif(minutes / side_minutes, 0) AS usage, {SCORE} AS line_score FROM sd""")
 def r4_box_metrics(t: Tables):
-    return repair.advanced_game(box(t), ["event", "season", "team"]).select("event", "period", "ts_pct", "efg_pct", "usage_pct", "game_score")
+    return repair.advanced_game(box(t), ["event", "season", "team"]).select("event", "period", "true_shooting", "effective_shooting", "usage", "line_score")
 
 
-@bound(f"""WITH {BOX}, {TT} SELECT bx.season, season_type, entity, count(points) AS games_played, CAST(sum(fga) AS BIGINT) AS field_goals_attempted, CAST(sum(fga) + 0.44 * sum(fta) AS DOUBLE) AS true_shooting_attempts,
- CAST(sum(points) AS DOUBLE) / nullif(2.0 * CAST(sum(fga) + 0.44 * sum(fta) AS DOUBLE), 0) AS ts_pct, CAST(sum(fgm) + 0.5 * sum(fg3m) AS DOUBLE) / nullif(sum(fga), 0) AS efg_pct,
- 100.0 * sum(CAST(fga + 0.44 * fta + tov AS DOUBLE) * (tt.m / 5.0)) / nullif(sum(minutes * tt.u), 0) AS usage_pct, avg(CAST({SCORE} AS DOUBLE)) AS avg_game_score
-FROM bx JOIN tt ON tt.event = bx.event AND tt.season = bx.season AND tt.team = bx.team GROUP BY bx.season, season_type, entity""")
+@bound(f"""WITH {BOX}, {PLAYED}
+SELECT entity, season, season_type, count(points) AS lines, CAST(sum(fga) AS BIGINT) AS attempts, sum(fga) + 0.44::DOUBLE * sum(fta) AS tries, sum(points) / nullif(2 * (sum(fga) + 0.44::DOUBLE * sum(fta)), 0) AS true_shooting,
+ sum(fgm + fg3m / 2.0) / nullif(CAST(sum(fga) AS DOUBLE), 0) AS effective_shooting, 20 * sum(used * side_minutes) / nullif(sum(minutes * side_used), 0) AS usage, avg({SCORE}) AS mean_line_score
+FROM sd GROUP BY entity, season, season_type""")
 def r5_season_metrics(t: Tables):
     return repair.advanced_season(box(t), ["event", "season", "team"], ["season", "season_type", "entity"])
 
