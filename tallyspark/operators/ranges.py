@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows from which a key is dealt into ranges, and into how many; a key below a fixed share of all rows is never dealt, which bounds how many are.
@@ -33,3 +33,16 @@ def ranged(df: DataFrame, keys: list[str], by: str, large: int = LARGE, parts: i
     out = df.join(F.broadcast(cuts), equal, "left")
     place = F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= F.col(by)))
     return out.withColumn("_range", F.when(F.col("_cuts").isNull() | F.col(by).isNull(), 0).otherwise(place)).drop("_cuts", *[f"_k{i}" for i in range(len(keys))]), True
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, large: int = LARGE) -> DataFrame:
+    """Each row's place within its key, from 1; a large key is put in order range by range, and the ranges' sizes are added up."""
+    rows, split = ranged(df, keys, order[0], large)
+    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)).cast("long")
+    if not split:
+        return rows.withColumn(name, place).drop("_range")
+    own = [*keys, "_range"]
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    sizes = rows.groupBy(*own).agg(F.count("*").alias("_n")).select(*[F.col(c).alias(f"_of_{c}") for c in own], F.coalesce(before, F.lit(0)).alias("_before"))
+    met = rows.withColumn(name, place).join(sizes, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in own]))
+    return met.withColumn(name, F.col(name) + F.col("_before")).drop("_before", *[c for o in own for c in (f"_of_{o}",)], "_range")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
+from .ranges import numbered
 from .windows import keep_one
 
 
@@ -166,7 +167,7 @@ def number_series(events: DataFrame, a: str, b: str, order: list[str], season: l
     pair = [F.least(a, b).alias("x"), F.greatest(a, b).alias("y")]
     series = events.select(*season, *pair, *order).groupBy(*season, "x", "y").agg(F.min(F.struct(*order)).alias("_first"))
     side = series.select(*season, "x", "y", "_first", F.explode(F.array("x", "y")).alias("member"))
-    nth = side.withColumn("_n", F.row_number().over(Window.partitionBy(*season, "member").orderBy("_first", "x", "y")))
+    nth = numbered(side.withColumn("_at", F.col(f"_first.{order[0]}")), [*season, "member"], ["_at", "_first", "x", "y"], "_n")
     rounds = nth.groupBy(*season, "x", "y").agg(F.min("_n").alias("lo"), F.max("_n").alias("hi"))
     rounds = rounds.select(*season, "x", "y", F.when(F.col("lo") == F.col("hi"), F.col("lo")).cast("long").alias("round"))
     rows = events.withColumns({"x": pair[0], "y": pair[1]})

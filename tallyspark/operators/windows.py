@@ -128,9 +128,15 @@ def competition_rank(df: DataFrame, value: str, descending: bool = True, key: li
 
 def percentile(df: DataFrame, value: str, key: list[str] | None = None, midrank: bool = False, name: str = "pct") -> DataFrame:
     """The share of the pool that is at most a row's value; with ``midrank`` half of the ties count."""
-    c = _value_counts(df, value, key or [])
-    share = (F.col("_below") + F.col("_ties") / 2) / F.col("_all") if midrank else (F.col("_below") + F.col("_ties")) / F.col("_all")
-    return df.join(c.select(*(key or []), value, share.cast("double").alias(name)), [*(key or []), value], "left").select(*df.columns, name)
+    return percentiles(df, value, {name: midrank}, key)
+
+
+def percentiles(df: DataFrame, value: str, names: dict[str, bool], key: list[str] | None = None) -> DataFrame:
+    """Several percentiles of one value, by name whether half of the ties count, from one count of the pool."""
+    key = key or []
+    share = lambda half: ((F.col("_below") + (F.col("_ties") / 2 if half else F.col("_ties"))) / F.col("_all")).cast("double")
+    c = _value_counts(df, value, key).select(*key, value, *[share(half).alias(n) for n, half in names.items()])
+    return df.join(c, [*key, value], "left").select(*df.columns, *names)
 
 
 def percentile_in(df: DataFrame, pool: DataFrame, value: str, key: list[str] | None = None, midrank: bool = False, name: str = "pct") -> DataFrame:

@@ -234,8 +234,7 @@ def w10_partition_counts(t: Tables):
 @bound("SELECT p_partkey AS part, cume_dist() OVER (ORDER BY p_retailprice) AS pct, (rank() OVER (ORDER BY p_retailprice) - 1 + count(*) OVER (PARTITION BY p_retailprice) / 2.0) / count(*) OVER () AS mid FROM part")
 def w11_percentile(t: Tables):
     p = t.part.select(F.col("p_partkey").alias("part"), "p_retailprice")
-    both = windows.percentile(windows.percentile(p, "p_retailprice"), "p_retailprice", midrank=True, name="mid")
-    return both.select("part", "pct", "mid")
+    return windows.percentiles(p, "p_retailprice", {"pct": False, "mid": True}).select("part", "pct", "mid")
 
 
 @bound("SELECT entity, season, games, rank() OVER (PARTITION BY season ORDER BY games DESC) AS rank FROM (SELECT entity, season, count(*) AS games FROM b1 GROUP BY ALL)")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.operators import audit, diff, joins, match, windows
-from tallyspark.operators.ranges import ranged
+from tallyspark.operators.ranges import numbered, ranged
 from tallyspark.sources import ledger, load
 from tallyspark.sources.store import Store
 from tallyspark.streaming import ingest
@@ -269,6 +269,17 @@ def test_of_equal_runs_the_first_stands(spark):
     assert [(r.length, r.first_day, r.open) for r in windows.longest_runs(df, ["k"], ["ts"], F.col("hit")).collect()] == [(2, dt.date(2000, 1, 1), False)]
 
 
+def test_places_within_large_keys(spark):
+    r = random.Random(5)
+    data = [(k, r.randrange(300), i) for k, n in (("hot", 2000), ("cold", 30), (None, 4)) for i in range(n)]
+    df = spark.createDataFrame(data, "k string, ts int, e int")
+    want = {}
+    for k in ("hot", "cold", None):
+        want |= {(k, e): i for i, (_, _, e) in enumerate(sorted((d for d in data if d[0] == k), key=lambda d: (d[1], d[2])), 1)}
+    for large in (100, 1_000_000):
+        assert {(x.k, x.e): x.n for x in numbered(df, ["k"], ["ts", "e"], "n", large).collect()} == want
+
+
 def test_a_large_key_is_many_tasks(spark):
     df = spark.range(20_000).selectExpr("1 as k", "id as ts", "id % 7 > 0 as hit", "date_add(date '2000-01-01', cast(id as int)) as day")
     got, split = ranged(df, ["k"], "ts", large=1000)
