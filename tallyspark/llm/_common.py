@@ -5,6 +5,9 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,20 +24,49 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+#: Paths of the tables that the innermost ``scratch`` has to delete.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder, read again: a lost executor costs no more than its own tasks."""
     path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._path = path
+    if (own := _made.get()) is not None:
+        own.append(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def forget(df: DataFrame) -> None:
-    """Delete a table of ``written`` that is not read again."""
-    files = df.inputFiles()
-    if files:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete a table of ``written``, or of rows of one, that is not read again."""
+    path = getattr(df, "_path", None)
+    if path is None and (files := df.inputFiles()):
+        path = files[0].rsplit("/", 1)[0]
+    if path:
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Tables written within are deleted at the end, also if it fails, but for those that the function given is called with."""
+    own, kept, outer = [], set(), _made.get()
+    token = _made.set(own)
+    try:
+        yield lambda *tables: kept.update(t._path for t in tables)
+    finally:
+        _made.reset(token)
+        for path in own:
+            if path not in kept:
+                _delete(spark, path)
+            elif outer is not None:
+                outer.append(path)
 
 
 def sweep(spark: SparkSession) -> None:
@@ -83,7 +115,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         before = tuple(state)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return cur.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out = cur.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out._path = cur._path
+    return out
 
 
 def numbered(df: DataFrame, key: str) -> DataFrame:

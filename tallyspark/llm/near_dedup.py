@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from ._common import components, numbered, small_batches, sweep, written
+from ._common import components, numbered, scratch, small_batches, sweep, written
 from .shingles import mix, shingle_sets
 
 REGISTERS, BANDS, ROWS, MANTISSA = 128, 24, 4, 10
@@ -287,7 +287,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float | str = "0.8"
         name = lambda c: numbers.select(F.col("_no").alias(c), F.col("key").alias(f"_{c}"))
         out = out.join(name("doc_id"), "doc_id", "left").join(name("component_id"), "component_id", "left")
         return out.select(F.col("_doc_id").alias("doc_id"), "n_shingles", F.col("_component_id").alias("component_id"), "kept", "n_links")
-    sim = Fraction(str(similarity))
+    with scratch(docs.sparkSession) as keep:
+        return _near_duplicates(docs, k, Fraction(str(similarity)), text, doc_id, keep)
+
+
+def _near_duplicates(docs: DataFrame, k: int, sim: Fraction, text: str, doc_id: str, keep) -> DataFrame:
     level = float(sim)
     spark = docs.sparkSession
     sk = written(sketch(docs, k, level, text, doc_id), "sketch")
@@ -326,7 +330,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float | str = "0.8"
     if not more.isEmpty():
         links = links.unionByName(more)
         comp = components(links)
-    ends = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
+    ends = written(links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links")), "ends")
+    keep(sk, classes, comp, ends)
     named = classes.join(comp, "id", "left").join(ends, "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     rows = sk.select("doc_id", "n", "s1", "s2")
     known = rows.where("n > 0 and doc_id is not null").join(named, ["s1", "s2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "n_links")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from ._common import small_batches, written
+from ._common import scratch, small_batches, written
 from .shingles import mix
 
 GRAM = 32
@@ -424,6 +424,13 @@ def _by_core(ctx: DataFrame, length: int, parts: int = 8) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = 200, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Columns d, tag, spans (array of a, b): the stretches of each text that repeated strings cover, in bytes."""
+    with scratch(docs.sparkSession) as keep:
+        out = _repeated_spans(docs, length, text, doc_id)
+        keep(out)
+        return out
+
+
+def _repeated_spans(docs: DataFrame, length: int, text: str, doc_id: str) -> DataFrame:
     rows = _keyed(docs, text, doc_id)
     # written, so that the join below has a plain exchange on either side and a hot anchor can be split
     multi = written(_anchor_rows(rows, length, True).groupBy("ah").count().where("count > 1").select("ah"), "twice")
