@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import decontaminate, language_id, near_dedup, pieces, suffix_dedup
-from tallyspark.llm._common import written
+from tallyspark.llm._common import forget, scratch, written
 from tallyspark.llm.queries import LENGTH, NGRAM, table, tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -54,7 +54,13 @@ STAGES = [("language ID", language), ("MinHash near-dedup", near_copies), ("suff
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other, each written and read again; what a stage needed on its way, and the stage before it, is deleted."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as keep:
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            keep(docs)
+        if last is not None:
+            forget(last)
+        last = docs
     return docs
