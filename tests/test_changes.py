@@ -334,6 +334,24 @@ def test_lookup_against_plain_sets(spark):
     assert {tuple(x) for x in got.collect()} == want
 
 
+def test_near_spelling_against_plain_words(spark):
+    r = random.Random(6)
+    words = ["ann", "anna", "bob", "lester", "lesley", "poe", "jokic", "common", "commons"]
+    names = [" ".join(r.sample(words, r.randrange(1, 4))) for _ in range(80)]
+    typed = ["comon", "lestre", "jokci", "bob", "anns", "lesleyy", "zzzzzzz", "ann"]
+    mentions = {" ".join(r.choice(typed) for _ in range(r.randrange(0, 3))) for _ in range(40)}
+    budget = lambda w: 0 if len(w) <= 3 else 1 if len(w) <= 6 else 2
+    want = set()
+    for m in mentions:
+        own = set(m.split())
+        for i, n in enumerate(names):
+            best = [min((match.edits(w, x) for x in n.split() if match.edits(w, x) <= budget(w)), default=None) for w in own]
+            if own and None not in best:
+                want.add((m, i, sum(best)))
+    got = match.near_spelling(spark.createDataFrame([(m,) for m in mentions], "mention string"), spark.createDataFrame(list(enumerate(names)), "id long, name string"))
+    assert {tuple(x) for x in got.collect()} == want
+
+
 # spans in bins
 
 
