@@ -94,6 +94,21 @@ def queries() -> dict:
 WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 PIECES = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+
+
+def crc32_sql(text: str) -> str:
+    """crc32 of a text's UTF-8 bytes, half a byte at a time by the polynomial's table."""
+    table = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    half = lambda at: f"instr('0123456789ABCDEF', substr(hex(encode({text})), {at}, 1)) - 1"
+    halves = f"flatten(list_transform(range(1, 1 + octet_length(encode({text}))), lambda i: [CAST({half('2 * i')} AS UBIGINT), CAST({half('2 * i - 1')} AS UBIGINT)]))"
+    step = f"lambda c, n: xor(c >> 4, CAST({table} AS UBIGINT[])[CAST(xor(c, n) & 15 AS INTEGER) + 1])"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), {halves}), {step}), CAST(4294967295 AS UBIGINT))"
+
+
 SQL = {
     "op1_decontamination": f"""
         WITH b AS (SELECT item_id, {WORDS.format("text")} AS ws FROM benchmark WHERE text IS NOT NULL),
@@ -137,4 +152,37 @@ SQL = {
         c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
         SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
         FROM w LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)""",
+    "op11_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        u AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.95),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+        r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+        SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "op12_prefix_trie": f"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, role, text) AS ts FROM t GROUP BY conv_id),
+        h AS (SELECT *, CAST({crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS BIGINT) AS h FROM o),
+        b AS (SELECT h.conv_id, list_concat(list_slice(coalesce(g.ts, []), 1, h), list_slice(h.ts, h + 1, len(h.ts))) AS ts FROM h LEFT JOIN o g ON g.conv_id = h.conv_id - h.conv_id % 5),
+        k AS (SELECT conv_id, len(ts) AS n, ts, list_transform(range(0, len(ts) + 1), lambda d: sha256(to_json(list_slice(ts, 1, d)))) AS ks FROM b),
+        p AS (SELECT conv_id, n, unnest(range(0, n + 1)) AS depth, ks, ts FROM k),
+        q AS (SELECT conv_id, depth, ks[depth + 1] AS key, CASE WHEN depth > 0 THEN ks[depth] END AS parent, CASE WHEN depth > 0 THEN octet_length(encode(ts[depth].t)) ELSE 0 END AS nb, n = depth AS ends FROM p),
+        node AS (SELECT key, depth, parent, nb, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS own FROM q GROUP BY ALL),
+        kids AS (SELECT parent AS key, count(*) AS n_children FROM node WHERE parent IS NOT NULL GROUP BY parent),
+        below AS (SELECT DISTINCT x.key AS top, y.key AS key FROM (SELECT conv_id, depth, key FROM q) x JOIN (SELECT conv_id, depth, key FROM q) y ON x.conv_id = y.conv_id AND x.depth <= y.depth),
+        sums AS (SELECT top AS key, count(*) FILTER (kids.key IS NULL) AS n_leaves, sum((n_convs - 1) * nb) AS saved FROM below JOIN node ON node.key = below.key LEFT JOIN kids ON kids.key = below.key GROUP BY top)
+        SELECT node.conv_id, node.depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(node.own) AS ends_sha256
+        FROM node LEFT JOIN node up ON up.key = node.parent LEFT JOIN kids ON kids.key = node.key JOIN sums ON sums.key = node.key""",
+    "op13_importance_resampling": f"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({WORDS.format("text")}, []) AS ws FROM documents),
+        dw AS (SELECT rid, unnest(ws) AS w FROM d), bw AS (SELECT unnest({WORDS.format("text")}) AS w FROM benchmark),
+        code AS (SELECT w, {crc32_sql("w")} % 10000 AS k FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+        s AS (SELECT k, count(*) AS n FROM dw JOIN code USING (w) GROUP BY k), t AS (SELECT k, count(*) AS n FROM bw JOIN code USING (w) GROUP BY k),
+        g AS (SELECT s.k, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1) * CAST((SELECT count(*) FROM dw) + 10000 AS DOUBLE) / ((s.n + 1) * CAST((SELECT count(*) FROM bw) + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM s LEFT JOIN t ON t.k = s.k),
+        m AS (SELECT rid, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM dw JOIN code USING (w) JOIN g USING (k) GROUP BY rid),
+        e AS (SELECT rid, doc_id, len(ws) AS n, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN m USING (rid)),
+        f AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM e),
+        r AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS pool FROM f WHERE n >= 20)
+        SELECT doc_id, n AS n_features, weight, score, CASE WHEN rank <= pool * 10 // 100 THEN rank END AS rank FROM f LEFT JOIN r USING (rid)""",
 }
