@@ -253,7 +253,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     Segments are dealt by conversation and sorted, and each task reads them as
     one stream of text with running digests: a conversation of any length
     needs only the memory of one batch. (A digest over one conversation is one
-    task's work by its nature.)
+    task's work by its nature.) Rows whose conversation id is null are one
+    conversation, with a null id.
     """
     cols = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kind = formatted.schema["conv_id"].dataType.simpleString()

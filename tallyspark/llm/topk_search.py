@@ -32,7 +32,7 @@ def whole(embedding: Column) -> Column:
 
 
 def pack(df: DataFrame, norm2: float, pivots: np.ndarray) -> DataFrame:
-    """One row per candidate: its block, and the vector and pivot distances as bytes."""
+    """One row per candidate: the cell of its nearest pivot, and the vector and pivot distances as bytes."""
     piv = df.sparkSession.sparkContext.broadcast(pivots)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,22 +40,67 @@ def pack(df: DataFrame, norm2: float, pivots: np.ndarray) -> DataFrame:
             if not len(f):
                 continue
             v = np.array(f["v"].tolist(), np.float64).reshape(len(f), -1)
-            p = piv.value
-            d = distances(v, norm2, p) if p.shape[1] == v.shape[1] + 1 else np.zeros((len(f), 0))
-            yield pd.DataFrame({"vec_id": f["vec_id"], "cb": f["cb"], "row": [a.tobytes() + b.astype(np.float32).tobytes() for a, b in zip(v, d, strict=True)]})
+            d = distances(v, norm2, piv.value).astype(np.float32)
+            yield pd.DataFrame({"vec_id": f["vec_id"], "cell": nearest(d), "row": [a.tobytes() + b.tobytes() for a, b in zip(v, d, strict=True)]})
 
-    return df.mapInPandas(run, "vec_id long, cb int, row binary")
+    return df.mapInPandas(run, "vec_id long, cell int, row binary")
+
+
+def nearest(d: np.ndarray) -> np.ndarray:
+    """The nearest pivot by distances; the first where they are not comparable."""
+    return np.argmin(np.where(np.isnan(d), np.inf, d), axis=1).astype(np.int32)
+
+
+def cells(cand: DataFrame, dim: int, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many candidates each cell has, and the least and greatest distance of its candidates to each pivot: a row a cell and pivot comes to the driver."""
+    step = dim * 8
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, lo, hi = np.zeros(pivots, np.int64), np.full((pivots, pivots), np.inf), np.full((pivots, pivots), -np.inf)
+        for f in frames:
+            d = np.array([np.frombuffer(r[step:], np.float32) for r in f["row"]], np.float64).reshape(len(f), pivots)
+            d = np.where(np.isnan(d), np.inf, d)
+            own = f["cell"].to_numpy()
+            n += np.bincount(own, minlength=pivots)
+            np.minimum.at(lo, own, np.where(np.isinf(d), 0, d))
+            np.maximum.at(hi, own, d)
+        c, p = np.nonzero((n > 0)[:, None] & np.ones(pivots, bool))
+        yield pd.DataFrame({"cell": c, "p": p, "n": n[c], "lo": lo[c, p], "hi": hi[c, p]})
+
+    n, lo, hi = np.zeros(pivots, np.int64), np.full((pivots, pivots), np.inf), np.full((pivots, pivots), -np.inf)
+    rows = cand.select("cell", "row").mapInPandas(run, "cell long, p long, n long, lo double, hi double").groupBy("cell", "p").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    for r in rows.collect():
+        n[r["cell"]], lo[r["cell"], r["p"]], hi[r["cell"], r["p"]] = r["n"], r["lo"], r["hi"]
+    return n, lo, hi
+
+
+def reachable(q: np.ndarray, worst: np.ndarray, norm2: float, pivots: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """For each query and cell, whether a candidate of the cell may reach the query's k-th best score so far (minus infinity: all cells)."""
+    d = distances(q, norm2, pivots, query=True)
+    scale = (q * q).sum(axis=1) + norm2
+    out = np.zeros((len(q), len(n)), bool)
+    for c in np.flatnonzero(n):
+        bound = np.maximum(0, np.maximum(lo[c] - d, d - hi[c])).max(axis=1, initial=0)
+        out[:, c] = ~((scale - bound**2) / 2 + slack(scale) < worst)
+    return out
+
+
+def slack(scale):
+    """What rounding may take from a bound."""
+    return 1e-3 * np.maximum(1.0, np.abs(scale)) ** 0.5 + 1e-5 * scale
 
 
 def longer(v: np.ndarray, norm2: float) -> np.ndarray:
     """Vectors with one more component, so that all have the squared length ``norm2``."""
-    return np.hstack([v, np.sqrt(np.maximum(norm2 - (v * v).sum(axis=1), 0))[:, None]])
+    with np.errstate(over="ignore", invalid="ignore"):  # a bound that is no number ends no search
+        return np.hstack([v, np.sqrt(np.maximum(norm2 - (v * v).sum(axis=1), 0))[:, None]])
 
 
 def distances(v: np.ndarray, norm2: float, pivots: np.ndarray, query: bool = False) -> np.ndarray:
     x = np.hstack([v, np.zeros((len(v), 1))]) if query else longer(v, norm2)
-    d2 = (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2 * x @ pivots.T
-    return np.sqrt(np.maximum(d2, 0))
+    with np.errstate(over="ignore", invalid="ignore"):
+        d2 = (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2 * x @ pivots.T
+        return np.sqrt(np.maximum(d2, 0))
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -82,7 +127,7 @@ def search_block(qid: np.ndarray, q: np.ndarray, qd: np.ndarray, cid: np.ndarray
             if len(best) == k:
                 # the largest product that a distance of at least this bound allows; the slack covers rounding
                 reach = (scale - max(0.0, float(bound[take[0]])) ** 2) / 2
-                if reach + 1e-3 * max(1.0, abs(scale)) ** 0.5 + 1e-5 * scale < float(best[-1]):
+                if reach + slack(scale) < float(best[-1]):
                     break
             done += len(take)
             take = take[cid[take] != qid[i]]
@@ -109,8 +154,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
     compared with those of its own number of components, and empty vectors
     score 0. A score beyond 64 bits is given as the nearest 64-bit number. A row that repeats an id with equal components counts once;
     of an id's different vectors the best counts, as a candidate and as a query. Ids are whole numbers.
-    Queries and candidates meet in blocks of bounded size; pivots come from a
-    bounded sample and only steer the search.
+    Candidates lie in the cells of their nearest pivots. A query is searched in
+    its own cell first; its k-th best score there, and the least and greatest
+    distances of each other cell to all pivots, tell which cells it must still
+    meet, so a vector goes only where a query can use it. Within a cell, blocks
+    of bounded size meet. Pivots come from a bounded sample and only steer the search.
     """
     if not isinstance(vectors.schema[vec_id].dataType, IntegralType):
         raise TypeError("queries are chosen by division of their ids, which must be whole numbers")
@@ -128,12 +176,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
         norm2 = float(s["norm2"] or 0.0)
         some = bounded_sample(own, 2000, "vec_id", "v").orderBy("vec_id").select("v").collect()
         points = longer(np.array([r["v"] for r in some], np.float64).reshape(len(some), -1), norm2)
-        piv = _spread(points, pivots)
-        nq, nc = -(-s["q"] // query_block), -(-s["n"] // block)
-        deal = lambda n: F.pmod(F.xxhash64(F.lit("deal"), "vec_id"), F.lit(n)).cast("int")
-        cand = pack(own.withColumn("cb", deal(nc)), norm2, piv).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-        ask = own.where(F.col("vec_id") % every == 0).select("vec_id", "v", deal(nq).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("cb"))
-        parts.append(_pairs(cand, ask, norm2, piv, s["dim"], k))
+        parts.append(_searched(own, own.where(F.col("vec_id") % every == 0), norm2, _spread(points, pivots), s["dim"], k, query_block, block))
     if not parts:
         return spark.createDataFrame([], schema)
     found = parts[0]
@@ -144,6 +187,48 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
     return best.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _searched(own: DataFrame, queries: DataFrame, norm2: float, piv: np.ndarray, dim: int, k: int, query_block: int, block: int) -> DataFrame:
+    """query_id, vec_id, score: each query's best of its own cell, and of the cells that its k-th best there leaves in reach."""
+    spark = own.sparkSession
+    cand = written(pack(own, norm2, piv), "candidates")
+    n, lo, hi = cells(cand, dim, len(piv))
+    sent = spark.sparkContext.broadcast((piv, n, lo, hi))
+
+    def asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Queries with the cells to search: their own if they have no ``worst`` yet, else the others in reach."""
+        pivots, n, lo, hi = sent.value
+        for f in frames:
+            if not len(f):
+                continue
+            q = np.array(f["v"].tolist(), np.float64).reshape(len(f), -1)
+            home = np.zeros((len(f), len(n)), bool)
+            home[np.arange(len(f)), nearest(distances(q, norm2, pivots, query=True))] = True
+            to = home if "worst" not in f else reachable(q, f["worst"].to_numpy(np.float64), norm2, pivots, n, lo, hi) & ~home
+            i, c = np.nonzero(to)
+            yield pd.DataFrame({"vec_id": f["vec_id"].to_numpy()[i], "v": pd.Series([f["v"].iloc[x] for x in i], dtype=object), "cell": c.astype(np.int32)})
+
+    schema = "vec_id long, v array<double>, cell int"
+    deal = lambda m: F.pmod(F.xxhash64(F.lit("deal"), "vec_id"), m).cast("int")
+    upto = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+
+    def met(ask: DataFrame) -> DataFrame:
+        of = {r["cell"]: r["count"] for r in ask.groupBy("cell").count().collect()}  # a row a cell
+        sizes = [(int(c), -(-of[int(c)] // query_block), int(-(-n[c] // block))) for c in of if n[c]]
+        if not sizes:
+            return spark.createDataFrame([], "query_id long, vec_id long, score long")
+        size = F.broadcast(spark.createDataFrame(sizes, "cell int, nq int, nc int"))
+        left = ask.join(size, "cell").withColumn("qb", deal(F.col("nq"))).withColumn("cb", upto("nc")).select("cell", "qb", "cb", "vec_id", "v")
+        right = cand.join(size, "cell").withColumn("cb", deal(F.col("nc"))).withColumn("qb", upto("nq")).select("cell", "qb", "cb", "vec_id", "row")
+        return _pairs(right, left, norm2, piv, dim, k)
+
+    first = written(met(written(queries.select("vec_id", "v").mapInPandas(asked, schema), "asked")), "found")
+    best = first.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    worst = best.withColumn("_at", place).where(F.col("_at") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("worst"))
+    again = queries.select("vec_id", "v").join(worst, "vec_id", "left").withColumn("worst", F.coalesce("worst", F.lit(float("-inf"))))
+    return first.unionByName(met(written(again.mapInPandas(asked, schema), "asked")))
+
+
 def _pairs(cand: DataFrame, ask: DataFrame, norm2: float, piv: np.ndarray, dim: int, k: int) -> DataFrame:
     pivots = ask.sparkSession.sparkContext.broadcast(piv)
     step = dim * 8
@@ -158,14 +243,16 @@ def _pairs(cand: DataFrame, ask: DataFrame, norm2: float, piv: np.ndarray, dim:
         got = list(search_block(left["vec_id"].to_numpy(), q, qd, right["vec_id"].to_numpy(), c, cd, norm2, k))
         return pd.DataFrame(got, columns=["query_id", "vec_id", "score"], dtype="int64")
 
-    # each block of queries meets each block of candidates once
-    return ask.groupBy("qb", "cb").cogroup(cand.groupBy("qb", "cb")).applyInPandas(run, "query_id long, vec_id long, score long")
+    # each block of queries meets each block of the cell's candidates once
+    keys = ["cell", "qb", "cb"]
+    return ask.groupBy(*keys).cogroup(cand.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score long")
 
 
 def _spread(points: np.ndarray, n: int) -> np.ndarray:
     """Points far from one another, chosen greedily from the first."""
     picked, far = [0], np.full(len(points), np.inf)
     while len(picked) < min(n, len(points)):
-        far = np.minimum(far, ((points - points[picked[-1]]) ** 2).sum(axis=1))
+        with np.errstate(over="ignore", invalid="ignore"):
+            far = np.minimum(far, ((points - points[picked[-1]]) ** 2).sum(axis=1))
         picked.append(int(far.argmax()))
     return points[picked]

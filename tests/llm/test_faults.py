@@ -98,3 +98,38 @@ def test_megabytes(spark):
     assert [got["hit"][i].contaminated for i in range(6)] == [False, True, False, False, False, True]
     assert [got["suffix"][i].n_removed for i in range(6)] == [1_000_000, 1_000_000, 1_000_000, 0, len((texts[4]).encode()), 0]
     assert [got["draw"][i].n_features for i in range(6)] == [0, 1, 0, 150_000, 1, 6]
+
+
+def test_cells_out_of_reach_are_not_searched():
+    r = np.random.default_rng(9)
+    centres = r.normal(0, 900, (12, 8))
+    v = np.floor(centres[r.integers(0, 12, 3000)] + r.normal(0, 9, (3000, 8)))
+    norm2 = float((v * v).sum(axis=1).max())
+    pivots = topk_search._spread(topk_search.longer(v[:1000], norm2), 16)
+    d = topk_search.distances(v, norm2, pivots)
+    cell = topk_search.nearest(d)
+    n = np.bincount(cell, minlength=16)
+    lo, hi = (np.array([f(d[cell == c], axis=0) if n[c] else np.full(16, np.nan) for c in range(16)]) for f in (np.min, np.max))
+    q = v[:100]
+    scores = q @ v.T
+    scores[np.arange(100), np.arange(100)] = -np.inf
+    worst = np.sort(scores, axis=1)[:, -5]
+    to = topk_search.reachable(q, worst, norm2, pivots, n, lo, hi)
+    assert all(to[i, cell[j]] for i in range(100) for j in np.flatnonzero(scores[i] >= worst[i])) and to.mean() < 0.7
+    assert topk_search.reachable(q, np.full(100, -np.inf), norm2, pivots, n, lo, hi)[:, n > 0].all()
+
+
+@pytest.mark.parametrize("spread", [4.0, 300.0])
+def test_top_k_of_clustered_vectors_in_small_blocks(spark, spread):
+    r = np.random.default_rng(int(spread))
+    centres = r.normal(0, 2, (9, 6))
+    v = (centres[r.integers(0, 9, 700)] + r.normal(0, spread / 256, (700, 6))).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    w = np.floor(256 * v.astype(np.float64))
+    got = {}
+    for x in topk_search.top_k(df, every=10, query_block=8, block=30, pivots=9).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
+    for q in range(0, 700, 10):
+        s = w @ w[q]
+        best = sorted((j for j in range(700) if j != q), key=lambda j: (-s[j], j))[:5]
+        assert sorted(got[q]) == [(i, j, int(s[j])) for i, j in enumerate(best, 1)]
