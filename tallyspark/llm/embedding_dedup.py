@@ -19,14 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from ._common import bounded_sample, components, small_batches, written
+from ._common import bounded_sample, components, scratch, small_batches, written
 
 #: Vectors of a tile, and its bytes at most; rows of a tile that are compared at once; cells at most; vectors that cells and balls are taken from.
 TILE, TILE_BYTES, STRIP, CELLS, SAMPLE = 8192, 32 << 20, 256, 512, 1 << 15
 #: Balls of a cell at most, and how many of its vectors are tried as their centres.
 BALLS, TRIED = 4, 2048
-#: What single precision may lose in the first bound, and how near to the threshold a cosine is computed once more, term by term.
-LOOSE, NEAR = 1e-5, 1e-9
+#: What single precision may lose in a term of the first bound, and how near to the threshold a cosine is computed once more, term by term.
+LOOSE, NEAR = 1.2e-7, 1e-9
 
 
 def usable(embedding: Column) -> Column:
@@ -102,10 +102,11 @@ def linked(a: Rotated, b: Rotated, least: float, same: bool, seen: list[int] | N
 
     ``seen`` gets how many pairs were left after each stage.
     """
+    low = least - max(1e-5, LOOSE * (a.lead.shape[1] + 8))
     for s in range(0, len(a.y), STRIP):
         e = min(s + STRIP, len(a.y))
         first = s if same else 0
-        mask = a.lead[s:e] @ b.lead[first:].T >= least - LOOSE
+        mask = a.lead[s:e] @ b.lead[first:].T >= low
         if same:
             mask &= np.arange(s, e)[:, None] < np.arange(first, len(b.y))[None, :]
         i, j = np.nonzero(mask)
@@ -341,6 +342,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, vec_id: str = "vec_id"
     """
     if not 0 < least <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
+    with scratch(vectors.sparkSession) as keep:
+        return _near_vectors(vectors, least, vec_id, embedding, tile, keep)
+
+
+def _near_vectors(vectors: DataFrame, least: float, vec_id: str, embedding: str, tile: int, keep) -> DataFrame:
     single = isinstance(vectors.schema[embedding].dataType, ArrayType) and isinstance(vectors.schema[embedding].dataType.elementType, FloatType)
     rows = vectors.select(F.col(vec_id).alias("vec_id"), usable(F.col(embedding)).alias("v")).withColumn("v", F.when(F.col("vec_id").isNotNull(), F.col("v")))
     rows = rows.withColumn("h1", F.xxhash64(F.lit(1), "v")).withColumn("h2", F.xxhash64(F.lit(2), "v"))
@@ -357,6 +363,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, vec_id: str = "vec_id"
         return alone
     found = written(found, "links")
     comp = components(found.where("b is not null"))
+    keep(held, found, comp)
     counts = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
     classes = held.select("cid", "n", "low", *key).join(comp.withColumnRenamed("id", "cid"), "cid", "left").join(counts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least_id = classes.groupBy("component").agg(F.min("low").alias("component_id"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import forget, written
+from ._common import forget, scratch, written
 
 #: Turns of a block; blocks of a range of a conversation; turns from which a conversation is put in order by ranges.
 BLOCK, RANGE, LONG = 4, 4096, 100_000
@@ -182,7 +182,9 @@ def _subtrees(nodes: DataFrame) -> DataFrame:
         plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
         last, state = state, written(state.join(more, KEY, "left").join(up, ["q1", "q2"], "left").select(*KEY, F.col("u1").alias("q1"), F.col("u2").alias("q2"), plus("n_leaves", "l"), plus("saved", "s")), "subtrees")
         forget(last)
-    return state.select(*KEY, "n_leaves", "saved")
+    out = state.select(*KEY, "n_leaves", "saved")
+    out._path = state._path
+    return out
 
 
 def trie(turns: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -195,6 +197,11 @@ def trie(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     root, depth 0, has a null parent; without conversations there is none.
     Conversations with equal turns are different members.
     """
+    with scratch(turns.sparkSession) as keep:
+        return _trie(turns, block, keep)
+
+
+def _trie(turns: DataFrame, block: int, keep) -> DataFrame:
     turns = written(turns, "turns")
     ends = written(_ends(turns), "ends")
     nodes = _nodes(_blocks(turns, block), block)
@@ -206,6 +213,7 @@ def trie(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     top = F.col("depth") > 1
     sums = _subtrees(shared.select(*KEY, F.when(top, F.col("q1")).alias("q1"), F.when(top, F.col("q2")).alias("q2"), F.coalesce("alone", F.lit(1)).alias("n_leaves"), own.alias("saved")))
     digests = written(_id_digests(ends), "digests")
+    keep(ends, nodes, sums, digests)
     lows = nodes.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("conv_id").alias("parent_conv_id"))
     zero = F.lit(0).cast("long")
     whole = ends.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0")

@@ -147,6 +147,12 @@ def test_a_run_leaves_only_what_its_result_reads(spark, sf_dir):
     queries.op6_near_dedup(spark, sf_dir).count()
     queries.op10_suffix_dedup(spark, sf_dir).count()
     assert {x.split("-")[0] for x in tables(spark) - before} == {"sketch", "classes", "cc", "ends", "spans"}
+    before = tables(spark)
+    queries.op11_embedding_near_dedup(spark, sf_dir).count()
+    assert {x.split("-")[0] for x in tables(spark) - before} == {"vectors", "links", "cc"}
+    before = tables(spark)
+    queries.op12_prefix_trie(spark, sf_dir).count()
+    assert {x.split("-")[0] for x in tables(spark) - before} == {"ends", "nodes", "subtrees", "digests"}
 
 
 def test_scratch_deletes_also_after_a_failure(spark):
