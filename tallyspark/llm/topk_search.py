@@ -176,7 +176,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
         norm2 = float(s["norm2"] or 0.0)
         some = bounded_sample(own, 2000, "vec_id", "v").orderBy("vec_id").select("v").collect()
         points = longer(np.array([r["v"] for r in some], np.float64).reshape(len(some), -1), norm2)
-        parts.append(_searched(own, own.where(F.col("vec_id") % every == 0), norm2, _spread(points, pivots), s["dim"], k, query_block, block))
+        parts.append(_searched(own, own.where(F.col("vec_id") % every == 0), norm2, _spread(points, pivots), s["dim"], k, query_block, block, s["n"], s["q"]))
     if not parts:
         return spark.createDataFrame([], schema)
     found = parts[0]
@@ -187,9 +187,14 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
     return best.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _searched(own: DataFrame, queries: DataFrame, norm2: float, piv: np.ndarray, dim: int, k: int, query_block: int, block: int) -> DataFrame:
+def _searched(own: DataFrame, queries: DataFrame, norm2: float, piv: np.ndarray, dim: int, k: int, query_block: int, block: int, held: int, asking: int) -> DataFrame:
     """query_id, vec_id, score: each query's best of its own cell, and of the cells that its k-th best there leaves in reach."""
     spark = own.sparkSession
+    if held <= block:  # one block needs no cells
+        zero, parts = F.lit(0), -(-asking // query_block)
+        of = F.pmod(F.xxhash64(F.lit("deal"), "vec_id"), F.lit(parts)).cast("int")
+        right = pack(own, norm2, piv).select(zero.alias("cell"), F.explode(F.sequence(zero, F.lit(parts - 1))).alias("qb"), zero.alias("cb"), "vec_id", "row")
+        return _pairs(right, queries.select(zero.alias("cell"), of.alias("qb"), zero.alias("cb"), "vec_id", "v"), norm2, piv, dim, k)
     cand = written(pack(own, norm2, piv), "candidates")
     n, lo, hi = cells(cand, dim, len(piv))
     sent = spark.sparkContext.broadcast((piv, n, lo, hi))
