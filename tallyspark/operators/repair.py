@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
-from .ranges import numbered
+from .ranges import FEW, dealt, numbered
 from .windows import keep_one
 
 
@@ -135,15 +135,24 @@ def merge_identities(fact: DataFrame, dim: DataFrame, entity: str, name: str, ev
     """Ids that share a name and an event are one entity, if every event they share is safe: one line is empty, or both are equal.
 
     The id with most played events, then events, then the least, stands for the name. Of an event's two rows the one that played stays, then the one under the standing id.
+
+    Every step on lines is by event, so lines dealt by event (``ranges.dealt``) are not dealt again, but where the names are too many to be held by every task.
     """
-    named = fact.join(dim.select(entity, name), entity)
-    twins = named.groupBy(name, *event).agg(F.count_distinct(entity).alias("ids"), *[F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("null"))).alias(f"_{c}") for c in figures], F.count_if(played).alias("_played"))
+    few = dim.count() <= FEW
+    named = fact.join(F.broadcast(dim.select(entity, name)) if few else dim.select(entity, name), entity)
+    if not few:
+        named = dealt(named, fact.count(), *event)
+    least = [f(c).alias(f"{a}{c}") for c in figures for a, f in (("_lo_", F.min), ("_hi_", F.max), ("_n_", F.count))]
+    each = named.groupBy(name, *event, entity).agg(*least, F.count("*").alias("_rows"), F.count_if(played).alias("_played"))
+    most = [x for c in figures for x in (F.min(f"_lo_{c}").alias(f"_lo_{c}"), F.max(f"_hi_{c}").alias(f"_hi_{c}"), F.sum(f"_n_{c}").alias(f"_n_{c}"))]
+    twins = each.groupBy(name, *event).agg(F.count(entity).alias("ids"), *most, F.sum("_rows").alias("_rows"), F.sum("_played").alias("_played"))
     safe = F.lit(True)
     for c in figures:
         safe = safe & (F.col(f"_{c}") == 1)
     shared = twins.where("ids = 2").groupBy(name).agg(F.bool_and(safe | (F.col("_played") <= 1)).alias("ok")).where("ok").select(name)
     order = named.groupBy(name, entity).agg(F.count_if(played).alias("p"), F.count("*").alias("n"))
     best = keep_one(order, [name], [F.desc("p"), F.desc("n"), F.asc(entity)]).select(name, F.col(entity).alias("_main")).join(shared, name, "left_semi")
+    best = F.broadcast(best) if few else best
     out = named.join(best, name, "left").withColumn("_own", F.coalesce(F.col("_main") == F.col(entity), F.lit(True)))
     out = out.withColumn("_was", F.col(entity)).withColumn(entity, F.coalesce("_main", entity))
     return keep_one(out, [entity, *event], [F.coalesce(played, F.lit(False)).desc(), F.col("_own").desc(), F.col("_was").asc()]).drop("_main", "_own", "_was")

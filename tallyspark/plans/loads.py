@@ -69,10 +69,10 @@ def r7_fill_lines(t: Tables):
 @bound("SELECT CASE WHEN supp % 2 = 1 AND supp > 0 THEN supp - 1 ELSE supp END AS entity, count(*) AS events FROM (SELECT DISTINCT event, CASE WHEN supp % 2 = 1 THEN supp - 1 ELSE supp END AS supp FROM ln) GROUP BY entity")
 def r8_merge_identities(t: Tables):
     # each supplier under two ids, the odd one with empty lines, on every event of either
-    ln = t.lines().select("event", (F.floor(F.col("supp") / 2) * 2).alias("even")).distinct()
-    both = ln.select("event", F.explode(F.array(F.col("even"), F.col("even") + 1)).alias("entity"))
-    fact = both.withColumn("minutes", F.when(F.col("entity") % 2 == 0, F.lit(1)))
-    dim = fact.select("entity").distinct().withColumn("name", F.floor(F.col("entity") / 2).cast("string"))
+    even = (F.floor(F.col("supp") / 2) * 2).alias("even")
+    both = F.explode(F.array(F.col("even"), F.col("even") + 1)).alias("entity")
+    fact = t.lines_by_event("event", "supp").select("event", even).distinct().select("event", both).withColumn("minutes", F.when(F.col("entity") % 2 == 0, F.lit(1)))
+    dim = t.lines().select(even).distinct().select(both).withColumn("name", F.floor(F.col("entity") / 2).cast("string"))
     out = repair.merge_identities(fact, dim, "entity", "name", ["event"], ["minutes"], F.col("minutes").isNotNull())
     return out.groupBy("entity").agg(F.count("*").alias("events"))
 
