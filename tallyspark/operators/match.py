@@ -110,20 +110,24 @@ def near_spelling(mentions: DataFrame, dim: DataFrame, mention: str = "mention",
 
     A mention meets only the names that hold a word near to that one of its
     words for which there are fewest; its other words are measured in place.
+    Ids of one name meet as that name, and are put to it at the end: names that
+    very many ids share are then few rows, which need no shuffle by name.
     """
     m = mentions.select(F.col(mention).alias("mention")).distinct().withColumn("ws", F.array_distinct(letters(F.col("mention"))))
     mw = m.select("mention", F.size("ws").alias("n"), F.explode("ws").alias("word"))
     d = dim.select(F.col(key).alias("id"), F.array_distinct(letters(F.col(name))).alias("words")).where(F.size("words") > 0)
-    index = d.select("id", "words", F.explode("words").alias("near"))
+    index = d.select("words").distinct().select("words", F.explode("words").alias("near"))
     gaps = near_words(mw.select("word"), index.select(F.col("near").alias("word")))
     often = index.groupBy("near").agg(F.count("*").alias("_n"))
     # of a word's near words there are few: their number is bounded by the vocabulary within two edits
     near = gaps.join(often, "near").groupBy("word").agg(F.sum("_n").alias("_n"), F.collect_list(F.struct("near", "gap")).alias("_near"))
     own = mw.join(near, "word").groupBy("mention", "n").agg(F.min(F.struct("_n", "word", "_near")).alias("_r"), F.collect_list("_near").alias("_all")).where(F.size("_all") == F.col("n"))
-    met = own.select("mention", "_all", F.explode(F.col("_r._near.near")).alias("near")).join(index, "near").select("mention", "_all", "id", "words").dropDuplicates(["mention", "id"])
+    met = own.select("mention", "_all", F.explode(F.col("_r._near.near")).alias("near")).join(index, "near").select("mention", "_all", "words").dropDuplicates(["mention", "words"])
     least = F.transform("_all", lambda near: F.array_min(F.transform(F.filter(near, lambda x: F.array_contains(F.col("words"), x["near"])), lambda x: x["gap"])))
     out = met.withColumn("_gaps", least).where(~F.exists("_gaps", lambda g: g.isNull()))
-    return out.select("mention", "id", F.aggregate("_gaps", F.lit(0).cast("long"), lambda a, g: a + g).alias("gap"))
+    out = out.select("mention", "words", F.aggregate("_gaps", F.lit(0).cast("long"), lambda a, g: a + g).alias("gap"))
+    # an id of several names has the nearest of them
+    return out.join(d, "words").groupBy("mention", "id").agg(F.min("gap").alias("gap"))
 
 
 def eliminate(candidates: DataFrame, facts: DataFrame, entity: str = "id", season: str = "season", asked: int | None = None) -> DataFrame:

@@ -29,3 +29,11 @@ def test_merged_identities_meet_where_their_event_is(spark):
     out = repair.merge_identities(ranges.dealt(fact, 40 * ranges.EACH, "event"), dim, "id", "name", ["event"], ["pts"], F.col("pts").isNotNull())
     assert sorted(tuple(r) for r in out.select("id", "event", "pts").collect()) == [(1, 7, 5), (1, 8, 4), (3, 8, 4), (3, 9, None)]
     assert not [x for x in shuffles(out) if "event" in x and "event#" != x.split(",")[0][: len("event#")]]
+
+
+def test_ids_of_one_name_meet_as_that_name(spark):
+    m = spark.createDataFrame([("blua ring",)], "mention string")
+    dim = spark.createDataFrame([(1, "blue rod"), (1, "blue ring"), (2, "blue ring"), (2, "blue rod"), (3, "ring blue")], "id long, name string")
+    out = match.near_spelling(m, dim)
+    assert sorted((r.id, r.gap) for r in out.collect()) == [(1, 1), (2, 1), (3, 1)]
+    assert "Generate explode(words" in plan(out) and not re.search(r"Generate explode\(words[^\n]*\[id#", plan(out))
