@@ -37,3 +37,11 @@ def test_ids_of_one_name_meet_as_that_name(spark):
     out = match.near_spelling(m, dim)
     assert sorted((r.id, r.gap) for r in out.collect()) == [(1, 1), (2, 1), (3, 1)]
     assert "Generate explode(words" in plan(out) and not re.search(r"Generate explode\(words[^\n]*\[id#", plan(out))
+
+
+def test_documents_gather_lines_once_and_frames_parse_their_own_parts(spark, sf_dir):
+    docs = derived.summaries(Tables(spark, sf_dir))
+    assert plan(docs).count("partial_collect_list(") == 1
+    frames = flatten.flatten_summary(spark.createDataFrame([("{}",)], "json string"))
+    assert "scoringPlay" not in plan(frames["glossary"]) and "athletes" not in plan(frames["plays"]) and "athletes" in plan(frames["player_box"])
+    assert "Window" not in plan(frames["players"])
