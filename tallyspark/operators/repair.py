@@ -109,10 +109,10 @@ def shooting(made: Column, attempts: Column, threes: Column, points: Column, fre
 def rebuild_lines(events: DataFrame, key: list[str], actors: list[tuple[str, dict[str, Column]]], roster: DataFrame | None = None) -> DataFrame:
     """Lines from child events: each actor column with the figures it is credited with, put together and summed by entity and key."""
     names = list(dict.fromkeys(n for _, m in actors for n in m))
-    parts = None
-    for col, figures in actors:
-        some = events.where(F.col(col).isNotNull()).groupBy(*key, F.col(col).alias("entity")).agg(*[(F.sum(figures[n]) if n in figures else F.lit(None).cast("decimal(28,2)")).cast("decimal(28,2)").alias(n) for n in names])
-        parts = some if parts is None else parts.unionByName(some)
+    kind = "decimal(28,2)"
+    credit = lambda col, m: F.struct(F.col(col).alias("entity"), *[(m[n] if n in m else F.lit(None)).cast(kind).alias(n) for n in names])
+    # lines stay where their key is: a row for each actor, summed once
+    parts = events.select(*key, F.explode(F.array(*[credit(col, m) for col, m in actors])).alias("_c")).select(*key, "_c.*").where("entity is not null")
     out = parts.groupBy(*key, "entity").agg(*[F.sum(n).alias(n) for n in names])
     return out if roster is None else out.join(roster, [*key, "entity"], "left_semi")
 

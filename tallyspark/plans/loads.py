@@ -54,7 +54,7 @@ def r5_advanced_season(t: Tables):
 @bound("""WITH u AS (SELECT event, part AS entity, sum(qty) AS q, NULL AS helped FROM ln GROUP BY ALL UNION ALL SELECT event, supp, NULL, sum(qty) FILTER (flag = 'R') FROM ln GROUP BY event, supp)
 SELECT event, entity, CAST(sum(q) AS DOUBLE) AS q, CAST(sum(helped) AS DOUBLE) AS helped FROM u GROUP BY event, entity""")
 def r6_rebuild_lines(t: Tables):
-    out = repair.rebuild_lines(t.lines(), ["event"], [("part", {"q": F.col("qty")}), ("supp", {"helped": F.when(F.col("flag") == "R", F.col("qty"))})])
+    out = repair.rebuild_lines(t.lines_by_event(), ["event"], [("part", {"q": F.col("qty")}), ("supp", {"helped": F.when(F.col("flag") == "R", F.col("qty"))})])
     return out.select("event", "entity", F.col("q").cast("double").alias("q"), F.col("helped").cast("double").alias("helped"))
 
 
@@ -146,7 +146,7 @@ def r17_exclude_last(t: Tables):
 
 @bound("SELECT event, entity, CAST(sum(v) AS DOUBLE) AS value FROM (SELECT event, part AS entity, qty AS v FROM ln WHERE period IN (1, 2) UNION ALL SELECT event, supp, 1 FROM ln WHERE period IN (1, 2) AND flag = 'R') GROUP BY event, entity")
 def r18_period_line(t: Tables):
-    first = t.lines().where(F.col("period").isin(1, 2))
+    first = t.lines_by_event("event", "part", "supp", "period", "flag", "qty").where(F.col("period").isin(1, 2))
     out = repair.rebuild_lines(first, ["event"], [("part", {"v": F.col("qty")}), ("supp", {"v": F.when(F.col("flag") == "R", F.lit(1).cast("decimal(18,2)"))})])
     return out.where("v is not null").select("event", "entity", F.col("v").cast("double").alias("value"))
 

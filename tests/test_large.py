@@ -39,6 +39,14 @@ def test_ids_of_one_name_meet_as_that_name(spark):
     assert "Generate explode(words" in plan(out) and not re.search(r"Generate explode\(words[^\n]*\[id#", plan(out))
 
 
+def test_lines_of_actors_are_summed_where_their_event_is(spark):
+    lines = spark.createDataFrame([(1, 5, 6, 2), (1, 6, None, 3), (2, 5, 5, 1)], "event long, a long, b long, n int")
+    out = repair.rebuild_lines(ranges.dealt(lines, 40 * ranges.EACH, "event"), ["event"], [("a", {"n": F.col("n")}), ("b", {"m": F.lit(1)})])
+    got = sorted((r.event, r.entity, None if r.n is None else int(r.n), None if r.m is None else int(r.m)) for r in out.collect())
+    assert got == [(1, 5, 2, None), (1, 6, 3, 1), (2, 5, 1, 1)]
+    assert len(shuffles(out)) == 1
+
+
 def test_documents_gather_lines_once_and_frames_parse_their_own_parts(spark, sf_dir):
     docs = derived.summaries(Tables(spark, sf_dir))
     assert plan(docs).count("partial_collect_list(") == 1
