@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .diff import table_diff
+from .ranges import dealt
 
 
 def coverage(tables: dict[str, DataFrame], by: list[str]) -> DataFrame:
@@ -99,14 +100,20 @@ def unmatched_share(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.count_if(F.col(key).isNull()).alias("unmatched"))
 
 
-def identity_pairs(fact: DataFrame, dim: DataFrame, entity: str, name: str, event: list[str]) -> DataFrame:
-    """Two ids of one name that stand in one event: the name, both ids and how many events they share."""
-    named = fact.select(F.col(entity).alias("_id"), *event).distinct().join(dim.select(F.col(entity).alias("_id"), F.col(name).alias("name")), "_id").where("name is not null")
-    # most events have one id of a name: only those with more are paired
-    several = named.groupBy("name", *event).agg(F.count_distinct("_id").alias("_n")).where("_n > 1").drop("_n")
-    rows = named.join(several, ["name", *event], "left_semi")
-    both = rows.withColumnRenamed("_id", "id").join(rows.withColumnRenamed("_id", "id_2"), ["name", *event]).where("id < id_2")
-    return both.groupBy("name", "id", "id_2").agg(F.count("*").alias("events"))
+def identity_pairs(fact: DataFrame, dim: DataFrame, entity: str, name: str, event: list[str], rows: int | None = None) -> DataFrame:
+    """Two ids of one name that stand in one event: the name, both ids and how many events they share.
+
+    Lines get their names by id and then meet by name and event, each time
+    dealt over tasks of a bounded size; ``rows`` is how many lines there are,
+    counted if not given.
+    """
+    rows = fact.count() if rows is None else rows
+    named = dealt(fact.select(F.col(entity).alias("_id"), *event), rows, "_id").join(dim.select(F.col(entity).alias("_id"), F.col(name).alias("name")), "_id").where("name is not null")
+    # most events have one id of a name: only those with more are paired, each id with the greater ones
+    held = dealt(named, rows, "name", *event).groupBy("name", *event).agg(F.array_sort(F.collect_set("_id")).alias("_ids")).where(F.size("_ids") > 1)
+    firsts = held.select("name", "_ids", F.posexplode("_ids").alias("_i", "id"))
+    both = firsts.select("name", "id", F.explode(F.slice("_ids", F.col("_i") + 2, F.size("_ids"))).alias("id_2"))
+    return dealt(both, rows, "id", "id_2").groupBy("name", "id", "id_2").agg(F.count("*").alias("events"))
 
 
 def tiers(coverage_table: DataFrame, tier: str, first: str, last: str) -> DataFrame:

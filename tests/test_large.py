@@ -47,6 +47,14 @@ def test_lines_of_actors_are_summed_where_their_event_is(spark):
     assert len(shuffles(out)) == 1
 
 
+def test_identity_pairs_of_several_ids(spark):
+    fact = spark.createDataFrame([(i, e) for e in (1, 2) for i in (1, 2, 3, 1, 4) if (i, e) != (3, 2)], "id long, event long")
+    dim = spark.createDataFrame([(1, "A"), (2, "A"), (3, "A"), (4, "B"), (5, None)], "id long, name string")
+    out = audit.identity_pairs(fact, dim, "id", "name", ["event"], 40 * ranges.EACH)
+    assert sorted(tuple(r) for r in out.collect()) == [("A", 1, 2, 2), ("A", 1, 3, 1), ("A", 2, 3, 1)]
+    assert all(x.endswith(" 40") for x in shuffles(out) if "event" in x)
+
+
 def test_documents_gather_lines_once_and_frames_parse_their_own_parts(spark, sf_dir):
     docs = derived.summaries(Tables(spark, sf_dir))
     assert plan(docs).count("partial_collect_list(") == 1
