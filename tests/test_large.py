@@ -55,6 +55,13 @@ def test_identity_pairs_of_several_ids(spark):
     assert all(x.endswith(" 40") for x in shuffles(out) if "event" in x)
 
 
+def test_shots_of_an_event_are_summed_first(spark):
+    d = spark.createDataFrame([(1, 1, 25.0, 1.0), (1, 1, 25.0, 3.0), (1, 2, 25.0, 2.0), (2, 1, 25.0, 5.0)], "supp long, event long, x double, y double")
+    out = shapes.shot_distances(ranges.dealt(d, 40 * ranges.EACH, "event"), ["supp"], F.lit(2), F.col("x"), F.col("y"))
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 2.0, 3, 2), (2, 5.0, 1, 1)]
+    assert len(shuffles(out)) == 2
+
+
 def test_documents_gather_lines_once_and_frames_parse_their_own_parts(spark, sf_dir):
     docs = derived.summaries(Tables(spark, sf_dir))
     assert plan(docs).count("partial_collect_list(") == 1
