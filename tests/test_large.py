@@ -62,6 +62,11 @@ def test_shots_of_an_event_are_summed_first(spark):
     assert len(shuffles(out)) == 2
 
 
+def test_sides_of_a_large_table_are_whole_in_their_task(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(Tables, "rows", lambda self, name: 40 * ranges.EACH)
+    assert [x for x in shuffles(derived.r5_season_metrics(Tables(spark, sf_dir))) if re.fullmatch(r"event#\d+L?, 40", x)]
+
+
 def test_documents_gather_lines_once_and_frames_parse_their_own_parts(spark, sf_dir):
     docs = derived.summaries(Tables(spark, sf_dir))
     assert plan(docs).count("partial_collect_list(") == 1
