@@ -147,8 +147,8 @@ def merge_identities(fact: DataFrame, dim: DataFrame, entity: str, name: str, ev
     most = [x for c in figures for x in (F.min(f"_lo_{c}").alias(f"_lo_{c}"), F.max(f"_hi_{c}").alias(f"_hi_{c}"), F.sum(f"_n_{c}").alias(f"_n_{c}"))]
     twins = each.groupBy(name, *event).agg(F.count(entity).alias("ids"), *most, F.sum("_rows").alias("_rows"), F.sum("_played").alias("_played"))
     safe = F.lit(True)
-    for c in figures:
-        safe = safe & (F.col(f"_{c}") == 1)
+    for c in figures:  # all null, or none and all equal
+        safe = safe & ((F.col(f"_n_{c}") == 0) | ((F.col(f"_n_{c}") == F.col("_rows")) & (F.col(f"_lo_{c}") == F.col(f"_hi_{c}"))))
     shared = twins.where("ids = 2").groupBy(name).agg(F.bool_and(safe | (F.col("_played") <= 1)).alias("ok")).where("ok").select(name)
     order = named.groupBy(name, entity).agg(F.count_if(played).alias("p"), F.count("*").alias("n"))
     best = keep_one(order, [name], [F.desc("p"), F.desc("n"), F.asc(entity)]).select(name, F.col(entity).alias("_main")).join(shared, name, "left_semi")
