@@ -6,8 +6,9 @@ and groups of all other words by their ending, only give every word its first
 class. Then all words are exchanged: a round counts the classes beside each
 word over all training texts, and each word goes where the likelihood of the
 class bigrams is largest. Class transitions and word emissions give the score.
-Rare words' counts and classes are looked up by joins: each slice of documents
-sends its distinct rare words and gets them back.
+A slice of documents sends its distinct rare words once, with what it counted
+beside them, and gets their counts and classes back, packed; what is kept of it
+for the score is the class of each token and sums of each text.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ DELTA, ALPHA = 0.5, 8.0
 SETTLED = 0.002
 #: Held words whose counts (classes after it, classes before it, itself after itself) travel together, and rows that are added up by one task.
 BLOCK, FAN = 256, 256
+#: Answers to slices that a task gathers before it packs them.
+ASKED = 1_000_000
 
 
 def groups_of(words: list[str]) -> np.ndarray:
@@ -62,9 +65,9 @@ def packed(a: np.ndarray) -> bytes:
     return pa.compress(a.tobytes(), codec="zstd", asbytes=True) if len(a) else b""
 
 
-def numbers(b: bytes, size: int) -> np.ndarray:
-    """The places of words in their slice's list."""
-    return np.frombuffer(pa.decompress(b, decompressed_size=4 * size, codec="zstd", asbytes=True), np.uint32).astype(np.int64) if size else np.empty(0, np.int64)
+def numbers(b: bytes, size: int, kind: type = np.uint32) -> np.ndarray:
+    """What ``packed`` has packed: the places of words in their slice's list, or numbers of another kind."""
+    return np.frombuffer(pa.decompress(b, decompressed_size=np.dtype(kind).itemsize * size, codec="zstd", asbytes=True), kind).astype(np.int64) if size else np.empty(0, np.int64)
 
 
 def encode(docs: DataFrame) -> DataFrame:
@@ -288,6 +291,8 @@ def add_sparse(dense: np.ndarray, size: int, keys: bytes, n: bytes) -> None:
 
 
 CELLS = "block int, part int, size long, cells binary, n binary"
+#: Columns of a rare word, and of an answer to a slice.
+FOUND = ["wh", "n", "cls", "slice", "size", "places", "counts", "classes"]
 
 
 def neighbours(coded_docs: DataFrame, held: Held) -> DataFrame:
@@ -378,12 +383,14 @@ def moved(counts: DataFrame, held: Held, big: np.ndarray) -> Held:
     return held.with_classes(cls)
 
 
-def rare_classes(coded_docs: DataFrame, held: Held, big: np.ndarray) -> DataFrame:
-    """Written: wh, n, cls of all other words of the texts that teach, each in its best class beside the held words' settled ones.
+def rare_classes(coded_docs: DataFrame, held: Held, big: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Written: wh, n, cls of all other words of the texts that teach, each in its best class beside the held words' settled ones; and the answers to slices.
 
     Slices count the classes beside their own rare words (a rare neighbour has
     its group's class); a word's counts meet in the order of words, and a task
-    holds those of one batch.
+    holds those of one batch. With its counts a slice sends where the word
+    stands in its list, also for words of texts that do not teach; an answer is
+    a row of a slice: such places, packed, with the words' counts and classes.
     """
     spark = coded_docs.sparkSession
     sent, table = spark.sparkContext.broadcast(held), spark.sparkContext.broadcast(big)
@@ -398,19 +405,22 @@ def rare_classes(coded_docs: DataFrame, held: Held, big: np.ndarray) -> DataFram
         return pa.RecordBatch.from_arrays([pa.array(wh, pa.int64()), pa.array(grp, pa.int32()), pa.array(n, pa.int64()), e], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, grp, seq, begin, learn in each_slice(batches):
-            held_at, cls = sent.value.classes_of(words, grp)
-            rare = held_at < 0
-            rare[0] = False
-            a, b, ca, cb, same = beside(seq, begin, learn, cls)
-            n = np.bincount(b, minlength=len(words))
-            one, two = rare[a], rare[b] & ~same
-            cells, m = np.unique(np.concatenate([(a * kinds + np.where(same, 2 * c, cb))[one], (b * kinds + c + ca)[two]]), return_counts=True)
-            own = np.flatnonzero(rare & (n > 0))
-            yield rows(words[own], grp[own], n[own], np.searchsorted(own, cells // kinds), cells % kinds, m)
+        for batch in batches:
+            for key, (words, grp, seq, begin, learn) in zip(batch["key"].to_pylist(), each_slice([batch]), strict=True):
+                held_at, cls = sent.value.classes_of(words, grp)
+                rare = held_at < 0
+                rare[0] = False
+                a, b, ca, cb, same = beside(seq, begin, learn, cls)
+                n = np.bincount(b, minlength=len(words))
+                one, two = rare[a], rare[b] & ~same
+                cells, m = np.unique(np.concatenate([(a * kinds + np.where(same, 2 * c, cb))[one], (b * kinds + c + ca)[two]]), return_counts=True)
+                own = np.flatnonzero(rare)
+                out = rows(words[own], grp[own], n[own], np.searchsorted(own, cells // kinds), cells % kinds, m)
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.full(len(own), key, np.int64)), pa.array(own.astype(np.int32))], [*names, "slice", "pos"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
+        asks, answers, waiting = [], [], 0
 
         def summed(b: pa.RecordBatch):
             wh = b["wh"].to_numpy()
@@ -424,6 +434,12 @@ def rare_classes(coded_docs: DataFrame, held: Held, big: np.ndarray) -> DataFram
             return wh[first], b["grp"].to_numpy()[first], np.add.reduceat(b["n"].to_numpy(), first), cells, m
 
         def placed(wh, grp, n, cells, m) -> Iterator[pa.RecordBatch]:
+            """Words with their classes; those who asked for one of them have their answer noted."""
+            nonlocal asks, waiting
+            # words of no text that teaches have no cells, and no class of their own
+            taught = np.flatnonzero(n > 0)
+            cells = np.searchsorted(taught, cells // kinds) * kinds + cells % kinds
+            wh, grp, n = wh[taught], grp[taught], n[taught]
             old = sent.value.group_cls[np.maximum(grp, 0)]
             new = old.copy()
             ends = np.searchsorted(cells, np.arange(len(wh) + 1) * kinds)
@@ -432,71 +448,105 @@ def rare_classes(coded_docs: DataFrame, held: Held, big: np.ndarray) -> DataFram
                 dense = np.zeros((end - at) * kinds, np.int64)
                 dense[cells[ends[at] : ends[end]] - at * kinds] = m[ends[at] : ends[end]]
                 new[at:end] = best_classes(old[at:end], dense.reshape(-1, kinds), table.value)
-            yield pa.RecordBatch.from_arrays([pa.array(wh), pa.array(n), pa.array(new, pa.int32())], ["wh", "n", "cls"])
+            asked, key, pos = (np.concatenate(x) for x in zip(*asks, strict=True))
+            asks = []
+            if len(wh):
+                at = np.minimum(np.searchsorted(wh, asked), len(wh) - 1)
+                mine = wh[at] == asked
+                answers.append((key[mine], pos[mine], n[at[mine]], new[at[mine]]))
+                waiting += int(mine.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(wh), pa.array(n), pa.array(new, pa.int32()), *(pa.nulls(len(wh), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], FOUND)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            """The answers noted, a row for each slice."""
+            nonlocal waiting
+            if waiting:
+                key, pos, n, cls = (np.concatenate(x) for x in zip(*answers, strict=True))
+                order = np.lexsort((pos, key))
+                key, pos, n, cls = key[order], pos[order].astype(np.int64), n[order], cls[order].astype(np.int16)
+                for part in np.split(np.arange(len(key)), np.flatnonzero(key[1:] != key[:-1]) + 1):
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32())), pa.array(key[part[:1]]), *sparse(pos[part], n[part]), pa.array([packed(cls[part])], pa.binary())], FOUND)
+            answers.clear()
+            waiting = 0
 
         for b in batches:
             if not b.num_rows:
                 continue
+            asks.append(tuple(b[x].to_numpy().copy() for x in ("wh", "slice", "pos")))
+            b = b.select(names)
             wh, grp, n, cells, m = summed(b if kept is None else pa.Table.from_batches([kept, b]).combine_chunks().to_batches()[0])
             # the last word may go on in the next batch
             last = len(wh) - 1
             cut = np.searchsorted(cells, last * kinds)
             kept = rows(wh[last:], grp[last:], n[last:], np.zeros(len(cells) - cut, np.int64), cells[cut:] - last * kinds, m[cut:])
             if last:
+                still = [tuple(x[a[0] == wh[last]] for x in a) for a in asks]
                 yield from placed(wh[:last], grp[:last], n[:last], cells[:cut], m[:cut])
+                asks = [a for a in still if len(a[0])]
+            if waiting >= ASKED:
+                yield from told()
         if kept is not None:
             yield from placed(*summed(kept))
+        yield from told()
 
-    parts = coded_docs.select("words", "grp", "learn", "sizes", "seq").mapInArrow(count, "wh long, grp int, n long, e binary")
-    return written(parts.repartition("wh").sortWithinPartitions("wh").mapInArrow(meet, "wh long, n long, cls int"), "lm-rare")
+    parts = coded_docs.select("key", "words", "grp", "learn", "sizes", "seq").mapInArrow(count, "wh long, grp int, n long, e binary, slice long, pos int")
+    out = written(parts.repartition("wh").sortWithinPartitions("wh").mapInArrow(meet, "wh long, n long, cls int, slice long, size long, places binary, counts binary, classes binary"), "lm-rare")
+    return out.where("slice is null").select("wh", "n", "cls"), out.where("slice is not null").select("slice", "size", "places", "counts", "classes")
 
 
-def resolved(coded_docs: DataFrame, held: Held, rare: DataFrame) -> DataFrame:
-    """Written: the slices with the count and class of each of their words instead of the words; ``cells`` and the like are the slice's class bigrams.
+def resolved(coded_docs: DataFrame, held: Held, answers: DataFrame, ends: int) -> DataFrame:
+    """Written: the slices with the class of each token instead of the words, and of each text the known tokens and the sums of their logarithms; ``cells`` and the like are the slice's class bigrams.
 
-    A slice sends its distinct rare words and gets a row back for each that the training texts hold.
+    What travels of a slice is its tokens and, packed, the counts and classes of its held words; the answers give those of the others.
     """
     sent = coded_docs.sparkSession.sparkContext.broadcast(held)
     c = held.classes
+    small = np.uint8 if c <= 256 else np.uint16
     kind = coded_docs.schema["ids"].dataType.simpleString()
+    own = ["key", "ids", "held", "learn", "sizes", "seq"]
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, w in zip(b["key"].to_pylist(), b["words"], strict=True):
-                wh = w.values.to_numpy()
-                missing = sent.value.of(wh) < 0
-                missing[0] = False
-                pos = np.flatnonzero(missing)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), k)), pa.array(pos.astype(np.int32)), pa.array(wh[pos])], ["slice", "pos", "wh"])
+            for r in range(b.num_rows):
+                words, grp = (b[x][r].values.to_numpy() for x in ("words", "grp"))
+                at, cls = sent.value.classes_of(words, grp.astype(np.int64))
+                n = np.where(at >= 0, sent.value.n[at] if sent.value.top else 0, 0)
+                n[0] = ends
+                yield pa.RecordBatch.from_arrays([*(b[x].slice(r, 1) for x in own), pa.array([len(words)]), pa.array([packed(n.astype(np.int64))]), pa.array([packed(cls.astype(np.int16))])], [*own, "words", "counts", "classes"])
 
     def fill(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for r in range(left.num_rows):
-            words, grp, seq, begin, learn = opened(*(left[x][r].values.to_numpy(zero_copy_only=False) for x in ("words", "grp", "sizes", "learn")), left["seq"][r].as_py())
-            at, cls = sent.value.classes_of(words, grp)
-            n = np.where(at >= 0, sent.value.n[at] if sent.value.top else 0, 0)
-            pos = right["pos"].to_numpy()
-            n[pos], cls[pos] = right["n"].to_numpy(), right["cls"].to_numpy()
+            sizes = left["sizes"][r].values.to_numpy()
+            words = left["words"][r].as_py()
+            n, cls = numbers(left["counts"][r].as_py(), words, np.int64), numbers(left["classes"][r].as_py(), words, np.int16)
+            for size, places, counts, classes in zip(*(right[x].to_pylist() for x in ("size", "places", "counts", "classes")), strict=True):
+                pos = np.cumsum(numbers(places, size))
+                n[pos], cls[pos] = numbers(counts, size, np.int64), numbers(classes, size, np.int16)
+            seq = numbers(left["seq"][r].as_py(), int(sizes.sum()))
+            begin, learn = np.r_[0, np.cumsum(sizes)[:-1]], np.repeat(left["learn"][r].values.to_numpy(zero_copy_only=False).astype(bool), sizes)
             *_, ca, cb, _ = beside(seq, begin, learn, cls)
             big = np.bincount(ca * c + cb, minlength=c * c)
             full = np.flatnonzero(big)
             one = lambda v, t: pa.array([v], pa.list_(t))
-            cols = [*(left[x].slice(r, 1).combine_chunks() for x in ("ids", "held", "sizes", "seq")), one(n, pa.int64()), one(cls.astype(np.int16), pa.int16()), pa.array([-1], pa.int32()), pa.array([int(left["key"][r].as_py()) & 0xFFFFFF], pa.int32()), *sparse(full, big[full])]
-            out.append(pa.table(cols, ["ids", "held", "sizes", "seq", "count", "cls", "block", "part", "size", "cells", "n"]))
+            add = lambda x: np.add.reduceat(x[seq], begin)
+            sums = [one(add((n > 0).astype(np.int64)), pa.int64()), one(add(np.log10(n + 1.0)), pa.float64()), one(add(np.log10(n + DELTA)), pa.float64())]
+            cols = [*(left[x].slice(r, 1).combine_chunks() for x in ("ids", "held", "sizes")), *sums, pa.array([packed(cls.astype(small)[seq])], pa.binary()), pa.array([-1], pa.int32()), pa.array([int(left["key"][r].as_py()) & 0xFFFFFF], pa.int32()), *sparse(full, big[full])]
+            out.append(pa.table(cols, ["ids", "held", "sizes", "known", "base", "own", "cls", "block", "part", "size", "cells", "n"]))
         return pa.concat_tables(out) if out else None
 
-    found = coded_docs.select("key", "words").mapInArrow(asked, "slice long, pos int, wh long").join(rare, "wh").select("slice", "pos", "n", "cls")
-    rows = coded_docs.select("key", "words", "grp", "ids", "held", "learn", "sizes", "seq")
-    shape = f"ids {kind}, held array<boolean>, sizes array<long>, seq binary, count array<long>, cls array<short>, {CELLS}"
-    # every slice has a row on the left; a rare word's row comes from a slice
-    return written(rows.groupBy("key").cogroup(found.groupBy("slice")).applyInArrow(fill, shape), "lm-resolved")
+    shape = f"key long, ids {kind}, held array<boolean>, learn array<boolean>, sizes array<long>, seq binary, words long, counts binary, classes binary"
+    rows = coded_docs.select(*own, "words", "grp").mapInArrow(narrow, shape)
+    shape = f"ids {kind}, held array<boolean>, sizes array<long>, known array<long>, base array<double>, own array<double>, cls binary, {CELLS}"
+    # every slice has a row on the left; an answer is to a slice
+    return written(rows.groupBy("key").cogroup(answers.groupBy("slice")).applyInArrow(fill, shape), "lm-resolved")
 
 
 class Model:
     """Log10 probabilities of transitions and emissions."""
 
-    def __init__(self, held: Held, big: np.ndarray, in_class: np.ndarray, total: int, distinct: int, ends: int):
-        self.total, self.distinct, self.ends = total, distinct, ends
+    def __init__(self, held: Held, big: np.ndarray, in_class: np.ndarray, total: int, distinct: int):
+        self.total, self.distinct = total, distinct
         into, classes = big.sum(axis=0), len(big)
         prior = (into + 1) / (into.sum() + classes)
         self.move = np.log10((big + ALPHA * prior) / (big.sum(axis=1, keepdims=True) + ALPHA))
@@ -543,15 +593,15 @@ def learned(coded_docs: DataFrame, classes: int) -> tuple[Model, Held, DataFrame
         if gain <= SETTLED * int(total):
             break
     forget(counts)
-    rare = rare_classes(coded_docs, held, big)
+    rare, answers = rare_classes(coded_docs, held, big)
     sweep(spark)
-    slices_ = resolved(coded_docs, held, rare)
+    slices_ = resolved(coded_docs, held, answers, int(end[0]) if end else 0)
     sweep(spark)
     in_class = np.bincount(held.cls, minlength=classes).astype(float)
     in_class[0] += 1
     for r in rare.groupBy("cls").count().collect():  # a row per class
         in_class[r["cls"]] += r["count"]
-    return Model(held, bigrams(slices_, classes), in_class, int(total), int(distinct), int(end[0]) if end else 0), held, rare, slices_
+    return Model(held, bigrams(slices_, classes), in_class, int(total), int(distinct)), held, rare, slices_
 
 
 def score_texts(slices_: DataFrame, model: Model) -> DataFrame:
@@ -566,19 +616,15 @@ def score_texts(slices_: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             for r in range(b.num_rows):
                 sizes = b["sizes"][r].values
-                n, cls = b["count"][r].values.to_numpy().copy(), b["cls"][r].values.to_numpy().astype(np.int64)
-                n[0] = m.ends
-                seq = numbers(b["seq"][r].as_py(), int(sizes.to_numpy().sum()))
                 begin = np.r_[0, np.cumsum(sizes.to_numpy())[:-1]]
-                c = cls[seq]
+                c = numbers(b["cls"][r].as_py(), int(sizes.to_numpy().sum()), np.uint8 if len(m.move) <= 256 else np.uint16)
                 prev = np.r_[0, c[:-1]]
                 prev[begin] = 0
-                add = lambda x: np.add.reduceat(x, begin)
-                per = m.move[prev, c] + (np.log10(n + DELTA) + m.share[cls])[seq]
-                cols = [b["ids"][r].values, b["held"][r].values, sizes, pa.array(add((n > 0).astype(np.int64)[seq])), pa.array(np.full(len(begin), m.total)), pa.array(add(np.log10(n + 1.0)[seq]) - sizes.to_numpy() * less), pa.array(add(per))]
+                moves = np.add.reduceat(m.move[prev, c] + m.share[c], begin)
+                cols = [b["ids"][r].values, b["held"][r].values, sizes, b["known"][r].values, pa.array(np.full(len(begin), m.total)), pa.array(b["base"][r].values.to_numpy() - sizes.to_numpy() * less), pa.array(b["own"][r].values.to_numpy() + moves)]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return slices_.select("ids", "held", "sizes", "seq", "count", "cls").mapInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return slices_.select("ids", "held", "sizes", "known", "base", "own", "cls").mapInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def class_lm(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: int = 7, held: int = 2, classes: int = CLASSES) -> DataFrame:
